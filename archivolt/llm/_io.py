@@ -1,48 +1,16 @@
-"""Tables, shared storage and Arrow helpers of the subpackage."""
+"""Arrow helpers of the subpackage, and the library's tables and shared storage by one name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from archivolt.session import table
+from archivolt.storage import discard, materialize, new_path
 
-__all__ = ["map_rows", "materialize", "shared_folder", "table", "text_groups"]
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="archivolt-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/archivolt/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table that ``materialize`` wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "map_rows", "materialize", "new_path", "table", "text_groups"]
 
 
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256) -> DataFrame:
@@ -68,7 +36,3 @@ def text_groups(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int,
         total += len(text) + 1
     if start < len(texts):
         yield start, len(texts)
-
-
-def integer_key(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.col(column).cast("long"))

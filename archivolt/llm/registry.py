@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import language_id
+from archivolt.llm import language_id, simhash_dedup, substring_dedup
 from archivolt.llm._io import table
 
 QUERIES = {}
@@ -24,3 +24,13 @@ def query(oracle: str | None = None):
 @query()
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_of_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.components(table(spark, sf_dir, "documents"))
