@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import decontaminate, language_id, packing, simhash_dedup, substring_dedup, warc
+from archivolt.llm import decontaminate, language_id, packing, pii, simhash_dedup, substring_dedup, warc
 from archivolt.llm._io import table
 
 QUERIES = {}
@@ -57,3 +57,8 @@ FROM m
 """)
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
