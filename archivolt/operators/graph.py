@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     def total(df: DataFrame):
         return df.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
 
-    before = total(labels)
+    before, passed = total(labels), [both]
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "component")
         lower = labels.unionByName(near).groupBy("node").agg(F.min("component").alias("component"))
@@ -33,10 +33,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         new = materialize(
             lower.join(jump, "component").select("node", F.least("component", "further").alias("component")), "labels"
         )
-        discard(labels)
+        passed.append(labels)
         labels, after = new, total(new)
         if after == before:
-            discard(both)
+            for table in passed:
+                discard(table)
             return labels
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
