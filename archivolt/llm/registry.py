@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, pii, simhash_dedup, substring_dedup, warc
+from archivolt.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, pii, quality, simhash_dedup, substring_dedup, warc
 from archivolt.llm._io import table
 
 QUERIES = {}
@@ -97,3 +97,8 @@ FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """)
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
