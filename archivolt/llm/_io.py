@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from archivolt.session import table
 from archivolt.storage import discard, materialize, new_path
 
-__all__ = ["discard", "map_rows", "materialize", "new_path", "table", "text_groups"]
+__all__ = ["discard", "map_rows", "materialize", "new_path", "table", "text_groups", "unused"]
 
 
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 256) -> DataFrame:
@@ -36,3 +36,10 @@ def text_groups(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int,
         total += len(text) + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm._io import map_rows
+from archivolt.llm._io import map_rows, unused
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -157,8 +157,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     """Columns ``keep`` (all by default) with ``lang_pred`` and ``score``; those two replace columns of their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
-    fields = [f for f in source.schema.fields if f.name != "_text"]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(unused("text_", docs)))
+    fields = source.schema.fields[:-1]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
 
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:

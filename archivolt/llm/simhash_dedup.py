@@ -261,7 +261,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     return prints.join(named, "fingerprint").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of the smallest doc_id of each component, all their columns; rows that repeat that id once."""
-    kept = components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The row of the smallest doc_id of each component, all its columns; of rows that repeat that id, one.
+
+    Rows with a null doc_id stay.
+    """
+    kept = components(docs, shingle, radius).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
