@@ -36,8 +36,8 @@ from archivolt.llm._io import map_rows, materialize
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept by a worker's cache, about 80 MB.
-CACHE_WORDS = 400_000
+#: Words kept by a worker's cache, about 150 MB.
+CACHE_WORDS = 700_000
 #: Pieces of one length that are ranked together.
 RANK_GROUP = 128
 _PUNCTUATION = (b",", b".")
@@ -55,8 +55,15 @@ class WordTokenizer:
         self.cache: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        self.cache.update((w, np.array(x.ids, dtype="<u4").tobytes()) for w, x in zip(words, found, strict=True))
+        """Encode words as one text, which costs half of encoding each, and cut its ids at the words' places."""
+        texts = [w.decode("utf-8") for w in words]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        places = np.fromiter((start for start, _ in found.offsets), dtype=np.int64, count=len(ids))
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        cuts = np.searchsorted(places, starts).tolist()
+        data = ids.tobytes()
+        self.cache.update((w, data[4 * a : 4 * b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
 
     def encode(self, text: bytes) -> bytes:
         """The tokenizer lowers letters itself; a text that may hold its special tokens keeps its case."""
