@@ -41,3 +41,60 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             return labels
         before = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def thread_roots(rows: DataFrame, identity: str, parent: str, max_rounds: int = 64) -> DataFrame:
+    """(identity, root, depth): the topmost ancestor that is present.
+
+    Pointers double each round, so a thread of n levels needs log2(n) rounds. A
+    parent that is absent ends the thread. A cycle never ends and is an error.
+    """
+    from archivolt.storage import materialize
+
+    known = rows.select(F.col(identity).alias("_p"))
+    links = rows.select(F.col(identity), F.col(parent).alias("_p")).join(known, "_p", "left_semi")
+    state = rows.select(identity).join(links, identity, "left").select(
+        identity, F.coalesce("_p", identity).alias("root"), F.when(F.col("_p").isNull(), 0).otherwise(1).alias("depth")
+    )
+    state = materialize(state, "threads")
+    total = state.count()
+    for round_ in range(max_rounds):
+        up = state.select(F.col(identity).alias("root"), F.col("root").alias("_up"), F.col("depth").alias("_more"))
+        new = materialize(
+            state.join(up, "root").select(identity, F.col("_up").alias("root"), (F.col("depth") + F.col("_more")).alias("depth")), "threads"
+        )
+        moved = new.join(state.select(identity, F.col("root").alias("_r")), identity).filter("root <> _r").limit(1).count()
+        state = new
+        if not moved:
+            return state
+        if 2**round_ > total:
+            break
+    raise ValueError("a thread has a cycle")
+
+
+def elect_keepers(members: DataFrame, component: str, identity: str, order: list) -> DataFrame:
+    """Per component the keeper: an existing one if single, else the first pending by ``order``.
+
+    Members have booleans keeper, pending and edited. A component is a problem if it
+    has several keepers, an edited member that is no keeper, or no keeper while any
+    member was edited. Components without a pending member are left out.
+    """
+    keepers = F.count_if("keeper")
+    return (
+        members.groupBy(component)
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            keepers.alias("n_keepers"),
+            F.bool_or(F.col("edited") & ~F.col("keeper")).alias("_edited_other"),
+            F.bool_or("pending").alias("_any_pending"),
+            F.min(F.when(F.col("keeper"), F.col(identity))).alias("_kept"),
+            F.min_by(F.when(F.col("pending"), F.col(identity)), F.when(F.col("pending"), F.struct(*order))).alias("_first"),
+        )
+        .filter("_any_pending AND size > 1")
+        .select(
+            component,
+            "size",
+            ((F.col("n_keepers") > 1) | F.col("_edited_other")).alias("problem"),
+            F.when((F.col("n_keepers") > 1) | F.col("_edited_other"), None).otherwise(F.coalesce("_kept", "_first")).alias("keeper_id"),
+        )
+    )

@@ -72,3 +72,73 @@ def tiered_interval_join(
     """Date join that widens tier by tier and stops at the first with a preferred candidate."""
     pairs = date_window_join(targets, candidates, target_date, candidate_date, max(high for _, high in tiers), on)
     return tier_cut(pairs, target_key, preferred, tiers)
+
+
+def closest_until_preferred(pairs: DataFrame, target_key: list[str], distance: Column, preferred: Column, always: Column) -> DataFrame:
+    """Keep each target's pairs up to the smallest distance that has a preferred candidate.
+
+    Rows with ``always`` stay; a target without a preferred candidate keeps all.
+    """
+    window = Window.partitionBy(*target_key)
+    return (
+        pairs.withColumn("_limit", F.min(F.when(preferred, distance)).over(window))
+        .filter(F.col("_limit").isNull() | (distance <= F.col("_limit")) | F.coalesce(always, F.lit(False)))
+        .drop("_limit")
+    )
+
+
+def nearest_match(
+    left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, right_id: str, left_id: str
+) -> DataFrame:
+    """(left_id, right_id, seconds) of the nearest row in time with equal keys, before or after.
+
+    Both sides are laid out once by key and time; the last row before and the
+    first row after come from two running windows, so no pairs are formed. Of
+    equal times the smallest id counts, of equal distances the smaller id.
+    """
+    one = right.filter(F.col(right_ts).isNotNull()).groupBy(*on, F.col(right_ts).alias("_ts")).agg(F.min(right_id).alias("_id"))
+    marks = one.select(*on, "_ts", F.lit(0).alias("_side"), F.lit(None).cast(left.schema[left_id].dataType).alias("_left"), F.struct("_ts", "_id").alias("_hit"))
+    asks = left.select(
+        *on, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.col(left_id).alias("_left"), F.lit(None).cast(marks.schema["_hit"].dataType).alias("_hit")
+    )
+    base = Window.partitionBy(*on)
+    back = base.orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = base.orderBy(F.col("_ts").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = (
+        marks.unionByName(asks)
+        .withColumn("_before", F.last("_hit", ignorenulls=True).over(back))
+        .withColumn("_after", F.last("_hit", ignorenulls=True).over(ahead))
+        .filter("_side = 1 AND _left IS NOT NULL")
+    )
+
+    def option(side: str) -> Column:
+        gap = F.abs(F.unix_micros(F.col("_ts").cast("timestamp")) - F.unix_micros(F.col(f"{side}._ts").cast("timestamp")))
+        return F.when(F.col(side).isNotNull(), F.struct(gap.alias("gap"), F.col(f"{side}._id").alias("id")))
+
+    return seen.select(
+        *on, F.col("_left").alias(left_id), F.array_min(F.array_compact(F.array(option("_before"), option("_after")))).alias("_best")
+    ).select(*on, left_id, F.col("_best.id").alias(f"nearest_{right_id}"), (F.col("_best.gap") / 1_000_000).alias("seconds"))
+
+
+def gap_sessions(rows: DataFrame, key: list[str], order: str, largest_gap: int, name: str = "session") -> DataFrame:
+    """Number sessions from 1: a new one starts where the gap in days to the row before exceeds ``largest_gap``."""
+    window = Window.partitionBy(*key).orderBy(order)
+    fresh = F.coalesce(F.datediff(F.col(order), F.lag(order).over(window)) > largest_gap, F.lit(True)).cast("int")
+    return rows.withColumn("_fresh", fresh).withColumn(
+        name, F.sum("_fresh").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    ).drop("_fresh")
+
+
+def month_calendar(bounds: DataFrame, first: str, last: str, name: str = "month") -> DataFrame:
+    """All months from the first to the last date, as yyyy-MM."""
+    return bounds.select(
+        F.explode(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))).alias("_m")
+    ).select(F.date_format("_m", "yyyy-MM").alias(name))
+
+
+def widening_window(step: Column, steps=(3, 7, 14, 30)) -> Column:
+    """The window in days after so many rejected rounds; the last step stays."""
+    out = F.lit(steps[-1])
+    for i, days in reversed(list(enumerate(steps))):
+        out = F.when(step <= i, days).otherwise(out)
+    return out
