@@ -10,12 +10,13 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Suffixes that editors and copies leave on a file stem; any run of them goes.
 STEM_SUFFIX = r"([ _.-]*(\(\d{1,3}\)|[ _-]copy( \d{1,3})?|[ _-]kopie|[ _-]edited|[ _-]edit|[ _-]e\d{0,3}))+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(values: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii"))
@@ -97,7 +98,7 @@ def html_text(value: str | None) -> str | None:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text(values: pd.Series) -> pd.Series:
     return values.map(html_text)
 
@@ -121,7 +122,7 @@ def repaired(value: str | None) -> str | None:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(values: pd.Series) -> pd.Series:
     return values.map(repaired)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from archivolt.plans import aggregates, joins, sets, windows
+from archivolt.plans import aggregates, joins, scalars, sets, windows
 
-MODULES = (aggregates, joins, sets, windows)
+MODULES = (aggregates, joins, scalars, sets, windows)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
