@@ -12,6 +12,7 @@ Two labels are learned, quality and toxicity. For each, a document's log odds ar
   both classes, each shrunk toward the common rate, if the rates differ by more than chance would have it.
 * Slope and intercept come from evidence that each half of the labelled documents gets from the other half. It is
   gathered as a histogram of bounded size, and fitted by Newton's method.
+* Only the buckets of documents, two bytes each, are shuffled to their labels; texts stay, and are read again to score.
 
 The broadcast model has 2^16 buckets x 2 labels whatever the corpus; all labelled rows train.
 
@@ -69,28 +70,35 @@ def buckets(text: bytes) -> np.ndarray:
     if raw:
         marks.add(b"\2%d" % (10 * (sum(map(len, raw)) - sum(map(len, listed))) // sum(map(len, raw))))
     hashed = np.fromiter(map(zlib.crc32, words | marks), dtype=np.uint32, count=len(words) + len(marks))
-    return np.unique(hashed >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
+    return np.unique(hashed >> np.uint32(32 - BUCKET_BITS)).astype("<u2")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, host, path, buckets of every row."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [buckets(t or b"") for t in batch.column(3).cast(pa.binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "host", "path", "buckets"]
-        )
+def sites(docs: DataFrame) -> DataFrame:
+    """doc_id, host, path, text of every row."""
 
     def name(column: str) -> Column:
         return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
-    rows = docs.select(
+    return docs.select(
         F.col("doc_id").cast("long"),
         name("source").alias("host"),
         F.concat_ws("/", name("source"), name("lang")).alias("path"),
         F.col("text").cast("string").alias("text"),
     )
-    return map_rows(rows, run, "doc_id long, host string, path string, buckets array<int>")
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """doc_id, host, path and buckets (16-bit integers, two bytes each) of rows of ``sites``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [buckets(t or b"").tobytes() for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["doc_id", "host", "path", "buckets"])
+
+    return map_rows(rows, run, "doc_id long, host string, path string, buckets binary")
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in column.to_pylist()]
 
 
 def document_labels(labels: DataFrame) -> DataFrame:
@@ -137,8 +145,8 @@ def learn(labelled: DataFrame) -> Evidence:
         for batch in batches:
             half = np.asarray(batch.column(1))
             values = [batch.column(2 + t).to_pylist() for t in range(len(TARGETS))]
-            for row, held in enumerate(batch.column(0)):
-                places = np.append(np.asarray(held.values), 1 << BUCKET_BITS)  # the last one counts documents
+            for row, held in enumerate(_unpacked(batch.column(0))):
+                places = np.append(held, 1 << BUCKET_BITS)  # the last one counts documents
                 for t, column in enumerate(values):
                     if column[row] is not None:
                         counts[half[row], column[row], places, t] += 1
@@ -225,24 +233,30 @@ def _odds(share: Column) -> Column:
     return F.log(share / (1 - share))
 
 
-def _scored(rows: DataFrame, evidence: Evidence, keep: list[str], by_half: bool) -> DataFrame:
-    """Columns ``keep`` and the evidence for each target."""
+def _scored(labelled: DataFrame, evidence: Evidence) -> DataFrame:
+    """The targets of labelled rows and the evidence that the other half gives."""
+    shared = labelled.sparkSession.sparkContext.broadcast(evidence)
+    names = [*TARGETS, *(f"{t}_evidence" for t in TARGETS)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sums = shared.value.of(_unpacked(batch.column(0)), np.asarray(batch.column(1)))
+        return pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(sums[:, t]) for t in range(len(TARGETS)))], names)
+
+    schema = ", ".join([*(f"{t} int" for t in TARGETS), *(f"{t}_evidence double" for t in TARGETS)])
+    return map_rows(labelled.select("buckets", "half", *TARGETS), run, schema, rows=4096)
+
+
+def _evidence(rows: DataFrame, evidence: Evidence) -> DataFrame:
+    """doc_id, host, path and the evidence of each target, from the texts of rows of ``sites``."""
     shared = rows.sparkSession.sparkContext.broadcast(evidence)
-    source = rows.select(*keep, "buckets", *(["half"] if by_half else []))
-    schema = ", ".join(
-        [*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep), *(f"{t}_evidence double" for t in TARGETS)]
-    )
+    names = ["doc_id", "host", "path", *(f"{t}_evidence" for t in TARGETS)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = [np.asarray(x.values) for x in batch.column(len(keep))]
-        half = np.asarray(batch.column(len(keep) + 1)) if by_half else None
-        sums = shared.value.of(held, half)
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(keep)], *(pa.array(sums[:, t]) for t in range(len(TARGETS)))],
-            [*keep, *(f"{t}_evidence" for t in TARGETS)],
-        )
+        held = [buckets(t or b"") for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        sums = shared.value.of(held)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(sums[:, t]) for t in range(len(TARGETS)))], names)
 
-    return map_rows(source, run, schema, rows=4096)
+    return map_rows(rows, run, "doc_id long, host string, path string, " + ", ".join(f"{t}_evidence double" for t in TARGETS))
 
 
 def _fit(table: pd.DataFrame) -> tuple[float, float]:
@@ -270,7 +284,7 @@ def _fit(table: pd.DataFrame) -> tuple[float, float]:
 
 def calibrate(labelled: DataFrame, evidence: Evidence, shares: dict[str, float]) -> dict[str, tuple[float, float]]:
     """Per target slope and intercept, from a histogram of out-of-half evidence (at most 2 x BINS x 2 rows)."""
-    scored = _scored(labelled, evidence, list(TARGETS), by_half=True)
+    scored = _scored(labelled, evidence)
     out = {}
     for t in TARGETS:
         bins = F.least(F.greatest(F.round(F.col(f"{t}_evidence") / BIN_WIDTH), F.lit(-BINS)), F.lit(BINS))
@@ -288,17 +302,17 @@ def calibrate(labelled: DataFrame, evidence: Evidence, shares: dict[str, float])
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, p_quality, p_toxic, the shares of its host and path, and kept."""
-    found = materialize(features(docs), "features")
-    labelled = found.join(document_labels(labels), "doc_id").withColumn(
+    rows = sites(docs)
+    # Sorted and merged at every size: the labels grow with the documents.
+    labelled = features(rows).join(document_labels(labels).hint("merge"), "doc_id").withColumn(
         "half", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)).cast("int")
     )
     labelled = materialize(labelled, "labelled")
-    sites, shares = site_shares(found, labelled)
+    places, shares = site_shares(rows, labelled)
     evidence = learn(labelled)
     curves = calibrate(labelled, evidence, shares)
     known = bool(labelled.select(*TARGETS).head(1))
-    rows = _scored(found, evidence, ["doc_id", "host", "path"], by_half=False)
-    joined = rows.join(sites, ["host", "path"], "left")
+    joined = _evidence(rows, evidence).join(places, ["host", "path"], "left")
     for t in TARGETS:
         slope, intercept = curves[t]
         share = F.coalesce(f"{t}_path", F.lit(shares[t] if known else 0.5))
