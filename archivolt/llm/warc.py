@@ -219,7 +219,7 @@ def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int
     """Rewrite an archive so that repeated payloads are revisit records with fresh headers."""
     first = materialize(originals(read_archive(spark, source), least_bytes), "originals")
     records = read_archive(spark, source, payload=True).join(first, ["payload_digest", "payload_bytes"], "left")
-    again = F.col("original").isNotNull() & (F.col("page_id") < F.col("original"))
+    again = F.coalesce(F.col("page_id") < F.col("original"), F.lit(False))
     write_archive(
         records.select(
             "page_id",
