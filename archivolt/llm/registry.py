@@ -26,9 +26,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_of_documents(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS k
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY 1),
+s AS (SELECT doc_id, i AS p FROM g JOIN f USING (k) WHERE doc_id > first),
+n AS (SELECT doc_id, words[p] AS word, p FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w)),
+c AS (SELECT n.doc_id, n.p, word,
+             coalesce(max(s.p) OVER (PARTITION BY n.doc_id ORDER BY n.p ROWS UNBOUNDED PRECEDING) >= n.p - 49, false) AS gone
+      FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.p = n.p),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept
+      FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN a USING (doc_id)
+""")
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+    return substring_dedup.dedup_documents(table(spark, sf_dir, "documents")).drop("factors")
 
 
 @query()
@@ -41,7 +55,27 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""
+WITH low AS (SELECT doc_id AS id, 'd' AS side, text FROM documents UNION ALL SELECT item_id, 'b', text FROM benchmark),
+w AS (SELECT id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM low),
+l AS (SELECT DISTINCT least(len(words), 10) AS n FROM w WHERE side = 'b' AND len(words) > 0),
+b AS (SELECT DISTINCT id AS item_id, least(len(words), 10) AS n, array_to_string(words[i : i + least(len(words), 10) - 1], ' ') AS gram
+      FROM (SELECT id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM w WHERE side = 'b' AND len(words) > 0)),
+d AS (SELECT id AS doc_id, n, i, array_to_string(words[i : i + n - 1], ' ') AS gram
+      FROM (SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM w, l WHERE side = 'd' AND len(words) >= n)),
+h AS (SELECT doc_id, i, n, item_id FROM d JOIN b USING (n, gram)),
+s AS (SELECT doc_id, i AS p, max(i + n) AS stop FROM h GROUP BY 1, 2),
+q AS (SELECT id AS doc_id, unnest(range(1, len(words) + 1)) AS p FROM w WHERE side = 'd'),
+c AS (SELECT q.doc_id, coalesce(max(stop) OVER (PARTITION BY q.doc_id ORDER BY q.p ROWS UNBOUNDED PRECEDING) > q.p, false) AS hit
+      FROM q LEFT JOIN s ON s.doc_id = q.doc_id AND s.p = q.p),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (hit) AS n_hit FROM c GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN i USING (doc_id)
+""")
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
