@@ -12,6 +12,9 @@ A task returns the groups it finds as trees of bounded fan-out instead of all
 pairs: components stay whole, and no group's pairs are spelled out. Components
 come from rounds of label propagation.
 
+``near_groups`` finds near duplicates by a similarity of word shingles instead, with wider fingerprints of the same kind,
+the same trees and the same components; ``keep_one`` keeps one document of each of its groups.
+
 Defined cases: a null or blank text has fingerprint zero and links like any
 other; fewer words than a shingle are one shingle; rows with a null doc_id get
 the component of their fingerprint and lend it no id; repeated rows share a row's
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.llm._hashing import mix
 from archivolt.llm._io import map_rows, materialize
 from archivolt.operators.graph import connected_components
 
@@ -54,11 +58,11 @@ def _set_bits(hashes: np.ndarray) -> np.ndarray:
     return counts
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of word shingles, as an unsigned integer."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; the whole sequence for fewer words, nothing for none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     width = min(shingle, len(words))
     gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
@@ -66,7 +70,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     ends = np.concatenate((gaps, [len(joined)]))
     digest = xxhash.xxh64_intdigest
     pairs = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype=np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of word shingles, as an unsigned integer; zero without words."""
+    hashes = shingle_hashes(text, shingle)
     ones = _set_bits(hashes) * 2 > len(hashes)
     return int(np.packbits(ones[::-1]).tobytes().hex(), 16)
 
@@ -185,11 +194,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     if radius > RADIUS:
         raise ValueError(f"{len(BLOCKS)} blocks find pairs of at most {RADIUS} differing bits")
     rows = distinct.select(F.explode(_shard_keys(F.col("fingerprint"))).alias("key"), "fingerprint", "node")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / F.lit(shard)).cast("int")
+    return _shard_links(rows, radius, shard)
+
+
+def _shard_links(rows: DataFrame, radius: int, shard: int) -> DataFrame:
+    """(src, dst) pairs that connect the groups within each shard (key) of rows (key, fingerprint, node).
+
+    Fingerprints are longs or binaries. Only shards that are too large are listed; where that list is short it is
+    broadcast by the planner's own size check, else joined.
+    """
+    large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard), "large-shards")
+    wide = dict(rows.dtypes)["fingerprint"] == "binary"
     dealt = (
-        rows.join(sizes, "key")
-        .withColumn("chunks", chunks)
+        rows.join(large, "key", "left")
+        .withColumn("chunks", F.coalesce(F.ceil(F.col("n") / F.lit(shard)), F.lit(1)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
@@ -211,18 +229,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
             joined = pa.Table.from_batches(parts)
             return [joined.column(k).to_numpy() for k in range(joined.num_columns)]
 
+        def integers(prints: np.ndarray) -> list[int]:
+            return [int.from_bytes(p, "big") for p in prints] if wide else prints.view(np.uint64).tolist()
+
         def solve(parts: list[pa.RecordBatch], last: bool):
             """Edges of the complete tasks in the parts, and the rows of the last task unless it is complete."""
             key, tree, searcher, indexed, prints, nodes = columns(parts)
             new = (np.diff(key) != 0) | (np.diff(tree) != 0) | (np.diff(searcher) != 0)
             bounds = np.concatenate(([0], np.flatnonzero(new) + 1, [len(key)]))
             complete = len(bounds) - 1 if last else len(bounds) - 2
-            unsigned = prints.view(np.uint64)
             out: list[tuple[int, int]] = []
             for start, end in zip(bounds[:complete].tolist(), bounds[1 : complete + 1].tolist(), strict=True):
                 if end - start > 1:
                     out += _search(
-                        unsigned[start:end].tolist(),
+                        integers(prints[start:end]),
                         nodes[start:end].tolist(),
                         indexed[start:end].tolist(),
                         tree[start] == searcher[start],
@@ -261,11 +281,75 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     return prints.join(named, "fingerprint").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The row of the smallest doc_id of each component, all its columns; of rows that repeat that id, one.
+#: Bits of the wide fingerprints that estimate a similarity, and of the slices that deal them to shards.
+WIDE_BITS, SLICE_BITS, SLICES = 256, 16, 52
+#: Standard errors by which a wide fingerprint may exceed the distance that its similarity expects.
+MARGIN = 1.5
+
+
+def expected_distance(similarity: float, bits: int = WIDE_BITS) -> int:
+    """Differing bits that two sets of one size and this Jaccard similarity reach with few exceptions.
+
+    Their cosine c is 2J / (1 + J), a bit differs with probability acos(c) / pi.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(bits * share + MARGIN * np.sqrt(bits * share * (1 - share))))
+
+
+def _slices(width: int) -> np.ndarray:
+    """Fixed choices of bits, one row per slice: permutations of all bits, cut into slices."""
+    rng = np.random.default_rng(31)
+    per_round = WIDE_BITS // width
+    rounds = [rng.permutation(WIDE_BITS)[: per_round * width].reshape(per_round, width) for _ in range(-(-SLICES // per_round))]
+    return np.concatenate(rounds)[:SLICES]
+
+
+def wide_bits(text: bytes, shingle: int) -> np.ndarray:
+    """SimHash bits of four derived hashes of each distinct shingle."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    parts = [_set_bits(mix(hashes + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))) for k in range(WIDE_BITS // 64)]
+    return np.concatenate(parts) * 2 > len(hashes)
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:
+    """node and component of documents of which several are alike: estimated Jaccard similarity of word shingles.
+
+    Wide fingerprints are dealt to shards by ``SLICES`` slices of their bits; two documents of similarity 0.8 share
+    one with a probability of 0.98, more similar ones almost surely, and a shard's BK-tree then links those within
+    the expected distance. The slices grow by a bit with each doubling of a corpus beyond 262,144 distinct
+    fingerprints, which keeps shards small. Documents without words are alike.
+    """
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        packed = [np.packbits(wide_bits(t or b"", shingle)).tobytes() for t in texts]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "fingerprint"])
+
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = materialize(map_rows(rows, prints, "doc_id long, fingerprint binary"), "wide-prints")
+    distinct = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "wide-distinct")
+    width = min(32, max(SLICE_BITS, int(np.ceil(np.log2(max(distinct.count(), 4) / 4)))))
+    chosen = _slices(width)
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
+        keys = (bits[:, chosen].astype(np.int64) << np.arange(width)).sum(axis=2) | (np.arange(SLICES, dtype=np.int64) << 40)
+        place = pa.array(np.repeat(np.arange(batch.num_rows), SLICES))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys.ravel()), batch.column(0).take(place), batch.column(1).take(place)], ["key", "fingerprint", "node"]
+        )
+
+    dealt = map_rows(distinct, deal, "key long, fingerprint binary, node long", rows=1024)
+    groups = connected_components(_shard_links(dealt, expected_distance(similarity), shard))
+    named = distinct.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
+    return found.join(named, "fingerprint").select("doc_id", "component")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The row of the smallest doc_id of each group of near duplicates, all its columns; of rows that repeat that id, one.
 
     Rows with a null doc_id stay.
     """
-    kept = components(docs, shingle, radius).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = near_groups(docs, shingle, similarity).filter("doc_id = component").select("doc_id").distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)

@@ -51,9 +51,31 @@ def test_against_brute_force(docs_of, odd_rows):
     wanted = sorted((repr(d), f"{prints[d, t]:016x}", repr(lowest.get(prints[d, t]))) for d, t, *_ in rows)
     found = S.components(docs_of(rows))
     assert sorted((repr(r.doc_id), r.fingerprint, repr(r.component_id)) for r in found.collect()) == wanted
+
+
+def test_near_groups_follow_the_similarity_of_shingles(docs_of, odd_rows):
+    rng = random.Random(7)
+    rows, families = list(odd_rows), {}
+    for d in range(100, 140):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        for k in range(4):
+            copy = list(base)
+            for _ in range(len(base) // 150 if k else 0):  # few edits: similarity well over 0.8
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(99)}"
+            rows.append((d * 10 + k, " ".join(copy), "en", "s"))
+            families[d * 10 + k] = d * 10
+    groups = {r.doc_id: r.component for r in S.near_groups(docs_of(rows)).collect()}
+    assert sum(groups[d] == families[d] for d in families) >= 0.98 * len(families)
+    assert all(families.get(groups[d]) == families[d] for d in families)  # nothing strange joins a family
+    assert groups[4] == 4 and groups[6] == 5 and groups[3] == 1  # copies, and texts without words
     kept = S.keep_one(docs_of(rows))
     assert kept.columns == docs_of(rows).columns
-    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted({repr(find(d)) for d, _ in ids} | {"None"}) + ["None"] * (sum(d is None for d, *_ in rows) - 1)
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(None) == 2 and ids.count(4) == 1 and 6 not in ids and {1, 5, 7} <= set(ids)
+
+
+def test_expected_distance_falls_with_similarity():
+    assert S.expected_distance(0.95) < S.expected_distance(0.8) < S.WIDE_BITS // 4
 
 
 def test_large_shards_are_cut_without_losing_links(spark):
