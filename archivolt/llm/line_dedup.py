@@ -20,6 +20,8 @@ text; extra columns pass through ``dedup_lines``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,24 +67,46 @@ def _versioned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.hash(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
 
 
-def _chunk_text(chunk: Column) -> Column:
-    return F.array_join(F.slice("lines", chunk["start"] + 1, chunk["n_lines"]), "\n")
+def _chunk_text(lines: Column, chunk: Column) -> Column:
+    return F.array_join(F.slice(lines, chunk["start"] + 1, chunk["n_lines"]), "\n")
+
+
+def _bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once: the one element of an array, named by a lambda."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
+def _chunk_keys(lines: Column, divisor: int, least_lines: int) -> Column:
+    """Array of (key, start, n_lines) of the chunks that are long enough; the text itself stays inside."""
+
+    def keyed(held: Column) -> Column:
+        long = F.filter(chunk_bounds(held, divisor), lambda c: c["n_lines"] >= least_lines)
+        return F.transform(
+            long,
+            lambda c: F.struct(F.xxhash64(_chunk_text(held, c)).alias("key"), c["start"].alias("start"), c["n_lines"].alias("n_lines")),
+        )
+
+    return _bound(lines, keyed)
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """The lines outside of sorted disjoint stretches (start, n_lines)."""
+
+    def piece(held: Column, i: Column) -> Column:
+        before = F.try_element_at(gone, i)
+        start = F.when(i == 0, 0).otherwise(before["start"] + before["n_lines"])
+        stop = F.coalesce(F.try_element_at(gone, i + 1)["start"], F.size(held))
+        return F.slice(held, start + 1, stop - start)
+
+    return _bound(lines, lambda held: F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: piece(held, F.greatest(i, F.lit(0))))))
 
 
 def removals(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
     """doc_id, version, start, n_lines of every chunk to remove."""
     lines = _versioned(docs).filter("doc_id IS NOT NULL AND lines IS NOT NULL")
-    chunks = (
-        lines.withColumn("chunk", F.explode(chunk_bounds(F.col("lines"), divisor)))
-        .filter(F.col("chunk.n_lines") >= least_lines)
-        .select(
-            F.xxhash64(_chunk_text(F.col("chunk"))).alias("key"),
-            "doc_id",
-            "version",
-            F.col("chunk.start").alias("start"),
-            F.col("chunk.n_lines").alias("n_lines"),
-        )
-    )
+    chunks = lines.select(
+        "doc_id", "version", F.explode(_chunk_keys(F.col("lines"), divisor, least_lines)).alias("chunk")
+    ).select("chunk.key", "doc_id", "version", "chunk.start", "chunk.n_lines")
     chunks = materialize(chunks, "chunks")
     repeated = materialize(
         chunks.groupBy("key")
@@ -96,19 +120,15 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_L
         .groupBy("doc_id", "version")
         .agg(F.collect_list(F.struct("key", "start", "n_lines")).alias("asked"))
     )
-    texts = materialize(
-        _versioned(docs)
-        .join(asked, ["doc_id", "version"])
-        .withColumn("chunk", F.explode("asked"))
-        .select(
-            F.col("chunk.key").alias("key"),
-            _chunk_text(F.col("chunk")).alias("chunk"),
-            *PLACE[:2],
-            F.col("chunk.start").alias("start"),
-            F.col("chunk.n_lines").alias("n_lines"),
+    spelled = _bound(
+        F.col("lines"),
+        lambda held: F.transform(
+            "asked",
+            lambda c: F.struct(c["key"].alias("key"), _chunk_text(held, c).alias("chunk"), c["start"].alias("start"), c["n_lines"].alias("n_lines")),
         ),
-        "chunk-texts",
     )
+    texts = _versioned(docs).join(asked, ["doc_id", "version"]).select("doc_id", "version", F.explode(spelled).alias("c"))
+    texts = materialize(texts.select("c.key", "c.chunk", "doc_id", "version", "c.start", "c.n_lines"), "chunk-texts")
     firsts = materialize(
         texts.groupBy("key", "chunk").agg(F.min(F.struct(*PLACE)).alias("first")), "first-chunks"
     )
@@ -128,17 +148,18 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     gone = (
         removals(docs, divisor)
         .groupBy("doc_id", "version")
-        .agg(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("n_lines") - 1))).alias("_gone"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "n_lines"))).alias("_gone"))
         .select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version"), "_gone")
     )
     text = F.col("text").cast("string")
-    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
+    kept = _without(F.split(text, "\n", -1), F.col("_gone"))
+    n_removed = F.aggregate("_gone", F.lit(0), lambda n, c: n + c["n_lines"])
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.hash(text) == F.col("_version")), "left").select(
         *[F.col(f"`{c}`") for c in names if c != "text"],
         F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.array_distinct("_gone")), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
