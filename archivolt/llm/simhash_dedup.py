@@ -8,9 +8,12 @@ hash; each chunk's tree is sent to every chunk of its shard, so no task holds mo
 than two chunks, whatever a group's size. A tree keeps children by their integer
 Hamming distance to the parent, and a search follows only edges within the radius.
 
-A task returns the groups it finds as trees of bounded fan-out instead of all
-pairs: components stay whole, and no group's pairs are spelled out. Components
-come from rounds of label propagation.
+A search leaves out a subtree that lies wholly within the radius of both the value
+and the subtree's parent: the parent stands for it. A task on one chunk links each
+member of a group to the group's smallest, a task on two chunks links groups by
+their smallest members, and of a node's links to smaller ones only that to the
+smallest stays, the others being tied to it. Components stay whole, and no group's
+pairs are spelled out. They come from rounds of label propagation.
 
 ``near_groups`` finds near duplicates by a similarity of word shingles instead, with wider fingerprints of the same kind,
 the same trees and the same components; ``keep_one`` keeps one document of each of its groups.
@@ -42,7 +45,6 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = tuple(combinations(range(len(BLOCKS)), len(BLOCKS) - RADIUS))
 SHARD = 512
-FAN_OUT = 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -121,8 +123,13 @@ class BKTree:
         while at != new:
             at = self.children[at].setdefault((self.values[at] ^ value).bit_count(), new)
 
-    def within(self, value: int, radius: int):
-        """Indices of the values at most ``radius`` bits away."""
+    def within(self, value: int, radius: int, stand_ins: bool = False):
+        """Indices of the values at most ``radius`` bits away.
+
+        With ``stand_ins``, a parent found stands for its subtrees that are near the value and near the parent as a
+        whole: all of a subtree has one distance to the parent, so the triangle inequality bounds its distance to
+        the value.
+        """
         stack = [0] if self.values else []
         while stack:
             at = stack.pop()
@@ -131,7 +138,8 @@ class BKTree:
                 yield at
             children = self.children[at]
             if children:
-                for edge in range(max(distance - radius, 0), distance + radius + 1):
+                nearest = max(distance - radius, radius - distance + 1 if stand_ins else 0)
+                for edge in range(nearest, distance + radius + 1):
                     child = children.get(edge)
                     if child is not None:
                         stack.append(child)
@@ -151,39 +159,46 @@ class _Groups:
             self.parent[x], x = root, self.parent[x]
         return root
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> tuple[int, int] | None:
+        """The smallest members (larger, smaller) of two groups that become one; None if they were."""
         a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-
-    def edges(self):
-        """Connecting pairs: each group as a tree in which a node has at most FAN_OUT + 1 neighbours."""
-        members: dict[int, list[int]] = {}
-        for x in self.parent:
-            members.setdefault(self.find(x), []).append(x)
-        for group in members.values():
-            group.sort()
-            for i in range(1, len(group)):
-                yield group[i], group[(i - 1) // FAN_OUT]
-
-
-def _search(prints: list[int], nodes: list[int], indexed: list[bool], alone: bool, radius: int):
-    """Links in one task: a tree of the indexed chunk, searched by the other chunk, or by itself if alone."""
+        if a == b:
+            return None
+        self.parent[max(a, b)] = min(a, b)
+        return max(a, b), min(a, b)
+
+    def stars(self):
+        """Each member with the smallest of its group."""
+        return [(x, root) for x in list(self.parent) if (root := self.find(x)) != x]
+
+
+def _grown(chunk: list[tuple[int, int]], groups: _Groups, radius: int) -> BKTree:
+    """The tree of a chunk of (fingerprint, node), whose links join the groups."""
+    tree = BKTree()
+    for value, node in chunk:
+        for at in tree.within(value, radius, stand_ins=True):
+            groups.join(node, chunk[at][1])
+        tree.add(value)
+    return tree
+
+
+def _search(prints: list[int], nodes: list[int], indexed: list[bool], alone: bool, radius: int) -> list[tuple[int, int]]:
+    """Links in one task: within the indexed chunk if alone, else those that join its groups to the other chunk's."""
+    rows = list(zip(prints, nodes, strict=True))
     groups = _Groups()
-    tree, names = BKTree(), []
-    for value, node, inside in zip(prints, nodes, indexed, strict=True):
-        if inside:
-            if alone:
-                for at in tree.within(value, radius):
-                    groups.join(node, names[at])
-            tree.add(value)
-            names.append(node)
-    if not alone:
-        for value, node, inside in zip(prints, nodes, indexed, strict=True):
-            if not inside:
-                for at in tree.within(value, radius):
-                    groups.join(node, names[at])
-    return groups.edges()
+    chunk = [row for row, inside in zip(rows, indexed, strict=True) if inside]
+    tree = _grown(chunk, groups, radius)
+    if alone:
+        return groups.stars()
+    other = [row for row, inside in zip(rows, indexed, strict=True) if not inside]
+    _grown(other, groups, radius)
+    out = []
+    for value, node in other:
+        for at in tree.within(value, radius, stand_ins=True):
+            joined = groups.join(node, chunk[at][1])
+            if joined:
+                out.append(joined)
+    return out
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
@@ -207,7 +222,8 @@ def _shard_links(rows: DataFrame, radius: int, shard: int) -> DataFrame:
     wide = dict(rows.dtypes)["fingerprint"] == "binary"
     dealt = (
         rows.join(large, "key", "left")
-        .withColumn("chunks", F.coalesce(F.ceil(F.col("n") / F.lit(shard)), F.lit(1)).cast("int"))
+        # A power of two: a chunk of one shard is then part of a chunk of another, and groups have like smallest members.
+        .withColumn("chunks", F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / F.lit(shard)))), F.lit(1.0)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
@@ -261,7 +277,19 @@ def _shard_links(rows: DataFrame, radius: int, shard: int) -> DataFrame:
             if out:
                 yield _edges(out)
 
-    return placed.mapInArrow(run, "src long, dst long").distinct()
+    return _fewer(placed.mapInArrow(run, "src long, dst long"))
+
+
+def _fewer(edges: DataFrame) -> DataFrame:
+    """Links (src > dst) with the same groups: a node keeps that to its smallest neighbour, to which its others are tied.
+
+    A node has at most one neighbour per shard and chunk, and nodes of one group have mostly the same ones, so that
+    links grow with the nodes and not with the shards they share.
+    """
+    least = F.array_min("below")
+    tied = F.transform("below", lambda d: F.struct(F.when(d == least, F.col("src")).otherwise(d).alias("src"), least.alias("dst")))
+    below = edges.groupBy("src").agg(F.collect_set("dst").alias("below"))
+    return below.select(F.explode(tied).alias("edge")).select("edge.src", "edge.dst").distinct()
 
 
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -102,6 +102,32 @@ def test_tree_finds_exactly_the_near_values():
         assert sorted(tree.within(q, 3)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 3]
 
 
+def test_stand_ins_keep_the_groups():
+    rng = np.random.default_rng(1)
+    for spread in (2, 6, 12):
+        values = sorted({int(np.bitwise_or.reduce(1 << rng.integers(0, 40, spread))) for _ in range(300)})
+        for radius in (3, 8):
+            find = components([(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= radius])
+            got = S._search(values, list(range(len(values))), [True] * len(values), True, radius)
+            same = components(got)
+            assert all(same(i) == find(i) for i in range(len(values)))
+            inside = [i % 3 == 0 for i in range(len(values))]
+            parts = []
+            for keep in (True, False):
+                part = [i for i, x in enumerate(inside) if x is keep]
+                parts += S._search([values[i] for i in part], part, [True] * len(part), True, radius)
+            apart = components(parts + S._search(values, list(range(len(values))), inside, False, radius))
+            assert all(apart(i) == find(i) for i in range(len(values)))
+
+
+def test_fewer_links_keep_the_groups(spark):
+    rng = random.Random(8)
+    edges = [(max(a, b), min(a, b)) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(150)) if a != b]
+    left = [(r.src, r.dst) for r in S._fewer(spark.createDataFrame(edges, "src long, dst long")).collect()]
+    before, after = components(edges), components(left)
+    assert all(before(i) == after(i) for i in range(200)) and all(a > b for a, b in left)
+
+
 def test_empty_table(docs_of):
     assert S.components(docs_of([])).count() == 0 and S.keep_one(docs_of([])).count() == 0
     assert S.components(docs_of([(1, "a b", "en", "s")])).select(F.col("component_id")).first()[0] == 1
