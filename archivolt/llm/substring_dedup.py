@@ -10,7 +10,8 @@ blocks wherever they stand.
    and key together are 128 bits of its content.
 2. ``index_blocks``: a grouped minimum keeps, for each distinct block, its first place in the corpus.
 3. ``boundary_phrases``: where documents share an anchor inside different blocks, factors end inside a
-   block. Only the first copy of each such block is opened; the windows in it are indexed one by one.
+   block. Each such block is opened in the first document that holds it, at all its places there; the windows in
+   it are indexed one by one.
 4. ``factors``: every document is parsed greedily from left to right. A factor starts at the first window
    found in the reference and is extended while the next one continues at the same place of the reference;
    else the parse goes on with the next window of the reference, which is the check at factor boundaries.
@@ -64,21 +65,26 @@ def versioned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.hash(text).alias("version"))
 
 
+def _cut(keys: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, windows, anchor and key of the blocks of at least ``window`` word keys."""
+    grams = H.mix(H.Sequences(keys, H.SEQUENCE_MULTIPLIERS[0]).every(anchor))
+    place = H.window_minimum(grams, window - anchor + 1)
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    ends = np.append(starts[1:], len(place))
+    key = H.mix(H.Sequences(keys, H.SEQUENCE_MULTIPLIERS[1]).key(starts, ends + window - 1))
+    return starts, ends - starts, grams[place[starts]], key
+
+
 def blocks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, version, start (first window), windows, anchor, key of every block of every document with an id."""
-    span = window - anchor + 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for row, keys in _documents(_binary(batch, 1)):
             if len(keys) < window:
                 continue
-            grams = H.mix(H.Sequences(keys, H.SEQUENCE_MULTIPLIERS[0]).every(anchor))
-            place = H.window_minimum(grams, span)
-            starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-            ends = np.append(starts[1:], len(place))
-            key = H.mix(H.Sequences(keys, H.SEQUENCE_MULTIPLIERS[1]).key(starts, ends + window - 1))
-            parts.append((np.full(len(starts), row), starts, ends - starts, grams[place[starts]], key))
+            starts, *rest = _cut(keys, window, anchor)
+            parts.append((np.full(len(starts), row), starts, *rest))
         if not parts:
             return None
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -103,30 +109,29 @@ def index_blocks(found: DataFrame) -> DataFrame:
         .agg(
             F.min(F.struct("doc_id", "version", "start")).alias("first"),
             F.max("doc_id").alias("last_doc"),
-            F.first("windows").alias("windows"),
         )
         .select(
             "anchor",
             "key",
             F.col("first.doc_id").alias("ref_doc"),
-            F.col("first.version").alias("ref_version"),
             F.col("first.start").alias("ref_start"),
             "last_doc",
-            "windows",
         )
     )
 
 
-def _window_rows(opened: DataFrame, window: int) -> DataFrame:
-    """doc_id, version, start, key1, key2 of each window in the blocks that a document is asked to open."""
+def _window_rows(opened: DataFrame, window: int, anchor: int) -> DataFrame:
+    """doc_id, version, start, key1, key2 of each window in the blocks that a document is asked (by key) to open."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        asked = batch.column(3).to_pylist()
+        asked = batch.column(3)
         parts = []
         for row, keys in _documents(_binary(batch, 1)):
-            starts = [np.arange(a["start"], a["start"] + a["windows"]) for a in asked[row]]
-            start = np.concatenate(starts)
-            start = start[start + window <= len(keys)]
+            if len(keys) < window:
+                continue
+            starts, sizes, _, key = _cut(keys, window, anchor)
+            wanted = np.isin(key.view(np.int64), asked[row].values.to_numpy(zero_copy_only=False))
+            start = np.flatnonzero(np.repeat(wanted, sizes))  # blocks tile the windows
             pair = [H.mix(H.Sequences(keys, m).key(start, start + window)) for m in H.SEQUENCE_MULTIPLIERS]
             parts.append((np.full(len(start), row), start, *pair))
         if not parts:
@@ -144,11 +149,11 @@ def _window_rows(opened: DataFrame, window: int) -> DataFrame:
     return map_rows(opened, run, "doc_id long, version int, start int, key1 long, key2 long")
 
 
-def boundary_phrases(docs: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFrame:
+def boundary_phrases(docs: DataFrame, index: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, version, start, windows, ref_doc, ref_start of windows at factor boundaries that the reference holds.
 
-    Blocks that differ but share their anchor may agree in some of their windows. The first copy of each of
-    them is opened; a window's first place is the minimum over all of them.
+    Blocks that differ but share their anchor may agree in some of their windows. Each of them is opened at all
+    its places in the rows of its first doc_id; a window's first place is the minimum over all of them.
     """
     shared = (
         index.groupBy("anchor")
@@ -158,11 +163,11 @@ def boundary_phrases(docs: DataFrame, index: DataFrame, window: int = WINDOW) ->
     )
     opened = (
         index.join(shared, "anchor", "left_semi")
-        .groupBy(F.col("ref_doc").alias("doc_id"), F.col("ref_version").alias("version"))
-        .agg(F.collect_list(F.struct(F.col("ref_start").alias("start"), "windows")).alias("asked"))
+        .groupBy(F.col("ref_doc").alias("doc_id"))
+        .agg(F.collect_list("key").alias("asked"))
     )
-    texts = versioned(docs).join(opened, ["doc_id", "version"]).select("doc_id", "text", "version", "asked")
-    windows = materialize(_window_rows(texts, window), "windows")
+    texts = versioned(docs).join(opened, "doc_id").select("doc_id", "text", "version", "asked")
+    windows = materialize(_window_rows(texts, window, anchor), "windows")
     firsts = windows.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
     firsts = firsts.filter(F.col("first.doc_id") < F.col("last")).drop("last")
     return (
@@ -182,9 +187,9 @@ def boundary_phrases(docs: DataFrame, index: DataFrame, window: int = WINDOW) ->
 def phrases(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """All stretches of windows that the reference of their document holds, with the place there.
 
-    A document that repeats a block gets its rows for each place. Copies of a block that is opened at its
-    first place are found whole in the index; the windows that only the opened copy shares with a smaller
-    document belong to every later copy too, and those copies are covered as a whole.
+    A document that repeats a block gets its rows for each place. Copies of an opened block in documents after
+    its first are found whole in the index; the windows that only the opened copies share with a smaller document
+    belong to every later copy too, and those copies are covered as a whole.
     """
     found = materialize(blocks(docs, window, anchor), "blocks")
     index = materialize(index_blocks(found), "block-index")
@@ -194,7 +199,7 @@ def phrases(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         .filter(F.col("doc_id") > F.col("ref_doc"))
         .select("doc_id", "version", "start", "windows", "ref_doc", "ref_start")
     )
-    return whole.unionByName(boundary_phrases(docs, index, window))
+    return whole.unionByName(boundary_phrases(docs, index, window, anchor))
 
 
 def greedy_factors(starts: np.ndarray, windows: np.ndarray, ref_docs: np.ndarray, ref_starts: np.ndarray, window: int = WINDOW):

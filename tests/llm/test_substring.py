@@ -47,6 +47,18 @@ def test_shared_passages_against_brute_force(docs_of):
     assert found(S.dedup_documents(docs_of(rows))) == brute(rows)
 
 
+def test_passages_repeated_in_their_second_document_against_brute_force(docs_of):
+    rng = random.Random(5)
+    run = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows = []
+    for d in range(0, 60, 2):
+        p, s, t = run(60), run(60), run(60)
+        rows += [(d, " ".join(p), "en", "s"), (d + 1, " ".join((s + p + t) * 2), "en", "s")]
+        if d % 6 == 0:  # two rows of one doc_id, which hold the same block
+            rows += [(d + 1, " ".join(s + p + t + ["end"]), "en", "s")]
+    assert found(S.dedup_documents(docs_of(rows))) == brute(rows)
+
+
 def test_odd_rows_and_clashing_ids(docs_of, odd_rows):
     rows = [*odd_rows, (6, " ".join(f"w{i % 97}" for i in range(3, 200)), "en", "z")]
     assert found(S.dedup_documents(docs_of(rows))) == brute(rows)
