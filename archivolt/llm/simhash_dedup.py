@@ -27,6 +27,7 @@ result.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -309,27 +310,57 @@ def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     return prints.join(named, "fingerprint").select("doc_id", hexed, "component_id")
 
 
-#: Bits of the wide fingerprints that estimate a similarity, and of the slices that deal them to shards.
-WIDE_BITS, SLICE_BITS, SLICES = 256, 16, 52
+#: Bits of the wide fingerprints that estimate a similarity; the least and most bits of the slices that deal them to
+#: shards; the fingerprints per shard that the width of the slices aims at.
+WIDE_BITS, SLICE_BITS, MOST_SLICE_BITS, SLICE_ROWS = 256, 16, 20, 64
+#: Probability, at every size, that two documents of the wanted similarity share a slice.
+SLICE_RECALL = 0.955
 #: Standard errors by which a wide fingerprint may exceed the distance that its similarity expects.
 MARGIN = 1.5
 
 
-def expected_distance(similarity: float, bits: int = WIDE_BITS) -> int:
-    """Differing bits that two sets of one size and this Jaccard similarity reach with few exceptions.
+def bit_differs(similarity: float) -> float:
+    """Probability that a bit differs between two sets of one size and this Jaccard similarity.
 
     Their cosine c is 2J / (1 + J), a bit differs with probability acos(c) / pi.
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def expected_distance(similarity: float, bits: int = WIDE_BITS) -> int:
+    """Differing bits that two sets of one size and this Jaccard similarity reach with few exceptions."""
+    share = bit_differs(similarity)
     return int(round(bits * share + MARGIN * np.sqrt(bits * share * (1 - share))))
 
 
-def _slices(width: int) -> np.ndarray:
-    """Fixed choices of bits, one row per slice: permutations of all bits, cut into slices."""
+def slice_width(distinct: int) -> int:
+    """Bits of a slice for so many fingerprints; shards that are larger all the same are cut into chunks."""
+    return int(np.clip(np.ceil(np.log2(max(distinct, 1) / SLICE_ROWS)), SLICE_BITS, MOST_SLICE_BITS))
+
+
+def slice_recall(width: int, slices: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Probability that two fingerprints of this similarity agree in one of so many random slices.
+
+    Slices reuse the bits, so it is taken for each number of differing bits and averaged over their distribution.
+    """
+    share, differing = bit_differs(similarity), np.arange(WIDE_BITS + 1)
+    chance = np.array([comb(WIDE_BITS, int(d)) * share**d * (1 - share) ** (WIDE_BITS - d) for d in differing])
+    agree = np.prod([(np.maximum(WIDE_BITS - differing - i, 0)) / (WIDE_BITS - i) for i in range(width)], axis=0)
+    return chance @ (1 - (1 - agree[:, None]) ** np.atleast_1d(slices))
+
+
+def _slices(width: int, similarity: float = 0.8) -> np.ndarray:
+    """Fixed choices of bits, one row per slice: permutations of all bits, cut into slices.
+
+    As many as hold the recall at this width.
+    """
+    least = 1
+    while slice_recall(width, least, similarity)[0] < SLICE_RECALL:
+        least += 1
     rng = np.random.default_rng(31)
     per_round = WIDE_BITS // width
-    rounds = [rng.permutation(WIDE_BITS)[: per_round * width].reshape(per_round, width) for _ in range(-(-SLICES // per_round))]
-    return np.concatenate(rounds)[:SLICES]
+    rounds = [rng.permutation(WIDE_BITS)[: per_round * width].reshape(per_round, width) for _ in range(-(-least // per_round))]
+    return np.concatenate(rounds)[:least]
 
 
 def wide_bits(text: bytes, shingle: int) -> np.ndarray:
@@ -342,10 +373,10 @@ def wide_bits(text: bytes, shingle: int) -> np.ndarray:
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:
     """node and component of documents of which several are alike: estimated Jaccard similarity of word shingles.
 
-    Wide fingerprints are dealt to shards by ``SLICES`` slices of their bits; two documents of similarity 0.8 share
-    one with a probability of 0.98, more similar ones almost surely, and a shard's BK-tree then links those within
-    the expected distance. The slices grow by a bit with each doubling of a corpus beyond 262,144 distinct
-    fingerprints, which keeps shards small. Documents without words are alike.
+    Wide fingerprints are dealt to shards by slices of their bits; two documents of the similarity share one with a
+    probability of ``SLICE_RECALL``, more similar ones almost surely, and a shard's BK-tree then links those within
+    the expected distance. Slices are wider in a large corpus, which keeps shards small, and then as many more as
+    the same probability takes. Documents without words are alike.
     """
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -356,13 +387,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shar
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = materialize(map_rows(rows, prints, "doc_id long, fingerprint binary"), "wide-prints")
     distinct = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "wide-distinct")
-    width = min(32, max(SLICE_BITS, int(np.ceil(np.log2(max(distinct.count(), 4) / 4)))))
-    chosen = _slices(width)
+    chosen = _slices(slice_width(distinct.count()), similarity)
+    slices, width = chosen.shape
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
-        keys = (bits[:, chosen].astype(np.int64) << np.arange(width)).sum(axis=2) | (np.arange(SLICES, dtype=np.int64) << 40)
-        place = pa.array(np.repeat(np.arange(batch.num_rows), SLICES))
+        keys = (bits[:, chosen].astype(np.int64) << np.arange(width)).sum(axis=2) | (np.arange(slices, dtype=np.int64) << 40)
+        place = pa.array(np.repeat(np.arange(batch.num_rows), slices))
         return pa.RecordBatch.from_arrays(
             [pa.array(keys.ravel()), batch.column(0).take(place), batch.column(1).take(place)], ["key", "fingerprint", "node"]
         )

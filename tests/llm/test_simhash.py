@@ -78,6 +78,14 @@ def test_expected_distance_falls_with_similarity():
     assert S.expected_distance(0.95) < S.expected_distance(0.8) < S.WIDE_BITS // 4
 
 
+def test_slices_find_as_many_pairs_at_every_width():
+    rng = np.random.default_rng(6)
+    flips = rng.random((4000, S.WIDE_BITS)) < 0.1515  # bits that differ at a similarity of 0.8
+    for width in (16, 18, 20, 22):
+        shared = (~flips[:, S._slices(width)].any(axis=2)).any(axis=1)
+        assert shared.mean() > 0.95
+
+
 def test_large_shards_are_cut_without_losing_links(spark):
     rng = np.random.default_rng(4)
     center = int(rng.integers(1, 1 << 62))
