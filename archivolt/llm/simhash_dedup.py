@@ -15,8 +15,9 @@ their smallest members, and of a node's links to smaller ones only that to the
 smallest stays, the others being tied to it. Components stay whole, and no group's
 pairs are spelled out. They come from rounds of label propagation.
 
-``near_groups`` finds near duplicates by a similarity of word shingles instead, with wider fingerprints of the same kind,
-the same trees and the same components; ``keep_one`` keeps one document of each of its groups.
+``near_groups`` finds near duplicates by a similarity of word shingles instead. Wider fingerprints of the same kind, the
+same trees and the same components give candidate groups; within each, all pairs of documents are compared by their
+shingles, and only pairs that are alike link. ``keep_one`` keeps one document of each of its groups.
 
 Defined cases: a null or blank text has fingerprint zero and links like any
 other; fewer words than a shingle are one shingle; rows with a null doc_id get
@@ -213,11 +214,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return _shard_links(rows, radius, shard)
 
 
-def _shard_links(rows: DataFrame, radius: int, shard: int) -> DataFrame:
+def _shard_links(rows: DataFrame, radius: int, shard: int, compare=None) -> DataFrame:
     """(src, dst) pairs that connect the groups within each shard (key) of rows (key, fingerprint, node).
 
-    Fingerprints are longs or binaries. Only shards that are too large are listed; where that list is short it is
-    broadcast by the planner's own size check, else joined.
+    Fingerprints are longs or binaries, linked within the radius, or whatever binaries ``compare`` takes (with nodes,
+    which of them are indexed, and whether those are alone). Only shards that are too large are listed; where that
+    list is short it is broadcast by the planner's own size check, else joined.
     """
     large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard), "large-shards")
     wide = dict(rows.dtypes)["fingerprint"] == "binary"
@@ -258,13 +260,11 @@ def _shard_links(rows: DataFrame, radius: int, shard: int) -> DataFrame:
             out: list[tuple[int, int]] = []
             for start, end in zip(bounds[:complete].tolist(), bounds[1 : complete + 1].tolist(), strict=True):
                 if end - start > 1:
-                    out += _search(
-                        integers(prints[start:end]),
-                        nodes[start:end].tolist(),
-                        indexed[start:end].tolist(),
-                        tree[start] == searcher[start],
-                        radius,
-                    )
+                    task = nodes[start:end].tolist(), indexed[start:end].tolist(), tree[start] == searcher[start]
+                    if compare:
+                        out += compare(prints[start:end], *task)
+                    else:
+                        out += _search(integers(prints[start:end]), *task, radius)
             rest = [] if last else pa.Table.from_batches(parts).slice(int(bounds[-2])).combine_chunks().to_batches()
             return out, rest
 
@@ -316,7 +316,7 @@ WIDE_BITS, SLICE_BITS, MOST_SLICE_BITS, SLICE_ROWS = 256, 16, 20, 64
 #: Probability, at every size, that two documents of the wanted similarity share a slice.
 SLICE_RECALL = 0.955
 #: Standard errors by which a wide fingerprint may exceed the distance that its similarity expects.
-MARGIN = 1.5
+MARGIN = 3
 
 
 def bit_differs(similarity: float) -> float:
@@ -363,29 +363,87 @@ def _slices(width: int, similarity: float = 0.8) -> np.ndarray:
     return np.concatenate(rounds)[:least]
 
 
-def wide_bits(text: bytes, shingle: int) -> np.ndarray:
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
     """SimHash bits of four derived hashes of each distinct shingle."""
-    hashes = np.unique(shingle_hashes(text, shingle))
     parts = [_set_bits(mix(hashes + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))) for k in range(WIDE_BITS // 64)]
     return np.concatenate(parts) * 2 > len(hashes)
 
 
+def _alike(sets: list[bytes], nodes: list[int], indexed: list[bool], alone: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links of all pairs of shingle sets of at least this Jaccard similarity, as those that join groups: pairs within
+    the indexed rows if alone, else between these and the others."""
+    held = [np.frombuffer(x, dtype=np.uint64) for x in sets]
+    size = np.array([len(x) for x in held])
+    ends = np.cumsum(size)
+    vocabulary, place = np.unique(np.concatenate(held), return_inverse=True)
+    inside, names = np.array(indexed), np.array(nodes)
+    marked = np.zeros(len(vocabulary), dtype=bool)
+    total = np.zeros(len(place) + 1, dtype=np.int64)
+    near = np.zeros((len(held), len(held)), dtype=bool)
+    for i in range(len(held)):
+        own = place[ends[i] - size[i] : ends[i]]
+        marked[own] = True
+        np.cumsum(marked[place], out=total[1:])
+        marked[own] = False
+        common = total[ends] - total[ends - size]
+        # The margin is far below the steps of common and keeps a similarity met exactly.
+        near[i] = common + 1e-9 >= similarity * (size + size[i] - common)
+    label, out = names.copy(), []
+    for cross in (False, True):
+        for i in np.flatnonzero(inside) if cross else range(len(held)):
+            met = np.unique(np.append(label[near[i] & ((inside != inside[i]) == cross)], label[i]))
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+                if cross:
+                    out += [(x, int(met[0])) for x in met[1:].tolist()]
+    return [(x, y) for x, y in zip(nodes, label.tolist(), strict=True) if x != y] if alone else out
+
+
+def verified_links(docs: DataFrame, found: DataFrame, groups: DataFrame, shingle: int, similarity: float, shard: int) -> DataFrame:
+    """(src, dst) pairs that connect what is alike by its shingles within each candidate group.
+
+    ``found`` has doc_id, fingerprint and digest (of the shingles) of every document, ``groups`` the group of every
+    fingerprint that has one. One document stands for all of one digest: their sets of shingles are equal. No pair is
+    judged by a third document.
+    """
+    members = materialize(
+        found.join(groups, "fingerprint").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("key").alias("key")), "candidates"
+    )
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    asked = members.join(several, "key", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(asked, "node")
+
+    def spell(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        own = np.array([xxhash.xxh3_128_digest(h) == d for h, d in zip(hashes, batch.column(2).to_pylist(), strict=True)], dtype=bool)
+        columns = [batch.column(3), pa.array(hashes, pa.binary()), batch.column(0)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "fingerprint", "node"]).filter(pa.array(own))
+
+    sets = materialize(map_rows(texts.select("node", "text", "digest", "key"), spell, "key long, fingerprint binary, node long"), "shingle-sets")
+    return _shard_links(sets, 0, shard, lambda *task: _alike(*task, similarity))
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:
-    """node and component of documents of which several are alike: estimated Jaccard similarity of word shingles.
+    """doc_id and component of documents: groups linked by pairs of at least this Jaccard similarity of word shingles.
 
-    Wide fingerprints are dealt to shards by slices of their bits; two documents of the similarity share one with a
-    probability of ``SLICE_RECALL``, more similar ones almost surely, and a shard's BK-tree then links those within
-    the expected distance. Slices are wider in a large corpus, which keeps shards small, and then as many more as
-    the same probability takes. Documents without words are alike.
+    Candidates: wide fingerprints are dealt to shards by slices of their bits; two documents of the similarity share
+    one with a probability of ``SLICE_RECALL``, more similar ones almost surely, and a shard's BK-tree then ties those
+    within the expected distance and its margin. Slices are wider in a large corpus, which keeps shards small, and
+    then as many more as the same probability takes. Links: all pairs within a group of candidates are compared by
+    their shingles (``verified_links``). Documents without words are alike.
     """
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
-        packed = [np.packbits(wide_bits(t or b"", shingle)).tobytes() for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "fingerprint"])
+        packed, digests = [], []
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
+            hashes = np.unique(shingle_hashes(text or b"", shingle))
+            packed.append(np.packbits(wide_bits(hashes)).tobytes())
+            digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+        columns = [batch.column(0), pa.array(packed, pa.binary()), pa.array(digests, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "digest"])
 
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = materialize(map_rows(rows, prints, "doc_id long, fingerprint binary"), "wide-prints")
+    found = materialize(map_rows(rows, prints, "doc_id long, fingerprint binary, digest binary"), "wide-prints")
     distinct = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "wide-distinct")
     chosen = _slices(slice_width(distinct.count()), similarity)
     slices, width = chosen.shape
@@ -399,9 +457,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shar
         )
 
     dealt = map_rows(distinct, deal, "key long, fingerprint binary, node long", rows=1024)
-    groups = connected_components(_shard_links(dealt, expected_distance(similarity), shard))
-    named = distinct.join(groups, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
-    return found.join(named, "fingerprint").select("doc_id", "component")
+    candidates = connected_components(_shard_links(dealt, expected_distance(similarity), shard))
+    groups = distinct.join(candidates, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("key"))
+    alike = connected_components(verified_links(docs, found, groups, shingle, similarity, shard))
+    least = found.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    named = least.join(alike, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return found.join(named, "digest").select("doc_id", "component")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

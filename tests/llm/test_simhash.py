@@ -78,6 +78,40 @@ def test_expected_distance_falls_with_similarity():
     assert S.expected_distance(0.95) < S.expected_distance(0.8) < S.WIDE_BITS // 4
 
 
+def test_near_groups_against_brute_force_around_the_similarity(docs_of):
+    rng = random.Random(9)
+    rows = []
+    for d in range(60):  # chains of texts, each with a changed stretch: neighbours lie between 0.65 and 0.95
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for k in range(3):
+            rows.append((d * 10 + k, " ".join(words), "en", "s"))
+            n, at = rng.choice((5, 10, 30, 40)), rng.randrange(150)
+            words[at : at + n] = [f"w{rng.randrange(5000)}" for _ in range(n)]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t, *_ in rows for w in [t.split()]}
+    alike = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    find = components(alike)
+    groups = {r.doc_id: r.component for r in S.near_groups(docs_of(rows)).collect()}
+    assert all(find(d) == find(c) for d, c in groups.items())  # no clean document is lost
+    assert sum(groups[d] == find(d) for d in groups) >= 0.97 * len(groups)
+
+
+def test_all_pairs_are_compared_across_chunks():
+    rng = np.random.default_rng(3)
+    sets, base = [], np.arange(100, dtype=np.uint64)
+    for k in range(12):  # each alike to its neighbours alone
+        sets.append((base + np.uint64(10 * k)).tobytes())
+    alone = components(S._alike(sets, list(range(12)), [True] * 12, True, 0.8))
+    assert {alone(i) for i in range(12)} == {0}
+    assert S._alike(sets[::2], list(range(6)), [True] * 6, True, 0.8) == []
+    inside = [bool(x) for x in rng.integers(0, 2, 12)]
+    links = S._alike(sets, list(range(12)), inside, False, 0.8)
+    for side in (True, False):
+        part = [i for i in range(12) if inside[i] is side]
+        links += S._alike([sets[i] for i in part], part, [True] * len(part), True, 0.8)
+    assert {components(links)(i) for i in range(12)} == {0}
+    assert S._alike([b"", sets[0]], [0, 1], [True, True], True, 0.8) == []
+
+
 def test_slices_find_as_many_pairs_at_every_width():
     rng = np.random.default_rng(6)
     flips = rng.random((4000, S.WIDE_BITS)) < 0.1515  # bits that differ at a similarity of 0.8
