@@ -1,14 +1,19 @@
 """Operator 4: near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
-Equal vectors of a label are one node with a weight. Centroids are fitted on a bounded sample; every node is
-indexed in its nearest cell and looks for others in its ``PROBES`` nearest cells, so a pair is found if one of the
-two has the other's cell among its own. Within a cell, queries and indexed nodes are dealt to blocks of about
-``BLOCK`` rows; each pair of blocks is one matrix product. A pair that both sides would find is counted once for
-each. Groups leave a task as trees of bounded fan-out and sums of links, never as all pairs.
+Equal vectors of a label are one node with a weight and a number of its own. Centroids are fitted on a bounded sample;
+every node is indexed in its nearest cell and looks for others in all cells whose border is near enough. For x in cell
+c and y in cell d, the distances of both to the plane between c and d add up to at most |x - y|, so one of them is at
+most half of that: a node that asks in every cell whose plane is within sqrt((1 - threshold) / 2) finds, or is found
+by, all others that link with it. The index is exact whatever the number of cells.
+
+Within a cell, queries and indexed nodes are dealt to blocks of about ``BLOCK`` rows; each pair of blocks is one matrix
+product. A pair that both sides would find is counted once for each. Groups leave a task as trees of bounded fan-out
+and sums of links, never as all pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label
 or id, link with nothing: n_links 0, their own component, kept. Vectors of different lengths never link. Rows that
-repeat an id are vectors of their own and count as links if they are alike. Extra columns are ignored.
+repeat an id, with one vector or several, with one label or several, are vectors of their own and count as links if
+they are alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ from archivolt.llm._io import map_rows, materialize
 from archivolt.operators.graph import connected_components
 
 THRESHOLD = 0.93
-PROBES = 3
 BLOCK = 192
 #: Vectors per cell and label that the number of cells aims at, and the most cells.
 CELL_ROWS = 512
@@ -81,11 +85,23 @@ def fit_cells(nodes: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def _assign(nodes: DataFrame, cells: dict[int, np.ndarray]) -> DataFrame:
-    """Adds probes: the cells of a node, nearest first."""
+def _assign(nodes: DataFrame, cells: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """Adds probes: the cell of a node, then all others whose border is near enough."""
     shared = nodes.sparkSession.sparkContext.broadcast(cells)
     names = nodes.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields), "probes array<int>"])
+    reach = float(np.sqrt(max(0.0, 1 - threshold) / 2))
+
+    def near(x: np.ndarray, centers: np.ndarray) -> list[np.ndarray]:
+        closeness = x @ centers.T
+        home = np.argmax(closeness, axis=1)
+        used, place = np.unique(home, return_inverse=True)
+        # Unit centroids c and d are sqrt(2 - 2 c.d) apart; the margin is far above the error of the products.
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centers[used] @ centers.T)))[place]
+        own = np.arange(len(x))
+        inside = closeness[own, home][:, None] - closeness <= reach * apart + 1e-9
+        inside[own, home] = False
+        return [np.append(h, np.flatnonzero(row)).astype(np.int32) for h, row in zip(home, inside, strict=True)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         dims = np.asarray(batch.column(names.index("dim")))
@@ -94,10 +110,9 @@ def _assign(nodes: DataFrame, cells: dict[int, np.ndarray]) -> DataFrame:
             own = np.flatnonzero(dims == dim)
             centers = shared.value.get(int(dim))
             if centers is None:
-                nearest = np.zeros((len(own), 1), dtype=np.int32)
+                nearest = [np.zeros(1, dtype=np.int32)] * len(own)
             else:
-                x = _unit(batch.column(names.index("embedding")).take(pa.array(own)), int(dim))
-                nearest = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :PROBES].astype(np.int32)
+                nearest = near(_unit(batch.column(names.index("embedding")).take(pa.array(own)), int(dim)), centers)
             for i, row in zip(own, nearest, strict=True):
                 probes[i] = row
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(probes, pa.list_(pa.int32()))], [*names, "probes"])
@@ -164,7 +179,17 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
                 F.transform("probes", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("asks"))),
             )
         ),
-    ).select("label", "dim", F.col("role.cell").alias("cell"), F.col("role.asks").alias("asks"), "node", "weight", "probes", "embedding")
+    ).select(
+        "label",
+        "dim",
+        F.col("role.cell").alias("cell"),
+        F.col("role.asks").alias("asks"),
+        "node",
+        "weight",
+        # Of those who ask only the cell they live in is needed.
+        F.when(F.col("role.asks"), F.slice("probes", 1, 1)).otherwise(F.col("probes")).alias("probes"),
+        "embedding",
+    )
     sizes = placed.select("label", "dim", F.explode("probes").alias("cell"), F.col("probes")[0].alias("home"))
     sizes = materialize(
         sizes.groupBy("label", "dim", "cell").agg(
@@ -187,27 +212,34 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
 def groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = usable(vectors)
+    # The numbers are drawn once, for the table is written; ids may repeat on different vectors.
     nodes = materialize(
-        rows.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")), "vectors"
+        rows.groupBy("label", "dim", "embedding")
+        .agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "vectors",
     )
-    placed = materialize(_assign(nodes, fit_cells(nodes)), "cells")
+    placed = materialize(_assign(nodes.drop("least"), fit_cells(nodes), threshold), "cells")
     compared = _blocks(placed, block).groupBy("label", "dim", "cell", "q", "i")
     found = materialize(compared.applyInArrow(lambda t: _compare(t, threshold), "a long, b long, n long"), "links")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.filter("n IS NULL"), "a", "b")
-    named = (
-        nodes.select("label", "dim", "embedding", "node", "weight")
-        .join(counts, "node", "left")
+    members = materialize(
+        nodes.join(counts, "node", "left")
         .join(components, "node", "left")
         .select(
             "label",
             "dim",
             "embedding",
+            "least",
             (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
-        )
+            F.coalesce("component", "node").alias("component"),
+        ),
+        "members",
     )
-    linked = rows.join(materialize(named, "named"), ["label", "dim", "embedding"]).select("vec_id", "n_links", "component_id")
+    lowest = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = members.join(lowest, "component").select("label", "dim", "embedding", "n_links", "component_id")
+    linked = rows.join(named, ["label", "dim", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = vectors.filter(~can_link()).select(
         F.col("vec_id").cast("long"),
         F.lit(0).cast("long").alias("n_links"),

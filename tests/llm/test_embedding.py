@@ -45,6 +45,8 @@ def test_links_and_components_against_brute_force(spark, block):
             i += 1
     rows += [(1000 + k, rows[0][1], 0) for k in range(5)] + [(2000, [2 * x for x in rows[0][1]], 0)]
     rows += [(3000, rows[0][1][:4], 0), (3001, rows[0][1][:4], 0)]
+    # One id on like vectors of one label, and of two.
+    rows += [(3002, rows[0][1], 0), (3002, [x + 0.01 for x in rows[0][1]], 0), (3002, rows[0][1], 1), (3003, [x + 0.02 for x in rows[0][1]], 1)]
     odd = [(4000, None, 0), (4001, [], 0), (4002, [0.0] * 8, 0), (4003, [None] + rows[0][1][1:], 0), (4004, [float("nan")] * 8, 0), (4005, [float("inf")] * 8, 0), (4006, rows[0][1], None), (None, rows[0][1], 0)]
     table = spark.createDataFrame([(*r, "k", 1) for r in rows + odd], SCHEMA).repartition(3)
     found = E.groups(table, block=block).collect()
@@ -55,17 +57,21 @@ def test_links_and_components_against_brute_force(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found if r.vec_id is not None)
 
 
-def test_recall_on_many_cells(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [0.2, 0.34])
+def test_every_link_is_found_on_many_cells(spark, monkeypatch, spread):
+    """Clusters of which many pairs are near 0.93, over more cells than any vector asks in."""
     monkeypatch.setattr(E, "CELL_ROWS", 16)
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(150, 32))
-    rows = [(i, [float(x) for x in centers[i % 150] + 0.2 * rng.normal(size=32)], 0) for i in range(900)]
+    rows = [(i, [float(x) for x in centers[i % 150] + spread * rng.normal(size=32)], 0) for i in range(1200)]
     table = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
-    found = sum(r.n_links for r in E.groups(table).collect())
-    x = np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    true = int((x @ x.T >= 0.93).sum()) - 900
-    assert true > 1000 and 0.9 * true <= found <= true
+    found = E.groups(table).collect()
+    wanted, _ = brute(rows)
+    assert sum(r.n_links for r in found) > 100
+    assert sorted(repr((r.vec_id, r.n_links, r.component_id)) for r in found) == wanted
+    nodes = table.select("label", "embedding", "vec_id").selectExpr("label", "32 AS dim", "embedding", "vec_id AS node")
+    probes = E._assign(nodes, E.fit_cells(nodes), 0.93).selectExpr("avg(size(probes)) AS mean").first()[0]
+    assert probes < 40  # of 75 cells
 
 
 def test_empty_table(spark):
