@@ -1,21 +1,25 @@
 """Operator 9: removal of repeated multi-line chunks, with DataFrame functions only.
 
-A text is cut into chunks of lines where a hash rolled over the last two line hashes says so, so a boundary
-depends on two lines alone and stays with them when lines before it are added or removed. A chunk of at least two
-lines that stands in several places of the corpus is kept at its first place (smallest doc_id, then line) and
-removed at all others, after its bytes have been compared.
+Lines that are not blank are cut into chunks where a hash rolled over the last two line hashes says so: a boundary
+depends on two lines alone and stays with them when lines before it are added or removed. Chunks of three lines and
+more settle long copies in few rows. Copies are seldom cut like chunks, and many are shorter: so each two neighbouring
+lines are a chunk of their own as well, which extends the long ones to the edges of the copy and finds the short ones.
+A chunk that stands in several places of the corpus is kept at its first place (smallest doc_id, then line) and removed
+at all others, after its bytes have been compared. Every passage of two or more lines that stands elsewhere before goes
+as a whole; a line that is repeated right after itself stays once.
 
 1. Chunk keys, without text, are grouped: a combinable count and minimum by key.
-2. Only documents that hold a repeated key are asked for the text of those chunks.
+2. Only documents that hold a repeated key are asked for the text of those chunks; pairs inside a long chunk that goes
+   are not spelled.
 3. The text itself is the grouping key of the comparison; places after the first of their text are removed.
 
 Joins on a key have plain shuffled sides, which adaptive execution splits if a chunk stands in a third of all
 documents.
 
-Defined cases: a null text stays null and has no lines; an empty text is one empty line; single lines are never
-removed; rows that repeat a doc_id with the same text are treated alike, and with other texts by their own text;
-rows with a null doc_id lose nothing and count for nothing; a document that loses all its lines becomes an empty
-text; extra columns pass through ``dedup_lines``.
+Defined cases: a null text stays null and has no lines; an empty text is one blank line; blank lines (space and
+0x09 to 0x0D) go only between two lines that go together; single lines are never removed; rows that repeat a doc_id
+with the same text are treated alike, and with other texts by their own text; rows with a null doc_id lose nothing and
+count for nothing; a document that loses all its lines becomes an empty text; extra columns pass through ``dedup_lines``.
 """
 
 from __future__ import annotations
@@ -24,12 +28,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from archivolt.llm._io import materialize
 
 #: One boundary in so many lines.
 DIVISOR = 4
-LEAST_LINES = 2
+#: Lines of the shortest chunks that the rolled hash cuts; pairs of lines are chunks anyway.
+LEAST_LINES = 3
+NOT_BLANK = r"[^\x09-\x0D\x20]"
 PLACE = ("doc_id", "version", "start")
 
 
@@ -76,15 +83,26 @@ def _bound(value: Column, function: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), function), 1)
 
 
-def _chunk_keys(lines: Column, divisor: int, least_lines: int) -> Column:
-    """Array of (key, start, n_lines) of the chunks that are long enough; the text itself stays inside."""
+def _chunk_keys(lines: Column, divisor: int) -> Column:
+    """Array of (key, start, n_lines) of the pairs of lines and the longer chunks; the text itself stays inside."""
+
+    def stretch(places: Column, first: Column, n: Column) -> Column:
+        start = F.element_at(places, first + 1)
+        return F.struct(start.alias("start"), (F.element_at(places, first + n) - start + 1).alias("n_lines"))
 
     def keyed(held: Column) -> Column:
-        long = F.filter(chunk_bounds(held, divisor), lambda c: c["n_lines"] >= least_lines)
-        return F.transform(
-            long,
-            lambda c: F.struct(F.xxhash64(_chunk_text(held, c)).alias("key"), c["start"].alias("start"), c["n_lines"].alias("n_lines")),
-        )
+        def of(places: Column) -> Column:
+            written = F.transform(places, lambda i: F.element_at(held, i + 1))
+            long = F.filter(chunk_bounds(written, divisor), lambda c: c["n_lines"] >= LEAST_LINES)
+            pairs = F.transform(F.slice(places, 1, F.size(places) - 1), lambda _, k: stretch(places, k, F.lit(2)))
+            chunks = F.concat(pairs, F.transform(long, lambda c: stretch(places, c["start"], c["n_lines"])))
+            return F.transform(
+                chunks,
+                lambda c: F.struct(F.xxhash64(_chunk_text(held, c)).alias("key"), c["start"].alias("start"), c["n_lines"].alias("n_lines")),
+            )
+
+        places = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: F.element_at(held, i + 1).rlike(NOT_BLANK))
+        return _bound(places, lambda x: F.when(F.size(x) > 1, of(x)))
 
     return _bound(lines, keyed)
 
@@ -101,24 +119,46 @@ def _without(lines: Column, gone: Column) -> Column:
     return _bound(lines, lambda held: F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: piece(held, F.greatest(i, F.lit(0))))))
 
 
-def removals(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
-    """doc_id, version, start, n_lines of every chunk to remove."""
+def _merged(stretches: DataFrame) -> DataFrame:
+    """Disjoint stretches that cover the same lines of each document, without another shuffle."""
+    own = Window.partitionBy("doc_id", "version").orderBy("start", "end")
+    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        stretches.withColumn("end", F.col("start") + F.col("n_lines"))
+        .withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
+        .withColumn("stretch", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "version", "stretch")
+        .agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_lines"))
+        .drop("stretch")
+    )
+
+
+def removals(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """doc_id, version, start, n_lines of the disjoint stretches of lines to remove."""
     lines = _versioned(docs).filter("doc_id IS NOT NULL AND lines IS NOT NULL")
-    chunks = lines.select(
-        "doc_id", "version", F.explode(_chunk_keys(F.col("lines"), divisor, least_lines)).alias("chunk")
-    ).select("chunk.key", "doc_id", "version", "chunk.start", "chunk.n_lines")
+    chunks = lines.select("doc_id", "version", F.explode(_chunk_keys(F.col("lines"), divisor)).alias("chunk")).select(
+        "chunk.key", "doc_id", "version", "chunk.start", "chunk.n_lines"
+    )
     chunks = materialize(chunks, "chunks")
     repeated = materialize(
         chunks.groupBy("key")
         .agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last"))
         .filter("first < last")
-        .select("key"),
+        .select("key", "first"),
         "repeated",
     )
+    # Long chunks after their first place cover the pairs inside them, which then stand before as well.
+    reach = F.max(F.when((F.struct(*PLACE) > F.col("first")) & (F.col("n_lines") >= LEAST_LINES), F.struct("end", "n_lines"))).over(
+        Window.partitionBy("doc_id", "version").orderBy("start", F.desc("n_lines"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    covered = (F.col("reach.end") >= F.col("end")) & (F.col("n_lines") < F.col("reach.n_lines"))
     asked = (
         chunks.join(repeated, "key")
+        .withColumn("end", F.col("start") + F.col("n_lines"))
+        .withColumn("reach", reach)
+        .filter(~F.coalesce(covered, F.lit(False)))
         .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("key", "start", "n_lines")).alias("asked"))
+        .agg(F.collect_set(F.struct("key", "start", "n_lines")).alias("asked"))
     )
     spelled = _bound(
         F.col("lines"),
@@ -132,11 +172,8 @@ def removals(docs: DataFrame, divisor: int = DIVISOR, least_lines: int = LEAST_L
     firsts = materialize(
         texts.groupBy("key", "chunk").agg(F.min(F.struct(*PLACE)).alias("first")), "first-chunks"
     )
-    return (
-        texts.join(firsts, ["key", "chunk"])
-        .filter(F.struct(*PLACE) > F.col("first"))
-        .select("doc_id", "version", "start", "n_lines")
-        .distinct()
+    return _merged(
+        texts.join(firsts, ["key", "chunk"]).filter(F.struct(*PLACE) > F.col("first")).select("doc_id", "version", "start", "n_lines")
     )
 
 

@@ -98,18 +98,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
-@query("""
+@query(r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, i - 1 AS i, lines[i] AS line, ('0x' || left(md5(lines[i]), 7))::BIGINT AS h
-      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-e AS (SELECT *, ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 + h) >> 4) % 4 = 0 AS ends FROM l),
-s AS (SELECT *, coalesce(lag(ends) OVER (PARTITION BY doc_id ORDER BY i), true) AS starts FROM e),
-n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS c FROM s),
-k AS (SELECT doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n GROUP BY 1, 2),
-f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, start) AS place FROM k WHERE n >= 2),
-g AS (SELECT n.doc_id, i, line, f.place > 1 AS gone FROM n LEFT JOIN f USING (doc_id, c)),
+l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+n AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l WHERE regexp_matches(line, '[^\x09-\x0D\x20]')),
+p AS (SELECT doc_id, i, j, array_to_string(lines[i : j], chr(10)) AS pair FROM n JOIN d USING (doc_id) WHERE j IS NOT NULL),
+f AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY pair ORDER BY doc_id, i) AS place FROM p),
+g AS (SELECT DISTINCT doc_id, i, true AS gone FROM (SELECT doc_id, unnest(range(i, j + 1)) AS i FROM f WHERE place > 1)),
 t AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
-             string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)) AS kept FROM g GROUP BY 1)
+             string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)) AS kept
+      FROM l LEFT JOIN g USING (doc_id, i) GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
        CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)

@@ -178,29 +178,24 @@ def test_detect_and_redact(docs_of, odd_rows):
 
 
 def brute_lines(rows):
-    def chunks(text):
+    """Lines in a pair of neighbouring lines with letters that stands before."""
+
+    def pairs(text):
         lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        start = 0
-        for i in range(len(lines)):
-            if ((h[i - 1] if i else 0) * 31 + h[i] >> 4) % 4 == 0 or i == len(lines) - 1:
-                yield start, lines[start : i + 1]
-                start = i + 1
+        written = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        return [(i, j, tuple(lines[i : j + 1])) for i, j in zip(written, written[1:], strict=False)]
 
     first = {}
     for d, t, *_ in rows:
         if d is not None and t is not None:
-            for s, c in chunks(t):
-                first[tuple(c)] = min(first.get(tuple(c), (d, s)), (d, s))
+            for i, _, c in pairs(t):
+                first[c] = min(first.get(c, (d, i)), (d, i))
     out = []
     for d, t, *_ in rows:
-        kept, n = [], 0
-        for s, c in chunks(t) if t is not None else ():
-            if d is not None and len(c) > 1 and first[tuple(c)] < (d, s):
-                n += len(c)
-            else:
-                kept += c
-        out.append((repr(d), 0 if t is None else len(t.split("\n")), n, None if t is None else "\n".join(kept)))
+        lines = [] if t is None else t.split("\n")
+        gone = {k for i, j, c in (pairs(t) if t is not None and d is not None else ()) if first[c] < (d, i) for k in range(i, j + 1)}
+        kept = None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out.append((repr(d), len(lines), len(gone), kept))
     return sorted(out, key=repr)
 
 
@@ -209,8 +204,13 @@ def test_line_chunks_against_brute_force(docs_of, odd_rows):
     shared = [[f"shared {b} {i}" for i in range(rng.randrange(3, 15))] for b in range(5)]
     rows = list(odd_rows)
     for d in range(100, 160):
-        lines = [f"own {d} {i}" for i in range(rng.randrange(0, 6))] + rng.choice(shared) + [f"end {rng.randrange(4)}"] * rng.randrange(0, 3)
+        part = rng.choice(shared)
+        at = rng.randrange(len(part))
+        lines = [f"own {d} {i}" for i in range(rng.randrange(0, 6))] + part[at:] + [f"end {rng.randrange(4)}"] * rng.randrange(0, 3)
+        lines += ["", " "] * rng.randrange(0, 3) + [f"more {d}"] + part[: rng.randrange(4)]
         rows.append((d, "\n".join(lines), "en", "s"))
+    for d in range(160, 175):  # a passage of two lines only, on other lines of every document; blank lines between them
+        rows.append((d, f"a {d}\n\ntwo lines\n\t\nin all\n\nb {d}\n\n\nb {d}", "en", "s"))
     docs = docs_of(rows)
     found = line_dedup.dedup_lines(docs)
     assert set(docs.columns) <= set(found.columns)
