@@ -1,36 +1,35 @@
 """Operator 6: benchmark decontamination by winnowing.
 
 Words hash to 64 bits; k-grams of words hash over them. Of every ``WINDOW - GRAM + 1`` consecutive k-grams the
-smallest hash is kept (with its leftmost place), so any stretch of ``WINDOW`` words keeps at least one, and the
+smallest hash is kept (with its leftmost place), so any stretch of ``WINDOW`` words keeps exactly one fingerprint, the
 same one wherever it stands: each shared stretch of at least ``WINDOW`` words shares a kept fingerprint. The
-fingerprints of texts and items are joined, and every hit is extended word by word to the full shared stretch;
-stretches of at least ``WINDOW`` words are occurrences of windows. Items shorter than a window are looked up as
-one k-gram of their own length.
+fingerprints of texts and items are joined; every hit is extended over the windows that keep it, which are compared
+by 128 bits of their words, and neighbouring windows make up the full shared stretch. Items shorter than a window are
+one k-gram and one window of their own length.
 
-The benchmark side goes to the tasks in blocks of at most ``BLOCK_WORDS`` words (a few MB each), one pass over
-the texts per block, so its broadcast is bounded whatever its size; texts never move.
+Both sides of a join are rows that shuffle, or that the planner broadcasts by its own check of their size; neither
+texts nor items are gathered anywhere. Before they are shuffled, fingerprints of texts pass a filter of 2^26 bits
+(8 MB whatever the benchmark) that holds those of the items; what it lets through wrongly ends in the join.
 
 Defined cases: a null or wordless text has no hits; a null or wordless item has no windows; rows with equal
 item_id count as one item, and a null item_id is reported nowhere but its words are hit; repeated rows are
-marked alike; extra columns of either table are ignored.
+marked alike, and rows that share a doc_id each by its own text; extra columns of either table are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.llm import _hashing as H
-from archivolt.llm._io import map_rows, materialize, text_groups
+from archivolt.llm._io import join_by_text, map_rows, materialize, merged_stretches, text_groups, version
 
 WINDOW = 10
 GRAM = 5
-#: Words of one broadcast block of the benchmark: at about 40 bytes a word, 40 MB.
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter that holds the benchmark's fingerprints.
+FILTER_BITS = 26
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[_SEPARATORS] = False
@@ -49,214 +48,181 @@ def word_hashes(texts: list[bytes]):
             yield start + i, keys[own], starts[own] - offsets[i], ends[own] - offsets[i]
 
 
-def winnow(grams: np.ndarray, width: int) -> np.ndarray:
-    """Places of the k-grams that are smallest in some window of ``width`` k-grams."""
-    if len(grams) < width:
-        return np.empty(0, dtype=np.int64)
-    return np.unique(H.window_minimum(grams, width))
-
-
 def _grams(keys: np.ndarray, width: int) -> np.ndarray:
     return H.mix(H.Sequences(keys, H.SEQUENCE_MULTIPLIERS[0]).every(width))
 
 
-@dataclass(frozen=True)
-class Block:
-    """Part of the benchmark: all words in one array with item limits, sorted fingerprints with their places."""
-
-    words: np.ndarray
-    first: np.ndarray  # of each word's item
-    last: np.ndarray
-    item: np.ndarray  # of each word
-    prints: np.ndarray
-    places: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> sorted hashes, items
-
-
-def build_block(items: list[tuple[int, np.ndarray]], window: int = WINDOW, gram: int = GRAM) -> Block:
-    """items: (number of the item, its word hashes)."""
-    words, first, last, owner, prints, places = [], [], [], [], [], []
-    short: dict[int, list[tuple[int, int]]] = {}
-    at = 0
-    for number, keys in items:
-        n = len(keys)
-        if 0 < n < window:
-            short.setdefault(n, []).append((int(_grams(keys, n)[0]), number))
-            continue
-        if n == 0:
-            continue
-        grams = _grams(keys, gram)
-        kept = winnow(grams, window - gram + 1)
-        words.append(keys)
-        first.append(np.full(n, at))
-        last.append(np.full(n, at + n))
-        owner.append(np.full(n, number))
-        prints.append(grams[kept])
-        places.append(kept + at)
-        at += n
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-    hashes, where = join(prints, np.uint64), join(places, np.int64)
-    order = np.argsort(hashes, kind="stable")
-    lengths = {}
-    for n, pairs in short.items():
-        pairs.sort()
-        lengths[n] = (np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64))
-    return Block(
-        join(words, np.uint64), join(first, np.int64), join(last, np.int64), join(owner, np.int64),
-        hashes[order], where[order], lengths,
-    )
-
-
-def _ranges(sorted_values: np.ndarray, wanted: np.ndarray):
-    """(index into wanted, index into sorted_values) of all equal pairs."""
-    low = np.searchsorted(sorted_values, wanted, "left")
-    count = np.searchsorted(sorted_values, wanted, "right") - low
-    some = np.flatnonzero(count)
-    count = count[some]
-    left = np.repeat(some, count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return left, np.repeat(low[some], count) + offset
-
-
-def find_hits(keys: np.ndarray, block: Block, window: int = WINDOW, gram: int = GRAM):
-    """Hit stretches [start, end) of a text and the number of the item each belongs to."""
-    out: list[tuple[int, int, int]] = []
-    if len(keys) >= window and len(block.prints):
-        grams = _grams(keys, gram)
-        kept = winnow(grams, window - gram + 1)
-        texts, marks = _ranges(block.prints, grams[kept])
-        done: dict[tuple[int, int], int] = {}
-        for here, there in sorted(zip(kept[texts].tolist(), block.places[marks].tolist(), strict=True)):
-            first, last = int(block.first[there]), int(block.last[there])
-            diagonal = (here - there, first)
-            if here < done.get(diagonal, -1):
+def winnow(keys: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Kept fingerprints in order, and how many consecutive windows keep each."""
+    grams = _grams(keys, gram)
+    place = H.window_minimum(grams, window - gram + 1)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return grams[place[first]], np.diff(np.append(first, len(place)))
+
+
+def _window_keys(keys: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
+    """128 bits of each window, as two arrays."""
+    return [H.mix(H.Sequences(keys, m).key(starts, starts + length)) for m in H.SEQUENCE_MULTIPLIERS]
+
+
+def _signed(columns: list[list[np.ndarray]]) -> list[pa.Array]:
+    return [pa.array(np.concatenate(c).view(np.int64)) for c in columns]
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """item_id, n, gram, key1, key2 of every window of every item: its words, its kept fingerprint, its content."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows, lengths, columns = [], [], [[], [], []]
+        for row, keys, _, _ in word_hashes(batch.column(1).cast(pa.binary()).to_pylist()):
+            n = min(len(keys), window)
+            if not n:
                 continue
-            back = min(here, there - first)
-            same = keys[here - back : here][::-1] == block.words[there - back : there][::-1]
-            left = back if same.all() else int(np.argmin(same))
-            ahead = min(len(keys) - here, last - there)
-            same = keys[here : here + ahead] == block.words[there : there + ahead]
-            right = ahead if same.all() else int(np.argmin(same))
-            done[diagonal] = here + max(right, 1)
-            if left + right >= window:
-                out.append((here - left, here + right, int(block.item[there])))
-    for n, (hashes, numbers) in block.short.items():
-        if len(keys) >= n:
-            places, marks = _ranges(hashes, _grams(keys, n))
-            out += [(p, p + n, q) for p, q in zip(places.tolist(), numbers[marks].tolist(), strict=True)]
+            prints = np.repeat(*winnow(keys, window, gram)) if n == window else _grams(keys, n)
+            rows.append(np.full(len(prints), row))
+            lengths.append(np.full(len(prints), n, dtype=np.int32))
+            for held, new in zip(columns, (prints, *_window_keys(keys, np.arange(len(prints)), n)), strict=True):
+                held.append(new)
+        if not rows:
+            return None
+        ids = batch.column(0).take(pa.array(np.concatenate(rows)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(lengths)), *_signed(columns)], ["item_id", "n", "gram", "key1", "key2"])
+
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    return map_rows(items, run, "item_id long, n int, gram long, key1 long, key2 long").distinct()
+
+
+def _filter(prints: DataFrame) -> np.ndarray:
+    """One bit for each value of the first bits of a fingerprint; at most 2^(FILTER_BITS - 6) rows reach the driver."""
+    bit = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    words = (
+        prints.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
     return out
 
 
-def merge(stretches) -> list[list[int]]:
-    """Disjoint stretches in order that cover the same words."""
-    out: list[list[int]] = []
-    for start, end in sorted(stretches):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
+def _passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    place = grams >> np.uint64(65 - (len(bits) * 64).bit_length())
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _blocks(benchmark: DataFrame, window: int, gram: int):
-    """The benchmark as broadcastable blocks, read one bounded slice at a time."""
-    hashed = map_rows(
-        benchmark.filter(F.col("text").isNotNull()).select(
-            F.col("item_id").cast("long"), F.col("text").cast("string")
-        ),
-        _item_words,
-        "item_id long, words array<long>",
-    )
-    held, size = [], 0
-    for row in materialize(hashed, "benchmark").toLocalIterator():
-        held.append((row.item_id, np.array(row.words, dtype=np.int64).view(np.uint64)))
-        size += len(row.words)
-        if size >= BLOCK_WORDS:
-            yield _numbered(held, window, gram)
-            held, size = [], 0
-    if held:
-        yield _numbered(held, window, gram)
-
-
-def _item_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = batch.column(1).cast(pa.binary()).to_pylist()
-    words = [keys.view(np.int64) for _, keys, _, _ in word_hashes(texts)]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["item_id", "words"]
-    )
+def text_windows(docs: DataFrame, prints: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """doc_id, version, n_words of every row, and n, gram, start, key1, key2 of its windows that pass the filter.
+
+    n_words stands on one line of each row of ``docs``; lines without a window have a null n.
+    """
+    lengths = sorted(r.n for r in prints.select("n").distinct().collect())  # at most ``window`` values
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(prints))
+
+    def windows(keys: np.ndarray, n: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and fingerprints of the windows of n words that pass."""
+        if n < window:
+            grams = _grams(keys, n)
+            starts = np.flatnonzero(_passes(bits, grams))
+            return starts, grams[starts]
+        kept, size = winnow(keys, window, gram)
+        passed = _passes(bits, kept)
+        return (np.flatnonzero(np.repeat(passed, size)), np.repeat(kept[passed], size[passed])) if passed.any() else (np.empty(0, np.int64), kept[:0])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits = shared.value
+        rows, counts, others = [np.arange(batch.num_rows)], np.zeros(batch.num_rows, dtype=np.int64), [[] for _ in range(5)]
+        for row, keys, _, _ in word_hashes([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]):
+            counts[row] = len(keys)
+            for n in lengths:
+                if len(keys) < n:
+                    break
+                starts, grams = windows(keys, n, bits)
+                if len(starts):
+                    rows.append(np.full(len(starts), row))
+                    found = np.full(len(starts), n), grams.view(np.int64), starts, *(k.view(np.int64) for k in _window_keys(keys, starts, n))
+                    for held, new in zip(others, found, strict=True):
+                        held.append(new)
+        rows = np.concatenate(rows)
+        more = len(rows) - batch.num_rows
+        place = pa.array(rows)
+        given = [pa.concat_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.array(np.concatenate(c) if c else np.empty(0, np.int64))]) for c in others]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(place), batch.column(1).take(place), pa.concat_arrays([pa.array(counts), pa.nulls(more, pa.int64())]), *given],
+            ["doc_id", "version", "n_words", "n", "gram", "start", "key1", "key2"],
+        )
 
+    rows = docs.select(F.col("doc_id").cast("long"), version(F.col("text")).alias("version"), F.col("text").cast("string"))
+    return map_rows(rows, run, "doc_id long, version long, n_words long, n long, gram long, start long, key1 long, key2 long")
 
-def _numbered(items, window: int, gram: int) -> tuple[Block, list]:
-    return build_block([(i, keys) for i, (_, keys) in enumerate(items)], window, gram), [x for x, _ in items]
 
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, version, n_words of every row; doc_id, version, hits, items of what is hit.
 
-STRETCHES = "array<struct<start:int,end:int>>"
-_STRETCHES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    ``hits`` are disjoint stretches of words, ``items`` sorted item ids.
+    """
+    held = materialize(benchmark_windows(benchmark, window, gram), "benchmark-windows")
+    prints = materialize(held.select(F.col("n").cast("long"), "gram").distinct(), "benchmark-prints")
+    seen = materialize(text_windows(docs, prints, window, gram), "text-windows")
+    shared = seen.filter("n IS NOT NULL").drop("n_words").join(prints, ["n", "gram"], "left_semi")
+    held = held.withColumn("n", F.col("n").cast("long"))
+    content = ["n", "key1", "key2"]
+    document = ["doc_id", "version"]
+    same = materialize(shared.join(held.select(*content).distinct(), content, "left_semi"), "shared-windows")
+    hits = (
+        merged_stretches(same.withColumn("end", F.col("start") + F.col("n")), document)
+        .groupBy(*document)
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("hits"))
+    )
+    items = (
+        same.select(*document, *content)
+        .join(held.select(*content, "item_id").filter("item_id IS NOT NULL").distinct(), content)
+        .select(*document, "item_id")
+        .distinct()
+        .groupBy(*document)
+        .agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+        .withColumnsRenamed({"doc_id": "d", "version": "v"})
+    )
+    both = hits.join(items, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    found = both.select(*document, "hits", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return seen.filter("n_words IS NOT NULL").select(*document, "n_words"), materialize(found, "hits")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The columns of ``docs`` with ``hits`` (disjoint stretches of words), ``items`` (sorted item ids) and ``n_words``.
+    """The columns of ``docs`` with ``hits`` (disjoint stretches of words) and ``items`` (sorted item ids).
 
     Columns of ``docs`` by these names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("hits", "items", "n_words")]
-    marked = docs.select(*[F.col(f"`{c}`") for c in names]).withColumns(
+    _, found = occurrences(docs, benchmark, window, gram)
+    marked = join_by_text(docs.drop("hits", "items"), found, "left")
+    return marked.withColumns(
         {
-            "hits": F.lit(None).cast(STRETCHES),
-            "items": F.lit(None).cast("array<long>"),
-            "n_words": F.lit(None).cast("long"),
+            "hits": F.coalesce("hits", F.array().cast("array<struct<start:int,end:int>>")),
+            "items": F.coalesce("items", F.array().cast("array<long>")),
         }
     )
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
-    at_text = names.index("text")
-    for block in [*_broadcasts(docs, benchmark, window, gram)] or [docs.sparkSession.sparkContext.broadcast((build_block([]), []))]:
-        marked = map_rows(marked, _marker(block, at_text, window, gram), schema)
-    return marked
 
 
-def _broadcasts(docs: DataFrame, benchmark: DataFrame, window: int, gram: int):
-    for block in _blocks(benchmark, window, gram):
-        yield docs.sparkSession.sparkContext.broadcast(block)
-
-
-def _marker(shared, at_text: int, window: int, gram: int):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        block, ids = shared.value
-        before, items = batch.column(batch.num_columns - 3), batch.column(batch.num_columns - 2)
-        texts = [t or b"" for t in batch.column(at_text).cast(pa.binary()).to_pylist()]
-        hits, found, counts = [], [], []
-        for row, keys, _, _ in word_hashes(texts):
-            new = find_hits(keys, block, window, gram)
-            old = before[row].as_py() or ()
-            own = {ids[number] for _, _, number in new} - {None}
-            hits.append([
-                {"start": a, "end": b} for a, b in merge([(s, e) for s, e, _ in new] + [(o["start"], o["end"]) for o in old])
-            ] if new or old else [])
-            found.append(sorted(own | set(items[row].as_py() or ())))
-            counts.append(len(keys))
-        return pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:-3],
-                pa.array(hits, _STRETCHES),
-                pa.array(found, pa.list_(pa.int64())),
-                pa.array(counts, pa.int64()),
-            ],
-            batch.schema.names,
-        )
-
-    return run
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark."""
+    _, found = occurrences(docs, benchmark, window, gram)
+    return join_by_text(docs, found, "left_anti")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked = mark(docs.select("doc_id", "text"), benchmark)
+    counted, found = occurrences(docs, benchmark)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, h: total + (h["end"] - h["start"]))
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return marked.select(
-        F.col("doc_id").cast("long"),
+    sums = found.select(
+        F.col("doc_id").alias("d"), F.col("version").alias("v"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), listed.alias("items")
+    )
+    joined = counted.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    return joined.select(
+        "doc_id",
         "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from archivolt.llm._io import materialize
+from archivolt.llm._io import join_by_text, materialize, merged_stretches, unused, version
 
 #: One boundary in so many lines.
 DIVISOR = 4
@@ -71,7 +71,7 @@ def chunk_bounds(lines: Column, divisor: int = DIVISOR) -> Column:
 def _versioned(docs: DataFrame) -> DataFrame:
     """doc_id, version (a hash that tells texts of one doc_id apart) and lines."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.hash(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
+    return docs.select(F.col("doc_id").cast("long"), version(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
 
 
 def _chunk_text(lines: Column, chunk: Column) -> Column:
@@ -119,20 +119,6 @@ def _without(lines: Column, gone: Column) -> Column:
     return _bound(lines, lambda held: F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: piece(held, F.greatest(i, F.lit(0))))))
 
 
-def _merged(stretches: DataFrame) -> DataFrame:
-    """Disjoint stretches that cover the same lines of each document, without another shuffle."""
-    own = Window.partitionBy("doc_id", "version").orderBy("start", "end")
-    before = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        stretches.withColumn("end", F.col("start") + F.col("n_lines"))
-        .withColumn("new", F.coalesce((F.col("start") > before).cast("int"), F.lit(1)))
-        .withColumn("stretch", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "version", "stretch")
-        .agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_lines"))
-        .drop("stretch")
-    )
-
-
 def removals(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """doc_id, version, start, n_lines of the disjoint stretches of lines to remove."""
     lines = _versioned(docs).filter("doc_id IS NOT NULL AND lines IS NOT NULL")
@@ -172,9 +158,9 @@ def removals(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     firsts = materialize(
         texts.groupBy("key", "chunk").agg(F.min(F.struct(*PLACE)).alias("first")), "first-chunks"
     )
-    return _merged(
-        texts.join(firsts, ["key", "chunk"]).filter(F.struct(*PLACE) > F.col("first")).select("doc_id", "version", "start", "n_lines")
-    )
+    gone = texts.join(firsts, ["key", "chunk"]).filter(F.struct(*PLACE) > F.col("first"))
+    stretches = gone.select("doc_id", "version", "start", (F.col("start") + F.col("n_lines")).alias("end"))
+    return merged_stretches(stretches, ["doc_id", "version"]).select("doc_id", "version", "start", (F.col("end") - F.col("start")).alias("n_lines"))
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
@@ -182,19 +168,19 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
     Columns by those two names are replaced.
     """
-    gone = (
+    gone = unused("gone_", docs)
+    found = (
         removals(docs, divisor)
         .groupBy("doc_id", "version")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "n_lines"))).alias("_gone"))
-        .select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version"), "_gone")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "n_lines"))).alias(gone))
     )
     text = F.col("text").cast("string")
-    kept = _without(F.split(text, "\n", -1), F.col("_gone"))
-    n_removed = F.aggregate("_gone", F.lit(0), lambda n, c: n + c["n_lines"])
+    kept = _without(F.split(text, "\n", -1), F.col(gone))
+    n_removed = F.aggregate(gone, F.lit(0), lambda n, c: n + c["n_lines"])
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("_doc_id")) & (F.hash(text) == F.col("_version")), "left").select(
+    return join_by_text(docs, found, "left").select(
         *[F.col(f"`{c}`") for c in names if c != "text"],
-        F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
         F.coalesce(n_removed, F.lit(0)).cast("long").alias("n_removed"),
     )

@@ -94,13 +94,20 @@ def test_contamination_against_brute_force(spark, docs_of, odd_rows, monkeypatch
             a = rng.randrange(0, 4)
             parts += w[a:]
         rows.append((d, " ".join(parts).upper() if d % 2 else ", ".join(parts), "en", "s"))
+    rows += [(160, rows[-20][1], "en", "s"), (160, "k1 k2 and more", "en", "s"), (None, rows[-3][1], "en", "s")]
     rows += [(300, "x a b c d E é1 F g h i j k l", "en", "s"), (301, " ".join(f"n{i}" for i in range(12)), "en", "s")]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    benchmark = spark.createDataFrame([(*i, 1, "d") for i in items], "item_id long, text string, n int, doc_id string")
     wanted = brute_contamination(rows, items)
-    for size in (10**6, 40):  # one block, and many
-        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
+    for bits in (26, 8):  # a filter that tells, and one that lets nearly all through
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
         found = decontaminate.contamination(docs_of(rows), benchmark).collect()
         assert sorted((repr(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found) == wanted
+    docs = docs_of(rows)
+    marked = decontaminate.mark(docs, benchmark)
+    assert set(docs.columns) <= set(marked.columns) and marked.count() == len(rows)
+    assert sorted((repr(r.doc_id), sum(h.end - h.start for h in r.hits)) for r in marked.collect()) == sorted((d, n) for d, _, n, *_ in wanted)
+    clean = decontaminate.without_hits(docs, benchmark)
+    assert clean.columns == docs.columns and sorted(repr(r.doc_id) for r in clean.collect()) == sorted(d for d, _, n, *_ in wanted if not n)
 
 
 def test_contamination_of_empty_tables(spark, docs_of):
