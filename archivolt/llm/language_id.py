@@ -1,14 +1,16 @@
 """Operator 1: language identification by multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of all labelled rows inside the tasks, adds them up by
-(language, bucket) in one grouped sum and brings the matrix to the driver: it has
-languages x buckets entries, whatever the corpus. The matrix of log
-probabilities is broadcast; documents are scored in batches, each by adding up
-the rows of the matrix at its n-grams.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0; with
-no labelled row at all every document is ``und``; a null language never trains;
-repeated rows are scored alike; whole texts count, in pieces of bounded size.
+Training counts n-grams of all labelled rows inside the tasks and adds them up by (language, bucket) in one grouped sum,
+a table of languages x buckets entries whatever the corpus. It is read in blocks of at most ``BLOCK_CLASSES`` languages,
+so that the matrix of log probabilities that is broadcast has a fixed bound: a few languages are one block and one pass
+over the texts; each further block is one more pass, which carries the best language so far and the sum of posteriors.
+
+A batch of texts is scored as a sparse matrix, one row of n-gram counts per text, by one product with the matrix of log
+probabilities, in pieces of bounded size.
+
+Defined cases: a null text or one without a letter is ``und`` with score 0; with no labelled row at all every document
+is ``und``; a null language never trains; of languages that score alike the first by name is taken; repeated rows are
+scored alike; whole texts count, in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.llm._io import map_rows, unused
+from archivolt.llm._io import map_rows, materialize, unused
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
 ORDERS = (2, 3)
 SMOOTHING = 0.1
-#: The matrix that is collected and broadcast has at most this many classes: 512 x 2^15 doubles are 128 MB.
-MAX_CLASSES = 512
+#: Languages of one block: 256 x 2^15 doubles are 64 MB.
+BLOCK_CLASSES = 256
+#: Doubles of one piece of a sparse product.
+PRODUCT_SIZE = 1 << 21
 PIECE = 1 << 18
 _MULTIPLIERS = {2: (0x9E3779B1, 0x85EBCA77), 3: (0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)}
 
@@ -83,33 +87,79 @@ def _buckets(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse rows (row, bucket, count) of the texts that have a letter, in order, and which those are."""
+    rows, columns, values, seen = [], [], [], np.zeros(len(texts), dtype=bool)
+    for i, text in enumerate(texts):
+        counts = None
+        for grams in _grams(text):
+            if grams is None:
+                counts = None
+            else:
+                new = np.bincount(grams, minlength=1 << BUCKET_BITS)
+                counts = new if counts is None else counts + new
+        if counts is not None:
+            seen[i] = True
+            used = np.flatnonzero(counts)
+            rows.append(np.full(len(used), i))
+            columns.append(used)
+            values.append(counts[used])
+    joined = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, columns, values))
+    return (*joined, seen)
+
+
 @dataclass(frozen=True)
-class LanguageModel:
+class Block:
+    """Part of the model: some languages with their columns of the matrix."""
+
     languages: list[str]
     log_prior: np.ndarray
     log_matrix: np.ndarray  # buckets x languages
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        labels, scores = [], []
-        for text in texts:
-            total, seen = np.zeros(len(self.languages)), False
-            for grams in _grams(text):
-                seen = grams is not None
-                if seen:
-                    total += self.log_matrix[grams].sum(axis=0)
-            if not seen or not self.languages:
-                labels.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            total += self.log_prior
-            best = int(np.argmax(total))
-            labels.append(self.languages[best])
-            scores.append(float(1.0 / np.exp(total - total[best]).sum()))
-        return labels, scores
+    def totals(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """Log joint probability of n texts and each language: the sparse matrix of counts times the log matrix."""
+        out = np.tile(self.log_prior, (n, 1))
+        step = max(1, PRODUCT_SIZE // max(len(self.languages), 1))
+        for start in range(0, len(rows), step):
+            part = slice(start, start + step)
+            first = np.flatnonzero(np.append(True, np.diff(rows[part]) != 0))
+            out[rows[part][first]] += np.add.reduceat(values[part, None] * self.log_matrix[columns[part]], first, axis=0)
+        return out
+
+    def best(self, texts: list[str | None]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """Best language of each text, its log joint probability, and the sum of all relative to it; None without a letter."""
+        rows, columns, values, seen = gram_counts(texts)
+        totals = self.totals(rows, columns, values, len(texts))
+        at = totals.argmax(axis=1)
+        top = totals[np.arange(len(texts)), at]
+        labels = [self.languages[k] if s else None for k, s in zip(at.tolist(), seen.tolist(), strict=True)]
+        return labels, top, np.exp(totals - top[:, None]).sum(axis=1)
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """A table of n-gram counts (block, lang, bucket, n; bucket -1 counts rows) and the languages by block."""
+
+    counts: DataFrame
+    blocks: list[list[str]]
+    rows: int
+
+    def block(self, number: int) -> Block:
+        """One block, of at most BLOCK_CLASSES x (2^BUCKET_BITS + 1) counts."""
+        languages = self.blocks[number]
+        held = self.counts.filter(F.col("block") == number).select("lang", "bucket", "n").toPandas()
+        place = held["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
+        bucket, n = held["bucket"].to_numpy(), held["n"].to_numpy()
+        counts = np.full((1 << BUCKET_BITS, len(languages)), SMOOTHING)
+        gram = bucket >= 0
+        np.add.at(counts, (bucket[gram], place[gram]), n[gram])
+        rows_of = np.zeros(len(languages))
+        rows_of[place[~gram]] = n[~gram]
+        return Block(languages, np.log(rows_of / max(self.rows, 1)), np.log(counts / counts.sum(axis=0, keepdims=True)))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None) -> LanguageModel:
-    """Learn from every row with a language (and ``where``, if given)."""
+    """Learn from every row with a language (and ``where``, if given). The names of the languages reach the driver."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = (rows.filter(where) if where is not None else rows).select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
@@ -117,6 +167,20 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column |
 
     def count(batches):
         totals: dict[str, list] = {}
+
+        def spell():
+            for language, (counts, n) in totals.items():
+                used = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([language] * (len(used) + 1), pa.string()),
+                        pa.array(np.append(used, -1).astype(np.int32)),
+                        pa.array(np.append(counts[used], n)),
+                    ],
+                    ["lang", "bucket", "n"],
+                )
+            totals.clear()
+
         for batch in batches:
             for value, language in zip(batch.column(0), batch.column(1)):
                 held = totals.setdefault(language.as_py(), [np.zeros(1 << BUCKET_BITS, np.int64), 0])
@@ -124,51 +188,60 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column |
                 for grams in _grams(value.as_py()):
                     if grams is not None:
                         held[0] += np.bincount(grams, minlength=1 << BUCKET_BITS)
-        for language, (counts, n) in totals.items():
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([language] * (len(used) + 1), pa.string()),
-                    pa.array(np.append(used, -1).astype(np.int32)),
-                    pa.array(np.append(counts[used], n)),
-                ],
-                ["lang", "bucket", "n"],
-            )
+                if len(totals) > BLOCK_CLASSES:
+                    yield from spell()
+        yield from spell()
 
     counted = rows.mapInArrow(count, "lang string, bucket int, n long")
-    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    gathered = summed.limit((MAX_CLASSES << BUCKET_BITS) + MAX_CLASSES + 1).toPandas()
-    languages = sorted(gathered["lang"].unique())
-    if len(languages) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} languages")
-    place = gathered["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
-    bucket, n = gathered["bucket"].to_numpy(), gathered["n"].to_numpy()
-    counts = np.full((1 << BUCKET_BITS, len(languages)), SMOOTHING)
-    gram = bucket >= 0
-    np.add.at(counts, (bucket[gram], place[gram]), n[gram])
-    rows_of = np.zeros(len(languages))
-    rows_of[place[~gram]] = n[~gram]
-    return LanguageModel(
-        languages, np.log(rows_of / max(rows_of.sum(), 1)), np.log(counts / counts.sum(axis=0, keepdims=True))
-    )
+    summed = materialize(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "gram-counts")
+    named = sorted((r.lang, r.n) for r in summed.filter("bucket = -1").select("lang", "n").collect())
+    languages = [x for x, _ in named]
+    blocks = [languages[i : i + BLOCK_CLASSES] for i in range(0, len(languages), BLOCK_CLASSES)]
+    number = F.create_map(*[F.lit(x) for k, block in enumerate(blocks) for x in (block[0], k)]) if blocks else None
+    if len(blocks) > 1:
+        firsts = F.array(*[F.lit(block[0]) for block in blocks])
+        at = F.element_at(F.filter(firsts, lambda x: x <= F.col("lang")), -1)
+        summed = summed.withColumn("block", F.element_at(number, at))
+    else:
+        summed = summed.withColumn("block", F.lit(0))
+    return LanguageModel(summed, blocks, sum(n for _, n in named))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all by default) with ``lang_pred`` and ``score``; those two replace columns of their names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(unused("text_", docs)))
-    fields = source.schema.fields[:-1]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string", "score double"])
+    fields = source.schema.fields
+    state = [unused(x, docs) for x in ("best_", "top_", "sum_")]
+    scored = source.withColumns({x: F.lit(None).cast(t) for x, t in zip(state, ("string", "double", "double"), strict=True)})
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{state[0]} string, {state[1]} double, {state[2]} double"])
+    for number in range(len(model.blocks)):
+        scored = map_rows(scored, _scorer(docs.sparkSession.sparkContext.broadcast(model.block(number)), len(kept)), schema)
+    best, _, total = (F.col(f"`{x}`") for x in state)
+    return scored.select(
+        *[F.col(f"`{c}`") for c in kept], F.coalesce(best, F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1 / total, F.lit(0.0)).alias("score")
+    )
+
 
-    def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
-        labels, scores = shared.value.score(batch.column(batch.num_columns - 1).to_pylist())
+def _scorer(shared, at_text: int):
+    """A step that takes (..., text, best, top, sum) and adds the languages of one block; the last three are null before the first."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        labels, top, total = shared.value.best(batch.column(at_text).to_pylist())
+        before = batch.column(at_text + 1).to_pylist()
+        old_top, old_total = (
+            batch.column(at_text + k).fill_null(v).to_numpy(zero_copy_only=False) for k, v in ((2, -np.inf), (3, 0.0))
+        )
+        higher = np.maximum(top, old_top)
+        total = total * np.exp(top - higher) + old_total * np.exp(old_top - higher)
+        names = [b if b is not None and o >= t else x for x, t, b, o in zip(labels, top.tolist(), before, old_top.tolist(), strict=True)]
+        blank = np.array([x is None for x in names], dtype=bool)
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-            [*kept, "lang_pred", "score"],
+            [*batch.columns[: at_text + 1], pa.array(names, pa.string()), pa.array(higher, mask=blank), pa.array(total, mask=blank)],
+            batch.schema.names,
         )
 
-    return map_rows(source, predict, schema)
+    return run
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

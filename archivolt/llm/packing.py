@@ -7,8 +7,12 @@ batches of equal pieces over groups of equally filled sequences: the group is ch
 be left, or by the weighted dot product of the need and what is left, among those where every constraint holds.
 
 The plan says which ranks of a length go where. Pieces get their rank within their length without gathering a
-length in one task: lengths are cut into buckets by hash, ranked inside, and offset by the counts of the
-buckets before. One search in the broadcast plan places a piece.
+length in one task: lengths are cut into buckets by hash, ranked inside, and offset by the counts of the buckets
+before, in groups of buckets that are offset likewise. One search in the broadcast plan places a piece.
+
+With the default capacities the document places and the attention cost of a sequence never bind: pieces have at least
+one token, and squares of lengths add up to at most the square of their sum. They take part in the score alone; smaller
+capacities do bind and are kept for every sequence.
 
 Tokens come from a cache of white-space words per Python worker: the tokenizer never joins text across white
 space, so a text's ids are those of its words. Ids are counted and digested in the task; they are not shuffled.
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +44,8 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 700_000
 #: Pieces of one length that are ranked together.
 RANK_GROUP = 128
+#: Buckets of one length whose counts are added up together: at 10^12 pieces of one length, 2 million groups.
+BUCKET_GROUP = 4096
 _PUNCTUATION = (b",", b".")
 
 
@@ -229,9 +235,21 @@ def _ranked(cut: DataFrame, histogram: DataFrame) -> DataFrame:
     dealt = cut.join(F.broadcast(histogram.select("length", buckets.alias("buckets"))), "length").withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))
     )
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    group = F.floor(F.col("bucket") / F.lit(BUCKET_GROUP))
+    sizes = dealt.groupBy("length", group.alias("group"), "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(sizes, "bucket-sizes")
+
+    def so_far(column: str, *keys: str) -> Column:
+        before = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(before), F.lit(0))
+
+    groups = sizes.groupBy("length", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("length", "group", so_far("group", "length").alias("outside"))
+    offsets = (
+        sizes.withColumn("inside", so_far("bucket", "length", "group"))
+        .join(groups, ["length", "group"])
+        .select("length", "bucket", (F.col("inside") + F.col("outside")).alias("before"))
+    )
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     return (
         dealt.withColumn("place", F.row_number().over(inside) - 1)

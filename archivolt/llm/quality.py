@@ -11,8 +11,9 @@ Two labels are learned, quality and toxicity. For each, a document's log odds ar
 * Text: words and word shapes hash to buckets; a bucket that a document holds adds the log ratio of its rates in
   both classes, each shrunk toward the common rate, if the rates differ by more than chance would have it.
 * Slope and intercept come from evidence that each half of the labelled documents gets from the other half. It is
-  gathered as a histogram of bounded size, and fitted by Newton's method.
-* Only the buckets of documents, two bytes each, are shuffled to their labels; texts stay, and are read again to score.
+  gathered as a histogram of bounded size, and fitted by Newton's method. Labelled documents are scored likewise, by
+  the evidence of the half that they are not in.
+* Texts are read once: a table holds the buckets of documents, two bytes each, which are shuffled to their labels.
 
 The broadcast model has 2^16 buckets x 2 labels whatever the corpus; all labelled rows train.
 
@@ -64,7 +65,7 @@ def buckets(text: bytes) -> np.ndarray:
     listed = text.translate(_WORDS).split()
     words = set(listed)
     raw = text.translate(_SHAPES).split()
-    marks = {b"\0" + _REPEATS.sub(rb"\1", s[:64]) for s in set(raw)}
+    marks = {b"\0" + _REPEATS.sub(rb"\1", s) for s in set(raw)}
     if listed:
         marks.add(b"\1%d %d" % (10 * len(words) // len(listed), min(len(listed).bit_length(), 12)))
     if raw:
@@ -87,6 +88,10 @@ def sites(docs: DataFrame) -> DataFrame:
     )
 
 
+def _half() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)), F.lit(0)).cast("int").alias("half")
+
+
 def features(rows: DataFrame) -> DataFrame:
     """doc_id, host, path and buckets (16-bit integers, two bytes each) of rows of ``sites``."""
 
@@ -246,17 +251,18 @@ def _scored(labelled: DataFrame, evidence: Evidence) -> DataFrame:
     return map_rows(labelled.select("buckets", "half", *TARGETS), run, schema, rows=4096)
 
 
-def _evidence(rows: DataFrame, evidence: Evidence) -> DataFrame:
-    """doc_id, host, path and the evidence of each target, from the texts of rows of ``sites``."""
-    shared = rows.sparkSession.sparkContext.broadcast(evidence)
-    names = ["doc_id", "host", "path", *(f"{t}_evidence" for t in TARGETS)]
+def _evidence(found: DataFrame, evidence: Evidence) -> DataFrame:
+    """doc_id, host, path and the evidence of each target, of a row of ``features`` with and without its half's labels."""
+    shared = found.sparkSession.sparkContext.broadcast(evidence)
+    sums = [f"{t}_{s}" for s in ("whole", "other") for t in TARGETS]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = [buckets(t or b"") for t in batch.column(3).cast(pa.binary()).to_pylist()]
-        sums = shared.value.of(held)
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(sums[:, t]) for t in range(len(TARGETS)))], names)
+        held = _unpacked(batch.column(4))
+        both = np.hstack([shared.value.of(held), shared.value.of(held, np.asarray(batch.column(3)))])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(x) for x in both.T)], ["doc_id", "host", "path", *sums])
 
-    return map_rows(rows, run, "doc_id long, host string, path string, " + ", ".join(f"{t}_evidence double" for t in TARGETS))
+    rows = found.select("doc_id", "host", "path", _half(), "buckets")
+    return map_rows(rows, run, "doc_id long, host string, path string, " + ", ".join(f"{x} double" for x in sums), rows=4096)
 
 
 def _fit(table: pd.DataFrame) -> tuple[float, float]:
@@ -302,21 +308,19 @@ def calibrate(labelled: DataFrame, evidence: Evidence, shares: dict[str, float])
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, p_quality, p_toxic, the shares of its host and path, and kept."""
-    rows = sites(docs)
+    found = materialize(features(sites(docs)), "features")
+    known_labels = document_labels(labels)
     # Sorted and merged at every size: the labels grow with the documents.
-    labelled = features(rows).join(document_labels(labels).hint("merge"), "doc_id").withColumn(
-        "half", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)).cast("int")
-    )
-    labelled = materialize(labelled, "labelled")
-    places, shares = site_shares(rows, labelled)
+    labelled = materialize(found.join(known_labels.hint("merge"), "doc_id").withColumn("half", _half()), "labelled")
+    places, shares = site_shares(found, labelled)
     evidence = learn(labelled)
     curves = calibrate(labelled, evidence, shares)
     known = bool(labelled.select(*TARGETS).head(1))
-    joined = _evidence(rows, evidence).join(places, ["host", "path"], "left")
+    joined = _evidence(found, evidence).join(places, ["host", "path"], "left").join(known_labels.hint("merge"), "doc_id", "left")
     for t in TARGETS:
         slope, intercept = curves[t]
         share = F.coalesce(f"{t}_path", F.lit(shares[t] if known else 0.5))
-        logit = _odds(share) + slope * F.col(f"{t}_evidence") + intercept
+        logit = _odds(share) + slope * F.when(F.col(t).isNull(), F.col(f"{t}_whole")).otherwise(F.col(f"{t}_other")) + intercept
         joined = joined.withColumn(f"p_{t}", 1 / (1 + F.exp(-logit))).withColumn(f"{t}_site", share)
     return joined.select(
         "doc_id",

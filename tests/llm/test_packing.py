@@ -51,6 +51,18 @@ def test_pieces_and_places(docs_of, odd_rows, plain):
     assert used <= -(-total // 2048) + 1
 
 
+def test_ranks_over_many_groups_of_buckets(docs_of, monkeypatch):
+    monkeypatch.setattr(P, "RANK_GROUP", 3)
+    monkeypatch.setattr(P, "BUCKET_GROUP", 4)
+    rows = [(d, "same words" + " here" * (d % 3), "en", "s") for d in range(400)]
+    cut = P.pieces(docs_of(rows))
+    ranked = P._ranked(cut, cut.groupBy("length").count().withColumnRenamed("count", "n")).collect()
+    ranks = defaultdict(list)
+    for r in ranked:
+        ranks[r.length].append(r["rank"])
+    assert len(ranks) == 3 and all(sorted(x) == list(range(len(x))) for x in ranks.values())
+
+
 def test_words_have_the_ids_of_their_text(plain):
     rng = random.Random(3)
     parts = ["a", "B", "é", "É", "́", "1", "٣", "'s", ".", ",", "<|endoftext|>", "<|ENDOFTEXT|>", " ", " ", "\x1c", "\x85", "İ", "Σ", "中", "🙂", "\n", " ", "<|", "\x00"]

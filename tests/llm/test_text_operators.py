@@ -1,10 +1,14 @@
 """Language identification, decontamination, personal data, line dedup and quality on small tables."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,6 +49,54 @@ def test_pieces_hold_every_gram_once(monkeypatch):
     assert Counter(g for b in language_id._grams(text) if b is not None for g in b.tolist()) == whole
 
 
+def plain_grams(text):
+    """Buckets of the 2- and 3-grams of a text, one character at a time."""
+    spaced = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    codes = [ord(c) for c in " " + re.sub(" +", " ", " " + spaced + " ").strip(" ") + " "]
+    out = []
+    for order, multipliers in language_id._MULTIPLIERS.items():
+        for k in range(len(codes) - order + 1):
+            mixed = 0
+            for c, m in zip(codes[k : k + order], multipliers, strict=True):
+                mixed = (mixed ^ c) * m % 2**32
+            mixed = (mixed ^ mixed >> 15) * 0x2C1B3C6D % 2**32
+            out.append(mixed >> 32 - language_id.BUCKET_BITS)
+    return out
+
+
+def brute_language(rows):
+    """Plain multinomial naive Bayes with the smoothing of the operator."""
+    counts, docs = defaultdict(Counter), Counter()
+    for d, t, lang, _ in rows:
+        if None not in (d, t, lang) and zlib.crc32(str(d).encode()) % 4 != 2:
+            docs[lang] += 1
+            counts[lang].update(plain_grams(t) if any(unicodedata.category(c)[0] == "L" for c in t) else ())
+    out = []
+    for d, t, *_ in rows:
+        if t is None or not docs or not any(unicodedata.category(c)[0] == "L" for c in t):
+            out.append((repr(d), "und", 0.0))
+            continue
+        grams, total = Counter(plain_grams(t)), {}
+        for lang in sorted(docs):
+            size = sum(counts[lang].values()) + language_id.SMOOTHING * 2**language_id.BUCKET_BITS
+            total[lang] = math.log(docs[lang] / sum(docs.values())) + sum(n * math.log((counts[lang][g] + language_id.SMOOTHING) / size) for g, n in grams.items())
+        best = max(total, key=total.get)
+        out.append((repr(d), best, 1 / sum(math.exp(x - total[best]) for x in total.values())))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_language_against_plain_naive_bayes(docs_of, odd_rows, monkeypatch, block):
+    """Also with more languages than one block holds."""
+    monkeypatch.setattr(language_id, "BLOCK_CLASSES", block)
+    rows = sentences(120, 5) + [(1000 + i, *r[1:]) for i, r in enumerate(odd_rows)] + [(None, "the house", "de", "s")]
+    rows += [(2000 + i, "the der les " * 3, f"x{i % 3}", "s") for i in range(12)] + [(2100, "1 2 3", "digits", "s")]
+    found = language_id.language_of_documents(docs_of(rows)).collect()
+    got, wanted = sorted(((repr(r.doc_id), r.lang_pred, r.score) for r in found), key=repr), brute_language(rows)
+    assert [g[:2] for g in got] == [w[:2] for w in wanted]
+    assert all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, wanted, strict=True))
+
+
 def test_identify_keeps_clashing_columns_apart(docs_of):
     docs = docs_of(sentences(40))
     out = language_id.identify(docs, language_id.fit(docs))
@@ -249,6 +301,90 @@ def test_quality_finds_bad_words_and_follows_sites(spark, docs_of, odd_rows):
     assert all(0 <= r.p_toxic <= 1 for r in found)
 
 
+def brute_quality(rows, labels):
+    """The two probabilities of each row, by loops over plain numbers."""
+    known = defaultdict(lambda: [[], []])
+    for d, *values in labels:
+        for t, v in enumerate(values):
+            if d is not None and v is not None:
+                known[d][t].append(v)
+    label = {d: (min(q) if q else None, max(x) if x else None) for d, (q, x) in known.items()}
+    half = lambda d: zlib.crc32(str(d).encode()) % 2
+    held = [set(quality.buckets((t or "").encode()).tolist()) for _, t, *_ in rows]
+    sites = [(s or "", f"{s or ''}/{lang or ''}") for _, _, lang, s in rows]
+    out = [[] for _ in rows]
+    for t in (0, 1):
+        mine = [(i, label[r[0]][t], half(r[0])) for i, r in enumerate(rows) if r[0] in label and label[r[0]][t] is not None]
+
+        def ratios(part):
+            n, count = [0, 0], [Counter(), Counter()]
+            for i, y, _ in part:
+                n[y] += 1
+                count[y].update(held[i])
+            out = {}
+            for b in count[0] | count[1]:
+                common = (count[0][b] + count[1][b] + 0.5) / (max(sum(n), 1) + 1)
+                rate = [(count[y][b] + 1) / (n[y] + 1 / common) for y in (0, 1)]
+                plain = [max(x, 1) for x in n]
+                spread = math.sqrt(common * (1 - min(common, 1 - 1e-9)) * (1 / plain[0] + 1 / plain[1]))
+                if min(n) > 0 and abs(count[1][b] / plain[1] - count[0][b] / plain[0]) >= 4 * spread:
+                    out[b] = math.log(rate[1] / rate[0])
+            return out
+
+        tables = [ratios([m for m in mine if m[2] == h]) for h in (0, 1)] + [ratios(mine)]
+        evidence = lambda i, table: max(-50.0, min(50.0, sum(tables[table].get(b, 0.0) for b in held[i])))
+        k, n = Counter(), Counter()
+        for i, y, _ in mine:
+            for site in ("", *sites[i]):
+                k[site] += y
+                n[site] += 1
+        hosts, paths = {h for h, _ in sites}, set(sites)
+        share = (k[""] + 0.5) / (n[""] + 1)
+
+        def strength(groups):
+            excess = sum((k[g] - n[g] * p) ** 2 - n[g] * p * (1 - p) for g, p in groups if n[g] > 1)
+            scale = sum(n[g] * (n[g] - 1) * p * (1 - p) for g, p in groups if n[g] > 1)
+            return 1 / min(max(excess / scale, 1e-3), 0.5) - 1 if scale else 10.0
+
+        a = strength([(h, share) for h in hosts])
+        host = {h: (k[h] + a * share) / (n[h] + a) for h in hosts}
+        a = strength([(p, host[h]) for h, p in paths])
+        path = {p: (k[p] + a * host[h]) / (n[p] + a) for h, p in paths}
+        bins = Counter((max(-400, min(400, math.floor(evidence(i, 1 - h) / 0.25 + 0.5))), y) for i, y, h in mine)
+        table = pd.DataFrame([(b * 0.25, y, w, math.log(share / (1 - share))) for (b, y), w in bins.items()], columns=["x", "y", "w", "offset"])
+        slope, intercept = quality._fit(table)
+        for i, (r, (_, p)) in enumerate(zip(rows, sites, strict=True)):
+            own = r[0] in label and label[r[0]][t] is not None
+            z = math.log(path[p] / (1 - path[p])) + slope * evidence(i, 1 - half(r[0]) if own else 2) + intercept
+            out[i].append(1 / (1 + math.exp(-z)))
+    return sorted((repr(r[0]), *map(float, x)) for r, x in zip(rows, out, strict=True))
+
+
+def test_quality_against_plain_empirical_bayes(spark, docs_of):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for d in range(500):
+        host = rng.randrange(6)
+        bad, good = rng.random() < 0.1 + 0.1 * host, rng.random() < 0.6
+        body = [f"w{rng.randrange(80)}" for _ in range(20)] + ["awful"] * bad + ["fine"] * good
+        rows.append((d, " ".join(body), rng.choice(["en", "de", None]), f"s{host}"))
+        if rng.random() < 0.7:
+            labels.append((d, int(good), None if rng.random() < 0.1 else int(bad)))
+    rows += [(3, "a second text awful", "en", "s9"), (900, None, "en", "s1"), (None, "awful " * 3 + "x" * 200 + "Y" * 5, "en", "s1")]
+    labels += [(4, 0, 1), (4, 1, 0), (None, 1, 1)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = quality.score(docs_of(rows), table).collect()
+    got = sorted((repr(r.doc_id), r.p_quality, r.p_toxic) for r in found)
+    wanted = brute_quality(rows, labels)
+    assert [g[0] for g in got] == [w[0] for w in wanted]
+    assert max(abs(x - y) for g, w in zip(got, wanted, strict=True) for x, y in zip(g[1:], w[1:], strict=True)) < 1e-9
+    assert len({round(g[2], 6) for g in got}) > 10
+
+
+def test_shapes_take_whole_words():
+    assert set(quality.buckets(b"A" * 70 + b"b" * 3 + b"!")) != set(quality.buckets(b"A" * 70 + b"b" * 3))
+
+
 def test_quality_without_labels(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     row = quality.score(docs_of([(1, "a b", "en", "s")]), none).first()
