@@ -1,14 +1,19 @@
 """Operator 7: WARC archives and the resolution of revisit records.
 
-Archives are written by Spark's own text writer, one record per row with the blank lines after a record as line
-separator, gzipped, through its commit protocol into any store that Spark writes; a record is a WARC/1.1 header,
-and a block of UTF-8 text. They are read back as binary files and parsed from a decompressing stream by
-Content-Length, so a reading task holds one compressed archive and one record.
+A record is a WARC/1.1 header, built by column functions, and a block of UTF-8 text. Each record is a gzip member of its
+own, so that readers can seek to it; a record of ``MEMBER_BYTES`` or more is cut into several. Tasks join members into
+rows of about ``ROW_BYTES``, and Spark's own text writer puts at most ``FILE_ROWS`` rows into a file, through its commit
+protocol into any store that Spark writes: files are bounded in bytes. A member ends with a zero byte (the high byte of
+its length), which is what the writer is told to put after each row. Archives are read back as binary files and parsed
+from a decompressing stream by Content-Length, so a reading task holds one compressed file and one record.
 
 ``deduplicate`` reads the headers of an archive, shuffles them by payload digest (a combinable maximum, so a
 payload in a third of all records is one partial row per task), and writes a second archive with fresh headers in
 which every repeated payload but one is a revisit record that refers to the original response. ``resolve`` joins
-revisit records to their responses.
+revisit records to their responses by record id.
+
+Record ids are UUIDs: random in the first archive, and in the second derived from those of the first, so that a revisit
+can name its response. Page ids go into a header of their own, for they may be null or repeat.
 
 Defined cases: a null payload is empty; payloads under ``LEAST_BYTES`` are always responses; of equal payloads the
 record with the largest id is the response; rows that repeat an id and its payload are all responses if the id is
@@ -18,6 +23,7 @@ ignored; an empty table gives empty archives.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import pyarrow as pa
@@ -30,14 +36,15 @@ LEAST_BYTES = 1000
 CRLF = "\r\n"
 END = CRLF * 2
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in one archive file.
-RECORDS_PER_FILE = 20_000
-RECORD_ID = "urn:x-record:"
+#: Bytes before compression of one gzip member, below 2^24 so that the high byte of its length is zero.
+MEMBER_BYTES = 1 << 23
+#: Compressed bytes of one row of the writer, but for its last member, and rows of one file: about 64 MB.
+ROW_BYTES, FILE_ROWS = 1 << 22, 16
 
 #: Columns of a parsed record; everything but the payload comes from its headers.
 SCHEMA = (
-    "page_id long, record_type string, target_uri string, warc_date string, payload_digest string, "
-    "payload_bytes long, refers_to long, block_bytes long, archive string"
+    "page_id long, record_id string, record_type string, target_uri string, warc_date string, payload_digest string, "
+    "payload_bytes long, refers_to_record string, block_bytes long, archive string"
 )
 
 
@@ -47,7 +54,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _record(body: Column) -> Column:
-    """Header and block of one record from its columns; the writer's separator follows as the record's end."""
+    """One record from its columns."""
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"), body)
     block = F.when(revisit, F.lit("")).otherwise(http)
@@ -55,49 +62,71 @@ def _record(body: Column) -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", F.concat(F.lit(f"<{RECORD_ID}"), F.col("page_id").cast("string"), F.lit(">"))),
+        _line("WARC-Record-ID", F.concat(F.lit("<"), F.col("record_id"), F.lit(">"))),
         _line("WARC-Target-URI", uri),
         _line("WARC-Date", F.col("warc_date")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        _line("WARC-Refers-To", F.concat(F.lit(f"<{RECORD_ID}"), F.col("refers_to").cast("string"), F.lit(">"))),
+        _line("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_to_record"), F.lit(">"))),
+        _line("X-Page-ID", F.col("page_id").cast("string")),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
         block,
+        F.lit(END),
     )
 
 
-def write_archive(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write records (page_id, record_type, target_uri, warc_date, payload_digest, refers_to, payload)."""
-    text = records.select(_record(F.coalesce("payload", F.lit(""))).alias("value"))
-    (
-        text.write.option("lineSep", END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file)
-        .text(path)
-    )
+def members(record: bytes) -> list[bytes]:
+    """The gzip members of a record, each with a zero byte at its end."""
+    out = []
+    for start in range(0, len(record), MEMBER_BYTES):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out.append(packer.compress(record[start : start + MEMBER_BYTES]) + packer.flush())
+    return out
+
+
+def write_archive(records: DataFrame, path: str) -> None:
+    """Write records (page_id, record_id, record_type, target_uri, warc_date, payload_digest, refers_to_record, payload)."""
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0).cast(pa.binary()):
+                for member in members(record.as_py()):
+                    held.append(member)
+                    size += len(member)
+                    if size >= ROW_BYTES:
+                        yield row(held)
+                        held, size = [], 0
+        if held:
+            yield row(held)
+
+    def row(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+    rows = records.select(_record(F.coalesce("payload", F.lit(""))).alias("value")).mapInArrow(run, "value binary")
+    # The writer puts out the bytes of a string as they are.
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
 class _Stream:
     """Bytes of a gzipped archive, decompressed as they are asked for."""
 
-    def __init__(self, data: bytes, step: int = 1 << 20):
+    def __init__(self, data: bytes, step: int = 1 << 16):
         self.data, self.at, self.step = memoryview(data), 0, step
         self.inflate = zlib.decompressobj(31)
         self.buffer = bytearray()
         self.start = 0
 
     def _more(self) -> bool:
-        if self.inflate.eof and self.inflate.unused_data:
-            rest = self.inflate.unused_data
+        if self.inflate.eof:
+            self.at -= len(self.inflate.unused_data)
             self.inflate = zlib.decompressobj(31)
-            self.buffer += self.inflate.decompress(rest)
-            return True
         if self.at >= len(self.data):
             return False
         self.buffer += self.inflate.decompress(self.data[self.at : self.at + self.step])
-        self.at += self.step
+        self.at = min(self.at + self.step, len(self.data))
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -137,14 +166,12 @@ def parse_archive(data: bytes):
         yield headers, block
 
 
-def _identity(value: str | None) -> int | None:
-    return int(value[len(RECORD_ID) + 1 : -1]) if value else None
+def _identity(value: str | None) -> str | None:
+    return value[1:-1] if value else None
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """One row per record: SCHEMA, and the payload on request."""
-    import hashlib
-
     schema = SCHEMA + (", payload string" if payload else "")
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -158,8 +185,10 @@ def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataF
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")
                     if body is not None and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"payload of {headers.get('warc-record-id')} does not match its digest")
+                    page = headers.get("x-page-id")
                     row = (
-                        _identity(headers.get("warc-record-id")),
+                        None if page is None else int(page),
+                        _identity(headers["warc-record-id"]),
                         kind,
                         headers.get("warc-target-uri"),
                         headers.get("warc-date"),
@@ -179,10 +208,10 @@ def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataF
                 if rows:
                     yield _batch(rows, names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, schema)
 
 
-_TYPES = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "block_bytes": pa.int64()}
+_TYPES = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "block_bytes": pa.int64()}
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -190,28 +219,40 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES.get(n, pa.string())) for n, c in zip(names, columns, strict=True)], names)
 
 
-def crawl_records(pages: DataFrame) -> DataFrame:
-    """A response record for each row of a table of pages."""
+def crawl_records(pages: DataFrame, date: Column | None = None) -> DataFrame:
+    """A response record for each row of a table of pages, with a random id; without a date it has the present one."""
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
+        F.concat(F.lit("urn:uuid:"), F.uuid()).alias("record_id"),
         F.lit("response").alias("record_type"),
         F.col("url").cast("string").alias("target_uri"),
-        F.lit("2024-01-01T00:00:00Z").alias("warc_date"),
+        (F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date is None else date).alias("warc_date"),
         F.sha1(body.cast("binary")).alias("payload_digest"),
-        F.lit(None).cast("long").alias("refers_to"),
+        F.lit(None).cast("string").alias("refers_to_record"),
         body.alias("payload"),
     )
 
 
+def derived_id(record_id: Column) -> Column:
+    """The id that a record of the first archive has in the second: a name-based UUID (version 5) of its own."""
+    name = F.sha1(record_id.cast("binary"))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(name, 17, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
+    return F.concat(
+        F.lit("urn:uuid:"), F.substring(name, 1, 8), F.lit("-"), F.substring(name, 9, 4), F.lit("-5"), F.substring(name, 14, 3),
+        F.lit("-"), variant, F.substring(name, 18, 3), F.lit("-"), F.substring(name, 21, 12),
+    )
+
+
 def originals(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """payload_digest and original (its largest id) of payloads that several ids share."""
+    """payload_digest and original (its largest id) of payloads that several ids share, and one record of that id."""
+    last = F.max(F.struct("page_id", "record_id"))
     return (
         headers.filter((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
         .groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("original"), F.min("page_id").alias("lowest"))
+        .agg(last["page_id"].alias("original"), last["record_id"].alias("original_record"), F.min("page_id").alias("lowest"))
         .filter("lowest < original")
-        .select("payload_digest", "payload_bytes", "original")
+        .drop("lowest")
     )
 
 
@@ -223,11 +264,12 @@ def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int
     write_archive(
         records.select(
             "page_id",
+            derived_id(F.col("record_id")).alias("record_id"),
             F.when(again, "revisit").otherwise("response").alias("record_type"),
             "target_uri",
             "warc_date",
             "payload_digest",
-            F.when(again, F.col("original")).alias("refers_to"),
+            F.when(again, derived_id(F.col("original_record"))).alias("refers_to_record"),
             F.when(~again, F.col("payload")).alias("payload"),
         ),
         target,
@@ -235,19 +277,16 @@ def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Records with payload_bytes of revisits taken from the response they refer to."""
-    responses = records.filter("record_type = 'response' AND page_id IS NOT NULL").select(
-        F.col("page_id").alias("refers_to"),
-        "payload_digest",
-        F.col("payload_bytes").alias("original_bytes"),
+    """Records with payload_bytes of revisits taken from the response they refer to, and its page id as refers_to."""
+    responses = records.filter("record_type = 'response'").select(
+        F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("original_bytes")
     )
-    # One row for each response that is referred to: rows that repeat an id would multiply.
-    responses = responses.groupBy("refers_to", "payload_digest").agg(F.max("original_bytes").alias("original_bytes"))
-    plain = records.filter("record_type <> 'revisit'")
+    plain = records.filter("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    # Only responses that are referred to are wanted, and each once: their ids are distinct.
     revisits = (
         records.filter("record_type = 'revisit'")
         .drop("payload_bytes")
-        .join(responses, ["refers_to", "payload_digest"], "left")
+        .join(responses, "refers_to_record", "left")
         .withColumnRenamed("original_bytes", "payload_bytes")
     )
     return plain.unionByName(revisits)
