@@ -107,3 +107,17 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(60)
     stored = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     assert sorted((r.k, r.value) for r in streams.latest(stored, ["k"], "version").collect()) == [("a", 2.0), ("b", 5.0)]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from archivolt.storage import materialize, new_path, scratch
+
+    kept = new_path(spark, "kept")
+    with scratch(spark):
+        inside = materialize(spark.range(5), "inside")
+        folder = inside.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        inside.write.parquet(kept)
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder) and spark.read.parquet(kept).count() == 5
