@@ -1,10 +1,13 @@
 """A corpus pipeline of five stages on the table ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet to the shared folder and
-read again as the next one's docs. All but the last return the columns of ``documents``.
+read again as the next one's docs. All but the last return the columns of ``documents``. Stages run jobs of their own
+while they build their DataFrame (they write tables and fit models); ``run`` removes those tables, and the docs of a
+stage, once its result is written.
 
 Defined cases: rows without a letter go in the first stage; rows with a null doc_id pass all filters that compare
-documents; a document that line dedup leaves without a line goes; extra columns pass through to packing.
+documents; a document that line dedup leaves without a line goes; rows that repeat a doc_id are one document for the
+near duplicates; extra columns pass through to packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from archivolt.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
 from archivolt.session import table
-from archivolt.storage import materialize
+from archivolt.storage import new_path, remove, scratch
 
 #: Documents whose likeliest language has a lower posterior are rejected with those that have no letter.
 LEAST_SCORE = 0.5
@@ -56,8 +59,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window with a benchmark item go."""
-    marked = decontaminate.mark(_narrow(docs), table(spark, sf_dir, "benchmark"))
-    return _wide(marked.filter(F.size("hits") == 0), docs)
+    return _wide(decontaminate.without_hits(_narrow(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
