@@ -51,5 +51,34 @@ def test_run_gives_the_last_stage(spark, folder):
     assert [n for n, _ in pipeline.STAGES] == ["language", "lines", "simhash", "decontamination", "packing"]
 
 
+def written(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of this stands anywhere in these few documents at all")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    assert pipeline.run(spark, written(spark, tmp_path, [], schema)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path, odd_rows):
+    """Nulls, long texts, repeated rows, and extra columns named like those of the operators."""
+    extra = ("hits", "gone_", "key_", "version_", "best_", "lang_pred", "rest", "items", "fingerprint", "n_lines")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    rows = [(d, t, l, s, None if t is None else len(t), *extra) for d, t, l, s in odd_rows]
+    path = written(spark, tmp_path, rows, schema)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.schema.names == schema.replace(",", "").split()[::2], name
+        docs.write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        assert all(tuple(r[c] for c in extra) == extra for r in docs.collect())
+    kept = sorted(repr(r.doc_id) for r in docs.collect())
+    assert kept == sorted(["4", "5", "7", "None"])  # of 4 and 4 one, of 5 and 6 the first; without a letter none
+    assert sorted({repr(r.doc_id) for r in pipeline.run(spark, path).collect()}) == kept
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
