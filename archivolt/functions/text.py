@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Suffixes that editors and copies leave on a file stem; any run of them goes.
-STEM_SUFFIX = r"([ _.-]*(\(\d{1,3}\)|[ _-]copy( \d{1,3})?|[ _-]kopie|[ _-]edited|[ _-]edit|[ _-]e\d{0,3}))+$"
+#: Suffixes that copies and edits leave on a file stem; any run of them goes.
+STEM_SUFFIXES = (r"\s+copy", r"\s+duplicate", r"\s+dup", r"\s+alternate", r"\s+edited", r"\s+trimmed", r"\s*\(\d+\)", r"\s+-\s*\d+")
+STEM_SUFFIX = rf"(\s*({'|'.join(STEM_SUFFIXES)}))+\s*$"
 
 
 @F.pandas_udf(StringType())
@@ -24,10 +25,15 @@ def ascii_fold(values: pd.Series) -> pd.Series:
 
 def normalized_stem(filename: Column) -> Column:
     """Lower-case letters and digits of the folded stem without extension, copy and edit suffixes."""
-    stem = F.lower(F.regexp_replace(ascii_fold(filename), r"\.[A-Za-z0-9]{1,5}$", ""))
+    stem = F.trim(F.lower(ascii_fold(F.regexp_replace(filename, r"(?<=[^.])\.[^.]*$", ""))))
     return F.regexp_replace(F.regexp_replace(stem, STEM_SUFFIX, ""), "[^a-z0-9]+", "")
 
 
+def clean_text(text: Column, links: Column) -> Column:
+    """Short links expanded, runs of blanks in a line one, at most one blank line, ends trimmed."""
+    return collapse_blank(expand_links(text, links))
+
+
 def collapse_blank(text: Column) -> Column:
     """Runs of blanks become one, more than one blank line becomes one, ends are trimmed."""
     lines = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ?\n ?", "\n")
@@ -103,21 +109,34 @@ def visible_text(values: pd.Series) -> pd.Series:
     return values.map(html_text)
 
 
+#: Characters whose Windows-1252 byte differs from their code.
+_WINDOWS = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: Runs of characters with the shape of one UTF-8 sequence.
+_SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
 def repaired(value: str | None) -> str | None:
-    """Undo up to two rounds of UTF-8 read as Latin-1 (or its Windows form), where that loses nothing."""
+    """Undo up to two rounds of UTF-8 read as Latin-1 or Windows-1252, each damaged character by itself; the rest stays."""
     if value is None:
         return None
+
+    def decoded(found: re.Match) -> str:
+        try:
+            better = bytes(map(ord, found[0])).decode("utf-8")
+        except UnicodeDecodeError:
+            better = ""
+        return better if better and better.isprintable() else value[found.start() : found.end()]
+
     for _ in range(2):
-        for encoding in ("latin-1", "cp1252"):
-            try:
-                better = value.encode(encoding).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-            break
-        else:
-            return value
+        # One code for each character, so places in both texts agree.
+        codes = "".join(_WINDOWS.get(c, c) for c in value)
+        out, at = [], 0
+        for found in _SEQUENCE.finditer(codes):
+            out += [value[at : found.start()], decoded(found)]
+            at = found.end()
+        better = "".join([*out, value[at:]])
         if better == value:
-            return value
+            break
         value = better
     return value
 

@@ -80,12 +80,11 @@ def local_date(instant: Column, offset_minutes: Column) -> Column:
 
 
 def fixed_zone(offset_minutes: Column) -> Column:
-    """The Etc zone of whole hours, whose sign is reversed; null for other offsets."""
+    """The Etc zone of whole hours, whose sign is reversed, and the one zone of half an hour that is known; else null."""
     hours = (offset_minutes / 60).cast("int")
-    name = F.when(hours == 0, "Etc/GMT").when(hours > 0, F.concat(F.lit("Etc/GMT-"), hours.cast("string"))).otherwise(
-        F.concat(F.lit("Etc/GMT+"), (-hours).cast("string"))
-    )
-    return F.when(offset_minutes % 60 == 0, name)
+    sign = F.when(offset_minutes > 0, "-").otherwise("+")
+    whole = F.concat(F.lit("Etc/GMT"), sign, F.abs(hours).cast("string"))
+    return F.when(offset_minutes == 0, "Etc/UTC").when(offset_minutes % 60 == 0, whole).when(offset_minutes == 330, "Asia/Kolkata")
 
 
 def ticks_date(ticks: Column) -> Column:

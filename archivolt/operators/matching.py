@@ -86,32 +86,31 @@ def right_node(name: str) -> Column:
 def unique_bipartite_matching(edges: DataFrame, group: str, left: str, right: str) -> DataFrame:
     """(group, left, right) of the perfect matching of each group, if it has exactly one.
 
-    Groups are small sets of attachments and files; each is solved on its own by
-    counting perfect matchings up to two. Groups without any, or with several,
-    give no row.
+    A bipartite graph with exactly one perfect matching has a node with one edge, and what is left without the two
+    nodes of that edge has one again; so taking such edges until none is left finds it, in linear time, or there is
+    none or several, and the group gives no row.
     """
     import pyarrow as pa
 
     def solve(pairs: list[dict]) -> list[dict]:
-        options: dict = {}
+        near: dict = {}
         for pair in pairs:
-            options.setdefault(pair["a"], set()).add(pair["b"])
-        order = sorted(options, key=lambda a: (len(options[a]), a))
-        found: list[dict] = []
-
-        def place(i: int, used: dict) -> None:
-            if len(found) > 1:
-                return
-            if i == len(order):
-                found.append(used)
-                return
-            for b in sorted(options[order[i]]):
-                if b not in used:
-                    place(i + 1, used | {b: order[i]})
-
-        if len({pair["b"] for pair in pairs}) == len(order):
-            place(0, {})
-        return [{"a": a, "b": b} for b, a in found[0].items()] if len(found) == 1 else []
+            for x, y in ((("a", pair["a"]), ("b", pair["b"])), (("b", pair["b"]), ("a", pair["a"]))):
+                near.setdefault(x, set()).add(y)
+        single, out = [x for x, ys in near.items() if len(ys) == 1], []
+        while single:
+            x = single.pop()
+            if x not in near or len(near[x]) != 1:
+                continue
+            (y,) = near.pop(x)
+            out.append({x[0]: x[1], y[0]: y[1]})
+            for z in near.pop(y) - {x}:
+                near[z].discard(y)
+                if len(near[z]) == 1:
+                    single.append(z)
+                elif not near[z]:
+                    return []
+        return [] if near else out
 
     grouped = edges.groupBy(group).agg(F.collect_set(F.struct(F.col(left).alias("a"), F.col(right).alias("b"))).alias("pairs"))
     kinds = dict(grouped.dtypes)

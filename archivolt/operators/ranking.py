@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.storage import materialize
+
 
 def rank_with_gap(rows: DataFrame, key: list[str], score: Column, order: list[Column], digits: int = 6) -> DataFrame:
     """``rank`` by the score rounded half to even, then ``order``; ``gap_to_best`` in the score."""
@@ -110,38 +112,49 @@ def occurrence(rows: DataFrame, content: list[str], order: list[Column], name: s
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*content).orderBy(*order)) - 1)
 
 
+def bounded_top(rows: DataFrame, key: list[str], order: list[Column], k: int, spread: Column, parts: int = 64) -> DataFrame:
+    """The first k rows of each key, cut in parts of a key before the key as a whole, so that no task sorts a hot one.
+
+    ``spread`` deals the rows of a key to parts; it should tell them apart.
+    """
+    part = F.pmod(F.xxhash64(spread), F.lit(parts))
+    first = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order))
+    again = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    cut = rows.withColumn("_part", part).withColumn("_n", first).filter(F.col("_n") <= k).drop("_part")
+    return cut.withColumn("_n", again).filter(F.col("_n") <= k).drop("_n")
+
+
 def agreed_pick(rows: DataFrame, key: list[str], priority: Column, values: list[str]) -> DataFrame:
-    """Per key the values of the first priority, or none if any row's values are not close to them.
+    """Per key the values of the first priority, or none if any row's values are null or not close to them.
 
-    Close: within 1e-6, or 1e-9 of the larger magnitude. Ties of priority go to the smallest values.
+    Close: within 1e-6, or 1e-9 of the larger magnitude. Ties of priority go to the smallest values. The values
+    farthest from the picked ones are the least and the largest, which combine before the shuffle.
     """
+    ends = [f(F.col(v)).alias(f"_{n}_{v}") for v in values for n, f in (("low", F.min), ("high", F.max))]
     picked = rows.groupBy(*key).agg(
-        F.min_by(F.struct(*values), F.struct(priority, *values)).alias("_p"), F.collect_list(F.struct(*values)).alias("_all")
+        F.min_by(F.struct(*values), F.struct(priority, *values)).alias("_p"), *ends, F.bool_and(F.concat(*values).isNotNull()).alias("_given")
     )
-
-    def close(row: Column) -> Column:
-        out = F.lit(True)
-        for v in values:
-            a, b = row[v], F.col("_p")[v]
-            out = out & (F.abs(a - b) <= F.greatest(F.lit(1e-6), 1e-9 * F.greatest(F.abs(a), F.abs(b))))
-        return out
-
-    return picked.filter(F.forall("_all", close)).select(*key, *[F.col("_p")[v].alias(v) for v in values])
+    close = F.col("_given")
+    for v in values:
+        for end in (F.col(f"_low_{v}"), F.col(f"_high_{v}")):
+            b = F.col("_p")[v]
+            close = close & (F.abs(end - b) <= F.greatest(F.lit(1e-6), 1e-9 * F.greatest(F.abs(end), F.abs(b))))
+    return picked.filter(close).select(*key, *[F.col("_p")[v].alias(v) for v in values])
 
 
 def spaced_top_k(rows: DataFrame, key: str, index: str, score: str, k: int, least_gap: int) -> DataFrame:
     """Greedy best k of each group whose indices lie at least ``least_gap`` apart; higher scores first, then lower index.
 
-    The fold runs over the sorted frames of one group in a higher-order function.
+    One round per place: a grouped maximum, which combines before the shuffle, and a join that drops what is too near.
     """
-    frames = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(index).cast("long").alias("i"))))
-    start = F.array().cast("array<bigint>")
-
-    def take(kept: Column, frame: Column) -> Column:
-        apart = F.forall(kept, lambda x: F.abs(x - frame["i"]) >= least_gap)
-        return F.when((F.size(kept) < k) & apart, F.concat(kept, F.array(frame["i"]))).otherwise(kept)
-
-    return rows.groupBy(key).agg(frames.alias("_f")).select(key, F.posexplode(F.aggregate("_f", start, take)).alias("place", index))
+    left, picks = rows.select(key, F.col(index).cast("long").alias(index), score), None
+    for place in range(k):
+        best = left.groupBy(key).agg(F.max_by(index, F.struct(score, -F.col(index))).alias("_best"))
+        best = materialize(best, "picks")
+        found = best.select(key, F.lit(place).alias("place"), F.col("_best").alias(index))
+        picks = found if picks is None else picks.unionByName(found)
+        left = left.join(best, key).filter(F.abs(F.col(index) - F.col("_best")) >= least_gap).drop("_best")
+    return picks
 
 
 def unique_names(rows: DataFrame, identity: str, options: list[Column]) -> DataFrame:

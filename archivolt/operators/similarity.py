@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivolt.operators.ranking import bounded_top
+
 
 def coarse_bands(values: Column, bands: int, bin_width: float, name: str = "band") -> Column:
     """Array of (name, value): the values cut into ``bands`` runs, each run's bins joined by commas."""
@@ -26,15 +28,11 @@ def band_votes(targets: DataFrame, index: DataFrame, cap: int) -> DataFrame:
     path. Of each target's band at most ``cap`` hits count, by path and view; a
     hit weighs one by the number of hits of its band.
     """
-    band = Window.partitionBy("target", "band_name", "band_value")
-    hits = (
-        targets.select("target", "band_name", "band_value")
-        .distinct()
-        .join(index.select("path", "view", "band_name", "band_value"), ["band_name", "band_value"])
-        .withColumn("_n", F.row_number().over(band.orderBy("path", "view")))
-        .filter(F.col("_n") <= cap)
-        .withColumn("band_hits", F.count(F.lit(1)).over(band))
-    )
+    band = ["band_name", "band_value"]
+    # The first hits of a band are the same for all targets, so the index is cut before the join.
+    held = bounded_top(index.select("path", "view", *band), band, [F.col("path"), F.col("view")], cap, F.concat_ws(":", "path", "view"))
+    sizes = held.groupBy(*band).agg(F.count(F.lit(1)).alias("band_hits"))
+    hits = targets.select("target", *band).distinct().join(held, band).join(sizes, band)
     return hits.groupBy("target", "path").agg(
         F.count(F.lit(1)).alias("votes"),
         F.sum(1 / F.col("band_hits")).alias("rarity"),

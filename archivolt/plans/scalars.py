@@ -50,13 +50,13 @@ def x05_signed_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", values.signed_degrees(dms, F.when(key % 2 == 0, "South").otherwise("N")).alias("degrees"))
 
 
-@query("SELECT p_partkey, 'photo' || p_partkey AS stem FROM part")
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 4 THEN 'photo' || p_partkey || 'kopie' WHEN 5 THEN 'photo' || p_partkey || '2' ELSE 'photo' || p_partkey END AS stem FROM part
+""")
 def x07_normalized_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stems without accents, extensions and the suffixes of copies and edits."""
-    key = F.col("p_partkey").cast("string")
-    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Phóto_"), key, F.lit("_copy 2 (1).JPG"))).when(
-        F.col("p_partkey") % 3 == 1, F.concat(F.lit("PHOTO-"), key, F.lit("-edited.jpeg"))
-    ).otherwise(F.concat(F.lit("photo "), key, F.lit(".png")))
+    """Stems without accents, extensions and the suffixes of copies and edits, in any number and order."""
+    forms = ["Phóto_%d copy (2).JPG", "PHOTO-%d Edited duplicate.jpeg", "photo %d - 12 dup.tar", "photo%d alternate (1) trimmed.x", "photo %d kopie.png", "photo %d-2.png"]
+    name = F.element_at(F.array(*[F.format_string(f, F.col("p_partkey")) for f in forms]), (F.col("p_partkey") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", text.normalized_stem(name).alias("stem"))
 
 
@@ -97,12 +97,44 @@ def x13_text_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.text_change(F.col("text"), after).alias("status"))
 
 
-@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE lang IN ('fr', 'de', 'es')")
+@query("""
+SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text || ' 🙂' WHEN 1 THEN '中 “' || text || '” Ã' ELSE 'déjà vu ' || doc_id END) AS digest FROM documents
+""")
 def x15_repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that were read once with the wrong encoding, restored to what they were."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de", "es"))
-    broken = docs.select("doc_id", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"))
-    return broken.select("doc_id", F.md5(text.repair_mojibake("text").cast("binary")).alias("digest"))
+    """Texts that were read once or twice with the wrong encoding, in whole or in part, restored to what they were."""
+
+    def wrong(c):
+        return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+
+    mixed = F.concat(F.lit("中 “"), wrong(F.col("text")), F.lit("” Ã"))
+    third = F.col("doc_id") % 3
+    twice = wrong(wrong(F.concat(F.lit("déjà vu "), F.col("doc_id").cast("string"))))
+    broken = F.when(third == 0, wrong(F.concat("text", F.lit(" 🙂")))).when(third == 1, mixed).otherwise(twice)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.repair_mojibake(broken).cast("binary")).alias("digest"))
+
+
+@query(r"""
+SELECT doc_id, md5('see https://example.org/' || doc_id || ' now' || chr(10) || chr(10) || trim(regexp_replace(regexp_replace(replace(text, chr(9), ' '), ' +', ' ', 'g'), ' ?\n ?', chr(10), 'g'))) AS digest FROM documents
+WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%'
+""")
+def x17_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short links expanded, blanks and blank lines collapsed."""
+    docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("\n\n")))
+    number = F.col("doc_id").cast("string")
+    links = F.array(F.struct(F.lit("https://t.co/x").alias("short"), F.concat(F.lit("https://example.org/"), number).alias("target")), F.struct(F.lit("https://t.co/y").alias("short"), F.lit("").alias("target")))
+    raw = F.concat(F.lit("  see  https://t.co/x \t now https://t.co/y\n\n \n\n"), "text")
+    return docs.select("doc_id", F.md5(text.clean_text(raw, links).cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN o = 0 THEN 'Etc/UTC' WHEN o % 60 = 0 THEN 'Etc/GMT' || CASE WHEN o > 0 THEN '-' ELSE '+' END || abs(o) // 60 WHEN o = 330 THEN 'Asia/Kolkata' END AS zone,
+  CAST(TIMESTAMP '2024-03-01 00:30:00' + to_minutes(o) AS DATE) AS day FROM (SELECT c_custkey, CAST(c_custkey % 57 * 30 - 840 AS INTEGER) AS o FROM customer)
+""")
+def x19_fixed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name of a fixed zone, and the date on its clock."""
+    offset = F.col("c_custkey") % 57 * 30 - 840
+    at = F.lit("2024-03-01 00:30:00").cast("timestamp")
+    return table(spark, sf_dir, "customer").select("c_custkey", values.fixed_zone(offset).alias("zone"), values.local_date(at, offset).alias("day"))
 
 
 @query("SELECT p_partkey, '[' || p_name || '](' || p_brand || ') end' AS body FROM part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.operators import filters, graph, matching, reconcile, similarity
@@ -67,13 +67,13 @@ def f09_months_then_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT l_partkey, list(CAST(l_shipdate AS DATE)) FILTER (l_returnflag = 'N') AS cap, list(CAST(l_shipdate AS DATE)) FILTER (l_returnflag = 'R') AS fs FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1)
+WITH d AS (SELECT l_partkey, list(CAST(l_shipdate AS DATE)) FILTER (l_returnflag = 'N') AS cap, list(CAST(l_shipdate AS DATE)) FILTER (l_returnflag = 'R') AS fs FROM lineitem GROUP BY 1)
 SELECT l_partkey FROM d WHERE CASE WHEN len(coalesce(cap, [])) > 0 THEN len(list_filter(cap, lambda x: abs(date_diff('day', x, DATE '1998-03-01')) <= 20)) > 0
   ELSE l_partkey % 4 <> 0 AND len(list_filter(coalesce(fs, []), lambda x: abs(date_diff('day', x, DATE '1998-03-01')) <= 20)) > 0 END
 """)
 def f10_capture_dates_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture dates win over filesystem dates, which count only without a date in the name."""
-    lists = table(spark, sf_dir, "lineitem").filter("l_partkey % 2 = 0").groupBy("l_partkey").agg(
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
         F.collect_list(F.when(F.col("l_returnflag") == "N", F.to_date("l_shipdate"))).alias("cap"),
         F.collect_list(F.when(F.col("l_returnflag") == "R", F.to_date("l_shipdate"))).alias("fs"),
     )
@@ -82,27 +82,28 @@ def f10_capture_dates_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT a.doc_id, b.doc_id AS other_id FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars = b.n_chars
-WHERE a.doc_id <> b.doc_id AND (md5(a.text) <> md5(b.text) OR b.doc_id % 7 = 0)
+WITH t AS (SELECT l_orderkey, min((l_linenumber, l_partkey, l_suppkey)) AS t FROM lineitem GROUP BY 1)
+SELECT l.l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l JOIN t USING (l_orderkey)
+WHERE l_returnflag = 'A' OR (l_partkey <> t[2] AND l_suppkey <> t[3])
 """)
 def f11_not_the_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that are not the target itself by id or content, except allowed ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("sha"))
-    other = docs.select(F.col("doc_id").alias("other_id"), "source", "n_chars", F.col("sha").alias("other_sha"))
-    pairs = docs.join(other, ["source", "n_chars"]).filter("doc_id <> other_id")
-    fine = filters.not_the_target({"sha": F.col("other_sha")}, {"sha": F.col("sha")}, F.col("other_id") % 7 == 0)
-    return pairs.filter(fine).select("doc_id", "other_id")
+    """Candidates of an entry that are not its target by either key, except allowed ones."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    target = lines.groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("t"))
+    keys = ("l_partkey", "l_suppkey")
+    fine = filters.not_the_target({k: F.col(k) for k in keys}, {k: F.col("t")[k] for k in keys}, F.col("l_returnflag") == "A")
+    return lines.join(target, "l_orderkey").filter(fine).drop("t", "l_returnflag")
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE l_orderkey % 2 = 0 AND NOT EXISTS
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l WHERE NOT EXISTS
   (SELECT 1 FROM lineitem r WHERE r.l_returnflag = 'R' AND r.l_orderkey = l.l_orderkey AND (r.l_partkey = l.l_partkey OR r.l_suppkey = l.l_suppkey))
 """)
 def f12_without_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates not rejected before for their entry, by either key."""
     lines = table(spark, sf_dir, "lineitem")
     rejected = lines.filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey", "l_suppkey")
-    left = filters.without_rejected(lines.filter("l_orderkey % 2 = 0"), rejected, "l_orderkey", ["l_partkey", "l_suppkey"])
+    left = filters.without_rejected(lines, rejected, "l_orderkey", ["l_partkey", "l_suppkey"])
     return left.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -169,7 +170,7 @@ def u09_best_of_equal_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _G01 = """
-WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, s_suppkey AS b FROM customer JOIN supplier ON s_nationkey = c_nationkey AND abs(c_acctbal - s_acctbal) < 12),
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49.5 AND l_discount < 0.005),
 n AS (SELECT a * 2 AS x, b * 2 + 1 AS y FROM e UNION SELECT b * 2 + 1, a * 2 FROM e),
 r(x, y) AS (SELECT x, x FROM n UNION SELECT n.x, r.y FROM n JOIN r ON n.y = r.x),
 c AS (SELECT x, min(y) AS component FROM r GROUP BY 1)
@@ -181,20 +182,16 @@ FROM e JOIN c ON c.x = e.a * 2 GROUP BY 1
 @query(_G01)
 def g01_ambiguous_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of candidate pairs; those that are not one to one are ambiguous."""
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), "s_acctbal")
-    width = F.lit(12.0)
-    bucket = F.floor(F.col("s_acctbal") / width)
-    left = table(spark, sf_dir, "customer").withColumn("b", F.floor(F.col("c_acctbal") / width))
-    right = suppliers.withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    pairs = left.join(right, ["c_nationkey", "b"]).filter(F.abs(F.col("c_acctbal") - F.col("s_acctbal")) < 12)
-    pairs = pairs.select("c_custkey", "s_suppkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49.5 AND l_discount < 0.005").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    pairs = lines.join(orders, "o_orderkey").select("c_custkey", "s_suppkey").distinct()
     edges = pairs.select(matching.left_node("c_custkey").alias("src"), matching.right_node("s_suppkey").alias("dst"))
     return matching.cluster_sides(pairs, graph.connected_components(edges), "c_custkey", "s_suppkey")
 
 
 @query("""
-WITH RECURSIVE m AS (SELECT l_orderkey AS id, l_partkey % 211 AS bucket, l_quantity AS q, min(l_linenumber) AS line FROM lineitem WHERE l_orderkey < 1200 AND l_linenumber = 1 GROUP BY 1, 2, 3),
-e AS (SELECT a.id AS x, b.id AS y FROM m a JOIN m b ON a.bucket = b.bucket AND a.id <> b.id AND abs(a.q - b.q) <= 2),
+WITH RECURSIVE m AS (SELECT o_orderkey AS id, o_custkey || o_orderstatus AS bucket, o_totalprice AS q FROM orders),
+e AS (SELECT a.id AS x, b.id AS y FROM m a JOIN m b ON a.bucket = b.bucket AND a.id <> b.id AND abs(a.q - b.q) <= 20000),
 r(x, y) AS (SELECT x, x FROM e UNION SELECT e.x, r.y FROM e JOIN r ON e.y = r.x),
 c AS (SELECT x AS id, min(y) AS component FROM r GROUP BY 1),
 k AS (SELECT component, id, id % 7 = 0 AS keeper, id % 3 <> 0 AS pending, id % 11 = 0 AS edited FROM c)
@@ -204,10 +201,11 @@ FROM k GROUP BY 1 HAVING bool_or(pending) AND count(*) > 1
 """)
 def g02_duplicate_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate groups within buckets, with an elected keeper or a problem state."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 1200 AND l_linenumber = 1")
-    rows = lines.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 211).alias("bucket"), F.col("l_quantity").alias("q")).distinct()
-    other = rows.select(F.col("id").alias("dst"), "bucket", F.col("q").alias("p"))
-    edges = rows.join(other, "bucket").filter((F.col("id") < F.col("dst")) & (F.abs(F.col("q") - F.col("p")) <= 2))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderstatus", F.col("o_totalprice").alias("q"))
+    # Of values in order, each within the tolerance of the one before, neighbours link the group.
+    order = Window.partitionBy("o_custkey", "o_orderstatus").orderBy("q", "id")
+    near = rows.withColumns({"dst": F.lag("id").over(order), "p": F.lag("q").over(order)})
+    edges = near.filter(F.col("q") - F.col("p") <= 20000)
     members = graph.connected_components(edges.select(F.col("id").alias("src"), "dst")).select(
         "component",
         F.col("node").alias("id"),
@@ -265,7 +263,7 @@ def _descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRAY = """
 WITH g AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(least(greatest((CAST(x AS DOUBLE) + 4) * 32, 0), 255))::INT) AS gray FROM embeddings),
 b AS (SELECT vec_id, i, array_to_string(list_transform(gray[i * 8 + 1 : i * 8 + 8], lambda x: CAST(floor(x / 32.0) AS INT)), ',') AS v FROM g, range(8) r(i)),
-t AS (SELECT * FROM b WHERE vec_id < 40),
+t AS (SELECT * FROM b WHERE vec_id % 100 = 0),
 h AS (SELECT t.vec_id AS target, b.vec_id AS path, t.i, t.v, row_number() OVER (PARTITION BY t.vec_id, t.i, t.v ORDER BY b.vec_id) AS n FROM t JOIN b ON t.i = b.i AND t.v = b.v),
 c AS (SELECT *, count(*) OVER (PARTITION BY target, i, v) AS hits FROM h WHERE n <= 50),
 s AS (SELECT target, path, count(*) AS votes, sum(1.0 / hits) AS rarity, min(hits) AS best_band FROM c GROUP BY 1, 2)
@@ -283,7 +281,7 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = F.explode(similarity.coarse_bands(F.col("gray"), 8, 32.0)).alias("b")
     rows = _descriptors(spark, sf_dir).select("vec_id", bands).select("vec_id", "b.*")
     index = rows.select(F.col("vec_id").alias("path"), F.lit("full").alias("view"), "band_name", "band_value")
-    return similarity.band_votes(rows.filter("vec_id < 40").withColumnRenamed("vec_id", "target"), index, 50)
+    return similarity.band_votes(rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "target"), index, 50)
 
 
 @query(_GRAY + "SELECT target, path, votes, round(rarity, 6) AS rarity, best_band FROM s")
@@ -317,7 +315,7 @@ def j10_shortlist_then_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_with_gap(scored, ["target"], F.col("score"), [F.col("path")]).select("target", "path", F.round("score", 4).alias("score"), "rank")
 
 
-@query(_GRAY + """, d AS (SELECT a.vec_id AS target, b.vec_id AS path, list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS DOUBLE))) / 64 AS score FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id < 60),
+@query(_GRAY + """, d AS (SELECT a.vec_id AS target, b.vec_id AS path, list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS DOUBLE))) / 64 AS score FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round_even(score, 6), path) AS rank FROM d)
 SELECT target, path, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
 """)
@@ -326,7 +324,7 @@ def j09_scoped_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from archivolt.operators.ranking import rank_with_gap
 
     gray = _descriptors(spark, sf_dir)
-    left = gray.filter("vec_id < 60").select(F.col("vec_id").alias("target"), "label", F.col("gray").alias("x"))
+    left = gray.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("target"), "label", F.col("gray").alias("x"))
     right = gray.select(F.col("vec_id").alias("path"), "label", F.col("gray").alias("y"))
     pairs = left.join(right, "label").filter("target <> path")
     scored = pairs.withColumn("score", similarity.mean_squared_error(F.col("x"), F.col("y")))
@@ -336,11 +334,11 @@ def j09_scoped_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_GRAY + """, m AS (SELECT vec_id, gray, list_sum(gray) / 64.0 AS mean FROM g)
 SELECT a.vec_id AS target, b.vec_id AS path, list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: ((z[1] > a.mean) <> (z[2] > b.mean))::INT))::INT AS bits
-FROM m a JOIN m b ON a.vec_id < 30 AND b.vec_id = a.vec_id + 1
+FROM m a JOIN m b ON b.vec_id = a.vec_id + 1
 """)
 def v07_average_hash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hamming distance of average hashes of neighbouring frames."""
     hashes = _descriptors(spark, sf_dir).select("vec_id", similarity.average_hash(F.transform("gray", lambda x: x.cast("double"))).alias("h"))
     other = hashes.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("k"))
-    pairs = hashes.filter("vec_id < 30").join(other, "vec_id")
+    pairs = hashes.join(other, "vec_id")
     return pairs.select(F.col("vec_id").alias("target"), (F.col("vec_id") + 1).alias("path"), similarity.hamming(F.col("h"), F.col("k")).alias("bits"))

@@ -15,11 +15,11 @@ QUERIES, ORACLES, query = collector()
 @query("""
 SELECT l_partkey, l_orderkey, l_linenumber, CAST(n AS INTEGER) AS rank, round(l_extendedprice - best, 6) AS gap_to_best FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_quantity DESC, l_discount DESC, l_orderkey, l_linenumber) AS n,
-         min(l_extendedprice) OVER (PARTITION BY l_partkey) AS best FROM lineitem WHERE l_partkey < 300)
+         min(l_extendedprice) OVER (PARTITION BY l_partkey) AS best FROM lineitem)
 """)
 def w01_rank_with_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank by rounded score and three tie keys, with the gap to the best score."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_partkey < 300")
+    rows = table(spark, sf_dir, "lineitem")
     order = [F.col("l_quantity").desc(), F.col("l_discount").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
     ranked = ranking.rank_with_gap(rows, ["l_partkey"], F.col("l_extendedprice"), order)
     return ranked.select("l_partkey", "l_orderkey", "l_linenumber", "rank", F.round("gap_to_best", 6).alias("gap_to_best"))
@@ -60,33 +60,33 @@ def w04_likely_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SESSIONS = """
-WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey < 200),
-g AS (SELECT day, CASE WHEN date_diff('day', lag(day) OVER (ORDER BY day), day) <= 3 THEN 0 ELSE 1 END AS fresh FROM d),
-s AS (SELECT day, sum(fresh) OVER (ORDER BY day ROWS UNBOUNDED PRECEDING) AS session FROM g)
+WITH d AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders),
+g AS (SELECT o_custkey, day, CASE WHEN date_diff('day', lag(day) OVER (PARTITION BY o_custkey ORDER BY day), day) <= 60 THEN 0 ELSE 1 END AS fresh FROM d),
+s AS (SELECT o_custkey, day, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY day ROWS UNBOUNDED PRECEDING) AS session FROM g)
 """
 
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "orders").filter("o_custkey < 200").select(F.to_date("o_orderdate").alias("day")).distinct()
-    return temporal.gap_sessions(days.withColumn("all", F.lit(1)), ["all"], "day", 3).drop("all")
+    days = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day")).distinct()
+    return temporal.gap_sessions(days, ["o_custkey"], "day", 60)
 
 
-@query(_SESSIONS + "SELECT day, session FROM s")
+@query(_SESSIONS + "SELECT o_custkey, day, session FROM s")
 def w05_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of days with gaps of at most three. The input is one row per day, a short list."""
+    """Batches of days of each customer with gaps of at most sixty."""
     return _sessions(spark, sf_dir)
 
 
 @query(_SESSIONS + """
-SELECT 'B' || lpad(CAST(session AS VARCHAR), 3, '0') AS batch_id, min(day) AS first_day, max(day) AS last_day, count(*) AS days,
-       string_agg(CAST(day AS VARCHAR), ';' ORDER BY day) AS dates FROM s GROUP BY session
+SELECT o_custkey, 'B' || lpad(CAST(session AS VARCHAR), 3, '0') AS batch_id, min(day) AS first_day, max(day) AS last_day, count(*) AS days,
+       string_agg(CAST(day AS VARCHAR), ';' ORDER BY day) AS dates FROM s GROUP BY o_custkey, session
 """)
 def a20_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each gap session as a batch with its id, range and list of dates."""
     days = F.array_join(F.transform(F.sort_array(F.collect_list("day")), lambda d: d.cast("string")), ";")
-    return _sessions(spark, sf_dir).groupBy("session").agg(
+    return _sessions(spark, sf_dir).groupBy("o_custkey", "session").agg(
         F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count(F.lit(1)).alias("days"), days.alias("dates")
-    ).select(F.format_string("B%03d", F.col("session")).alias("batch_id"), "first_day", "last_day", "days", "dates")
+    ).select("o_custkey", F.format_string("B%03d", F.col("session")).alias("batch_id"), "first_day", "last_day", "days", "dates")
 
 
 @query("""
@@ -104,7 +104,13 @@ def w06_sessions_of_equal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("user_id", "event_type", "session").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query()
+_SPACED = "WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame, value FROM events),\ns0 AS (SELECT user_id, CAST([] AS BIGINT[]) AS kept FROM f GROUP BY 1)" + "".join(
+    f",\ns{k + 1} AS (SELECT user_id, list_append(kept, arg_min(frame, (-value, frame))) AS kept FROM f JOIN s{k} USING (user_id) WHERE len(list_filter(kept, lambda x: abs(x - frame) < 3)) = 0 GROUP BY user_id, kept)"
+    for k in range(6)
+)
+
+
+@query(_SPACED + " UNION ALL ".join(f"\nSELECT user_id, {k} AS place, kept[{k + 1}] AS frame FROM s{k + 1}" for k in range(6)))
 def w08_spaced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy best six frames of each user whose numbers lie at least three apart."""
     window = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -114,13 +120,13 @@ def w08_spaced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS dist
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey < 4000),
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY dist, l_orderkey, l_linenumber, l_suppkey) = 1 AS assigned FROM p)
 SELECT l_orderkey, count(*) AS candidates, count(*) FILTER (assigned) AS kept, count(*) FILTER (assigned) = 0 AS placeholder FROM r GROUP BY 1
 """)
 def w09_single_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each candidate stays with its closest entry; entries that lose all become placeholders."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey < 4000")
+    orders = table(spark, sf_dir, "orders")
     pairs = table(spark, sf_dir, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
     pairs = pairs.withColumn("dist", F.abs(F.datediff("l_shipdate", "o_orderdate")))
     order = [F.col("dist"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
@@ -188,13 +194,13 @@ def w13_correlated_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT l_partkey, l_linenumber, CASE WHEN l_partkey % 10 = 0 THEN 0.5 ELSE round(l_discount, 2) END AS lat, CASE WHEN l_partkey % 3 = 0 THEN 1.0 ELSE l_tax END AS lon FROM lineitem),
-p AS (SELECT l_partkey, arg_min({'lat': lat, 'lon': lon}, (l_linenumber, lat, lon)) AS p FROM v WHERE l_partkey % 5 = 0 GROUP BY 1)
+p AS (SELECT l_partkey, arg_min({'lat': lat, 'lon': lon}, (l_linenumber, lat, lon)) AS p FROM v GROUP BY 1)
 SELECT p.l_partkey, p.p.lat AS lat, p.p.lon AS lon FROM p
 WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.l_partkey = p.l_partkey AND (abs(v.lat - p.p.lat) > 1e-6 OR abs(v.lon - p.p.lon) > 1e-6))
 """)
 def w14_agreed_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first by priority, and none at all where candidates disagree."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_partkey % 5 = 0")
+    lines = table(spark, sf_dir, "lineitem")
     rows = lines.select(
         "l_partkey",
         "l_linenumber",
@@ -240,12 +246,12 @@ def w19_chunked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id, CAST(ts AS DATE) AS day, string_agg(CAST(event_id AS VARCHAR), ';' ORDER BY ts, event_id) AS ids FROM events WHERE user_id < 40 GROUP BY 1, 2
+SELECT user_id, CAST(ts AS DATE) AS day, string_agg(CAST(event_id AS VARCHAR), ';' ORDER BY ts, event_id) AS ids FROM events GROUP BY 1, 2
 """)
 def w20_album_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An album cut into days with ordered members."""
     members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda m: m["event_id"].cast("string")), ";")
-    events = table(spark, sf_dir, "events").filter("user_id < 40")
+    events = table(spark, sf_dir, "events")
     return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(members.alias("ids"))
 
 
@@ -263,11 +269,11 @@ def w22_first_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_by(table(spark, sf_dir, "lineitem"), ["l_orderkey"], order).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('11:' || o_orderkey), o_orderkey LIMIT 100")
 def w23_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample of a fixed size; the order is a hash of seed and key, so it does not depend on partitions."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    return orders.orderBy(F.xxhash64(F.lit(11), "o_orderkey"), "o_orderkey").limit(100)
+    return orders.orderBy(F.md5(F.concat(F.lit("11:"), F.col("o_orderkey").cast("string")).cast("binary")), "o_orderkey").limit(100)
 
 
 @query("SELECT o_orderkey, rn <= 20 AS on_page, rn > 20 AS has_more FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 21")

@@ -170,9 +170,29 @@ def descriptors(content: Column, density: int = 9, grid: int = 8) -> Column:
     return run(content)
 
 
-def is_black(rgb: np.ndarray, limit: float = 4.0) -> bool:
-    """Whether a conversion came out black: hardly any light on average and at most."""
-    return bool(rgb.mean() <= limit / 2 and np.percentile(rgb, 99) <= limit)
+#: Shares of full intensity above which a source is visible, and up to which a conversion is black.
+VISIBLE, BLACK = 0.02, 0.001
+
+
+def intensity(rgb: np.ndarray) -> tuple[float, float]:
+    """Mean and maximum of the channels, as shares of full intensity."""
+    return float(rgb.mean() / 255), float(rgb.max() / 255)
+
+
+def black_conversion(source: Column, output: Column) -> Column:
+    """Whether an image came out black of a source that is not; false where either cannot be read."""
+
+    def lost(before: bytes | None, after: bytes | None) -> bool:
+        first, second = pixels(before), pixels(after)
+        if first is None or second is None:
+            return False
+        return max(intensity(first)) > VISIBLE and max(intensity(second)) <= BLACK
+
+    @F.pandas_udf("boolean")
+    def run(sources: pd.Series, outputs: pd.Series) -> pd.Series:
+        return pd.Series([lost(a, b) for a, b in zip(sources, outputs, strict=True)])
+
+    return run(source, output)
 
 
 def sidecar_values(data: str | None, names: tuple[str, ...]) -> list[str]:
@@ -208,11 +228,11 @@ def html_cards(content: Column, card: str, fields: dict[str, str]) -> Column:
     from html.parser import HTMLParser
 
     class Cards(HTMLParser):
-        VOID = {"br", "img", "hr", "input", "meta", "link"}
+        VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.stack: list[set[str]] = []
+            self.stack: list[tuple[str, set[str]]] = []
             self.cards: list[dict[str, str]] = []
             self.depth: list[int] = []
 
@@ -220,21 +240,22 @@ def html_cards(content: Column, card: str, fields: dict[str, str]) -> Column:
             classes = set((dict(attrs).get("class") or "").split())
             if tag in self.VOID:
                 return
-            self.stack.append(classes)
+            self.stack.append((tag, classes))
             if set(card.split()) <= classes:
                 self.cards.append({})
                 self.depth.append(len(self.stack))
 
         def handle_endtag(self, tag):
-            if tag in self.VOID or not self.stack:
-                return
-            if self.depth and self.depth[-1] == len(self.stack):
-                self.depth.pop()
-            self.stack.pop()
+            """Close the nearest open node of that tag and all inside it; an end without a start closes nothing."""
+            open_ = [i for i, (name, _) in enumerate(self.stack) if name == tag]
+            if open_:
+                del self.stack[open_[-1] :]
+                while self.depth and self.depth[-1] > len(self.stack):
+                    self.depth.pop()
 
         def handle_data(self, data):
             if self.depth and data.strip():
-                open_classes = self.stack[self.depth[-1] - 1 :]
+                open_classes = [c for _, c in self.stack[self.depth[-1] - 1 :]]
                 for name, wanted in fields.items():
                     if any(set(wanted.split()) <= c for c in open_classes):
                         held = self.cards[-1]

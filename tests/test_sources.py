@@ -67,7 +67,9 @@ def test_pixels_views_and_headers(spark, tmp_path):
     df = spark.read.format("binaryFile").load(str(tmp_path / "a.bmp"))
     row = df.select(media.descriptors(F.col("content"), 3, 4).alias("v"), media.dimensions("content").alias("d")).first()
     assert len(row.v) == 4 and row.v[0].mean_rgb == [127.5, 0.0, 0.0] and tuple(row.d) == (8, 4)
-    assert media.is_black(np.zeros((4, 4, 3))) and not media.is_black(rgb)
+    dark = b"P6\n8 4\n255\n" + bytes(96)
+    pairs = spark.createDataFrame([(ppm, dark), (dark, dark), (ppm, ppm), (b"nothing", dark)], "a binary, b binary")
+    assert [r.x for r in pairs.select(media.black_conversion(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, False, False]
 
 
 def test_exif_and_sidecars():
@@ -85,6 +87,10 @@ def test_html_cards(spark):
     page = '<div class="post card"><span class="body x">Hi <b>you</b></span><br><a class="url">u1</a></div><div class="other">no</div>'
     found = spark.createDataFrame([(page,)], "h string").select(media.html_cards(F.col("h"), "card", {"text": "body", "url": "url"}).alias("c")).first().c
     assert found == [{"text": "Hi you", "url": "u1"}]
+    # Void and unclosed nodes keep no card open, and an end without a start closes none.
+    page = '<div class="card"><source><p class="body">one<li></i></div><p class="body">outside</p><div class="card"><p class="body">two</div>'
+    found = spark.createDataFrame([(page,)], "h string").select(media.html_cards(F.col("h"), "card", {"text": "body"}).alias("c")).first().c
+    assert found == [{"text": "one"}, {"text": "two"}]
 
 
 def test_packages_and_gate(spark, tmp_path):
