@@ -98,7 +98,7 @@ def x13_text_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text || ' 🙂' WHEN 1 THEN '中 “' || text || '” Ã' ELSE 'déjà vu ' || doc_id END) AS digest FROM documents
+SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text || ' 🙂' WHEN 1 THEN '中 “' || text || '” Ã' ELSE 'café naïve ' || doc_id END) AS digest FROM documents
 """)
 def x15_repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that were read once or twice with the wrong encoding, in whole or in part, restored to what they were."""
@@ -108,7 +108,7 @@ def x15_repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mixed = F.concat(F.lit("中 “"), wrong(F.col("text")), F.lit("” Ã"))
     third = F.col("doc_id") % 3
-    twice = wrong(wrong(F.concat(F.lit("déjà vu "), F.col("doc_id").cast("string"))))
+    twice = wrong(wrong(F.concat(F.lit("café naïve "), F.col("doc_id").cast("string"))))
     broken = F.when(third == 0, wrong(F.concat("text", F.lit(" 🙂")))).when(third == 1, mixed).otherwise(twice)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.repair_mojibake(broken).cast("binary")).alias("digest"))
 
