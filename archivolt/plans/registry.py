@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from archivolt.plans import aggregates, catalogue, joins, records, scalars, sets, windows
+from archivolt.plans import aggregates, catalogue, joins, records, scalars, sets, states, windows
 
-MODULES = (aggregates, catalogue, joins, records, scalars, sets, windows)
+MODULES = (aggregates, catalogue, joins, records, scalars, sets, states, windows)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
