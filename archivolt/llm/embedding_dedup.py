@@ -3,8 +3,11 @@
 Equal vectors of a label are one node with a weight and a number of its own. Centroids are fitted on a bounded sample;
 every node is indexed in its nearest cell and looks for others in all cells whose border is near enough. For x in cell
 c and y in cell d, the distances of both to the plane between c and d add up to at most |x - y|, so one of them is at
-most half of that: a node that asks in every cell whose plane is within sqrt((1 - threshold) / 2) finds, or is found
-by, all others that link with it. The index is exact whatever the number of cells.
+most half of that: with a reach of sqrt((1 - threshold) / 2) every pair is found, whatever the number of cells. That
+bound is met only by a step straight across the border. A step in any of n directions alike crosses it by its length
+over sqrt(n - 1) in the mean, so the reach is cut to ``SIGMAS`` times that, with n the participation ratio of the
+sample's covariance; where n is small nothing is cut. Neither depends on the size of the table. ``sigmas=None`` keeps
+the exact bound.
 
 Within a cell, queries and indexed nodes are dealt to blocks of about ``BLOCK`` rows; each pair of blocks is one matrix
 product. A pair that both sides would find is counted once for each. Groups leave a task as trees of bounded fan-out
@@ -28,7 +31,9 @@ from archivolt.llm._io import map_rows, materialize
 from archivolt.operators.graph import connected_components
 
 THRESHOLD = 0.93
-BLOCK = 192
+#: Standard deviations of the way that two vectors at the threshold differ across a border, within which cells are asked.
+SIGMAS = 3.0
+BLOCK = 512
 #: Vectors per cell and label that the number of cells aims at, and the most cells.
 CELL_ROWS = 512
 MAX_CELLS = 4096
@@ -59,8 +64,14 @@ def _unit(rows: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit_cells(nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Unit centroids by dimension, fitted on a sample taken by hash of the id; a dimension without any has one cell."""
+def directions(x: np.ndarray) -> float:
+    """Participation ratio of the covariance: in how many directions the rows spread alike."""
+    spread = np.linalg.eigvalsh(np.cov(x.T)) if len(x) > 1 and x.shape[1] > 1 else np.ones(1)
+    return float(spread.sum() ** 2 / max((spread**2).sum(), 1e-300))
+
+
+def fit_cells(nodes: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
+    """Unit centroids and spread by dimension, fitted on a sample taken by hash of the id; a dimension without any has one cell."""
     shape = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.max("dim").alias("dim")).first()
     if not shape.n:
         return {}
@@ -81,18 +92,19 @@ def fit_cells(nodes: DataFrame) -> dict[int, np.ndarray]:
             norms = np.linalg.norm(sums, axis=1)
             moved = norms > 0
             centers[moved] = sums[moved] / norms[moved, None]
-        out[int(dim)] = centers
+        out[int(dim)] = centers, directions(x)
     return out
 
 
-def _assign(nodes: DataFrame, cells: dict[int, np.ndarray], threshold: float) -> DataFrame:
+def _assign(nodes: DataFrame, cells: dict[int, tuple[np.ndarray, float]], threshold: float, sigmas: float | None) -> DataFrame:
     """Adds probes: the cell of a node, then all others whose border is near enough."""
     shared = nodes.sparkSession.sparkContext.broadcast(cells)
     names = nodes.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields), "probes array<int>"])
-    reach = float(np.sqrt(max(0.0, 1 - threshold) / 2))
+    bound = float(np.sqrt(max(0.0, 1 - threshold) / 2))
 
-    def near(x: np.ndarray, centers: np.ndarray) -> list[np.ndarray]:
+    def near(x: np.ndarray, centers: np.ndarray, spread: float) -> list[np.ndarray]:
+        reach = bound * min(1.0, sigmas / np.sqrt(max(spread - 1, 1e-9))) if sigmas is not None else bound
         closeness = x @ centers.T
         home = np.argmax(closeness, axis=1)
         used, place = np.unique(home, return_inverse=True)
@@ -108,11 +120,11 @@ def _assign(nodes: DataFrame, cells: dict[int, np.ndarray], threshold: float) ->
         probes: list = [None] * batch.num_rows
         for dim in np.unique(dims):
             own = np.flatnonzero(dims == dim)
-            centers = shared.value.get(int(dim))
-            if centers is None:
+            fitted = shared.value.get(int(dim))
+            if fitted is None:
                 nearest = [np.zeros(1, dtype=np.int32)] * len(own)
             else:
-                nearest = near(_unit(batch.column(names.index("embedding")).take(pa.array(own)), int(dim)), centers)
+                nearest = near(_unit(batch.column(names.index("embedding")).take(pa.array(own)), int(dim)), *fitted)
             for i, row in zip(own, nearest, strict=True):
                 probes[i] = row
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(probes, pa.list_(pa.int32()))], [*names, "probes"])
@@ -209,7 +221,7 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
     )
 
 
-def groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, sigmas: float | None = SIGMAS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = usable(vectors)
     # The numbers are drawn once, for the table is written; ids may repeat on different vectors.
@@ -219,7 +231,7 @@ def groups(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK)
         .withColumn("node", F.monotonically_increasing_id()),
         "vectors",
     )
-    placed = materialize(_assign(nodes.drop("least"), fit_cells(nodes), threshold), "cells")
+    placed = materialize(_assign(nodes.drop("least"), fit_cells(nodes), threshold, sigmas), "cells")
     compared = _blocks(placed, block).groupBy("label", "dim", "cell", "q", "i")
     found = materialize(compared.applyInArrow(lambda t: _compare(t, threshold), "a long, b long, n long"), "links")
     counts = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))

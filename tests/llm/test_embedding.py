@@ -34,7 +34,7 @@ def brute(rows):
     return sorted(map(repr, out)), held
 
 
-@pytest.mark.parametrize("block", [192, 7])
+@pytest.mark.parametrize("block", [512, 7])
 def test_links_and_components_against_brute_force(spark, block):
     rng = np.random.default_rng(3)
     rows, i = [], 0
@@ -57,21 +57,37 @@ def test_links_and_components_against_brute_force(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found if r.vec_id is not None)
 
 
-@pytest.mark.parametrize("spread", [0.2, 0.34])
-def test_every_link_is_found_on_many_cells(spark, monkeypatch, spread):
-    """Clusters of which many pairs are near 0.93, over more cells than any vector asks in."""
+def near_pairs(n=1500, dim=32, seed=5):
+    """Vectors without clusters, half of them with a neighbour at a cosine of just 0.93."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=(n, dim))
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    both = np.concatenate([x, 0.9301 * x + np.sqrt(1 - 0.9301**2) * u])
+    return [(i, [float(v) for v in row], 0) for i, row in enumerate(both)]
+
+
+def test_every_link_is_found_with_the_exact_bound(spark, monkeypatch):
     monkeypatch.setattr(E, "CELL_ROWS", 16)
-    rng = np.random.default_rng(5)
-    centers = rng.normal(size=(150, 32))
-    rows = [(i, [float(x) for x in centers[i % 150] + spread * rng.normal(size=32)], 0) for i in range(1200)]
-    table = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
-    found = E.groups(table).collect()
+    rows = near_pairs(500)
+    found = E.groups(spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA), sigmas=None).collect()
     wanted, _ = brute(rows)
-    assert sum(r.n_links for r in found) > 100
+    assert sum(r.n_links for r in found) >= 1000
     assert sorted(repr((r.vec_id, r.n_links, r.component_id)) for r in found) == wanted
-    nodes = table.select("label", "embedding", "vec_id").selectExpr("label", "32 AS dim", "embedding", "vec_id AS node")
-    probes = E._assign(nodes, E.fit_cells(nodes), 0.93).selectExpr("avg(size(probes)) AS mean").first()[0]
-    assert probes < 40  # of 75 cells
+
+
+@pytest.mark.parametrize("cell_rows", [300, 30, 6])
+def test_recall_and_probes_hold_at_every_number_of_cells(spark, monkeypatch, cell_rows):
+    """10, 100 and 500 cells: nearly all pairs just at the threshold are found, by asking in few cells."""
+    monkeypatch.setattr(E, "CELL_ROWS", cell_rows)
+    rows = near_pairs()
+    table = spark.createDataFrame([(*r, "k", 1) for r in rows], SCHEMA)
+    found = sum(r.n_links for r in E.groups(table).collect()) / 2
+    assert 0.98 * 1500 <= found <= 1500
+    nodes = table.selectExpr("label", "32 AS dim", "embedding", "vec_id AS node")
+    assert E._assign(nodes, E.fit_cells(nodes), 0.93, E.SIGMAS).selectExpr("avg(size(probes)) AS mean").first()[0] < 12
 
 
 def test_empty_table(spark):
