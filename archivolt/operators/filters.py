@@ -71,3 +71,44 @@ def best_date(rows: DataFrame, key: str, source: str, date: str, priority: list[
 def stale_rows(current: DataFrame, stored: DataFrame, key: str, versions: list[str]) -> DataFrame:
     """Current rows that are not stored with equal versions: what an incremental run has to process."""
     return current.join(stored.select(key, *versions), [key, *versions], "left_anti")
+
+
+def triage(
+    items: DataFrame,
+    frames: DataFrame,
+    key: str,
+    *,
+    first: str | None = None,
+    last: str | None = None,
+    date: str = "date",
+    statuses: list[str] | None = None,
+    status: str = "status",
+    term: str | None = None,
+    texts: tuple[str, ...] = (),
+    least: float | None = None,
+    most: float | None = None,
+    amount: str = "amount",
+    skip: list | None = None,
+    with_frames: bool | None = None,
+    without: Column | None = None,
+) -> DataFrame:
+    """Items that meet all of the filters that are given; ``without`` leaves out items that have such a frame.
+
+    Filters of columns come first and reach the scan; those that ask for frames are semi and anti joins.
+    """
+    kept = items.filter(
+        all_of(
+            F.col(date) >= first if first else None,
+            F.col(date) <= last if last else None,
+            F.col(status).isin(statuses) if statuses else None,
+            contains_text(term, *texts) if term else None,
+            F.col(amount) >= least if least is not None else None,
+            F.col(amount) <= most if most is not None else None,
+            ~F.col(key).isin(skip) if skip else None,
+        )
+    )
+    if with_frames is not None:
+        kept = kept.join(frames.select(key), key, "left_semi" if with_frames else "left_anti")
+    if without is not None:
+        kept = kept.join(frames.filter(without).select(key), key, "left_anti")
+    return kept

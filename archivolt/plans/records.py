@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import records
-from archivolt.operators import ranking
+from archivolt.operators import filters, ranking
 from archivolt.plans._base import collector
 from archivolt.session import table
 
@@ -416,3 +416,18 @@ def v09_preferred_photo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of photos that show the same (a distance of zero by content), the larger, then the heavier, then the first."""
     order = [F.col("l_quantity").desc(), F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
     return ranking.first_by(table(spark, sf_dir, "lineitem"), ["l_partkey"], order).select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+
+
+@query("""
+SELECT o_orderkey FROM orders o WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND o_orderstatus IN ('O', 'P') AND contains(lower(o_orderpriority), 'e') AND o_totalprice BETWEEN 50000 AND 400000
+  AND o_orderkey NOT IN (7, 14, 21) AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')
+""")
+def f21_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten optional filters at once, with items left out that have a private frame."""
+    items = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    frames = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    kept = filters.triage(
+        items, frames, "o_orderkey", first="1996-01-01", last="1999-12-31", date="day", statuses=["O", "P"], status="o_orderstatus", term="E",
+        texts=("o_orderpriority",), least=50_000, most=400_000, amount="o_totalprice", skip=[7, 14, 21], with_frames=True, without=F.col("l_returnflag") == "R",
+    )
+    return kept.select("o_orderkey")

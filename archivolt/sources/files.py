@@ -98,7 +98,11 @@ def chunked_records(spark: SparkSession, path: str, item_schema: str, key: str =
     """Items of numbered files {count, items: [...]}: equal repeats once, different rows of one key as ``conflict``."""
     files = spark.read.schema(f"count long, items array<struct<{item_schema}>>").option("multiLine", True).json(path)
     number = F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).try_cast("int")
-    items = files.select(F.coalesce(number, F.lit(0)).alias("chunk"), F.posexplode("items").alias("place", "item"))
+    return keyed_items(files.select(F.coalesce(number, F.lit(0)).alias("chunk"), F.posexplode("items").alias("place", "item")), key)
+
+
+def keyed_items(items: DataFrame, key: str) -> DataFrame:
+    """The first item of each key by chunk and place, and whether others of the key differ."""
     body = F.to_json("item")
     return items.groupBy(F.col("item")[key].alias(key)).agg(
         F.min_by("item", F.struct("chunk", "place")).alias("item"), (F.count_distinct(body) > 1).alias("conflict")
@@ -118,3 +122,143 @@ def table_count(spark: SparkSession, path: str, distinct: str | None = None) ->
         return None
     rows = spark.read.parquet(path)
     return rows.count() if distinct is None else rows.select(distinct).distinct().count()
+
+
+def archive_issues(members: DataFrame, archive: Column, first: str | None = None, last: str | None = None) -> DataFrame:
+    """(archive, month, member, code) of what is wrong with monthly archives and their dated members.
+
+    ``archive`` is the name of a member's archive, yyyy-MM if it is right. With a range of months, or the ends that
+    occur where one is left out, months without an archive are named too.
+    """
+    found = members.withColumns({"_path": F.col("archive"), "_name": archive})
+    month = F.nullif(F.regexp_extract("_name", r"^((?:19|20)\d{2}-(?:0[1-9]|1[0-2]))(?:$|[^0-9])", 1), F.lit(""))
+    day = F.regexp_extract("member", r"^(\d{4}-\d{2}-\d{2})\.(png|txt)$", 1)
+    found = found.withColumns({"month": month, "_day": day, "_strict": F.col("_name").rlike(r"^\d{4}-(0[1-9]|1[0-2])$")})
+    dated = F.try_to_date("_day", "yyyy-MM-dd")
+    code = (
+        F.when(F.col("issue").isNotNull(), F.col("issue"))
+        .when(F.col("_day") == "", "invalid_internal_filename")
+        .when(dated.isNull(), "invalid_internal_date")
+        .when(F.substring("_day", 1, 7) != F.col("month"), "member_of_other_month")
+    )
+    inside = found.select(F.col("_name").alias("archive"), "month", "member", code.alias("code")).filter("code IS NOT NULL")
+    archives = found.select("_path", F.col("_name").alias("archive"), "month", "_strict").distinct()
+    named = archives.filter(~F.col("_strict")).select("archive", "month", F.lit(None).cast("string").alias("member"), F.lit("invalid_zip_filename").alias("code"))
+    several = archives.groupBy("month").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND month IS NOT NULL")
+    twice = several.select(F.lit(None).cast("string").alias("archive"), "month", F.lit(None).cast("string").alias("member"), F.lit("duplicate_month").alias("code"))
+    out = inside.unionByName(named).unionByName(twice)
+    if first or last:
+        ends = archives.agg(F.min("month").alias("a"), F.max("month").alias("b"))
+        start = lambda given, seen: F.to_date(F.concat(F.lit(given) if given else F.col(seen), F.lit("-01")))
+        wanted = ends.select(F.explode(F.sequence(start(first, "a"), start(last, "b"), F.expr("interval 1 month"))).alias("m"))
+        gone = wanted.select(F.date_format("m", "yyyy-MM").alias("month")).join(archives.filter("month IS NOT NULL"), "month", "left_anti")
+        none = F.lit(None).cast("string")
+        out = out.unionByName(gone.select(none.alias("archive"), "month", none.alias("member"), F.lit("missing_month").alias("code")))
+    return out
+
+
+def diary_archive(members: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records of the one JSON member of each archive, media per archive and local time); several or no JSON is an error.
+
+    Media lie in folders media/yyyy-MM-dd_HHmmss.../, whose name is the time of their entry.
+    """
+    is_json = F.lower("member").endswith(".json")
+    odd = members.groupBy("archive").agg(F.count_if(is_json).alias("n")).filter("n <> 1").limit(1).collect()
+    if odd:
+        raise ValueError(f"{odd[0].archive} holds {odd[0].n} JSON files instead of one")
+    documents = members.filter(is_json).select("archive", F.explode(F.from_json(member_text(F.col("content")), f"array<struct<{schema}>>")).alias("r"))
+    at = F.regexp_extract("member", r"^media/(\d{4}-\d{2}-\d{2}_\d{6})[^/]*/.+", 1)
+    local = F.regexp_replace(at, r"^(.{10})_(..)(..)(..)$", "$1T$2:$3:$4")
+    media = members.filter(at != "").groupBy("archive", local.alias("date")).agg(F.count(F.lit(1)).alias("media"))
+    return documents.select("archive", "r.*"), media
+
+
+def social_entries(posts: Column, kind: str) -> Column:
+    """Entries of nested post records as an array of structs: kind, timestamp, text, media, links and place.
+
+    A post's texts are joined once each, its title comes first if no text holds it, and attachments give media and links.
+    """
+
+    def entry(r: Column) -> Column:
+        texts = F.array_distinct(F.filter(F.transform(F.coalesce(r["data"], F.array().cast("array<struct<post:string>>")), lambda d: F.trim(d["post"])), lambda t: t != ""))
+        body = F.array_join(texts, "\n\n")
+        titled = F.when((F.coalesce(r["title"], F.lit("")) != "") & ~F.contains(body, r["title"]), F.concat_ws("\n\n", r["title"], F.nullif(body, F.lit("")))).otherwise(body)
+        items = F.flatten(F.transform(r["attachments"], lambda a: a["data"]))
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            r["timestamp"].alias("timestamp"),
+            titled.alias("text"),
+            F.array_distinct(F.array_compact(F.transform(items, lambda i: i["media"]["uri"]))).alias("media"),
+            F.array_distinct(F.array_compact(F.transform(items, lambda i: i["external_context"]["url"]))).alias("links"),
+            r["place"].alias("place"),
+        )
+
+    return F.transform(posts, entry)
+
+
+POST_SCHEMA = (
+    "timestamp:bigint,title:string,data:array<struct<post:string>>,place:struct<latitude:double,longitude:double>,"
+    "attachments:array<struct<data:array<struct<media:struct<uri:string,description:string>,external_context:struct<name:string,url:string>>>>>"
+)
+
+
+def staged_records(documents: DataFrame, document: str, adapter: dict[str, str | dict[str, str]]) -> DataFrame:
+    """JSON documents in the staging schema, by an adapter's selectors; documents without a source id are left out."""
+    fields = adapter["fields"]
+    one = lambda name: F.get_json_object(F.col(document), fields[name]) if name in fields else F.lit(None).cast("string")
+
+    def many(name: str) -> Column:
+        if name not in fields:
+            return F.array().cast("array<string>")
+        held = F.get_json_object(F.col(document), fields[name])
+        listed = F.when(held.startswith("["), F.from_json(held, "array<string>")).otherwise(F.array(held))
+        return F.coalesce(F.filter(listed, lambda x: F.coalesce(x, F.lit("")) != ""), F.array().cast("array<string>"))
+
+    staged = documents.select(
+        F.lit(adapter["adapter_id"]).alias("adapter_id"),
+        F.lit(adapter["source_name"]).alias("source_name"),
+        one("source_id").alias("source_id"),
+        one("timestamp").alias("timestamp"),
+        one("text").alias("text"),
+        many("urls").alias("urls"),
+        many("media_references").alias("media_references"),
+        one("latitude").try_cast("double").alias("latitude"),
+        one("longitude").try_cast("double").alias("longitude"),
+        one("place_name").alias("place_name"),
+    )
+    return staged.filter("source_id IS NOT NULL AND source_id <> ''")
+
+
+def index_rows(files: DataFrame, path: str, size: str, modified: str, capture: Column | None = None) -> DataFrame:
+    """One index row per file: name, extension, size, time, dates with their source, and quality words."""
+    from archivolt.functions import records, values
+
+    name = F.regexp_extract(path, r"[^/]+$", 0)
+    dates = values.filename_dates(name)
+    taken = F.lit(None).cast("date") if capture is None else F.to_date(capture)
+    quality = records.quality_score(name)
+    return files.select(
+        F.col(path).alias("path"),
+        name.alias("filename"),
+        F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"),
+        F.col(size).alias("byte_size"),
+        F.col(modified).alias("modified"),
+        F.coalesce(taken, F.try_element_at(dates, F.lit(1)), F.to_date(modified)).alias("best_date"),
+        F.when(taken.isNotNull(), "capture").when(F.size(dates) > 0, "filename").otherwise("filesystem").alias("date_source"),
+        quality["score"].alias("quality"),
+    )
+
+
+def marked_folders(spark: SparkSession, root: str, markers: dict[str, str]) -> DataFrame:
+    """(kind, folder, n) of the folders below a root that hold each kind's marker file; n over one is ambiguous."""
+    files = listing(spark, root).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"[^/]+$", 0).alias("name"))
+    kind = F.coalesce(*[F.when(F.col("name").rlike(pattern), k) for k, pattern in markers.items()])
+    found = files.select(kind.alias("kind"), "folder").filter("kind IS NOT NULL").distinct()
+    return found.groupBy("kind").agg(F.min("folder").alias("folder"), F.count(F.lit(1)).alias("n"))
+
+
+def latest_documents(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Of JSON reports in several files the newest one of each key: by the file's time, then its name."""
+    rows = spark.read.schema(schema).json(path).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name").alias("_at"))
+    names = [c for c in rows.columns if c not in (key, "_at")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "_at").alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in names])

@@ -19,7 +19,7 @@ _DIRECTORY = 0x8769
 def tiff_dates(data: bytes) -> dict[str, str]:
     """Date texts of a TIFF block; damaged directories give what was readable."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+    if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         return {}
     found: dict[str, str] = {}
     queue, seen = [struct.unpack_from(order + "I", data, 4)[0]], set()
@@ -49,6 +49,9 @@ def jpeg_dates(data: bytes | None) -> dict[str, str]:
         return {}
     at = 2
     while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        if data[at + 1] == 0xFF or data[at + 1] == 0x01 or 0xD0 <= data[at + 1] <= 0xD8:
+            at += 1 if data[at + 1] == 0xFF else 2  # a fill byte, or a marker without a length
+            continue
         size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         if data[at + 1] == 0xE1 and body[:6] == b"Exif\0\0":
@@ -67,7 +70,7 @@ def exif_dates(contents: pd.Series) -> pd.DataFrame:
 
 
 def image_size(data: bytes | None) -> tuple[int, int] | None:
-    """Width and height from the header of a PNG, GIF, BMP or JPEG."""
+    """Width and height from the header of a PNG, GIF, BMP, PPM or JPEG."""
     if not data:
         return None
     try:
@@ -78,6 +81,10 @@ def image_size(data: bytes | None) -> tuple[int, int] | None:
         if data[:2] == b"BM":
             width, height = struct.unpack_from("<ii", data, 18)
             return width, abs(height)
+        if data[:2] == b"P6":
+            fields = [line for line in data[2:200].split(b"\n") if not line.strip().startswith(b"#")]
+            width, height = b" ".join(fields).split()[:2]
+            return int(width), int(height)
         if data[:2] == b"\xff\xd8":
             at = 2
             while at + 9 <= len(data) and data[at] == 0xFF:
@@ -85,7 +92,7 @@ def image_size(data: bytes | None) -> tuple[int, int] | None:
                     height, width = struct.unpack_from(">HH", data, at + 5)
                     return width, height
                 at += 2 + struct.unpack_from(">H", data, at + 2)[0]
-    except struct.error:
+    except (struct.error, ValueError):
         return None
     return None
 
@@ -271,3 +278,101 @@ def html_cards(content: Column, card: str, fields: dict[str, str]) -> Column:
         return values.map(cards)
 
     return run(content)
+
+
+#: Largest errors of a crop that are of high and of medium confidence.
+HIGH_CONFIDENCE, MEDIUM_CONFIDENCE = 20.0, 200.0
+
+
+def confidence(score: Column) -> Column:
+    return F.when(score <= HIGH_CONFIDENCE, "high").when(score <= MEDIUM_CONFIDENCE, "medium").otherwise("low")
+
+
+def gray_window(gray: np.ndarray, x: int, y: int, width: int, height: int, n: int) -> np.ndarray:
+    """n x n samples of a window, at the centres of a grid."""
+    ys = y + ((np.arange(n) + 0.5) * height / n).astype(int)
+    xs = x + ((np.arange(n) + 0.5) * width / n).astype(int)
+    return gray[np.ix_(ys, xs)]
+
+
+def best_window(reference: np.ndarray, candidate: np.ndarray, n: int = 8, scales: int = 5) -> tuple[float, int, int, int, int]:
+    """(mean squared error, x, y, width, height) of the window of a candidate that looks most like a reference.
+
+    Windows have the reference's shape, at several sizes down to half of the largest, first in coarse steps; the best
+    is then moved and resized in halved steps while that helps. Ties go to the larger window, then the first.
+    """
+    wanted = gray_window(reference, 0, 0, reference.shape[1], reference.shape[0], n).astype(np.float64)
+    height, width = candidate.shape
+    shape = reference.shape[1] / reference.shape[0]
+    largest = min(width, int(height * shape))
+    seen: dict[tuple[int, int, int], float] = {}
+
+    def error(x: int, y: int, w: int) -> float:
+        h = max(1, round(w / shape))
+        if x < 0 or y < 0 or w < 1 or x + w > width or y + h > height:
+            return np.inf
+        if (x, y, w) not in seen:
+            seen[x, y, w] = float(((gray_window(candidate, x, y, w, h, n) - wanted) ** 2).mean())
+        return seen[x, y, w]
+
+    for w in sorted({max(1, round(largest * (1 - k / (2 * max(scales - 1, 1))))) for k in range(scales)}, reverse=True):
+        h, step = max(1, round(w / shape)), max(1, w // 8)
+        for y in sorted({*range(0, max(height - h, 0) + 1, step), max(height - h, 0)}):
+            for x in sorted({*range(0, max(width - w, 0) + 1, step), max(width - w, 0)}):
+                error(x, y, w)
+    place = lambda at: (seen[at], -at[2], at[1], at[0])
+    best, step = min(seen, key=place), max(1, largest // 16)
+    while step:
+        x, y, w = best
+        for dx, dy, dw in ((-step, 0, 0), (step, 0, 0), (0, -step, 0), (0, step, 0), (0, 0, step), (0, 0, -step)):
+            error(x + dx, y + dy, w + dw)
+        better = min(seen, key=place)
+        if better == best:
+            step //= 2
+        best = better
+    x, y, w = best
+    return seen[best], x, y, w, max(1, round(w / shape))
+
+
+_CROP = "struct<score:double,x:int,y:int,width:int,height:int>"
+
+
+def suggested_crop(reference: Column, candidate: Column, n: int = 8) -> Column:
+    """The best window of each candidate image; null where either cannot be read."""
+
+    def one(a: bytes | None, b: bytes | None):
+        first, second = pixels(a), pixels(b)
+        if first is None or second is None:
+            return None
+        gray = [np.rint(p @ np.array([0.299, 0.587, 0.114])) for p in (first, second)]
+        return dict(zip(("score", "x", "y", "width", "height"), best_window(*gray, n), strict=True))
+
+    @F.pandas_udf("score double, x int, y int, width int, height int")
+    def run(references: pd.Series, candidates: pd.Series) -> pd.DataFrame:
+        rows = [one(a, b) or dict.fromkeys(("score", "x", "y", "width", "height")) for a, b in zip(references, candidates, strict=True)]
+        table = pd.DataFrame(rows, columns=["score", "x", "y", "width", "height"])
+        return table.astype({"score": "float64", "x": "Int32", "y": "Int32", "width": "Int32", "height": "Int32"})
+
+    return run(reference, candidate)
+
+
+def crop_candidates(subject_x: Column, subject_y: Column, width: Column, height: Column, steps: int = 3) -> Column:
+    """Square crops (x, y, size) of several sizes around a subject and the middle, moved inside the image."""
+    short = F.least(width, height)
+
+    def square(centre_x: Column, centre_y: Column, k: Column) -> Column:
+        size = F.floor(short * (1 - (k - 1) * 0.25)).cast("int")
+        inside = lambda centre, room: F.greatest(F.lit(0), F.least(F.floor(centre - size / 2).cast("int"), (room - size).cast("int")))
+        return F.struct(inside(centre_x, width).alias("x"), inside(centre_y, height).alias("y"), size.alias("size"))
+
+    sizes = F.sequence(F.lit(1), F.lit(steps))
+    around = F.transform(sizes, lambda k: square(subject_x, subject_y, k))
+    middle = F.transform(sizes, lambda k: square(width / 2, height / 2, k))
+    return F.array_distinct(F.concat(around, middle))
+
+
+def crop_penalty(crop: Column, subject_x: Column, subject_y: Column, width: Column, height: Column) -> Column:
+    """What speaks against a crop: area given up, and distance of the subject from its middle, as shares."""
+    lost = 1 - crop["size"] * crop["size"] / (F.least(width, height) * F.least(width, height))
+    away = (F.abs(crop["x"] + crop["size"] / 2 - subject_x) + F.abs(crop["y"] + crop["size"] / 2 - subject_y)) / crop["size"]
+    return lost * 0.5 + away

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import html
+import io
+import warnings
+import zipfile
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,13 +33,17 @@ def write_package(entries: DataFrame, media: DataFrame, key: str, path: str) ->
 
 
 def write_report(rows: DataFrame, path: str, title: str, limit: int = 200) -> None:
-    """Write rows as CSV, and their first ``limit`` in the order of the columns as a Markdown table."""
+    """Write rows as CSV and JSON, and their first ``limit`` in the order of the columns as Markdown and HTML tables."""
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|") for c in rows.columns]
-    body = rows.orderBy(*rows.columns).limit(limit).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
-    lines = [r.value for r in body.collect()]
-    head = [f"# {title}", "", f"| {' | '.join(rows.columns)} |", f"|{' --- |' * len(rows.columns)}"]
-    rows.sparkSession.createDataFrame([("\n".join(head + lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
+    head = rows.orderBy(*rows.columns).limit(limit).select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns]).collect()
+    names = rows.columns
+    lines = [f"# {title}", "", f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}"]
+    lines += ["| " + " | ".join(v.replace("|", "\\|") for v in r) + " |" for r in head]
+    cells = lambda tag, values: "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in values)
+    page = [f"<h1>{html.escape(title)}</h1>", f"<table><tr>{cells('th', names)}</tr>", *(f"<tr>{cells('td', r)}</tr>" for r in head), "</table>"]
+    for name, body in (("markdown", lines), ("html", page)):
+        rows.sparkSession.createDataFrame([("\n".join(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
 def gate(rows: DataFrame, checks: dict[str, object]) -> None:
@@ -42,3 +52,52 @@ def gate(rows: DataFrame, checks: dict[str, object]) -> None:
     failed = {name: counts[name] for name in checks if counts[name]}
     if failed:
         raise ValueError(f"gate failed: {failed}")
+
+
+def zipped(members: Column) -> Column:
+    """A ZIP archive of an array of (name, content), but for its last byte, which is a line end.
+
+    The archive's comment is one line end, so that ``write_each`` completes the file.
+    """
+
+    def pack(held) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.comment = b"\n"
+            for member in held:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore", UserWarning)  # a name may repeat
+                    archive.writestr(zipfile.ZipInfo(member["name"]), bytes(member["content"]))
+        return out.getvalue()[:-1]
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(pack)
+
+    return run(members)
+
+
+def write_each(rows: DataFrame, content: str, path: str, folder: str) -> None:
+    """A file for each row, below a folder named after its value of ``folder``; a line end follows the content.
+
+    Spark's own writer puts out the bytes as they are, into any store.
+    """
+    rows.select(F.col(content).cast("string").alias("value"), folder).write.partitionBy(folder).option("maxRecordsPerFile", 1).text(path)
+
+
+def folder_of(path: Column, folder: str) -> Column:
+    """The folder that ``write_each`` gave a file."""
+    return F.regexp_extract(path, rf"/{folder}=([^/]+)/", 1)
+
+
+def snapshot(folders: dict[str, DataFrame], path: str) -> DataFrame:
+    """Copy tables below a folder; returns name, rows and a digest of the rows in any order for each."""
+    out = None
+    for name, rows in folders.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        kept = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
+        row = F.xxhash64(*kept.columns)
+        part = kept.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("digest"))
+        part = part.select(F.lit(name).alias("name"), "rows", "digest")
+        out = part if out is None else out.unionByName(part)
+    return out
