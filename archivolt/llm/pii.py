@@ -93,15 +93,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-# Letters of other scripts that look like the ASCII letters under them.
-LOOK_ALIKES = dict(
-    zip(
-        "абеԁеһіјкӏмоԛгѕтцԝхуАВЕНІЈКМОРСЅТХУԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανρкрсοιⅼıɡ",
-        "abedehijklmoqrstuwxyABEHIJKMOPCSTXYWABEZHIKMNOPTYXoavpkpcoilig",
-        strict=False,
-    )
-)
-LOOK_ALIKES |= {"б": "6", "е": "e", "г": "r", "ц": "u", "ԛ": "q", "․": ".", "‚": ",", "﹫": "@", "‐": "-", "‑": "-", "−": "-"}
+# Characters of other scripts that look like each ASCII character.
+LOOKS = {
+    ",": "‚", "-": "‐‑−", ".": "․", "6": "б", "@": "﹫", "A": "АΑ",
+    "B": "ВΒ", "C": "С", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј",
+    "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ",
+    "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥ", "Z": "Ζ", "a": "аα",
+    "c": "с", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іιı",
+    "j": "ј", "k": "к", "l": "ӏⅼ", "m": "м", "o": "оο", "p": "ρр",
+    "q": "ԛ", "r": "г", "s": "ѕ", "t": "т", "u": "ц", "v": "ν",
+    "w": "ԝ", "x": "х", "y": "у",
+}
+LOOK_ALIKES = {other: plain for plain, others in LOOKS.items() for other in others}
 #: Characters that show nothing.
 INVISIBLE = "­​‌‍⁠﻿"
 #: Blocks whose compatibility forms are single ASCII characters: full width, mathematical, enclosed, super- and subscripts.
