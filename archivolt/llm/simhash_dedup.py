@@ -15,6 +15,11 @@ their smallest members, and of a node's links to smaller ones only that to the
 smallest stays, the others being tied to it. Components stay whole, and no group's
 pairs are spelled out. They come from rounds of label propagation.
 
+A large shard is mostly one group of near copies. All its members are first held against
+its smallest one; where at most a quarter of them are not near it, only these few are
+compared with the others, for those near it are one group already. The work on such a
+group grows with its size and not with its square.
+
 ``near_groups`` finds near duplicates by a similarity of word shingles instead. Wider fingerprints of the same kind, the
 same trees and the same components give candidate groups; within each, all pairs of documents are compared by their
 shingles, and only pairs that are alike link. ``keep_one`` keeps one document of each of its groups.
@@ -184,19 +189,26 @@ def _grown(chunk: list[tuple[int, int]], groups: _Groups, radius: int) -> BKTree
     return tree
 
 
-def _search(prints: list[int], nodes: list[int], indexed: list[bool], alone: bool, radius: int) -> list[tuple[int, int]]:
-    """Links in one task: within the indexed chunk if alone, else those that join its groups to the other chunk's."""
+def _search(prints: list[int], nodes: list[int], indexed: list[bool], task: str, radius: int) -> list[tuple[int, int]]:
+    """Links in one task: within the indexed chunk (``alone``), those that join its groups to the other chunk's
+    (``pair``), or those of the other rows with any of it (``star``)."""
     rows = list(zip(prints, nodes, strict=True))
     groups = _Groups()
     chunk = [row for row, inside in zip(rows, indexed, strict=True) if inside]
-    tree = _grown(chunk, groups, radius)
-    if alone:
-        return groups.stars()
     other = [row for row, inside in zip(rows, indexed, strict=True) if not inside]
-    _grown(other, groups, radius)
+    if task == "star":
+        tree = BKTree()
+        for value, _ in chunk:
+            tree.add(value)
+    else:
+        tree = _grown(chunk, groups, radius)
+        if task == "alone":
+            return groups.stars()
+        _grown(other, groups, radius)
     out = []
     for value, node in other:
-        for at in tree.within(value, radius, stand_ins=True):
+        # Stars have no task that ties the members of a chunk to each other, so no parent stands for others.
+        for at in tree.within(value, radius, stand_ins=task != "star"):
             joined = groups.join(node, chunk[at][1])
             if joined:
                 out.append(joined)
@@ -214,30 +226,64 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return _shard_links(rows, radius, shard)
 
 
-def _shard_links(rows: DataFrame, radius: int, shard: int, compare=None) -> DataFrame:
+def _led(rows: DataFrame, large: DataFrame, near) -> DataFrame:
+    """Rows of large shards with ``close``: whether ``near`` holds for their value and that of the shard's smallest node."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        close = [near(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(close, pa.bool_())], ["key", "fingerprint", "node", "leader", "close"])
+
+    joined = rows.join(large, "key").select("key", "fingerprint", "node", "leader.node", "leader.fingerprint").toDF("key", "fingerprint", "node", "leader", "value")
+    kind = dict(rows.dtypes)["fingerprint"]
+    return map_rows(joined, run, f"key long, fingerprint {kind}, node long, leader long, close boolean")
+
+
+def _dealt(rows: DataFrame, shard: int, near) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, tree, searcher, indexed, fingerprint, node) of tasks, and links (src, dst) that are known before.
+
+    Tasks with one number are a chunk alone, with two a pair of chunks, and with a searcher below zero a star: few
+    rows of a shard against a chunk of it. Only shards that are too large are listed; where that list is short it is
+    broadcast by the planner's own size check, else joined.
+    """
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fingerprint")).alias("leader")).filter(F.col("n") > shard)
+    large = materialize(large, "large-shards")
+    led = materialize(_led(rows, large, near), "led")
+    sizes = led.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("close")).alias("far"))
+    sizes = materialize(sizes.withColumn("star", 4 * F.col("far") <= F.col("n")), "shard-sizes")
+    value = ["fingerprint", "node"]
+
+    def place(df: DataFrame, tree: Column, searcher: Column, indexed: Column) -> DataFrame:
+        return df.select("key", tree.cast("int").alias("tree"), searcher.cast("int").alias("searcher"), indexed.alias("indexed"), *value)
+
+    small = place(rows.join(large.select("key"), "key", "left_anti"), F.lit(0), F.lit(0), F.lit(True))
+    known = led.join(sizes, "key")
+    # A power of two: a chunk of one shard is then part of a chunk of another, and groups have like smallest members.
+    chunks = lambda n: F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col(n) / F.lit(shard))))).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("fingerprint"), chunks(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), chunks(n) - 1))
+    pairs = known.filter("NOT star").withColumn("own", own("n")).withColumn("other", every("n"))
+    pairs = place(pairs, F.least("own", "other"), F.greatest("own", "other"), F.col("own") <= F.col("other"))
+    stars = known.filter("star AND far > 0")
+    held = place(stars.withColumn("other", every("far")), own("n"), -F.col("other") - 1, F.lit(True))
+    asking = place(stars.filter("NOT close").withColumn("other", every("n")), F.col("other"), -own("far") - 1, F.lit(False))
+    tied = known.filter("star AND close AND node <> leader").select(F.col("node").alias("src"), F.col("leader").alias("dst"))
+    return small.unionByName(pairs).unionByName(held).unionByName(asking), tied
+
+
+def _shard_links(rows: DataFrame, radius: int, shard: int, compare=None, near=None) -> DataFrame:
     """(src, dst) pairs that connect the groups within each shard (key) of rows (key, fingerprint, node).
 
     Fingerprints are longs or binaries, linked within the radius, or whatever binaries ``compare`` takes (with nodes,
-    which of them are indexed, and whether those are alone). Only shards that are too large are listed; where that
-    list is short it is broadcast by the planner's own size check, else joined.
+    which of them are indexed, and the kind of task) and ``near`` says of two.
     """
-    large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard), "large-shards")
     wide = dict(rows.dtypes)["fingerprint"] == "binary"
-    dealt = (
-        rows.join(large, "key", "left")
-        # A power of two: a chunk of one shard is then part of a chunk of another, and groups have like smallest members.
-        .withColumn("chunks", F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / F.lit(shard)))), F.lit(1.0)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            "key",
-            F.least("own", "other").alias("tree"),
-            F.greatest("own", "other").alias("searcher"),
-            (F.col("own") <= F.col("other")).alias("indexed"),
-            "fingerprint",
-            "node",
-        )
-    )
+
+    def distance(a, b) -> bool:
+        if wide:
+            return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() <= radius
+        return ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius
+
+    dealt, tied = _dealt(rows, shard, near or distance)
     task = ["key", "tree", "searcher"]
     placed = dealt.repartition(*task).sortWithinPartitions(*task, "node")
 
@@ -260,7 +306,8 @@ def _shard_links(rows: DataFrame, radius: int, shard: int, compare=None) -> Data
             out: list[tuple[int, int]] = []
             for start, end in zip(bounds[:complete].tolist(), bounds[1 : complete + 1].tolist(), strict=True):
                 if end - start > 1:
-                    task = nodes[start:end].tolist(), indexed[start:end].tolist(), tree[start] == searcher[start]
+                    kind = "star" if searcher[start] < 0 else "alone" if tree[start] == searcher[start] else "pair"
+                    task = nodes[start:end].tolist(), indexed[start:end].tolist(), kind
                     if compare:
                         out += compare(prints[start:end], *task)
                     else:
@@ -278,7 +325,7 @@ def _shard_links(rows: DataFrame, radius: int, shard: int, compare=None) -> Data
             if out:
                 yield _edges(out)
 
-    return _fewer(placed.mapInArrow(run, "src long, dst long"))
+    return _fewer(placed.mapInArrow(run, "src long, dst long").unionByName(tied))
 
 
 def _fewer(edges: DataFrame) -> DataFrame:
@@ -369,7 +416,14 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) * 2 > len(hashes)
 
 
-def _alike(sets: list[bytes], nodes: list[int], indexed: list[bool], alone: bool, similarity: float) -> list[tuple[int, int]]:
+def _similar(first: bytes, second: bytes, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have this Jaccard similarity."""
+    a, b = (np.frombuffer(x, dtype=np.uint64) for x in (first, second))
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common + 1e-9 >= similarity * (len(a) + len(b) - common)
+
+
+def _alike(sets: list[bytes], nodes: list[int], indexed: list[bool], task: str, similarity: float) -> list[tuple[int, int]]:
     """Links of all pairs of shingle sets of at least this Jaccard similarity, as those that join groups: pairs within
     the indexed rows if alone, else between these and the others."""
     held = [np.frombuffer(x, dtype=np.uint64) for x in sets]
@@ -379,24 +433,27 @@ def _alike(sets: list[bytes], nodes: list[int], indexed: list[bool], alone: bool
     inside, names = np.array(indexed), np.array(nodes)
     marked = np.zeros(len(vocabulary), dtype=bool)
     total = np.zeros(len(place) + 1, dtype=np.int64)
-    near = np.zeros((len(held), len(held)), dtype=bool)
-    for i in range(len(held)):
+
+    def near(i: int) -> np.ndarray:
         own = place[ends[i] - size[i] : ends[i]]
         marked[own] = True
         np.cumsum(marked[place], out=total[1:])
         marked[own] = False
         common = total[ends] - total[ends - size]
         # The margin is far below the steps of common and keeps a similarity met exactly.
-        near[i] = common + 1e-9 >= similarity * (size + size[i] - common)
+        return common + 1e-9 >= similarity * (size + size[i] - common)
+
     label, out = names.copy(), []
-    for cross in (False, True):
-        for i in np.flatnonzero(inside) if cross else range(len(held)):
-            met = np.unique(np.append(label[near[i] & ((inside != inside[i]) == cross)], label[i]))
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
-                if cross:
-                    out += [(x, int(met[0])) for x in met[1:].tolist()]
-    return [(x, y) for x, y in zip(nodes, label.tolist(), strict=True) if x != y] if alone else out
+    # Of two chunks the groups of each are made first, for they have tasks of their own; few rows against a chunk have none.
+    steps = [(i, False) for i in range(len(held))] if task != "star" else []
+    steps += [(i, True) for i in (np.flatnonzero(inside) if task == "pair" else np.flatnonzero(~inside) if task == "star" else ())]
+    for i, cross in steps:
+        met = np.unique(np.append(label[near(i) & ((inside != inside[i]) == cross)], label[i]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+            if cross:
+                out += [(x, int(met[0])) for x in met[1:].tolist()]
+    return [(x, y) for x, y in zip(nodes, label.tolist(), strict=True) if x != y] if task == "alone" else out
 
 
 def verified_links(docs: DataFrame, found: DataFrame, groups: DataFrame, shingle: int, similarity: float, shard: int) -> DataFrame:
@@ -420,7 +477,7 @@ def verified_links(docs: DataFrame, found: DataFrame, groups: DataFrame, shingle
         return pa.RecordBatch.from_arrays(columns, ["key", "fingerprint", "node"]).filter(pa.array(own))
 
     sets = materialize(map_rows(texts.select("node", "text", "digest", "key"), spell, "key long, fingerprint binary, node long"), "shingle-sets")
-    return _shard_links(sets, 0, shard, lambda *task: _alike(*task, similarity))
+    return _shard_links(sets, 0, shard, lambda *task: _alike(*task, similarity), lambda a, b: _similar(a, b, similarity))
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard: int = SHARD) -> DataFrame:

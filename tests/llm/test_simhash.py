@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -100,16 +101,16 @@ def test_all_pairs_are_compared_across_chunks():
     sets, base = [], np.arange(100, dtype=np.uint64)
     for k in range(12):  # each alike to its neighbours alone
         sets.append((base + np.uint64(10 * k)).tobytes())
-    alone = components(S._alike(sets, list(range(12)), [True] * 12, True, 0.8))
+    alone = components(S._alike(sets, list(range(12)), [True] * 12, "alone", 0.8))
     assert {alone(i) for i in range(12)} == {0}
-    assert S._alike(sets[::2], list(range(6)), [True] * 6, True, 0.8) == []
+    assert S._alike(sets[::2], list(range(6)), [True] * 6, "alone", 0.8) == []
     inside = [bool(x) for x in rng.integers(0, 2, 12)]
-    links = S._alike(sets, list(range(12)), inside, False, 0.8)
+    links = S._alike(sets, list(range(12)), inside, "pair", 0.8)
     for side in (True, False):
         part = [i for i in range(12) if inside[i] is side]
-        links += S._alike([sets[i] for i in part], part, [True] * len(part), True, 0.8)
+        links += S._alike([sets[i] for i in part], part, [True] * len(part), "alone", 0.8)
     assert {components(links)(i) for i in range(12)} == {0}
-    assert S._alike([b"", sets[0]], [0, 1], [True, True], True, 0.8) == []
+    assert S._alike([b"", sets[0]], [0, 1], [True, True], "alone", 0.8) == []
 
 
 def test_slices_find_as_many_pairs_at_every_width():
@@ -134,6 +135,53 @@ def test_large_shards_are_cut_without_losing_links(spark):
     assert all(got.get(i, i) == find(i) for i in range(len(values)))
 
 
+@pytest.mark.parametrize("bits", [2, 3])
+def test_a_hot_group_is_held_against_its_smallest_member(spark, bits):
+    """Near copies of one value, and chains of values that hang on to them at the radius."""
+    rng = np.random.default_rng(5)
+    center = int(rng.integers(1, 1 << 62))
+    flip = lambda v, n: v ^ int(np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)))
+    values = {center} | {flip(center, bits) for _ in range(600)}
+    for _ in range(20):
+        v = center
+        for _ in range(4):
+            v = flip(v, 3)
+            values.add(v)
+    values = [center, *sorted(values - {center})]
+    find = components([(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= 3])
+    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+    rows = spark.createDataFrame(list(zip([7] * len(values), signed, range(len(values)))), "key long, fingerprint long, node long")
+    from archivolt.operators.graph import connected_components
+
+    dealt, tied = S._dealt(rows, 64, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
+    assert dealt.filter("searcher >= 0").count() == 0 and tied.count() > 50 and dealt.count() < 8 * len(values)
+    got = {r.node: r.component for r in connected_components(S._shard_links(rows, 3, 64)).collect()}
+    assert all(got.get(i, i) == find(i) for i in range(len(values)))
+
+
+def test_a_hot_group_of_texts_is_verified_as_a_whole(docs_of):
+    """Groups far beyond a chunk: copies of one text, with chains of texts that are alike only to one of them."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(9000)}"
+    base, rows = [word() for _ in range(160)], []
+    for k in range(150):
+        copy = list(base)
+        if k:
+            copy[rng.randrange(160)] = word()
+        rows.append((k, " ".join(copy), "en", "s"))
+    for c in range(6):
+        text = list(base)
+        for k in range(4):
+            at = rng.randrange(140)
+            text[at : at + 12] = [word() for _ in range(12)]
+            rows.append((1000 + 10 * c + k, " ".join(text), "en", "s"))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t, *_ in rows for w in [t.split()]}
+    find = components([(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    groups = {r.doc_id: r.component for r in S.near_groups(docs_of(rows), shard=16).collect()}
+    assert all(find(d) == find(c) for d, c in groups.items())
+    assert sum(groups[d] == find(d) for d in groups) >= 0.97 * len(groups)
+
+
 def test_tree_finds_exactly_the_near_values():
     rng = np.random.default_rng(0)
     values = [int(v) & 0xFFFFF for v in rng.integers(0, 1 << 20, 500)]
@@ -150,16 +198,19 @@ def test_stand_ins_keep_the_groups():
         values = sorted({int(np.bitwise_or.reduce(1 << rng.integers(0, 40, spread))) for _ in range(300)})
         for radius in (3, 8):
             find = components([(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and (a ^ b).bit_count() <= radius])
-            got = S._search(values, list(range(len(values))), [True] * len(values), True, radius)
+            got = S._search(values, list(range(len(values))), [True] * len(values), "alone", radius)
             same = components(got)
             assert all(same(i) == find(i) for i in range(len(values)))
             inside = [i % 3 == 0 for i in range(len(values))]
             parts = []
             for keep in (True, False):
                 part = [i for i, x in enumerate(inside) if x is keep]
-                parts += S._search([values[i] for i in part], part, [True] * len(part), True, radius)
-            apart = components(parts + S._search(values, list(range(len(values))), inside, False, radius))
+                parts += S._search([values[i] for i in part], part, [True] * len(part), "alone", radius)
+            apart = components(parts + S._search(values, list(range(len(values))), inside, "pair", radius))
             assert all(apart(i) == find(i) for i in range(len(values)))
+            across = components([(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if inside[i] and not inside[j] and (a ^ b).bit_count() <= radius])
+            star = components(S._search(values, list(range(len(values))), inside, "star", radius))
+            assert all(star(i) == across(i) for i in range(len(values)))
 
 
 def test_fewer_links_keep_the_groups(spark):
