@@ -379,6 +379,40 @@ def s15_html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(field("author"), field("body"), field("url"))
 
 
+@query("SELECT n_nationkey AS folder, length(n_name) + 1 AS byte_size, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def s28_file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative paths, sizes and digests of all files below a folder."""
+    path = new_path(spark, "manifest")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("folder"), _bytes(F.col("n_name")).alias("content"))
+    packages.write_each(rows, "content", path, "folder")
+    return files.manifest(spark, path).select(F.regexp_extract("relative_path", r"^folder=(\d+)/", 1).cast("int").alias("folder"), "byte_size", "sha256").filter("folder IS NOT NULL")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'private' WHEN c_custkey % 4 = 1 THEN 'public' ELSE 'unknown' END AS privacy FROM customer")
+def s19_privacy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The privacy of a sidecar by its tags: private wins, damaged sidecars and those without a tag say nothing."""
+    quarter = F.col("c_custkey") % 4
+    tags = F.when(quarter == 0, "<t:Tag>public</t:Tag><t:Tag>private</t:Tag>").when(quarter == 1, "<t:Tag>public</t:Tag>").when(quarter == 2, "<t:Tag>").otherwise("")
+    found = media.sidecar_column(F.concat(F.lit('<x xmlns:t="u">'), tags, F.lit("</x>")), "Tag")
+    privacy = F.when(F.array_contains(found, "private"), "private").when(F.array_contains(found, "public"), "public").otherwise("unknown")
+    return table(spark, sf_dir, "customer").select("c_custkey", privacy.alias("privacy"))
+
+
+@query("""
+SELECT o_custkey AS path, CASE WHEN o_custkey % 2 = 0 THEN strftime(max(o_orderdate), '%Y-%m-%dT00:00:00') ELSE 'reported ' || max(o_orderkey) END AS taken FROM orders GROUP BY 1
+""")
+def r44_tool_or_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times from the JSON of a tool, and where it has none from the report of an earlier run."""
+    path = new_path(spark, "times")
+    newest = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.max("o_orderdate").alias("at"), F.max("o_orderkey").alias("k"))
+    tool = F.when(F.col("path") % 2 == 0, F.date_format("at", "yyyy:MM:dd HH:mm:ss"))
+    newest.select(F.col("path").alias("SourceFile"), tool.alias("CreateDate")).write.json(f"{path}/tool")
+    newest.select("path", F.concat(F.lit("reported "), F.col("k").cast("string")).alias("taken")).write.option("header", True).csv(f"{path}/report")
+    read = spark.read.schema("SourceFile long, CreateDate string").json(f"{path}/tool").select(F.col("SourceFile").alias("path"), records.capture_text(F.col("CreateDate")).alias("tool"))
+    report = files.csv_queue(spark, f"{path}/report", ["path", "taken"]).select(F.col("path").cast("long"), "taken")
+    return read.join(report, "path", "left").select("path", F.coalesce("tool", "taken").alias("taken"))
+
+
 # -- pictures -----------------------------------------------------------------------------------------------------
 
 _GRAY = "WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: floor(least(greatest((CAST(x AS DOUBLE) + 4) * 32, 0), 255))::INT) AS gray FROM embeddings WHERE len(embedding) = 64)\n"
@@ -461,6 +495,25 @@ def r48_black_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", media.black_conversion(_ppm(F.col("gray"), 8, 8), _ppm(output, 8, 8)).alias("black"))
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 5 THEN NULL ELSE 100 + p_size END AS width, CASE p_partkey % 6 WHEN 5 THEN NULL ELSE 7 END AS height FROM part
+""")
+def v14_header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width and height from the first bytes of PNG, GIF, BMP, PPM and JPEG files; none of others."""
+    big = lambda n: F.lpad(F.hex((100 + F.col("p_size")).cast("long")), n, "0")
+    little = F.rpad(big(2), 4, "0")
+    headers = [
+        F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(8), F.lit("00000007")),
+        F.concat(F.lit("474946383961"), little, F.lit("0700")),
+        F.concat(F.lit("424D00000000000000003600000028000000"), F.rpad(little, 8, "0"), F.lit("F9FFFFFF")),
+        F.hex(F.concat(F.lit("P6\n# c\n"), (100 + F.col("p_size")).cast("string"), F.lit(" 7\n255\n"))),
+        F.concat(F.lit("FFD8FFE000044A46FFC0001108"), F.lit("0007"), big(4)),
+        F.lit("00"),
+    ]
+    found = media.dimensions(F.unhex(F.element_at(F.array(*headers), (F.col("p_partkey") % 6 + 1).cast("int"))))
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("d")).select("p_partkey", "d.width", "d.height")
+
+
 # -- packages and reports -----------------------------------------------------------------------------------------
 
 _PACKED = """

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions import records
-from archivolt.operators import filters, ranking
+from archivolt.operators import filters, matching, ranking
 from archivolt.plans._base import collector
 from archivolt.session import table
 
@@ -431,3 +431,22 @@ def f21_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
         texts=("o_orderpriority",), least=50_000, most=400_000, amount="o_totalprice", skip=[7, 14, 21], with_frames=True, without=F.col("l_returnflag") == "R",
     )
     return kept.select("o_orderkey")
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag = 'A' AS e1, l_linestatus = 'O' AS e2, l_quantity > 25 AS e3, l_tax = 0 AS e4 FROM lineitem),
+s AS (SELECT *, (CASE WHEN e1 THEN 100 ELSE 0 END + CASE WHEN e2 THEN 35 ELSE 0 END + CASE WHEN e3 THEN 20 ELSE 0 END + CASE WHEN e4 THEN 2 ELSE 0 END) AS score FROM p)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, score FROM s WHERE score >= 55 AND (e1 OR e2)
+""")
+def f26_anchored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with enough points of evidence, of which one must be an anchor."""
+    evidence = {
+        "exact_hash_size_match": F.col("l_returnflag") == "A",
+        "normalized_stem_match": F.col("l_linestatus") == "O",
+        "dimensions_match": F.col("l_quantity") > 25,
+        "source_root_match": F.col("l_tax") == 0,
+    }
+    score, reasons = matching.additive_score(evidence)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    scored = table(spark, sf_dir, "lineitem").select(*keys, score.alias("score"), reasons.alias("reasons"))
+    return matching.accept(scored, 55, ["exact_hash_size_match", "normalized_stem_match"]).select(*keys, "score")
