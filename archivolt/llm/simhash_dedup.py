@@ -226,14 +226,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return _shard_links(rows, radius, shard)
 
 
-def _led(rows: DataFrame, large: DataFrame, near) -> DataFrame:
+def _led(rows: DataFrame, near) -> DataFrame:
     """Rows of large shards with ``close``: whether ``near`` holds for their value and that of the shard's smallest node."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         close = [near(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(close, pa.bool_())], ["key", "fingerprint", "node", "leader", "close"])
 
-    joined = rows.join(large, "key").select("key", "fingerprint", "node", "leader.node", "leader.fingerprint").toDF("key", "fingerprint", "node", "leader", "value")
+    first = rows.groupBy("key").agg(F.min(F.struct("node", "fingerprint")).alias("first"))
+    joined = rows.join(first, "key").select("key", "fingerprint", "node", F.col("first.node").alias("leader"), F.col("first.fingerprint").alias("value"))
     kind = dict(rows.dtypes)["fingerprint"]
     return map_rows(joined, run, f"key long, fingerprint {kind}, node long, leader long, close boolean")
 
@@ -245,17 +246,18 @@ def _dealt(rows: DataFrame, shard: int, near) -> tuple[DataFrame, DataFrame]:
     rows of a shard against a chunk of it. Only shards that are too large are listed; where that list is short it is
     broadcast by the planner's own size check, else joined.
     """
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fingerprint")).alias("leader")).filter(F.col("n") > shard)
-    large = materialize(large, "large-shards")
-    led = materialize(_led(rows, large, near), "led")
-    sizes = led.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("close")).alias("far"))
-    sizes = materialize(sizes.withColumn("star", 4 * F.col("far") <= F.col("n")), "shard-sizes")
     value = ["fingerprint", "node"]
 
     def place(df: DataFrame, tree: Column, searcher: Column, indexed: Column) -> DataFrame:
         return df.select("key", tree.cast("int").alias("tree"), searcher.cast("int").alias("searcher"), indexed.alias("indexed"), *value)
 
-    small = place(rows.join(large.select("key"), "key", "left_anti"), F.lit(0), F.lit(0), F.lit(True))
+    large = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard).select("key"), "large-shards")
+    if large.isEmpty():
+        return place(rows, F.lit(0), F.lit(0), F.lit(True)), rows.sparkSession.createDataFrame([], "src long, dst long")
+    led = materialize(_led(materialize(rows.join(large, "key", "left_semi").select("key", *value), "large-rows"), near), "led")
+    sizes = led.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("close")).alias("far"))
+    sizes = materialize(sizes.withColumn("star", 4 * F.col("far") <= F.col("n")), "shard-sizes")
+    small = place(rows.join(large, "key", "left_anti"), F.lit(0), F.lit(0), F.lit(True))
     known = led.join(sizes, "key")
     # A power of two: a chunk of one shard is then part of a chunk of another, and groups have like smallest members.
     chunks = lambda n: F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col(n) / F.lit(shard))))).cast("int")
