@@ -91,7 +91,7 @@ def stratified_sample(rows: DataFrame, stratum: str, order: list[Column], total:
     """A spread sample of each stratum with quotas in proportion to the strata's sizes."""
     sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
     quotas = largest_remainder(sizes, stratum, F.col("_size"), total).select(stratum, "quota")
-    return spread_sample(rows.join(F.broadcast(quotas), stratum), [stratum], order, F.col("quota"))
+    return spread_sample(rows.join(quotas, stratum), [stratum], order, F.col("quota"))
 
 
 def chunk_list(rows: DataFrame, key: list[str], order: list[Column], size: int) -> DataFrame:
