@@ -44,7 +44,7 @@ def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = months.select("month", member(wrong, F.lit("x")).alias("member")).filter("member.name IS NOT NULL")
     name = F.when(F.col("month").endswith("-09"), F.concat("month", F.lit(" copy"))).otherwise(F.col("month"))
     whole = held.unionByName(odd).groupBy("month").agg(F.array_sort(F.collect_list("member")).alias("members"))
-    extra = whole.filter("month LIKE '%-11'").select("month", F.array_sort(F.filter("members", lambda m: m["name"].endswith("-01.png"))).alias("members"))
+    extra = whole.filter("month LIKE '%-11'").select("month", F.slice("members", 1, 1).alias("members"))
     path = new_path(spark, "archives")
     rows = whole.unionByName(extra).select(name.alias("name"), packages.zipped(F.col("members")).alias("content"))
     packages.write_each(rows, "content", path, "name")
