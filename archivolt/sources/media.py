@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import xml.etree.ElementTree as ET
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -324,7 +325,7 @@ def best_window(reference: np.ndarray, candidate: np.ndarray, n: int = 8, scales
     best, step = min(seen, key=place), max(1, largest // 16)
     while step:
         x, y, w = best
-        for dx, dy, dw in ((-step, 0, 0), (step, 0, 0), (0, -step, 0), (0, step, 0), (0, 0, step), (0, 0, -step)):
+        for dx, dy, dw in product((-step, 0, step), repeat=3):
             error(x + dx, y + dy, w + dw)
         better = min(seen, key=place)
         if better == best:
