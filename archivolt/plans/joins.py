@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from archivolt.operators import matching, reconcile, temporal
 from archivolt.plans._base import collector
 from archivolt.session import table
+from archivolt.storage import materialize
 
 QUERIES, ORACLES, query = collector()
 
@@ -123,6 +124,8 @@ def _evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.md5(F.nullif(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), F.lit("")).cast("binary")).alias("stem"),
         F.md5(F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("text"), " "))), " ").cast("binary")).alias("words"),
     )
+    # The keys read whole texts; they are used by every rule and side, and made once.
+    docs = materialize(docs, "evidence-keys")
     new = docs.filter("doc_id % 2 = 1").select(*[F.col(c).alias(f"new_{c}") for c in docs.columns]).withColumnRenamed("new_doc_id", "new_id")
     old = docs.filter("doc_id % 2 = 0").select(*[F.col(c).alias(f"old_{c}") for c in docs.columns]).withColumnRenamed("old_doc_id", "old_id")
     near = F.sequence(F.col("new_n_chars") - 1, F.col("new_n_chars") + 1)
