@@ -1,10 +1,10 @@
-"""Queries of the ten operators on the whole tables."""
+"""Queries of the operators on the whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivolt.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, pii, quality, simhash_dedup, substring_dedup, warc
+from archivolt.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, pii, quality, simhash_dedup, substring_dedup, token_alignment, warc
 from archivolt.llm._io import table
 
 QUERIES = {}
@@ -134,3 +134,8 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
