@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archivolt.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, pii, quality, simhash_dedup, substring_dedup, token_alignment, warc
+from archivolt.llm import decontaminate, embedding_dedup, exact_search, language_id, line_dedup, packing, pii, quality, simhash_dedup, spelling, substring_dedup, token_alignment, warc
 from archivolt.llm._io import table
 
 QUERIES = {}
@@ -139,3 +140,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+@query(r"""
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY 1, 2),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(concat(id, ':', run), ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END))),
+           lambda acc, b: xor(acc >> 8, steps[(xor(acc, b) & 255) + 1]))) AS h
+  FROM runs, t),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+cut AS (SELECT DISTINCT word, n, i, concat(substr(word, 1, i), substr(word, i + 2)) AS left_over FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.left_over = b.left_over AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM cut c JOIN v ON c.left_over = v.word
+  UNION SELECT v.word, c.word FROM cut c JOIN v ON c.left_over = v.word),
+near AS (SELECT p.word, count(*) AS n_near, min({'less': -v.n, 'other': other}) AS best FROM pairs p JOIN v ON v.word = other GROUP BY 1),
+formed AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * v.n THEN best.other END AS form,
+                  CASE WHEN -best.less >= 5 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN near USING (word)),
+chain(word, tip) AS (SELECT word, word FROM formed UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = tip WHERE formed.form IS NOT NULL),
+ends AS (SELECT chain.word, tip AS root FROM chain JOIN formed ON formed.word = tip WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=199)
+
+
+@query("""
+WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS p
+           FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.p, d.p) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.row <> d.row AND len(q.p) = len(d.p))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 10
+""")
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_rows(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
