@@ -62,9 +62,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def average_hash(gray: Column) -> Column:
-    """Bits of the values that exceed their mean, the first value in the highest of 64 bits."""
+    """Bits of the values that reach their mean, the first value in the highest of 64 bits; of equal values all."""
     mean = F.aggregate(gray, F.lit(0.0), lambda s, x: s + x) / F.size(gray)
-    return F.aggregate(gray, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > mean, 1).otherwise(0).cast("long")))
+    return F.aggregate(gray, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x >= mean, 1).otherwise(0).cast("long")))
 
 
 def recall_at(ranked: DataFrame, rank: str, ks: list[int]) -> DataFrame:

@@ -113,6 +113,21 @@ def finish(frames: DataFrame, results: DataFrame, key: str) -> DataFrame:
     ).select(frames.columns)
 
 
+def deselect_all_but_main(frames: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
+    """Frames of the given parents that are not the main one are deselected, and leave the queue if they were selected."""
+    held = frames.join(parents.select(parent, F.lit(True).alias("_named")).distinct(), parent, "left")
+    goes = F.col("_named").isNotNull() & ~F.col("main") & F.col("selected")
+    status = F.when(goes & (F.col("status") == "queued"), "not_queued").otherwise(F.col("status"))
+    return held.withColumns({"status": status, "selected": F.col("selected") & ~goes}).select(frames.columns)
+
+
+def set_main(frames: DataFrame, chosen: DataFrame, key: str, parent: str) -> DataFrame:
+    """The chosen frames (key, parent; one for a parent) become selected and main; no other frame of their parents stays main."""
+    held = frames.join(chosen.select(parent, F.col(key).alias("_chosen")), parent, "left")
+    here = F.coalesce(F.col(key) == F.col("_chosen"), F.lit(False))
+    return held.withColumns({"selected": F.col("selected") | here, "main": F.when(F.col("_chosen").isNull(), F.col("main")).otherwise(here)}).select(frames.columns)
+
+
 def requeue_errors(frames: DataFrame, accepted: DataFrame, parent: str) -> DataFrame:
     """Failed frames that are still selected and whose parent is accepted go back to the queue."""
     held = frames.join(accepted.select(parent, F.lit(True).alias("_accepted")).distinct(), parent, "left")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from archivolt.plans import aggregates, catalogue, ingest, joins, records, reports, scalars, sets, states, windows
+from archivolt.plans import aggregates, catalogue, ingest, joins, records, reports, scalars, sets, states, videos, windows
 
-MODULES = (aggregates, catalogue, ingest, joins, records, reports, scalars, sets, states, windows)
+MODULES = (aggregates, catalogue, ingest, joins, records, reports, scalars, sets, states, videos, windows)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

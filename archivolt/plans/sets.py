@@ -333,7 +333,7 @@ def j09_scoped_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_GRAY + """, m AS (SELECT vec_id, gray, list_sum(gray) / 64.0 AS mean FROM g)
-SELECT a.vec_id AS target, b.vec_id AS path, list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: ((z[1] > a.mean) <> (z[2] > b.mean))::INT))::INT AS bits
+SELECT a.vec_id AS target, b.vec_id AS path, list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: ((z[1] >= a.mean) <> (z[2] >= b.mean))::INT))::INT AS bits
 FROM m a JOIN m b ON b.vec_id = a.vec_id + 1
 """)
 def v07_average_hash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
