@@ -5,9 +5,10 @@ every node is indexed in its nearest cell and looks for others in all cells whos
 c and y in cell d, the distances of both to the plane between c and d add up to at most |x - y|, so one of them is at
 most half of that: with a reach of sqrt((1 - threshold) / 2) every pair is found, whatever the number of cells. That
 bound is met only by a step straight across the border. A step in any of n directions alike crosses it by its length
-over sqrt(n - 1) in the mean, so the reach is cut to ``SIGMAS`` times that, with n the participation ratio of the
-sample's covariance; where n is small nothing is cut. Neither depends on the size of the table. ``sigmas=None`` keeps
-the exact bound.
+over sqrt(n - 1) in the mean, so the reach is cut to ``SIGMAS`` times that, with n taken for each label and cell on its
+own, from at most ``LOCAL_SAMPLE`` of its nodes: it is the participation ratio of the steps between those that differ by
+about as much as two vectors at the threshold do, or of their covariance where hardly any two link. Where n is small, or
+nodes lie too close to tell, nothing is cut. None of this depends on the size of the table. ``sigmas=None`` keeps the exact bound.
 
 Within a cell, queries and indexed nodes are dealt to blocks of about ``BLOCK`` rows; each pair of blocks is one matrix
 product. A pair that both sides would find is counted once for each. Groups leave a task as trees of bounded fan-out
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 
 from archivolt.llm._io import map_rows, materialize
 from archivolt.operators.graph import connected_components
+from archivolt.operators.ranking import top_k
 
 THRESHOLD = 0.93
 #: Standard deviations of the way that two vectors at the threshold differ across a border, within which cells are asked.
 SIGMAS = 3.0
+#: Nodes of a label and cell that tell how they spread, and pairs at the threshold's distance that suffice.
+LOCAL_SAMPLE, LEAST_STEPS = 192, 8
 BLOCK = 512
 #: Vectors per cell and label that the number of cells aims at, and the most cells.
 CELL_ROWS = 512
@@ -64,14 +68,25 @@ def _unit(rows: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def directions(x: np.ndarray) -> float:
-    """Participation ratio of the covariance: in how many directions the rows spread alike."""
-    spread = np.linalg.eigvalsh(np.cov(x.T)) if len(x) > 1 and x.shape[1] > 1 else np.ones(1)
+def ratio(steps: np.ndarray) -> float:
+    """Participation ratio of vectors: in how many directions they go alike."""
+    spread = np.linalg.eigvalsh(steps.T @ steps)
     return float(spread.sum() ** 2 / max((spread**2).sum(), 1e-300))
 
 
-def fit_cells(nodes: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
-    """Unit centroids and spread by dimension, fitted on a sample taken by hash of the id; a dimension without any has one cell."""
+def directions(x: np.ndarray, threshold: float) -> float:
+    """In how many directions rows alike step that are nearly as far apart as the threshold allows, or, where hardly any
+    two link, in how many they spread; 1 where rows link but lie too close to tell."""
+    i, j = np.triu_indices(len(x), 1)
+    apart, far = (2 - 2 * (x @ x.T))[i, j], 2 - 2 * threshold
+    if (apart <= far).sum() < min(LEAST_STEPS, max(1.0, len(i) / 4)):
+        return ratio(x - x.mean(axis=0)) if len(x) > 1 else 1.0
+    steps = (apart > far / 4) & (apart <= far)
+    return ratio(x[i[steps]] - x[j[steps]]) if steps.sum() >= LEAST_STEPS else 1.0
+
+
+def fit_cells(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Unit centroids by dimension, fitted on a sample taken by hash of the id; a dimension without any has one cell."""
     shape = nodes.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.max("dim").alias("dim")).first()
     if not shape.n:
         return {}
@@ -92,44 +107,72 @@ def fit_cells(nodes: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
             norms = np.linalg.norm(sums, axis=1)
             moved = norms > 0
             centers[moved] = sums[moved] / norms[moved, None]
-        out[int(dim)] = centers, directions(x)
+        out[int(dim)] = centers
     return out
 
 
-def _assign(nodes: DataFrame, cells: dict[int, tuple[np.ndarray, float]], threshold: float, sigmas: float | None) -> DataFrame:
+def _by_dim(nodes: DataFrame, name: str, kind: str, value) -> DataFrame:
+    """Adds a column: ``value`` of the unit vectors of one dimension, and of the batch's rows that have it, as a list."""
+    names = nodes.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields), f"{name} {kind}"])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        dims = np.asarray(batch.column(names.index("dim")))
+        out: list = [None] * batch.num_rows
+        for dim in np.unique(dims):
+            own = pa.array(np.flatnonzero(dims == dim))
+            part = batch.take(own)
+            for i, x in zip(own.to_pylist(), value(_unit(part.column(names.index("embedding")), int(dim)), int(dim), part), strict=True):
+                out[i] = x
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32() if kind == "int" else pa.list_(pa.int32()))], [*names, name])
+
+    return map_rows(nodes, run, schema, rows=1024)
+
+
+def _spreads(homed: DataFrame, threshold: float) -> DataFrame:
+    """label, dim, cell, spread."""
+    sample = top_k(homed, ["label", "dim", "cell"], [F.xxhash64("node"), F.col("node")], LOCAL_SAMPLE)
+
+    def spread(group: pa.Table) -> pa.Table:
+        x = _unit(group["embedding"], group["dim"][0].as_py())
+        return pa.table({"label": group["label"][:1], "dim": group["dim"][:1], "cell": group["cell"][:1], "spread": pa.array([directions(x, threshold)])})
+
+    label = dict(homed.dtypes)["label"]
+    return sample.groupBy("label", "dim", "cell").applyInArrow(spread, f"label {label}, dim int, cell int, spread double")
+
+
+def _assign(nodes: DataFrame, cells: dict[int, np.ndarray], threshold: float, sigmas: float | None) -> DataFrame:
     """Adds probes: the cell of a node, then all others whose border is near enough."""
     shared = nodes.sparkSession.sparkContext.broadcast(cells)
-    names = nodes.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields), "probes array<int>"])
     bound = float(np.sqrt(max(0.0, 1 - threshold) / 2))
 
-    def near(x: np.ndarray, centers: np.ndarray, spread: float) -> list[np.ndarray]:
-        reach = bound * min(1.0, sigmas / np.sqrt(max(spread - 1, 1e-9))) if sigmas is not None else bound
+    def home(x: np.ndarray, dim: int, _) -> list[int]:
+        centers = shared.value.get(dim)
+        return [0] * len(x) if centers is None else np.argmax(x @ centers.T, axis=1).tolist()
+
+    def near(x: np.ndarray, dim: int, rows: pa.RecordBatch) -> list[np.ndarray]:
+        centers = shared.value.get(dim)
+        home = np.asarray(rows.column(rows.schema.get_field_index("cell")))
+        if centers is None:
+            return [np.zeros(1, dtype=np.int32)] * len(x)
+        spread = np.asarray(rows.column(rows.schema.get_field_index("spread")))
+        reach = bound * np.minimum(1.0, sigmas / np.sqrt(np.maximum(spread - 1, 1e-9))) if sigmas is not None else np.full(len(x), bound)
         closeness = x @ centers.T
-        home = np.argmax(closeness, axis=1)
         used, place = np.unique(home, return_inverse=True)
         # Unit centroids c and d are sqrt(2 - 2 c.d) apart; the margin is far above the error of the products.
         apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centers[used] @ centers.T)))[place]
         own = np.arange(len(x))
-        inside = closeness[own, home][:, None] - closeness <= reach * apart + 1e-9
+        inside = closeness[own, home][:, None] - closeness <= reach[:, None] * apart + 1e-9
         inside[own, home] = False
         return [np.append(h, np.flatnonzero(row)).astype(np.int32) for h, row in zip(home, inside, strict=True)]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        dims = np.asarray(batch.column(names.index("dim")))
-        probes: list = [None] * batch.num_rows
-        for dim in np.unique(dims):
-            own = np.flatnonzero(dims == dim)
-            fitted = shared.value.get(int(dim))
-            if fitted is None:
-                nearest = [np.zeros(1, dtype=np.int32)] * len(own)
-            else:
-                nearest = near(_unit(batch.column(names.index("embedding")).take(pa.array(own)), int(dim)), *fitted)
-            for i, row in zip(own, nearest, strict=True):
-                probes[i] = row
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(probes, pa.list_(pa.int32()))], [*names, "probes"])
-
-    return map_rows(nodes, run, schema, rows=1024)
+    homed = _by_dim(nodes, "cell", "int", home)
+    if sigmas is None or not cells or max(map(len, cells.values())) == 1:
+        homed = homed.withColumn("spread", F.lit(1.0))
+    else:
+        homed = materialize(homed, "homes")
+        homed = homed.join(materialize(_spreads(homed, threshold), "spreads"), ["label", "dim", "cell"])
+    return _by_dim(homed, "probes", "array<int>", near).select(*nodes.columns, "probes")
 
 
 def _local_groups(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

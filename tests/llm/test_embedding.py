@@ -92,3 +92,23 @@ def test_recall_and_probes_hold_at_every_number_of_cells(spark, monkeypatch, cel
 
 def test_empty_table(spark):
     assert E.groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [256, 32, 8])
+def test_labels_of_unlike_shape_lose_no_links(spark, monkeypatch, cell_rows):
+    """One label on a circle among one that spreads in all directions: 26, 211 and 844 cells."""
+    rng = np.random.default_rng(11)
+    angle = rng.uniform(0, 2 * np.pi, 1500)
+    circle = np.zeros((1500, 64))
+    circle[:, 0], circle[:, 1] = np.cos(angle), np.sin(angle)
+    circle += rng.normal(scale=0.01, size=circle.shape)
+    spread = rng.normal(size=(12_000, 64))
+    x = np.concatenate([circle, spread]).astype(np.float32)
+    rows = [(i, v.tolist(), int(i >= 1500)) for i, v in enumerate(x)]
+    monkeypatch.setattr(E, "CELL_ROWS", cell_rows)
+    found = E.groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(8)).filter("vec_id < 1500").agg({"n_links": "sum"}).first()[0]
+    unit = x[:1500].astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    wanted = int((unit @ unit.T >= E.THRESHOLD).sum()) - 1500
+    assert found <= wanted
+    assert found >= 0.99 * wanted, found / wanted
