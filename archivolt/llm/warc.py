@@ -8,8 +8,9 @@ its length), which is what the writer is told to put after each row. Archives ar
 from a decompressing stream by Content-Length, so a reading task holds one compressed file and one record.
 
 ``deduplicate`` reads the headers of an archive, shuffles them by payload digest (a combinable maximum, so a
-payload in a third of all records is one partial row per task), and writes a second archive with fresh headers in
-which every repeated payload but one is a revisit record that refers to the original response. ``resolve`` joins
+payload in a third of all records is one partial row per task), joins them to their originals, and writes a second archive
+with fresh headers in which every repeated payload but one is a revisit record that refers to the original response.
+Payloads are in no shuffle: the archive's files are read again, in passes that each know the decisions on their files. ``resolve`` joins
 revisit records to their responses by record id.
 
 Record ids are UUIDs: random in the first archive, and in the second derived from those of the first, so that a revisit
@@ -40,6 +41,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER_BYTES = 1 << 23
 #: Compressed bytes of one row of the writer, but for its last member, and rows of one file: about 64 MB.
 ROW_BYTES, FILE_ROWS = 1 << 22, 16
+#: Revisits whose ids are broadcast at once, about 100 MB.
+PASS_RECORDS = 1 << 19
 
 #: Columns of a parsed record; everything but the payload comes from its headers.
 SCHEMA = (
@@ -107,7 +110,7 @@ def write_archive(records: DataFrame, path: str) -> None:
 
     rows = records.select(_record(F.coalesce("payload", F.lit(""))).alias("value")).mapInArrow(run, "value binary")
     # The writer puts out the bytes of a string as they are.
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_ROWS).mode("append").text(path)
 
 
 class _Stream:
@@ -170,36 +173,39 @@ def _identity(value: str | None) -> str | None:
     return value[1:-1] if value else None
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """One row per record: SCHEMA, and the payload on request."""
+def read_archive(spark: SparkSession, path: str | list[str], payload: bool = False, revisits: dict[str, str] | None = None) -> DataFrame:
+    """One row per record: SCHEMA, and the payload on request. Records that ``revisits`` names come as revisits of the record
+    that it gives, without their payload; it is broadcast."""
+    known = spark.sparkContext.broadcast(revisits or {})
     schema = SCHEMA + (", payload string" if payload else "")
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                archive, rows, size = name.as_py(), [], 0
+                archive, rows, size, again = name.as_py(), [], 0, known.value
                 for headers, block in parse_archive(content.as_py()):
                     kind = headers["warc-type"]
                     body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     digest = headers["warc-payload-digest"].removeprefix("sha1:")
                     if body is not None and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"payload of {headers.get('warc-record-id')} does not match its digest")
-                    page = headers.get("x-page-id")
+                    page, identity = headers.get("x-page-id"), _identity(headers["warc-record-id"])
+                    original = again.get(identity)
                     row = (
                         None if page is None else int(page),
-                        _identity(headers["warc-record-id"]),
-                        kind,
+                        identity,
+                        kind if original is None else "revisit",
                         headers.get("warc-target-uri"),
                         headers.get("warc-date"),
                         digest,
                         None if body is None else len(body),
-                        _identity(headers.get("warc-refers-to")),
+                        original or _identity(headers.get("warc-refers-to")),
                         len(block),
                         archive,
                     )
                     if payload:
-                        row = (*row, None if body is None else body.decode("utf-8"))
+                        row = (*row, None if body is None or original else body.decode("utf-8"))
                         size += len(block)
                     rows.append(row)
                     if len(rows) >= 5_000 or size > 1 << 23:
@@ -256,24 +262,48 @@ def originals(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     )
 
 
+def _passes(spark: SparkSession, headers: DataFrame, decided: DataFrame):
+    """(files, revisits) of passes over the archive: each of its files is read once, with the decisions on its own records."""
+    counted = {r.archive: r.n for r in decided.groupBy("archive").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rest = [r.archive for r in headers.select("archive").distinct().collect() if r.archive not in counted]
+    groups, held = [rest], 0
+    for archive in sorted(counted):
+        if held + counted[archive] > PASS_RECORDS or len(groups) == 1:
+            groups.append([])
+            held = 0
+        groups[-1].append(archive)
+        held += counted[archive]
+    for files in filter(None, groups):
+        rows = decided.filter(F.col("archive").isin(files)).select("record_id", "original_record").toArrow() if files is not rest else None
+        yield files, {} if rows is None else dict(zip(*(rows[c].to_pylist() for c in ("record_id", "original_record")), strict=True))
+
+
 def deduplicate(spark: SparkSession, source: str, target: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Rewrite an archive so that repeated payloads are revisit records with fresh headers."""
-    first = materialize(originals(read_archive(spark, source), least_bytes), "originals")
-    records = read_archive(spark, source, payload=True).join(first, ["payload_digest", "payload_bytes"], "left")
-    again = F.coalesce(F.col("page_id") < F.col("original"), F.lit(False))
-    write_archive(
-        records.select(
-            "page_id",
-            derived_id(F.col("record_id")).alias("record_id"),
-            F.when(again, "revisit").otherwise("response").alias("record_type"),
-            "target_uri",
-            "warc_date",
-            "payload_digest",
-            F.when(again, derived_id(F.col("original_record"))).alias("refers_to_record"),
-            F.when(~again, F.col("payload")).alias("payload"),
-        ),
-        target,
-    )
+    """Rewrite an archive so that repeated payloads are revisit records with fresh headers.
+
+    Headers alone are shuffled, by digest. Payloads go from file to file within a task: the decisions on the records of
+    some files, at most ``PASS_RECORDS`` but for those of one file, are broadcast to the tasks that read these files.
+    """
+    headers = materialize(read_archive(spark, source), "headers")
+    first = materialize(originals(headers, least_bytes), "originals")
+    again = headers.join(first, ["payload_digest", "payload_bytes"]).filter(F.col("page_id") < F.col("original"))
+    decided = materialize(again.select("archive", "record_id", "original_record"), "revisits")
+    if headers.isEmpty():
+        write_archive(read_archive(spark, source, payload=True), target)
+    for files, revisits in _passes(spark, headers, decided):
+        write_archive(
+            read_archive(spark, files, True, revisits).select(
+                "page_id",
+                derived_id(F.col("record_id")).alias("record_id"),
+                "record_type",
+                "target_uri",
+                "warc_date",
+                "payload_digest",
+                derived_id(F.col("refers_to_record")).alias("refers_to_record"),
+                "payload",
+            ),
+            target,
+        )
 
 
 def resolve(records: DataFrame) -> DataFrame:

@@ -104,3 +104,20 @@ def test_damage_is_noticed():
 
 def test_empty_table(spark):
     assert W.archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_hot_payload_in_many_passes(spark, monkeypatch):
+    """A payload in most records, decisions of a few records at a time, and no payload in a shuffle."""
+    monkeypatch.setattr(W, "PASS_RECORDS", 7)
+    monkeypatch.setattr(W, "FILE_ROWS", 1)
+    rows = [(i, f"http://a/{i}", LONG if i % 4 else LONG + str(i % 8)) for i in range(60)]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(9)
+    plans, write = [], W.write_archive
+    monkeypatch.setattr(W, "write_archive", lambda records, path: (plans.append(records._jdf.queryExecution().toString()), write(records, path)))
+    found = W.archive_pages(pages).collect()
+    assert sorted(((repr(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in found), key=repr) == wanted(rows)
+    assert len(plans) > 3 and not any("Exchange" in plan for plan in plans[1:])
+
+
+def test_empty_archives(spark):
+    assert W.archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
