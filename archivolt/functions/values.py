@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date forms in file names: 2024-01-31, 2024_01_31, 20240131, with an optional time of six digits after it.
-DATE_IN_NAME = r"(?<![0-9])((?:19|20)[0-9]{2})([-_.]?)(0[1-9]|1[0-2])\2(0[1-9]|[12][0-9]|3[01])(?![0-9])"
+# Fixed forms of dates and times in file names: with separators, which may differ, and without any.
+DATES_IN_NAME = (
+    r"(?<!\d)(?:20\d{2}|19\d{2})[-_](?:0[1-9]|1[0-2])[-_](?:0[1-9]|[12]\d|3[01])(?!\d)",
+    r"(?<!\d)(?:20\d{2}|19\d{2})(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(?!\d)",
+)
+TIMES_IN_NAME = (
+    r"(?<!\d)(?:20\d{2}|19\d{2})[-_](?:0[1-9]|1[0-2])[-_](?:[0-2]\d|3[01])[ T_-]+(?:[01]\d|2[0-3])[:._-]?[0-5]\d[:._-]?[0-5]\d(?!\d)",
+    r"(?<!\d)(?:20\d{2}|19\d{2})(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])[ T_-]*(?:[01]\d|2[0-3])[0-5]\d[0-5]\d(?!\d)",
+)
+
+
+def _in_name(name: Column, forms: tuple[str, ...], parse) -> Column:
+    found = F.concat(*[F.regexp_extract_all(name, F.lit(form), F.lit(0)) for form in forms])
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda t: parse(F.regexp_replace(t, r"\D", ""))))))
 
 
 def filename_dates(name: Column) -> Column:
-    """All valid dates in a file name, distinct, in order of appearance."""
-    found = F.regexp_extract_all(name, F.lit(DATE_IN_NAME), F.lit(0))
-    dates = F.transform(found, lambda t: F.try_to_date(F.regexp_replace(t, "[-_.]", ""), "yyyyMMdd"))
-    return F.array_distinct(F.array_compact(dates))
+    """All valid dates in a file name, distinct and in order: 2024-01-31, 2024_01-31, 20240131."""
+    return _in_name(name, DATES_IN_NAME, lambda t: F.try_to_date(t, "yyyyMMdd"))
+
+
+def filename_timestamps(name: Column) -> Column:
+    """All valid local times in a file name, distinct and in order: 2024-01-31 12.30.05, 20240131_123005, 20240131123005."""
+    return _in_name(name, TIMES_IN_NAME, lambda t: F.try_to_timestamp(t, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz"))
 
 
 def strict_date(text: Column) -> Column:

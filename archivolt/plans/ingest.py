@@ -568,10 +568,10 @@ def k28_approved_package(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'csv' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'json', count(*) FROM customer UNION ALL SELECT 'markdown', least(count(*), 200) + 4 FROM customer UNION ALL SELECT 'html', least(count(*), 200) FROM customer
+SELECT 'csv' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'json', count(*) FROM customer UNION ALL SELECT 'markdown', count(*) + 4 FROM customer UNION ALL SELECT 'html', count(*) FROM customer
 """)
 def k29_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report as CSV, JSON, Markdown and HTML: its rows, and the head of it for people."""
+    """A report as CSV, JSON, Markdown and HTML: all its rows in each."""
     path = new_path(spark, "report")
     packages.write_report(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path, "Customers")
     read = {

@@ -13,19 +13,46 @@ from archivolt.session import table
 QUERIES, ORACLES, query = collector()
 
 
-@query("""
-SELECT o_orderkey, array_to_string(list_distinct_keep, ';') AS dates FROM (
-  SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 OR strftime(o_orderdate, '%Y-%m-%d') = '1999-12-31' THEN [strftime(o_orderdate, '%Y-%m-%d')] ELSE [strftime(o_orderdate, '%Y-%m-%d'), '1999-12-31'] END AS list_distinct_keep FROM orders)
+_NAMES = """
+WITH n AS (SELECT o_orderkey, o_orderdate AS d, strftime(o_orderdate, '%Y%m%d') AS c, strftime(o_orderdate, '%Y-%m-%d') AS i, strftime(o_orderdate, '%Y_%m-%d') AS m, strftime(o_orderdate, '%Y.%m.%d') AS p,
+    format('{:02d}', o_orderkey % 24) AS h, format('{:02d}', o_orderkey % 60) AS s FROM orders)
+"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of eight forms; some hold several dates, digits too many, or what is no date."""
+    day = lambda form: F.date_format("o_orderdate", form)
+    two = lambda n: F.format_string("%02d", F.col("o_orderkey") % n)
+    forms = [
+        F.concat(F.lit("IMG_"), day("yyyyMMdd"), F.lit("_20019999_"), two(24), two(60), F.lit("00.jpg")),
+        F.concat(F.lit("a "), day("yyyy-MM-dd"), F.lit(" x 1999_12_31 y "), day("yyyy-MM-dd"), F.lit(".png")),
+        F.concat(day("yyyy_MM-dd"), F.lit("T"), two(24), F.lit("."), two(60), F.lit(".07.heic")),
+        F.concat(F.lit("v"), day("yyyyMMdd"), two(24), two(60), F.lit("59.mov")),
+        F.concat(day("yyyy.MM.dd"), F.lit(" dotted.jpg")),
+        F.concat(F.lit("2023-02-30 x "), day("yyyy-MM-dd"), F.lit(" "), two(24), F.lit(":"), two(60), F.lit(":00 2024-02-29_000000.jpg")),
+        F.concat(F.lit("9"), day("yyyyMMdd"), F.lit("-"), day("yyyyMMdd"), F.lit("9.png")),
+        F.concat(F.lit("2024-01-00 101010 "), day("yyyyMMdd"), F.lit(" T-"), two(24), two(60), two(60), F.lit(".jpg")),
+    ]
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("name"))
+
+
+@query(_NAMES + """
+SELECT o_orderkey, array_to_string(list_sort(list_distinct(CASE o_orderkey % 8 WHEN 1 THEN ['1999-12-31', i] WHEN 3 THEN [] WHEN 4 THEN [] WHEN 6 THEN [] WHEN 5 THEN ['2024-02-29', i] ELSE [i] END)), ';') AS dates FROM n
 """)
 def x01_filename_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All valid dates in file names of several forms; impossible dates are ignored."""
-    plain = F.date_format("o_orderdate", "yyyyMMdd")
-    dashed = F.date_format("o_orderdate", "yyyy-MM-dd")
-    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("IMG_"), plain, F.lit("_20019999_120000.jpg"))).otherwise(
-        F.concat(F.lit("a "), dashed, F.lit(" x 1999_12_31 y "), dashed, F.lit(".png"))
-    )
-    found = F.transform(values.filename_dates(name), lambda d: d.cast("string"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, ";").alias("dates"))
+    found = F.transform(values.filename_dates(F.col("name")), lambda d: d.cast("string"))
+    return _named(spark, sf_dir).select("o_orderkey", F.array_join(found, ";").alias("dates"))
+
+
+@query(_NAMES + """
+SELECT o_orderkey, array_to_string(list_sort(CASE o_orderkey % 8 WHEN 2 THEN [i || ' ' || h || ':' || s || ':07'] WHEN 3 THEN [i || ' ' || h || ':' || s || ':59'] WHEN 5 THEN list_distinct([i || ' ' || h || ':' || s || ':00', '2024-02-29 00:00:00'])
+  WHEN 7 THEN [i || ' ' || h || ':' || s || ':' || s] ELSE [] END), ';') AS times FROM n
+""")
+def x01_filename_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid times in file names of several forms."""
+    found = F.transform(values.filename_timestamps(F.col("name")), lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+    return _named(spark, sf_dir).select("o_orderkey", F.array_join(found, ";").alias("times"))
 
 
 @query("""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,25 +33,31 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MEMBER_SCHEMA = "archive string, member string, byte_size long, crc long, content binary, issue string"
+#: What a damaged archive or member raises.
+_DAMAGE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, ValueError, OSError, struct.error, OverflowError)
+#: Bytes of members that a task holds before it hands them on.
+_HELD = 1 << 23
 
 
 def zip_members(spark: SparkSession, folder: str, with_content: bool = True, pattern: str = "*.zip") -> DataFrame:
     """One row per member of every archive; unreadable archives and members are rows with an issue.
 
-    Repeated member names are marked ``duplicate_member``; hidden members and folders are skipped.
+    Repeated member names are marked ``duplicate_member``; hidden members and folders are skipped. A task holds one
+    archive as it is stored, and members of about 8 MB.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["archive", "member", "byte_size", "crc", "content", "issue"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows, seen = [], set()
+                rows, seen, held = [], set(), 0
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
+                    listed = archive.infolist()
+                except _DAMAGE:
                     yield pd.DataFrame([(path, None, None, None, None, "unreadable_archive")], columns=columns)
                     continue
-                for info in archive.infolist():
+                for info in listed:
                     name = info.filename
                     if info.is_dir() or any(part.startswith((".", "__MACOSX")) for part in name.split("/")):
                         continue
@@ -56,9 +65,13 @@ def zip_members(spark: SparkSession, folder: str, with_content: bool = True, pat
                     seen.add(name)
                     try:
                         data = archive.read(info)
-                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError):
+                    except _DAMAGE:
                         issue = "unreadable_member"
                     rows.append((path, name, info.file_size, info.CRC, data if with_content else None, issue))
+                    held += len(data or b"")
+                    if held > _HELD:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
                 yield pd.DataFrame(rows, columns=columns)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)

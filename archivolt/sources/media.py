@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import xml.etree.ElementTree as ET
 from itertools import product
@@ -70,6 +71,11 @@ def exif_dates(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({name: [f.get(name) for f in found] for name in ("original", "digitized", "modify")})
 
 
+#: The header of a binary PPM: three numbers after white space and comments of any length, then one white-space byte.
+_GAP = rb"(?:\s|#[^\n\r]*[\n\r])+"
+_PPM = re.compile(rb"P6" + _GAP + rb"(\d{1,9})" + _GAP + rb"(\d{1,9})" + _GAP + rb"(\d{1,5})\s")
+
+
 def image_size(data: bytes | None) -> tuple[int, int] | None:
     """Width and height from the header of a PNG, GIF, BMP, PPM or JPEG."""
     if not data:
@@ -83,16 +89,21 @@ def image_size(data: bytes | None) -> tuple[int, int] | None:
             width, height = struct.unpack_from("<ii", data, 18)
             return width, abs(height)
         if data[:2] == b"P6":
-            fields = [line for line in data[2:200].split(b"\n") if not line.strip().startswith(b"#")]
-            width, height = b" ".join(fields).split()[:2]
-            return int(width), int(height)
+            found = _PPM.match(data)
+            return (int(found[1]), int(found[2])) if found else None
         if data[:2] == b"\xff\xd8":
             at = 2
             while at + 9 <= len(data) and data[at] == 0xFF:
-                if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                kind = data[at + 1]
+                if kind == 0xFF:  # fill bytes before a marker
+                    at += 1
+                elif kind == 0x01 or 0xD0 <= kind <= 0xD8:  # markers without a length
+                    at += 2
+                elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
                     height, width = struct.unpack_from(">HH", data, at + 5)
                     return width, height
-                at += 2 + struct.unpack_from(">H", data, at + 2)[0]
+                else:
+                    at += 2 + struct.unpack_from(">H", data, at + 2)[0]
     except (struct.error, ValueError):
         return None
     return None
@@ -105,33 +116,32 @@ def dimensions(contents: pd.Series) -> pd.DataFrame:
 
 
 def pixels(data: bytes | None) -> np.ndarray | None:
-    """RGB pixels (height, width, 3) of an uncompressed 24- or 32-bit BMP or a binary PPM; null for other files."""
+    """RGB pixels (height, width, 3) of an uncompressed 24- or 32-bit BMP or a binary PPM; null for other or damaged files.
+
+    Samples of a PPM with another maximum than 255 are brought to it; those above 255 have two bytes.
+    """
     if not data:
         return None
-    if data[:2] == b"BM":
-        start = struct.unpack_from("<I", data, 10)[0]
-        width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
-        if bits not in (24, 32) or packed not in (0, 3) or width <= 0:
-            return None
-        row = (width * bits // 8 + 3) // 4 * 4
-        rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
-        rgb = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
-        return rgb if height < 0 else rgb[::-1]
-    if data[:2] == b"P6":
-        fields, at = [], 2
-        while len(fields) < 3:
-            while data[at : at + 1].isspace():
-                at += 1
-            if data[at : at + 1] == b"#":
-                at = data.index(b"\n", at)
-                continue
-            end = at
-            while not data[end : end + 1].isspace():
-                end += 1
-            fields.append(int(data[at:end]))
-            at = end
-        width, height, _ = fields
-        return np.frombuffer(data, np.uint8, width * height * 3, at + 1).reshape(height, width, 3)
+    try:
+        if data[:2] == b"BM":
+            start = struct.unpack_from("<I", data, 10)[0]
+            width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+            if bits not in (24, 32) or packed not in (0, 3) or width <= 0 or height == 0:
+                return None
+            row = (width * bits // 8 + 3) // 4 * 4
+            rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)
+            rgb = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
+            return rgb if height < 0 else rgb[::-1]
+        found = _PPM.match(data)
+        if found:
+            width, height, most = map(int, found.groups())
+            if not (width and height and 0 < most < 65536):
+                return None
+            kind = np.dtype(np.uint8 if most < 256 else ">u2")
+            samples = np.frombuffer(data, kind, width * height * 3, found.end()).reshape(height, width, 3)
+            return samples if most == 255 else np.rint(np.minimum(samples, most) * (255 / most)).astype(np.uint8)
+    except (struct.error, ValueError):
+        pass
     return None
 
 

@@ -32,18 +32,43 @@ def write_package(entries: DataFrame, media: DataFrame, key: str, path: str) ->
     )
 
 
-def write_report(rows: DataFrame, path: str, title: str, limit: int = 200) -> None:
-    """Write rows as CSV and JSON, and their first ``limit`` in the order of the columns as Markdown and HTML tables."""
+def _escaped(text: Column, marks: dict[str, str]) -> Column:
+    for mark, written in marks.items():
+        text = F.replace(text, F.lit(mark), F.lit(written))
+    return text
+
+
+def write_report(rows: DataFrame, path: str, title: str) -> None:
+    """Write rows as CSV and JSON, and all of them in the order of the columns as Markdown and HTML tables.
+
+    The tables are lines that Spark sorts and writes; read in the order of their names, the part files are one document.
+    """
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/json")
-    head = rows.orderBy(*rows.columns).limit(limit).select([F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns]).collect()
     names = rows.columns
-    lines = [f"# {title}", "", f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}"]
-    lines += ["| " + " | ".join(v.replace("|", "\\|") for v in r) + " |" for r in head]
-    cells = lambda tag, values: "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in values)
-    page = [f"<h1>{html.escape(title)}</h1>", f"<table><tr>{cells('th', names)}</tr>", *(f"<tr>{cells('td', r)}</tr>" for r in head), "</table>"]
-    for name, body in (("markdown", lines), ("html", page)):
-        rows.sparkSession.createDataFrame([("\n".join(body),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
+    in_html = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"}
+    in_markdown = {"|": "\\|", "\n": " "}
+    cells = [F.concat(F.lit("<td>"), _escaped(F.replace(t, F.lit("\n"), F.lit(" ")), in_html), F.lit("</td>")) for t in texts]
+    pages = {
+        "markdown": (
+            [f"# {title}", "", f"| {' | '.join(names)} |", f"|{' --- |' * len(names)}"],
+            F.concat(F.lit("| "), F.concat_ws(" | ", *[_escaped(t, in_markdown) for t in texts]), F.lit(" |")),
+            [],
+        ),
+        "html": (
+            [f"<h1>{html.escape(title)}</h1>", f"<table><tr>{''.join(f'<th>{html.escape(n)}</th>' for n in names)}</tr>"],
+            F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")),
+            ["</table>"],
+        ),
+    }
+    for name, (head, line, foot) in pages.items():
+        keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(names)]
+        body = rows.select(F.lit(len(head)).alias("_at"), line.alias("value"), *keys)
+        fixed = [(i, text) for i, text in enumerate(head)] + [(len(head) + 1 + i, text) for i, text in enumerate(foot)]
+        frame = rows.sparkSession.createDataFrame(fixed, "_at int, value string")
+        lines = body.unionByName(frame, allowMissingColumns=True).orderBy("_at", *[f"_k{i}" for i in range(len(names))])
+        lines.select("value").write.mode("overwrite").text(f"{path}/{name}")
 
 
 def gate(rows: DataFrame, checks: dict[str, object]) -> None:
