@@ -142,3 +142,65 @@ def widening_window(step: Column, steps=(3, 7, 14, 30)) -> Column:
     for i, days in reversed(list(enumerate(steps))):
         out = F.when(step <= i, days).otherwise(out)
     return out
+
+
+def nearest_overall(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, right_id: str, left_id: str, ranges: int = 0) -> DataFrame:
+    """(left_id, nearest_right_id, seconds) of the row of ``right`` nearest in time, before or after, without any key.
+
+    Times of both sides are dealt to ranges, each a task. A window inside a range finds the neighbours there; the last row
+    before and the first row after a range (one row for each range, put together on the driver) are known to it as well.
+    Each time is laid out once, so rows of one time do not gather. Of equal times the smallest id counts, of equal
+    distances the smaller id. Left rows without a time, or without any right row, have no match.
+    """
+    from archivolt.storage import materialize
+
+    spark = left.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    marks = right.filter(F.col(right_ts).isNotNull() & F.col(right_id).isNotNull()).groupBy(micros(right_ts).alias("at")).agg(F.min(right_id).alias("id"))
+    asks = left.filter(F.col(left_ts).isNotNull()).select(micros(left_ts).alias("at")).distinct()
+    kind = marks.schema["id"].dataType
+    both = marks.select("at", F.struct("at", "id").alias("hit")).unionByName(asks.join(marks, "at", "left_anti").select("at", F.lit(None).cast(marks.select(F.struct("at", "id").alias("h")).schema["h"].dataType).alias("hit")))
+    dealt = materialize(both.repartitionByRange(ranges, "at").withColumn("part", F.spark_partition_id()), "ranges")
+    edges = dealt.groupBy("part").agg(F.max("hit").alias("last"), F.min("hit").alias("first")).orderBy("part").collect()
+    carried, before = [], None
+    for edge in edges:
+        carried.append([edge.part, before, None])
+        before = edge.last or before
+    after = None
+    for edge, row in zip(reversed(edges), reversed(carried), strict=True):
+        row[2] = after
+        after = edge.first or after
+    hit = dealt.schema["hit"].dataType.simpleString()
+    known = spark.createDataFrame([tuple(r) for r in carried], f"part int, `_last` {hit}, `_first` {hit}")
+    within = Window.partitionBy("part").orderBy("at")
+    seen = (
+        dealt.withColumn("_b", F.last("hit", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_a", F.first("hit", ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing)))
+        .join(known, "part")
+    )
+
+    def option(found: Column) -> Column:
+        return F.when(found.isNotNull(), F.struct(F.abs(F.col("at") - found["at"]).alias("gap"), found["id"].cast(kind).alias("id")))
+
+    best = F.array_min(F.array_compact(F.array(option(F.coalesce("_b", "_last")), option(F.coalesce("_a", "_first")))))
+    answers = seen.select("at", best.alias("best"))
+    return (
+        left.select(left_id, micros(left_ts).alias("at"))
+        .join(answers, "at", "left")
+        .select(left_id, F.col("best.id").alias(f"nearest_{right_id}"), (F.col("best.gap") / 1_000_000).alias("seconds"))
+    )
+
+
+def nearest_with_fallback(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, right_id: str, left_id: str, ranges: int = 0) -> DataFrame:
+    """Of each left row the nearest right row with equal keys, else the nearest of all: (left_id, nearest_right_id, seconds, same_key).
+
+    A null key equals none.
+    """
+    from archivolt.storage import materialize
+
+    own = nearest_match(left.dropna(subset=on), right.dropna(subset=on), on, left_ts, right_ts, right_id, left_id).drop(*on)
+    own = materialize(own.filter(F.col(f"nearest_{right_id}").isNotNull()), "same-key")
+    rest = left.join(own.select(left_id), left_id, "left_anti")
+    other = nearest_overall(rest, right, left_ts, right_ts, right_id, left_id, ranges)
+    return own.withColumn("same_key", F.lit(True)).unionByName(other.withColumn("same_key", F.lit(False)))
