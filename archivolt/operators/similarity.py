@@ -1,50 +1,10 @@
-"""Similarity of small descriptors: band index, shortlist, dense ranking, recall."""
+"""Similarity of small descriptors: distances, hashes, recall."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.operators.ranking import bounded_top
-
-
-def coarse_bands(values: Column, bands: int, bin_width: float, name: str = "band") -> Column:
-    """Array of (name, value): the values cut into ``bands`` runs, each run's bins joined by commas."""
-    bins = F.transform(values, lambda x: F.floor(x / bin_width).cast("int").cast("string"))
-    width = F.ceil(F.size(values) / bands).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda i: F.struct(
-            F.concat(F.lit(f"{name}_"), i.cast("string")).alias("band_name"),
-            F.array_join(F.slice(bins, (i * width + 1).cast("int"), width), ",").alias("band_value"),
-        ),
-    )
-
-
-def band_votes(targets: DataFrame, index: DataFrame, cap: int) -> DataFrame:
-    """(target, path) with votes, rarity and best band of capped band hits.
-
-    Both sides have (id, view, band_name, band_value), with id named target and
-    path. Of each target's band at most ``cap`` hits count, by path and view; a
-    hit weighs one by the number of hits of its band.
-    """
-    band = ["band_name", "band_value"]
-    # The first hits of a band are the same for all targets, so the index is cut before the join.
-    held = bounded_top(index.select("path", "view", *band), band, [F.col("path"), F.col("view")], cap, F.concat_ws(":", "path", "view"))
-    sizes = held.groupBy(*band).agg(F.count(F.lit(1)).alias("band_hits"))
-    hits = targets.select("target", *band).distinct().join(held, band).join(sizes, band)
-    return hits.groupBy("target", "path").agg(
-        F.count(F.lit(1)).alias("votes"),
-        F.sum(1 / F.col("band_hits")).alias("rarity"),
-        F.min("band_hits").alias("best_band"),
-    )
-
-
-def shortlist(votes: DataFrame, k: int) -> DataFrame:
-    """The k most likely paths of each target: votes, then rarity, then the smallest band, then path."""
-    order = Window.partitionBy("target").orderBy(F.col("votes").desc(), F.bround("rarity", 9).desc(), "best_band", "path")
-    return votes.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-
 
 def mean_squared_error(a: Column, b: Column) -> Column:
     """Mean squared difference of two arrays of one length; null for different or no lengths."""

@@ -261,60 +261,10 @@ def _descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAY = """
-WITH g AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(least(greatest((CAST(x AS DOUBLE) + 4) * 32, 0), 255))::INT) AS gray FROM embeddings),
-b AS (SELECT vec_id, i, array_to_string(list_transform(gray[i * 8 + 1 : i * 8 + 8], lambda x: CAST(floor(x / 32.0) AS INT)), ',') AS v FROM g, range(8) r(i)),
-t AS (SELECT * FROM b WHERE vec_id % 100 = 0),
-h AS (SELECT t.vec_id AS target, b.vec_id AS path, t.i, t.v, row_number() OVER (PARTITION BY t.vec_id, t.i, t.v ORDER BY b.vec_id) AS n FROM t JOIN b ON t.i = b.i AND t.v = b.v),
-c AS (SELECT *, count(*) OVER (PARTITION BY target, i, v) AS hits FROM h WHERE n <= 50),
-s AS (SELECT target, path, count(*) AS votes, sum(1.0 / hits) AS rarity, min(hits) AS best_band FROM c GROUP BY 1, 2)
+WITH g AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(least(greatest((CAST(x AS DOUBLE) + 4) * 32, 0), 255))::INT) AS gray FROM embeddings)
 """
 
 
-@query(_GRAY + "SELECT vec_id, 'band_' || i AS band_name, v AS band_value FROM b")
-def v04_coarse_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight bands of coarse bins of each descriptor."""
-    bands = F.explode(similarity.coarse_bands(F.col("gray"), 8, 32.0)).alias("b")
-    return _descriptors(spark, sf_dir).select("vec_id", bands).select("vec_id", "b.band_name", "b.band_value")
-
-
-def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = F.explode(similarity.coarse_bands(F.col("gray"), 8, 32.0)).alias("b")
-    rows = _descriptors(spark, sf_dir).select("vec_id", bands).select("vec_id", "b.*")
-    index = rows.select(F.col("vec_id").alias("path"), F.lit("full").alias("view"), "band_name", "band_value")
-    return similarity.band_votes(rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "target"), index, 50)
-
-
-@query(_GRAY + "SELECT target, path, votes, round(rarity, 6) AS rarity, best_band FROM s")
-def j08_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capped band hits with votes, rarity and the best band."""
-    return _votes(spark, sf_dir).withColumn("rarity", F.round("rarity", 6))
-
-
-@query(_GRAY + """
-SELECT target, path, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY votes DESC, round_even(rarity, 9) DESC, best_band, path) AS place FROM s) WHERE place <= 5
-""")
-def w07_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five likeliest candidates by votes, rarity and best band."""
-    return similarity.shortlist(_votes(spark, sf_dir), 5).select("target", "path", "place")
-
-
-@query(_GRAY + """, l AS (SELECT target, path, votes FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY votes DESC, round_even(rarity, 9) DESC, best_band, path) AS place FROM s) WHERE place <= 20),
-d AS (SELECT target, path, list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS DOUBLE))) / 64 - 25 * votes AS score FROM l JOIN g a ON a.vec_id = target JOIN g b ON b.vec_id = path)
-SELECT target, path, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY target ORDER BY round_even(score, 6), path) AS INTEGER) AS rank FROM d
-""")
-def j10_shortlist_then_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stages: shortlist by bands, then dense distances less the votes."""
-    from archivolt.operators.ranking import rank_with_gap
-
-    gray = _descriptors(spark, sf_dir)
-    short = similarity.shortlist(_votes(spark, sf_dir), 20)
-    pairs = short.join(gray.select(F.col("vec_id").alias("target"), F.col("gray").alias("x")), "target").join(
-        gray.select(F.col("vec_id").alias("path"), F.col("gray").alias("y")), "path"
-    )
-    scored = pairs.withColumn("score", similarity.mean_squared_error(F.col("x"), F.col("y")) - 25 * F.col("votes"))
-    return rank_with_gap(scored, ["target"], F.col("score"), [F.col("path")]).select("target", "path", F.round("score", 4).alias("score"), "rank")
-
-
 @query(_GRAY + """, d AS (SELECT a.vec_id AS target, b.vec_id AS path, list_sum(list_transform(list_zip(a.gray, b.gray), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS DOUBLE))) / 64 AS score FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round_even(score, 6), path) AS rank FROM d)
 SELECT target, path, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3

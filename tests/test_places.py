@@ -84,9 +84,9 @@ def test_pairs_and_their_settlement_against_plain_rules(spark):
     hashes = [rng.getrandbits(63) for _ in range(4)]
     flip = lambda h: h ^ sum(1 << b for b in rng.sample(range(63), rng.choice((0, 1, 2, 3, 5))))
     quality = lambda i: (-rng.randrange(3), rng.random() < 0.5, -rng.randrange(3), i)
-    entries = [(e, rng.choice("ab"), rng.randrange(0, 900)) for e in range(25)]
-    held = [(rng.choice(entries)[0], 100 + i, rng.randrange(0, 900), (f"d{i % 9}", flip(rng.choice(hashes))), quality(100 + i)) for i in range(50)]
-    loose = [(500 + i, rng.choice("ab"), rng.randrange(0, 900), (f"d{i % 30}", flip(rng.choice(hashes))), rng.randrange(40), quality(500 + i)) for i in range(70)]
+    entries = [(e, rng.choice("ab"), rng.randrange(0, 200)) for e in range(25)]
+    held = [(rng.choice(entries)[0], 100 + i, rng.randrange(0, 200), (f"d{i % 9}", flip(rng.choice(hashes))), quality(100 + i)) for i in range(50)]
+    loose = [(500 + i, rng.choice("ab"), rng.randrange(0, 200), (f"d{i % 30}", flip(rng.choice(hashes))), rng.randrange(40), quality(500 + i)) for i in range(70)]
     place = {e: (p, t) for e, p, t in entries}
     pairs = []
     for loose_id, p, t, (d, h), _, _ in loose:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from archivolt.functions import records
-from archivolt.operators import filters, ranking, reports, similarity, states
+from archivolt.operators import bands, filters, ranking, reports, states
 from archivolt.sources import files, media, packages
 
 
@@ -134,7 +134,7 @@ def test_bounded_top_is_the_plain_one(spark):
 
 def test_bands_are_cut_before_the_join(spark):
     index = spark.createDataFrame([(p, "v", "b", "x") for p in range(100)], "path int, view string, band_name string, band_value string")
-    votes = similarity.band_votes(index.filter("path < 2").withColumnRenamed("path", "target"), index, 5)
+    votes = bands.view_votes(index.filter("path < 2").withColumnRenamed("path", "target"), index, 5)
     assert rows(votes, "target", "path", "best_band") == [(t, p, 5) for t in range(2) for p in range(5)]
 
 
