@@ -101,3 +101,49 @@ def infer_hour_offset(left: DataFrame, right: DataFrame, left_ts: str, right_ts:
         .filter(F.col("overlap") >= F.greatest(F.lit(2), F.floor(share * F.least("_n", "_m"))))
         .drop("_n", "_m")
     )
+
+
+def attempts_to_batches(attempts: DataFrame, batches: DataFrame, least_overlap: float | None = None) -> DataFrame:
+    """(attempt_id, tier, batch_id, matches): the batches that a search attempt was made for.
+
+    Both sides have arrays ``dates`` and ``ids``, and ``first``, ``last`` and ``n``. An attempt with dates matches batches
+    with the same set of dates, one with ids alone those with the same ids, any other those of equal first, last and n;
+    one that names nothing has no row. ``matches`` counts them and ``batch_id`` is the smallest. With ``least_overlap``, an
+    attempt by ids without an equal batch takes the batch that holds most of its ids, at least that share (tier overlap).
+    Attempts without a batch have a null batch and no matches.
+    """
+    from archivolt.storage import materialize
+
+    as_set = lambda c: F.array_join(F.sort_array(F.array_distinct(F.array_compact(c))), "\u001f")
+    some = lambda c: F.coalesce(F.size(F.array_compact(c)), F.lit(0)) > 0
+    span = F.to_json(F.struct("first", "last", "n"))
+    named = F.when(some("dates"), "dates").when(some("ids"), "ids").when(F.coalesce("first", "last", F.col("n").cast("string")).isNotNull(), "range")
+    tiers = {"dates": as_set("dates"), "ids": as_set("ids"), "range": span}
+    key = F.when(some("dates"), tiers["dates"]).when(some("ids"), tiers["ids"]).otherwise(tiers["range"])
+    asked = attempts.withColumns({"tier": named, "key": key}).filter("tier IS NOT NULL")
+    offered = batches.select("batch_id", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), v.alias("key")) for t, v in tiers.items()])).alias("k"))
+    known = offered.groupBy("k.tier", "k.key").agg(F.min("batch_id").alias("batch_id"), F.count(F.lit(1)).alias("matches"))
+    found = asked.join(known, ["tier", "key"], "left").select("attempt_id", "tier", "ids", "batch_id", F.coalesce("matches", F.lit(0).cast("long")).alias("matches"))
+    if least_overlap is None:
+        return found.drop("ids")
+    found = materialize(found, "attempts")
+    held = F.array_distinct(F.array_compact("ids"))
+    # A batch that holds the share has one of the rarest ids, of which an attempt needs to ask only so many.
+    open_ = found.filter("tier = 'ids' AND matches = 0").select("attempt_id", held.alias("ids"))
+    index = batches.select("batch_id", held.alias("held"))
+    listed = index.select("batch_id", F.explode("held").alias("id"))
+    rarity = listed.groupBy("id").agg(F.count(F.lit(1)).alias("batches"))
+    asking = open_.select("attempt_id", F.size("ids").alias("size"), F.explode("ids").alias("id")).join(rarity, "id", "left")
+    place = F.row_number().over(Window.partitionBy("attempt_id").orderBy(F.coalesce("batches", F.lit(0)), "id"))
+    prefix = asking.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least_overlap) + 1)
+    pairs = prefix.join(listed, "id").select("attempt_id", "batch_id").distinct()
+    overlap = F.size(F.array_intersect("ids", "held"))
+    shared = pairs.join(open_, "attempt_id").join(index, "batch_id").withColumn("overlap", overlap).filter(F.col("overlap") >= F.size("ids") * least_overlap)
+    best = shared.groupBy("attempt_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "batch_id")).alias("best"))
+    better = found.join(best, "attempt_id", "left")
+    return better.select(
+        "attempt_id",
+        F.when(F.col("best").isNotNull(), "overlap").otherwise(F.col("tier")).alias("tier"),
+        F.coalesce("batch_id", "best.batch_id").alias("batch_id"),
+        F.when(F.col("best").isNotNull(), F.lit(1).cast("long")).otherwise(F.col("matches")).alias("matches"),
+    )
