@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.operators import bands
+from archivolt.operators import bands, crops
 from archivolt.plans._base import collector
 from archivolt.session import table
 from archivolt.storage import materialize, new_path
@@ -141,3 +141,57 @@ def r12_band_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = materialize(counters.crossJoin(F.broadcast(held)).select(F.lit(run).alias("run"), "*"), "counters")  # one row each
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_QUEUE = """
+WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: floor(least(greatest((CAST(x AS DOUBLE) + 4) * 32, 0), 255))::INT) AS gray FROM embeddings),
+n AS (SELECT g.vec_id, g.gray, coalesce(o.gray, g.gray) AS other, CASE WHEN g.vec_id % 3 = 0 THEN 8 ELSE 14 END AS w, CASE WHEN g.vec_id % 3 = 0 THEN 8 ELSE 10 END AS h FROM g LEFT JOIN g o ON o.vec_id = g.vec_id + 1),
+c AS (SELECT *, CASE WHEN w = 8 THEN 0 ELSE vec_id % 7 END AS ox, CASE WHEN w = 8 THEN 0 ELSE vec_id % 3 END AS oy FROM n),
+i AS (SELECT vec_id, gray, w, h, list_transform(range(w * h), lambda k: CASE WHEN k % w BETWEEN ox AND ox + 7 AND k // w BETWEEN oy AND oy + 7
+    THEN least(255, gray[(k // w - oy) * 8 + k % w - ox + 1] + (k * 7 + vec_id) % (1 + vec_id % 4 * 5)) ELSE other[(k * 5) % 64 + 1] END) AS px FROM c),
+z AS (SELECT 8 AS w, unnest([8, 7, 6, 5, 4]) AS s UNION ALL SELECT 14, unnest([10, 9, 8, 7, 6])),
+p AS (SELECT vec_id, gray, w, h, px, s, x, y, list_sum(list_transform(range(64), lambda k: (gray[k + 1] - px[(y + round_even((k // 8) * (s - 1) / 7.0::DOUBLE, 0)::INT) * w + x + round_even((k % 8) * (s - 1) / 7.0::DOUBLE, 0)::INT + 1]) ** 2)) / 64 AS score
+  FROM i JOIN z USING (w), range(14) a(x), range(10) b(y) WHERE x <= w - s AND y <= h - s),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score, s DESC, y, x) AS place FROM p)
+"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures that stand somewhere in a larger one, or in one of their own size, with more or less noise."""
+    v = F.col("vec_id")
+    gray = F.transform("embedding", lambda x: F.floor(F.least(F.greatest((x.cast("double") + 4) * 32, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", gray.alias("gray"))
+    rows = rows.join(rows.select((v - 1).alias("vec_id"), F.col("gray").alias("_next")), "vec_id", "left").withColumn("other", F.coalesce("_next", "gray"))
+    own = v % 3 == 0
+    w, h = F.when(own, 8).otherwise(14), F.when(own, 8).otherwise(10)
+    sized = rows.withColumns({"w": w, "h": h, "ox": F.when(own, 0).otherwise(v % 7), "oy": F.when(own, 0).otherwise(v % 3)})
+
+    def pixel(k):
+        x, y = k % F.col("w"), F.floor(k / F.col("w"))
+        inside = x.between(F.col("ox"), F.col("ox") + 7) & y.between(F.col("oy"), F.col("oy") + 7)
+        place = F.when(inside, (y - F.col("oy")) * 8 + x - F.col("ox") + 1).otherwise(1).cast("int")
+        shown = F.element_at("gray", place) + (k * 7 + v) % (1 + v % 4 * 5)
+        return F.when(inside, F.least(F.lit(255), shown)).otherwise(F.element_at("other", ((k * 5) % 64 + 1).cast("int"))).cast("int")
+
+    pixels = F.transform(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1), pixel)
+    return sized.select(
+        "vec_id",
+        F.struct(F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("gray").alias("gray")).alias("reference"),
+        F.struct(F.col("w").alias("width"), F.col("h").alias("height"), pixels.alias("gray")).alias("candidate"),
+    )
+
+
+@query(_QUEUE + "SELECT vec_id, round(score, 4) AS score, x, y, s AS width, s AS height, CASE WHEN score <= 20 THEN 'high' WHEN score <= 200 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE place = 1")
+def v05_crop_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first look of the crop search: the best window of each picture for its reference, of all sizes and places."""
+    found = crops.found_crops(_searched(spark, sf_dir), n=8, refine=False)
+    shown = found.select("vec_id", F.round("score", 4).alias("score"), *[F.col(c).cast("long").alias(c) for c in ("x", "y")], "width", "height", crops.confidence(F.col("score")).alias("confidence"))
+    return shown
+
+
+@query(_QUEUE + "SELECT vec_id, CASE WHEN score <= 20 THEN 'high' WHEN score <= 200 THEN 'medium' ELSE 'low' END AS confidence, score <= 0.01 AND w = 8 AND vec_id % 5 <> 0 AS hidden FROM r WHERE place = 1")
+def v06_scored_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the queue scored by the crop search; undecided ones that are the export itself are hidden."""
+    found = crops.found_crops(_searched(spark, sf_dir), n=8, refine=False)
+    hidden = crops.equal_export(F.col("score"), F.col("candidate.width") == F.col("reference.width"), F.col("vec_id") % 5 == 0)
+    return found.select("vec_id", crops.confidence(F.col("score")).alias("confidence"), hidden.alias("hidden"))
