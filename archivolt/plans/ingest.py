@@ -9,8 +9,8 @@ from archivolt.functions import records, values
 from archivolt.operators import upsert
 from archivolt.plans._base import collector
 from archivolt.session import table
-from archivolt.sources import files, media, packages
-from archivolt.storage import new_path
+from archivolt.sources import file_index, files, media, packages
+from archivolt.storage import new_path, remove
 
 QUERIES, ORACLES, query = collector()
 
@@ -601,3 +601,34 @@ def k32_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A copy of tables with a manifest of their rows and digests."""
     kept = packages.snapshot({n: table(spark, sf_dir, n) for n in ("nation", "region", "part")}, new_path(spark, "snapshot"))
     return kept.filter("digest <> 0").select("name", "rows")
+
+
+def _write_files(rows: DataFrame, path: str) -> None:
+    """Text files of rows (folder, content)."""
+    packages.write_each(rows.select("folder", _bytes(F.col("content")).alias("content")), "content", path, "folder")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k FROM supplier),
+c AS (SELECT count(*) AS a, count(*) FILTER (k % 5 = 0) AS moved, count(*) FILTER (k % 5 = 1) AS pruned, count(*) FILTER (k % 5 = 2) AS added, count(*) FILTER (k % 5 = 3) AS changed FROM s)
+SELECT 1 AS run, a AS scanned, a AS read, 0 AS skipped, 0 AS moved, 0 AS pruned, a AS files FROM c
+UNION ALL SELECT 2, a - pruned + added, moved + added + changed, a - pruned - moved - changed, moved, pruned + changed, a - pruned + added FROM c
+UNION ALL SELECT 3, a - pruned + added, 0, a - pruned + added, 0, 0, a - pruned + added FROM c
+""")
+def r10_index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of the index over files of which some move, go, come and change between the first two, and none after."""
+    root, folder, k = new_path(spark, "library"), new_path(spark, "library-index"), F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", k.cast("string"), "s_name").alias("content"))
+    place = lambda name: F.concat(F.lit(f"{name}-"), k.cast("string")).alias("folder")
+    _write_files(rows.select(place("first"), "content"), f"{root}/a")
+    file_index.index_files(spark, root, folder, shards=4)
+    for row in rows.filter("s_suppkey % 5 IN (0, 1, 3)").select(place("first")).collect():
+        remove(spark, f"{root}/a/folder={row.folder}")
+    again = rows.filter("s_suppkey % 5 = 0").select(place("moved"), "content")
+    added = rows.filter("s_suppkey % 5 = 2").select(place("added"), F.concat("content", F.lit(" new")).alias("content"))
+    _write_files(again.unionByName(added), f"{root}/b")
+    # Files of another content and place than those that are gone are new ones.
+    _write_files(rows.filter("s_suppkey % 5 = 3").select(place("first"), F.concat("content", F.lit(" changed")).alias("content")), f"{root}/c")
+    for _ in range(2):
+        file_index.index_files(spark, root, folder, shards=4)
+    return file_index.runs(spark, folder)
