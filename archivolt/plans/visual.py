@@ -100,11 +100,12 @@ def w07_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "path", "votes", F.col("rank").alias("place"))
 
 
-@query(_SCORED + "SELECT target::VARCHAR AS target, path, round(score, 4) AS score, round(distance, 4) AS distance, best_view, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
+@query(_SCORED + "SELECT target::VARCHAR AS target, path, CAST(floor(score * 1000 + 0.5::DOUBLE) AS BIGINT) AS score, CAST(floor(distance * 1000 + 0.5::DOUBLE) AS BIGINT) AS distance, best_view, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def j10_shortlist_then_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stages: candidates by bands, then the distance of the target to the nearest of the views that were hit."""
+    """Two stages: candidates by bands, then the distance of the target to the nearest of the views that were hit; in thousandths."""
     found = bands.shortlist(*_index(spark, sf_dir), size=5, cap=60)
-    return found.select("target", "path", F.round("score", 4).alias("score"), F.round("distance", 4).alias("distance"), "best_view", "rank")
+    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).alias(c)
+    return found.select("target", "path", milli("score"), milli("distance"), "best_view", "rank")
 
 
 @query(_VIEWS.rstrip().rstrip(",") + """,
