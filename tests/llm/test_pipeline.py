@@ -81,4 +81,4 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path, odd_rows):
 
 
 def test_registered_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
