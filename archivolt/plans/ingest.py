@@ -159,15 +159,15 @@ def s06_exif_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_totalprice > 499000)
+WITH t AS (SELECT min(CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY date_trunc('month', o_orderdate))
 SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN t ON CAST(l_shipdate AS DATE) BETWEEN d - 3 AND d + 3
 """)
 def s08_files_near_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose names hold a date within three days of a wanted one."""
+    """Files whose names hold a date within three days of a wanted one: the first order of each month."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     name = F.concat(F.lit("IMG_"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit(".jpg"))
     dated = table(spark, sf_dir, "lineitem").select(*keys, F.explode(values.filename_dates(name)).alias("day"))
-    wanted = table(spark, sf_dir, "orders").filter("o_totalprice > 499000").select(F.to_date("o_orderdate").alias("d")).distinct()
+    wanted = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.min(F.to_date("o_orderdate")).alias("d"))
     near = wanted.select(F.explode(F.sequence(F.date_sub("d", 3), F.date_add("d", 3), F.expr("interval 1 day"))).alias("day")).distinct()
     return dated.join(near, "day", "left_semi").select(*keys).distinct()
 

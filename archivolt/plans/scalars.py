@@ -56,14 +56,14 @@ def x01_filename_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 24) HOUR AS local_time, CAST(((o_orderkey % 27) - 13) * 60 AS INTEGER) AS offset_minutes FROM orders WHERE o_orderkey % 27 <> 13
+SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL (o_orderkey % 24) HOUR AS local_time, CAST(((o_orderkey % 27) - 13) * 60 AS INTEGER) AS offset_minutes FROM orders
 """)
 def x03_exif_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colon dates with an offset, read as a wall clock and minutes."""
     hours = F.col("o_orderkey") % 27 - 13
     sign = F.when(hours < 0, "-").otherwise("+")
     text_ = F.concat(F.date_format("o_orderdate", "yyyy:MM:dd"), F.lit(" "), F.format_string("%02d", F.col("o_orderkey") % 24), F.lit(":00:00"), sign, F.format_string("%02d:00", F.abs(hours)))
-    rows = table(spark, sf_dir, "orders").filter("o_orderkey % 27 <> 13").withColumn("t", text_)
+    rows = table(spark, sf_dir, "orders").withColumn("t", text_)
     return rows.select("o_orderkey", values.exif_timestamp(F.col("t")).alias("local_time"), values.exif_offset_minutes(F.col("t")).alias("offset_minutes"))
 
 
@@ -329,14 +329,15 @@ def k11_prune_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT DISTINCT '/lib/' || (p_size % 7) || CASE WHEN p_partkey % 3 > 0 THEN '/' || (p_size % 11) ELSE '' END || CASE WHEN p_partkey % 3 > 1 THEN '/' || (p_partkey % 13) ELSE '' END AS root FROM part WHERE p_size % 7 <> 2 OR p_partkey % 3 > 1)
+WITH t AS (SELECT *, CASE WHEN p_size % 7 = 2 THEN 2 ELSE p_partkey % 3 END AS third FROM part),
+r AS (SELECT DISTINCT '/lib/' || (p_size % 7) || CASE WHEN third > 0 THEN '/' || (p_size % 11) ELSE '' END || CASE WHEN third > 1 THEN '/' || (p_partkey % 13) ELSE '' END AS root FROM t)
 SELECT a.root, arg_min(b.root, length(b.root)) AS outermost FROM r a JOIN r b ON a.root = b.root OR starts_with(a.root, b.root || '/') GROUP BY 1
 """)
 def k12_outermost_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested roots folded into the outermost."""
-    third = F.col("p_partkey") % 3
+    """Nested roots folded into the outermost; below one of them only deep roots are there."""
+    third = F.when(F.col("p_size") % 7 == 2, 2).otherwise(F.col("p_partkey") % 3)
     parts = [F.lit("/lib"), (F.col("p_size") % 7).cast("string"), F.when(third > 0, (F.col("p_size") % 11).cast("string")), F.when(third > 1, (F.col("p_partkey") % 13).cast("string"))]
-    rows = table(spark, sf_dir, "part").filter("p_size % 7 <> 2 OR p_partkey % 3 > 1").select(F.concat_ws("/", *parts).alias("root")).distinct()
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", *parts).alias("root")).distinct()
     return upsert.outermost_roots(rows, "root")
 
 

@@ -170,7 +170,7 @@ def u09_best_of_equal_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _G01 = """
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity >= 49.5 AND l_discount < 0.005),
+WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 12 + month(o_orderdate) AS a, o_custkey * 7 + dayofweek(o_orderdate) + 1 AS b FROM orders),
 n AS (SELECT a * 2 AS x, b * 2 + 1 AS y FROM e UNION SELECT b * 2 + 1, a * 2 FROM e),
 r(x, y) AS (SELECT x, x FROM n UNION SELECT n.x, r.y FROM n JOIN r ON n.y = r.x),
 c AS (SELECT x, min(y) AS component FROM r GROUP BY 1)
@@ -181,12 +181,11 @@ FROM e JOIN c ON c.x = e.a * 2 GROUP BY 1
 
 @query(_G01)
 def g01_ambiguous_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of candidate pairs; those that are not one to one are ambiguous."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49.5 AND l_discount < 0.005").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    pairs = lines.join(orders, "o_orderkey").select("c_custkey", "s_suppkey").distinct()
-    edges = pairs.select(matching.left_node("c_custkey").alias("src"), matching.right_node("s_suppkey").alias("dst"))
-    return matching.cluster_sides(pairs, graph.connected_components(edges), "c_custkey", "s_suppkey")
+    """Components of candidate pairs (a customer's months and weekdays); those that are not one to one are ambiguous."""
+    cust = F.col("o_custkey")
+    pairs = table(spark, sf_dir, "orders").select((cust * 12 + F.month("o_orderdate")).alias("a"), (cust * 7 + F.dayofweek("o_orderdate")).alias("b")).distinct()
+    edges = pairs.select(matching.left_node("a").alias("src"), matching.right_node("b").alias("dst"))
+    return matching.cluster_sides(pairs, graph.connected_components(edges), "a", "b")
 
 
 @query("""
