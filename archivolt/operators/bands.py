@@ -275,3 +275,51 @@ def shortlist(targets: DataFrame, index: DataFrame, featured: DataFrame, size: i
     score = F.bround(F.col("distance") - VOTE_WEIGHT * F.col("votes"), 6)
     rank = F.row_number().over(Window.partitionBy("target").orderBy("score", F.bround("distance", 6), "path"))
     return near.withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= size).drop("rarity", "best_band")
+
+
+def dense_ranks(short: DataFrame, targets: DataFrame, featured: DataFrame, most: int) -> DataFrame:
+    """(target, path, distance, place): the ``most`` nearest of the shortlisted paths by all views of both."""
+    pairs = short.select("target", "path").join(targets.select("target", F.col("features").alias("wanted")), "target")
+    near = nearest_views(pairs.join(featured.select("path", "features"), "path"), "wanted", "features")
+    order = Window.partitionBy("target").orderBy(F.bround("distance", 6), "path")
+    return near.select("target", "path", "distance", F.row_number().over(order).alias("place")).filter(F.col("place") <= most)
+
+
+def benchmark_records(confirmed: DataFrame, readable: DataFrame, short: DataFrame, dense: DataFrame) -> DataFrame:
+    """(target, path, prefilter_rank, rank, status, error): where the confirmed path of each target was lost.
+
+    A target without features is a source error; a path that the shortlist lacks is a miss of the prefilter, one that the
+    shortlist has and the ranking has not a miss of the ranking.
+    """
+    seen = readable.select("target", F.lit(True).alias("_readable")).distinct()
+    found = (
+        confirmed.join(seen, "target", "left")
+        .join(short.select("target", "path", F.col("rank").alias("_short")), ["target", "path"], "left")
+        .join(dense.select("target", "path", F.col("place").alias("_dense")), ["target", "path"], "left")
+    )
+    lost = F.when(F.col("_readable").isNull(), "source_fingerprint_error").when(F.col("_short").isNull(), "prefilter_miss").otherwise("dense_ranker_miss")
+    status = F.when(F.col("_readable").isNull(), "").when(F.col("_dense").isNotNull(), "hit").otherwise("miss")
+    return found.select(
+        "target",
+        "path",
+        F.coalesce("_short", F.lit(0)).alias("prefilter_rank"),
+        F.coalesce("_dense", F.lit(0)).alias("rank"),
+        status.alias("status"),
+        F.when(F.col("_dense").isNotNull(), "").otherwise(lost).alias("error"),
+    )
+
+
+def benchmark_summary(records: DataFrame, sizes: list[int], most: int) -> DataFrame:
+    """One row: confirmed targets, hits, misses by their reason, recall of the ranking at 1, 5 and ``most``, and of the prefilter at each size."""
+    n = F.count(F.lit(1))
+    share = lambda c: F.bround(F.count_if(c) / F.greatest(n, F.lit(1)), 4)
+    rank, short = F.col("rank"), F.col("prefilter_rank")
+    return records.agg(
+        n.alias("confirmed"),
+        F.count_if(F.col("status") == "hit").alias("hits"),
+        *[F.count_if(F.col("error") == e).alias(e) for e in ("source_fingerprint_error", "prefilter_miss", "dense_ranker_miss")],
+        share(rank == 1).alias("recall_at_1"),
+        share(rank.between(1, 5)).alias("recall_at_5"),
+        share(rank.between(1, most)).alias("recall_at_n"),
+        *[share(short.between(1, k)).alias(f"prefilter_recall_at_{k}") for k in sizes],
+    )

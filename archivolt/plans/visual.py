@@ -196,3 +196,42 @@ def v06_scored_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = crops.found_crops(_searched(spark, sf_dir), n=8, refine=False)
     hidden = crops.equal_export(F.col("score"), F.col("candidate.width") == F.col("reference.width"), F.col("vec_id") % 5 == 0)
     return found.select("vec_id", crops.confidence(F.col("score")).alias("confidence"), hidden.alias("hidden"))
+
+
+_BENCHMARK = _SCORED.replace("vec_id % 100 = 0", "vec_id % 20 = 0 AND vec_id % 60 <> 20").replace("place <= 40", "place <= 240") + """,
+k AS (SELECT target, path, rank FROM r WHERE rank <= 30),
+p AS (SELECT k.target, k.path, min(round(list_sum(list_transform(list_zip(x.grid, y.grid), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 16 + 0.15::DOUBLE * list_sum(list_transform(list_zip(x.colours, y.colours), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 3, 9)) AS distance
+  FROM k JOIN n x ON x.vec_id = target JOIN n y ON y.path = k.path GROUP BY 1, 2),
+w AS (SELECT target, path, row_number() OVER (PARTITION BY target ORDER BY round_even(distance, 6), path) AS place FROM p),
+o AS (SELECT vec_id AS target, (CASE WHEN vec_id % 40 = 0 THEN vec_id + 1 ELSE vec_id END)::VARCHAR AS path, vec_id % 60 = 20 AS lost FROM g WHERE vec_id % 20 = 0),
+z AS (SELECT o.target::VARCHAR AS target, o.path, coalesce(k.rank, 0)::INT AS prefilter_rank, coalesce(w.place, 0)::INT AS rank, CASE WHEN lost THEN '' WHEN w.place IS NOT NULL THEN 'hit' ELSE 'miss' END AS status,
+  CASE WHEN w.place IS NOT NULL THEN '' WHEN lost THEN 'source_fingerprint_error' WHEN k.rank IS NULL THEN 'prefilter_miss' ELSE 'dense_ranker_miss' END AS error
+  FROM o LEFT JOIN k ON k.target = o.target AND k.path = o.path LEFT JOIN w ON w.target = o.target AND w.path = o.path AND w.place <= 8)
+"""
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every twentieth picture, whose original is itself or its neighbour; a third of them cannot be read."""
+    _, index, featured = _index(spark, sf_dir)
+    v = F.col("path").cast("long")
+    every = _descriptors(spark, sf_dir).filter(v % 20 == 0)
+    confirmed = every.select(F.col("path").alias("target"), F.when(v % 40 == 0, v + 1).otherwise(v).cast("string").alias("path"))
+    targets = materialize(every.filter(v % 60 != 20).select(F.col("path").alias("target"), "width", "height", bands.features(F.col("views")).alias("features")), "targets")
+    short = materialize(bands.shortlist(targets, index, featured, size=30, cap=60), "shortlist")
+    return materialize(bands.benchmark_records(confirmed, targets, short, bands.dense_ranks(short, targets, featured, 8)), "records")
+
+
+@query(_BENCHMARK + "SELECT * FROM z")
+def r16_search_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each confirmed original its rank in the shortlist and in the dense ranking, and where it was lost."""
+    return _benchmark(spark, sf_dir)
+
+
+@query(_BENCHMARK + """
+SELECT count(*) AS confirmed, count(*) FILTER (status = 'hit') AS hits, count(*) FILTER (error = 'source_fingerprint_error') AS source_fingerprint_error, count(*) FILTER (error = 'prefilter_miss') AS prefilter_miss, count(*) FILTER (error = 'dense_ranker_miss') AS dense_ranker_miss,
+  round_even(count(*) FILTER (rank = 1) / count(*)::DOUBLE, 4) AS recall_at_1, round_even(count(*) FILTER (rank BETWEEN 1 AND 5) / count(*)::DOUBLE, 4) AS recall_at_5, round_even(count(*) FILTER (rank BETWEEN 1 AND 8) / count(*)::DOUBLE, 4) AS recall_at_n,
+  round_even(count(*) FILTER (prefilter_rank BETWEEN 1 AND 5) / count(*)::DOUBLE, 4) AS prefilter_recall_at_5, round_even(count(*) FILTER (prefilter_rank BETWEEN 1 AND 30) / count(*)::DOUBLE, 4) AS prefilter_recall_at_30 FROM z
+""")
+def a22_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the ranking and of the shortlist before it, and misses by their reason."""
+    return bands.benchmark_summary(_benchmark(spark, sf_dir), [5, 30], 8)
