@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions import records, values
-from archivolt.operators import upsert
+from archivolt.operators import crops, upsert
 from archivolt.plans._base import collector
 from archivolt.session import table
 from archivolt.sources import file_index, files, media, packages
@@ -456,8 +456,8 @@ def v05_suggested_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The reference stands in a bright frame of 16 x 8 pixels, at one of three places.
     wide = [F.concat(*[F.concat(pad(4 * k, 255), line(i), pad(8 - 4 * k, 255)) for i in range(8)]) for k in range(3)]
     framed = F.element_at(F.array(*wide), (F.col("vec_id") % 3 + 1).cast("int"))
-    found = rows.select("vec_id", media.suggested_crop(_ppm(F.col("gray"), 8, 8), _ppm(framed, 16, 8)).alias("c"))
-    return found.select("vec_id", "c.score", "c.x", "c.y", "c.width", media.confidence(F.col("c.score")).alias("confidence"))
+    pictures = rows.select("vec_id", media.gray_pictures(_ppm(F.col("gray"), 8, 8)).alias("reference"), media.gray_pictures(_ppm(framed, 16, 8)).alias("candidate"))
+    return crops.found_crops(pictures, n=8).select("vec_id", "score", "x", "y", "width", crops.confidence(F.col("score")).alias("confidence"))
 
 
 @query("""
@@ -468,7 +468,7 @@ def v06_equal_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the queue by the confidence of their score; undecided ones that equal the export are hidden."""
     score = F.when(F.col("l_quantity") > 45, 0.005).otherwise(F.col("l_quantity"))
     hidden = (F.col("l_returnflag") != "R") & (score <= 0.01) & (F.col("l_linenumber") % 2 == 0)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", media.confidence(score).alias("confidence"), hidden.alias("hidden"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", crops.confidence(score).alias("confidence"), hidden.alias("hidden"))
 
 
 @query("""

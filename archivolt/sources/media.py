@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 import struct
 import xml.etree.ElementTree as ET
-from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: Tags of the three dates in a TIFF directory: changed, taken, digitised.
 DATE_TAGS = {0x0132: "modify", 0x9003: "original", 0x9004: "digitized"}
@@ -291,80 +290,18 @@ def html_cards(content: Column, card: str, fields: dict[str, str]) -> Column:
     return run(content)
 
 
-#: Largest errors of a crop that are of high and of medium confidence.
-HIGH_CONFIDENCE, MEDIUM_CONFIDENCE = 20.0, 200.0
+@F.pandas_udf(StructType().add("width", "integer").add("height", "integer").add("gray", ArrayType(IntegerType())))
+def gray_pictures(contents: pd.Series) -> pd.DataFrame:
+    """Width, height and gray values, row by row; nulls where the pixels cannot be read."""
 
+    def one(data: bytes | None) -> tuple:
+        rgb = pixels(data)
+        if rgb is None:
+            return None, None, None
+        return rgb.shape[1], rgb.shape[0], np.rint(rgb @ np.array([0.299, 0.587, 0.114])).astype(np.int32).ravel()
 
-def confidence(score: Column) -> Column:
-    return F.when(score <= HIGH_CONFIDENCE, "high").when(score <= MEDIUM_CONFIDENCE, "medium").otherwise("low")
-
-
-def gray_window(gray: np.ndarray, x: int, y: int, width: int, height: int, n: int) -> np.ndarray:
-    """n x n samples of a window, at the centres of a grid."""
-    ys = y + ((np.arange(n) + 0.5) * height / n).astype(int)
-    xs = x + ((np.arange(n) + 0.5) * width / n).astype(int)
-    return gray[np.ix_(ys, xs)]
-
-
-def best_window(reference: np.ndarray, candidate: np.ndarray, n: int = 8, scales: int = 5) -> tuple[float, int, int, int, int]:
-    """(mean squared error, x, y, width, height) of the window of a candidate that looks most like a reference.
-
-    Windows have the reference's shape, at several sizes down to half of the largest, first in coarse steps; the best
-    is then moved and resized in halved steps while that helps. Ties go to the larger window, then the first.
-    """
-    wanted = gray_window(reference, 0, 0, reference.shape[1], reference.shape[0], n).astype(np.float64)
-    height, width = candidate.shape
-    shape = reference.shape[1] / reference.shape[0]
-    largest = min(width, int(height * shape))
-    seen: dict[tuple[int, int, int], float] = {}
-
-    def error(x: int, y: int, w: int) -> float:
-        h = max(1, round(w / shape))
-        if x < 0 or y < 0 or w < 1 or x + w > width or y + h > height:
-            return np.inf
-        if (x, y, w) not in seen:
-            seen[x, y, w] = float(((gray_window(candidate, x, y, w, h, n) - wanted) ** 2).mean())
-        return seen[x, y, w]
-
-    for w in sorted({max(1, round(largest * (1 - k / (2 * max(scales - 1, 1))))) for k in range(scales)}, reverse=True):
-        h, step = max(1, round(w / shape)), max(1, w // 8)
-        for y in sorted({*range(0, max(height - h, 0) + 1, step), max(height - h, 0)}):
-            for x in sorted({*range(0, max(width - w, 0) + 1, step), max(width - w, 0)}):
-                error(x, y, w)
-    place = lambda at: (seen[at], -at[2], at[1], at[0])
-    best, step = min(seen, key=place), max(1, largest // 16)
-    while step:
-        x, y, w = best
-        for dx, dy, dw in product((-step, 0, step), repeat=3):
-            error(x + dx, y + dy, w + dw)
-        better = min(seen, key=place)
-        if better == best:
-            step //= 2
-        best = better
-    x, y, w = best
-    return seen[best], x, y, w, max(1, round(w / shape))
-
-
-_CROP = "struct<score:double,x:int,y:int,width:int,height:int>"
-
-
-def suggested_crop(reference: Column, candidate: Column, n: int = 8) -> Column:
-    """The best window of each candidate image; null where either cannot be read."""
-
-    def one(a: bytes | None, b: bytes | None):
-        first, second = pixels(a), pixels(b)
-        if first is None or second is None:
-            return None
-        gray = [np.rint(p @ np.array([0.299, 0.587, 0.114])) for p in (first, second)]
-        return dict(zip(("score", "x", "y", "width", "height"), best_window(*gray, n), strict=True))
-
-    @F.pandas_udf("score double, x int, y int, width int, height int")
-    def run(references: pd.Series, candidates: pd.Series) -> pd.DataFrame:
-        rows = [one(a, b) or dict.fromkeys(("score", "x", "y", "width", "height")) for a, b in zip(references, candidates, strict=True)]
-        table = pd.DataFrame(rows, columns=["score", "x", "y", "width", "height"])
-        return table.astype({"score": "float64", "x": "Int32", "y": "Int32", "width": "Int32", "height": "Int32"})
-
-    return run(reference, candidate)
+    table = pd.DataFrame([one(c) for c in contents], columns=["width", "height", "gray"], dtype=object)
+    return table.astype({"width": "Int32", "height": "Int32"})
 
 
 def crop_candidates(subject_x: Column, subject_y: Column, width: Column, height: Column, steps: int = 3) -> Column:

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from archivolt.functions import records
-from archivolt.operators import bands, filters, ranking, reports, states
-from archivolt.sources import files, media, packages
+from archivolt.operators import bands, crops, filters, ranking, reports, states
+from archivolt.sources import files, packages
 
 
 def rows(df, *columns):
@@ -150,15 +150,17 @@ def test_written_archives_are_whole(spark, tmp_path):
         files.diary_archive(members, "id:int")
 
 
-def test_best_window_finds_the_place_of_a_picture():
+def test_windows_of_a_smooth_picture_are_found(spark):
     """Smooth pictures, as photos are; the least error of all windows of the true size is zero."""
     y, x = np.mgrid[0:48, 0:64]
-    candidate = 120 + 60 * np.sin(x / 9) + 50 * np.cos(y / 7 + x / 23)
-    for x0, y0, w in ((0, 0, 40), (20, 8, 40), (8, 16, 28)):
-        reference = candidate[y0 : y0 + w, x0 : x0 + w]
-        score, *found = media.best_window(reference, candidate)
-        assert score <= 20 and max(abs(found[0] - x0), abs(found[1] - y0), abs(found[2] - w)) <= 3, (x0, y0, w, found, score)
-    assert media.best_window(candidate, candidate)[0] == 0
+    candidate = np.rint(120 + 60 * np.sin(x / 9) + 50 * np.cos(y / 7 + x / 23)).astype(int)
+    places = [(0, 0, 40), (20, 8, 40), (8, 16, 28), (0, 0, 48)]
+    picture = lambda p: (p.shape[1], p.shape[0], p.ravel().tolist())
+    table = [(i, picture(candidate[y0 : y0 + w, x0 : x0 + w]), picture(candidate)) for i, (x0, y0, w) in enumerate(places)]
+    kind = "struct<width:int,height:int,gray:array<int>>"
+    for r in crops.found_crops(spark.createDataFrame(table, f"i int, reference {kind}, candidate {kind}")).collect():
+        x0, y0, w = places[r.i]
+        assert r.score <= 20 and max(abs(r.x - x0), abs(r.y - y0), abs(r.width - w)) <= 1, (places[r.i], r)
 
 
 def test_archive_issues_without_a_range(spark):
