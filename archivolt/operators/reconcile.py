@@ -103,6 +103,30 @@ def infer_hour_offset(left: DataFrame, right: DataFrame, left_ts: str, right_ts:
     )
 
 
+def _attempt_keys() -> tuple[Column, Column, dict[str, Column]]:
+    """What an attempt is matched by (null: nothing), its key, and the key of each kind, which batches have all of."""
+    as_set = lambda c: F.array_join(F.sort_array(F.array_distinct(F.array_compact(c))), "\u001f")
+    some = lambda c: F.coalesce(F.size(F.array_compact(c)), F.lit(0)) > 0
+    keys = {"dates": as_set("dates"), "ids": as_set("ids"), "range": F.to_json(F.struct("first", "last", "n"))}
+    named = F.when(some("dates"), "dates").when(some("ids"), "ids").when(F.coalesce("first", "last", F.col("n").cast("string")).isNotNull(), "range")
+    return named, F.when(some("dates"), keys["dates"]).when(some("ids"), keys["ids"]).otherwise(keys["range"]), keys
+
+
+def batch_attempts(batches: DataFrame, attempts: DataFrame, order: str, shown: list[str]) -> DataFrame:
+    """batch_id, attempts, and the columns ``shown`` of the last attempt by ``order`` of each batch.
+
+    Sides are those of ``attempts_to_batches``. Attempts of one key are summed up before they meet the batches, so that
+    nothing grows with the product of both.
+    """
+    named, key, keys = _attempt_keys()
+    asked = attempts.withColumns({"tier": named, "key": key}).filter("tier IS NOT NULL")
+    summed = asked.groupBy("tier", "key").agg(F.count(F.lit(1)).alias("n_asked"), F.max(F.struct(order, *shown)).alias("latest"))
+    offered = batches.select("batch_id", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), v.alias("key")) for t, v in keys.items()])).alias("k"))
+    joined = offered.select("batch_id", "k.tier", "k.key").join(summed, ["tier", "key"], "left")
+    out = joined.groupBy("batch_id").agg(F.coalesce(F.sum("n_asked"), F.lit(0)).alias("attempts"), F.max("latest").alias("latest"))
+    return out.select("batch_id", "attempts", *[F.col("latest")[c].alias(c) for c in shown])
+
+
 def attempts_to_batches(attempts: DataFrame, batches: DataFrame, least_overlap: float | None = None) -> DataFrame:
     """(attempt_id, tier, batch_id, matches): the batches that a search attempt was made for.
 
@@ -114,12 +138,7 @@ def attempts_to_batches(attempts: DataFrame, batches: DataFrame, least_overlap:
     """
     from archivolt.storage import materialize
 
-    as_set = lambda c: F.array_join(F.sort_array(F.array_distinct(F.array_compact(c))), "\u001f")
-    some = lambda c: F.coalesce(F.size(F.array_compact(c)), F.lit(0)) > 0
-    span = F.to_json(F.struct("first", "last", "n"))
-    named = F.when(some("dates"), "dates").when(some("ids"), "ids").when(F.coalesce("first", "last", F.col("n").cast("string")).isNotNull(), "range")
-    tiers = {"dates": as_set("dates"), "ids": as_set("ids"), "range": span}
-    key = F.when(some("dates"), tiers["dates"]).when(some("ids"), tiers["ids"]).otherwise(tiers["range"])
+    named, key, tiers = _attempt_keys()
     asked = attempts.withColumns({"tier": named, "key": key}).filter("tier IS NOT NULL")
     offered = batches.select("batch_id", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), v.alias("key")) for t, v in tiers.items()])).alias("k"))
     known = offered.groupBy("k.tier", "k.key").agg(F.min("batch_id").alias("batch_id"), F.count(F.lit(1)).alias("matches"))

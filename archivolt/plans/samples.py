@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivolt.operators import reconcile, sampling
+from archivolt.operators import reconcile, reports, sampling
 from archivolt.plans._base import collector
 from archivolt.session import table
 
@@ -77,15 +77,8 @@ a AS (SELECT o_custkey AS attempt_id, CASE WHEN o_custkey % 4 = 0 THEN list_sort
 """
 
 
-@query(_ATTEMPTS + """
-m AS (SELECT attempt_id, 'dates' AS tier, min(batch_id) AS batch_id, count(batch_id) AS matches FROM a LEFT JOIN b ON a.dates = b.dates WHERE len(a.dates) > 0 GROUP BY 1
-  UNION ALL SELECT attempt_id, 'ids', min(batch_id), count(batch_id) FROM a LEFT JOIN b ON a.ids = b.ids WHERE len(a.dates) = 0 AND len(a.ids) > 0 GROUP BY 1
-  UNION ALL SELECT attempt_id, 'range', min(batch_id), count(batch_id) FROM a LEFT JOIN b ON a.first = b.first AND a.last = b.last AND a.n = b.n WHERE len(a.dates) = 0 AND len(a.ids) = 0 AND a.first IS NOT NULL GROUP BY 1),
-v AS (SELECT a.attempt_id, arg_min(b.batch_id, (-len(list_intersect(a.ids, b.ids)), b.batch_id)) AS batch_id FROM m JOIN a USING (attempt_id) JOIN b ON len(list_intersect(a.ids, b.ids)) >= 0.5::DOUBLE * len(a.ids) WHERE tier = 'ids' AND matches = 0 GROUP BY 1)
-SELECT attempt_id, CASE WHEN v.batch_id IS NOT NULL THEN 'overlap' ELSE tier END AS tier, coalesce(m.batch_id, v.batch_id) AS batch_id, CASE WHEN v.batch_id IS NOT NULL THEN 1 ELSE matches END AS matches FROM m LEFT JOIN v USING (attempt_id)
-""")
-def j36_attempts_to_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts matched by their dates, else by their ids, equal or for the most part, else by range and size."""
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Batches and attempts of customers."""
     year = F.date_format("o_orderdate", "yyyy")
     orders = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 2 == 0).alias("even"), F.col("o_orderpriority").alias("d"), year.alias("y"))
     span = [F.min("y").alias("first"), F.max("y").alias("last"), F.count(F.lit(1)).alias("n")]
@@ -95,4 +88,31 @@ def j36_attempts_to_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = orders.filter("even").groupBy("o_custkey").agg(F.collect_set("d").alias("dates"), F.collect_set(changed).alias("ids"), *span)
     given = lambda x: F.when(c % 4 != 3, F.col(x)).alias(x)
     attempts = made.select(c.alias("attempt_id"), F.when(c % 4 == 0, F.col("dates")).otherwise(none).alias("dates"), F.when(c % 4 <= 1, F.col("ids")).otherwise(none).alias("ids"), given("first"), given("last"), given("n"))
+    return batches, attempts
+
+
+@query(_ATTEMPTS + """
+m AS (SELECT attempt_id, 'dates' AS tier, min(batch_id) AS batch_id, count(batch_id) AS matches FROM a LEFT JOIN b ON a.dates = b.dates WHERE len(a.dates) > 0 GROUP BY 1
+  UNION ALL SELECT attempt_id, 'ids', min(batch_id), count(batch_id) FROM a LEFT JOIN b ON a.ids = b.ids WHERE len(a.dates) = 0 AND len(a.ids) > 0 GROUP BY 1
+  UNION ALL SELECT attempt_id, 'range', min(batch_id), count(batch_id) FROM a LEFT JOIN b ON a.first = b.first AND a.last = b.last AND a.n = b.n WHERE len(a.dates) = 0 AND len(a.ids) = 0 AND a.first IS NOT NULL GROUP BY 1),
+v AS (SELECT a.attempt_id, arg_min(b.batch_id, (-len(list_intersect(a.ids, b.ids)), b.batch_id)) AS batch_id FROM m JOIN a USING (attempt_id) JOIN b ON len(list_intersect(a.ids, b.ids)) >= 0.5::DOUBLE * len(a.ids) WHERE tier = 'ids' AND matches = 0 GROUP BY 1)
+SELECT attempt_id, CASE WHEN v.batch_id IS NOT NULL THEN 'overlap' ELSE tier END AS tier, coalesce(m.batch_id, v.batch_id) AS batch_id, CASE WHEN v.batch_id IS NOT NULL THEN 1 ELSE matches END AS matches FROM m LEFT JOIN v USING (attempt_id)
+""")
+def j36_attempts_to_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts matched by their dates, else by their ids, equal or for the most part, else by range and size."""
+    batches, attempts = _sides(spark, sf_dir)
     return reconcile.attempts_to_batches(attempts, batches, 0.5)
+
+
+@query(_ATTEMPTS + """
+m AS (SELECT b.batch_id, attempt_id FROM b JOIN a ON CASE WHEN len(a.dates) > 0 THEN a.dates = b.dates WHEN len(a.ids) > 0 THEN a.ids = b.ids ELSE a.first = b.first AND a.last = b.last AND a.n = b.n END),
+h AS (SELECT batch_id, count(*) AS attempts, max(attempt_id) AS latest FROM m GROUP BY 1)
+SELECT batch_id, coalesce(attempts, 0) AS attempts, 'at ' || latest AS finished_at, CASE WHEN n % 5 = 0 THEN 'Review candidates' WHEN n % 5 = 1 THEN 'Try another folder or keep fallback' WHEN h.batch_id IS NULL THEN 'Choose folder' ELSE 'Try another folder' END AS step FROM b LEFT JOIN h USING (batch_id)
+""")
+def r31_attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches with the number of attempts made for them, when the last one ended, and what to do next."""
+    batches, attempts = _sides(spark, sf_dir)
+    ended = attempts.withColumn("finished_at", F.concat(F.lit("at "), F.col("attempt_id").cast("string")))
+    found = reconcile.batch_attempts(batches, ended, "attempt_id", ["finished_at"]).join(batches.select("batch_id", "n"), "batch_id")
+    step = reports.next_step((F.col("n") % 5 == 0).cast("int"), (F.col("n") % 5 == 1).cast("int"), F.lit(0), F.col("attempts"))
+    return found.select("batch_id", "attempts", "finished_at", step.alias("step"))

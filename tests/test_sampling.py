@@ -81,3 +81,20 @@ def test_attempts_against_the_plain_rule(spark):
             if least and tier == "ids" and not hits and shared:
                 wanted = ("overlap", min(shared)[1], 1)
             assert found[i] == wanted, i
+
+
+def test_attempts_of_batches_against_the_plain_rule(spark):
+    rng = random.Random(6)
+    some = lambda letters, most: [rng.choice(letters) for _ in range(rng.randrange(0, most))]
+    batches = [(i, some("ab", 4), some("pq", 4), rng.choice((None, "1")), "2", rng.randrange(2)) for i in range(40)]
+    attempts = [(i, some("ab", 3) if i % 3 == 0 else [], some("pq", 4) if i % 3 < 2 else None, rng.choice((None, "1")), rng.choice((None, "2")), rng.choice((None, 0, 1)), f"t{i}") for i in range(90)]
+    schema = "_id int, dates array<string>, ids array<string>, first string, last string, n int"
+    A = spark.createDataFrame(attempts, schema.replace("_id", "attempt_id") + ", roots string")
+    found = {r.batch_id: (r.attempts, r.roots) for r in reconcile.batch_attempts(spark.createDataFrame(batches, schema.replace("_id", "batch_id")), A, "attempt_id", ["roots"]).collect()}
+    for b in batches:
+        hits = []
+        for i, dates, ids, *span, roots in attempts:
+            if dates or ids or any(x is not None for x in span):
+                if set(dates) == set(b[1]) if dates else set(ids) == set(b[2]) if ids else span == list(b[3:]):
+                    hits.append((i, roots))
+        assert found[b[0]] == (len(hits), max(hits)[1] if hits else None), b
