@@ -632,3 +632,61 @@ def r10_index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         file_index.index_files(spark, root, folder, shards=4)
     return file_index.runs(spark, folder)
+
+
+_ALBUMS = """
+WITH c AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, 'p' || c_custkey % 400 AS uri, CASE WHEN c_custkey % 9 > 0 THEN c_custkey * 10 END AS tm, CASE WHEN c_custkey % 2 = 0 THEN 'Album ' || c_nationkey ELSE c_name END AS title,
+    CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS description FROM customer),
+p AS (SELECT * FROM c UNION ALL SELECT k, max(place) + 1, 'p' || k * 7, NULL, NULL, 'cover' FROM c WHERE k % 2 = 0 GROUP BY k),
+q AS (SELECT k, 'album_' || lpad(k::VARCHAR, 3, '0') AS source, place, uri, coalesce(tm, 5 + k) AS taken, tm IS NULL AS undated, coalesce(description, CASE WHEN title <> 'Album ' || k OR k % 5 = 0 THEN title END) AS caption, uri IN (SELECT 'p' || o_custkey % 60 FROM orders) AS held FROM p),
+"""
+
+
+def _albums(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Albums of customers by nation, from JSON files, and the media that entries hold."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    photo = F.struct(
+        F.concat(F.lit("p"), (k % 400).cast("string")).alias("uri"),
+        F.when(k % 9 > 0, k * 10).alias("creation_timestamp"),
+        F.when(k % 2 == 0, F.concat(F.lit("Album "), n.cast("string"))).otherwise(F.col("c_name")).alias("title"),
+        F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("description"),
+    )
+    grouped = table(spark, sf_dir, "customer").groupBy(n.alias("k")).agg(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), photo.alias("p")))), lambda x: x["p"]).alias("photos"))
+    cover = F.struct(F.concat(F.lit("p"), (F.col("k") * 7).cast("string")).alias("uri"), F.lit(None).cast("long").alias("creation_timestamp"), F.lit(None).cast("string").alias("title"), F.lit("cover").alias("description"))
+    named = F.when(F.col("k") % 5 > 0, F.concat(F.lit("Album "), F.col("k").cast("string")))
+    about = F.when(F.col("k") % 3 == 0, "About it")
+    made = grouped.select("k", named.alias("name"), about.alias("description"), (F.col("k") + 5).cast("long").alias("last_modified_timestamp"), "photos", F.when(F.col("k") % 2 == 0, cover).alias("cover_photo"))
+    path = new_path(spark, "albums")
+    made.withColumn("album", F.format_string("album_%03d", "k")).drop("k").repartition("album").write.partitionBy("album").json(path)
+    read = spark.read.schema(f"{files.ALBUM_SCHEMA}, album string").json(path).withColumnRenamed("album", "source")
+    attached = table(spark, sf_dir, "orders").select(F.concat(F.lit("p"), (F.col("o_custkey") % 60).cast("string")).alias("uri"))
+    return read, attached
+
+
+@query(_ALBUMS + """
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY source, place) AS n FROM q WHERE NOT held) WHERE n = 1)
+SELECT source, min(taken) AS timestamp, CASE WHEN k % 5 > 0 THEN 'Album: Album ' || k ELSE 'Photo album' END || CASE WHEN k % 3 = 0 THEN chr(10) || chr(10) || 'About it' ELSE '' END AS text,
+  string_agg(uri || '=' || coalesce(caption, ''), ',' ORDER BY place) AS media, CASE WHEN (SELECT bool_or(undated) FROM q WHERE q.k = f.k) THEN 'album_last_modified' ELSE 'album_first_photo' END AS date_source FROM f GROUP BY source, k
+""")
+def s14_albums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Albums as entries of the photos that no entry holds, each photo once."""
+    entries, _ = files.album_entries(*_albums(spark, sf_dir))
+    shown = F.array_join(F.transform("media", lambda m: F.concat(m["uri"], F.lit("="), F.coalesce(m["caption"], F.lit("")))), ",")
+    return entries.select("source", "timestamp", "text", shown.alias("media"), "date_source")
+
+
+@query(_ALBUMS + "h AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY source, place) AS n FROM q WHERE held) SELECT uri, arg_min(caption, n) FILTER (caption IS NOT NULL) AS caption, arg_min(taken, n) AS taken FROM h GROUP BY 1")
+def s14_album_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions and times that albums add to media that entries hold."""
+    return files.album_entries(*_albums(spark, sf_dir))[1]
+
+
+@query("SELECT count(*) FILTER (turn % 3 > 0 AND trim(text) <> '') AS unlinked_comments FROM conversations")
+def s14_unlinked_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments of an export: they name no post, so they are counted only."""
+    comment = F.when(F.col("turn") % 3 > 0, F.struct(F.col("text").alias("comment")))
+    records = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(comment.alias("comment"))).alias("data"))
+    path = new_path(spark, "comments")
+    records.select(F.array(F.struct("data")).alias("comments_v2")).write.json(path)
+    kind = "comments_v2 array<struct<data:array<struct<comment:struct<comment:string>>>>>"
+    return files.unlinked_comments(spark.read.schema(kind).json(path))

@@ -275,3 +275,63 @@ def latest_documents(spark: SparkSession, path: str, schema: str, key: str) -> D
     rows = spark.read.schema(schema).json(path).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_name").alias("_at"))
     names = [c for c in rows.columns if c not in (key, "_at")]
     return rows.groupBy(key).agg(F.max_by(F.struct(*names), "_at").alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in names])
+
+
+ALBUM_SCHEMA = (
+    "name string, description string, last_modified_timestamp long, "
+    "photos array<struct<uri:string,creation_timestamp:long,title:string,description:string>>, "
+    "cover_photo struct<uri:string,creation_timestamp:long,title:string,description:string>"
+)
+
+
+def _filled(text: Column) -> Column:
+    """A text without space around it, null if nothing is left."""
+    return F.nullif(F.trim(text), F.lit(""))
+
+
+def album_photos(albums: DataFrame) -> DataFrame:
+    """source, place, uri, taken, undated, caption, name, about of each photo of albums (source, and ``ALBUM_SCHEMA``), the cover last."""
+    cover = F.when(F.col("cover_photo").isNotNull(), F.array("cover_photo")).otherwise(F.array())
+    listed = albums.select("source", "name", "description", "last_modified_timestamp", F.posexplode(F.concat(F.coalesce("photos", F.array()), cover)).alias("place", "photo"))
+    name = _filled(F.col("name"))
+    title = _filled(F.col("photo.title"))
+    return listed.select(
+        "source",
+        "place",
+        _filled(F.col("photo.uri")).alias("uri"),
+        F.coalesce("photo.creation_timestamp", "last_modified_timestamp").alias("taken"),
+        F.col("photo.creation_timestamp").isNull().alias("undated"),
+        F.coalesce(_filled(F.col("photo.description")), F.when(~title.eqNullSafe(name), title)).alias("caption"),
+        name.alias("name"),
+        _filled(F.col("description")).alias("about"),
+    ).filter("uri IS NOT NULL")
+
+
+def album_entries(albums: DataFrame, attached: DataFrame, key: str = "uri") -> tuple[DataFrame, DataFrame]:
+    """Entries of albums, and what albums add to media that entries hold already.
+
+    Entries: source, timestamp (of the first photo), text, media (place, uri, caption, taken), date_source. A photo that an
+    entry holds is no part of an album's entry; of photos in several albums the first by source and place counts; albums
+    left without photos give no entry. Additions: uri, caption, taken, the first by source and place of each.
+    """
+    photos = album_photos(albums)
+    held = attached.select(F.col(key).alias("uri")).distinct()
+    undated = photos.groupBy("source").agg(F.bool_or("undated").alias("any_undated"))
+    order = F.struct("source", "place")
+    firsts = photos.join(held, "uri", "left_anti").groupBy("uri").agg(F.min_by(F.struct(*photos.columns), order).alias("p")).select("p.*")
+    text = F.concat_ws("\n\n", F.coalesce(F.concat(F.lit("Album: "), F.col("name")), F.lit("Photo album")), F.col("about"))
+    grouped = firsts.groupBy("source", text.alias("text")).agg(
+        F.min("taken").alias("timestamp"), F.sort_array(F.collect_list(F.struct("place", "uri", "caption", "taken"))).alias("media")
+    )
+    source = F.when(F.col("any_undated"), "album_last_modified").otherwise("album_first_photo")
+    entries = grouped.join(undated, "source").select("source", "timestamp", "text", "media", source.alias("date_source"))
+    added = photos.join(held, "uri").groupBy("uri").agg(
+        F.min(F.when(F.col("caption").isNotNull(), F.struct("source", "place", "caption")))["caption"].alias("caption"), F.min(F.struct("source", "place", "taken"))["taken"].alias("taken")
+    )
+    return entries, added
+
+
+def unlinked_comments(comments: DataFrame) -> DataFrame:
+    """One row: comments (``comments_v2`` with data, comment, comment) that have a text. They name no post, so none becomes an entry."""
+    texts = comments.select(F.explode("comments_v2").alias("c")).select(F.explode("c.data").alias("d")).select(_filled(F.col("d.comment.comment")).alias("text"))
+    return texts.agg(F.count("text").alias("unlinked_comments"))

@@ -123,7 +123,7 @@ def test_states(spark):
 
 def test_values(spark):
     row = spark.createDataFrame(
-        [("IMG_20240131_120000 2023-02-30 x 2022.05.06.jpg", "2024:01:31 10:11:12.5+02:00", "48 deg 30' 36\"", "Sun Mar 03 10:00:00 +0000 2024", "www.example.com")],
+        [("IMG_20240131_120000 2023-02-30 x 2022.05.06 2022-05_07.jpg", "2024:01:31 10:11:12.5+02:00", "48 deg 30' 36\"", "Sun Mar 03 10:00:00 +0000 2024", "www.example.com")],
         "name string, exif string, gps string, post string, host string",
     ).select(
         values.filename_dates(F.col("name")).alias("dates"),
@@ -135,7 +135,7 @@ def test_values(spark):
         values.name_uuid("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.col("host")).alias("uuid"),
         values.fixed_zone(F.lit(120)).alias("zone"),
     ).first()
-    assert row.dates == [date(2024, 1, 31), date(2022, 5, 6)]
+    assert row.dates == [date(2022, 5, 7), date(2024, 1, 31)]
     assert row.taken == datetime(2024, 1, 31, 10, 11, 12, 500000) and row.offset == 120
     assert row.lat == -48.51 and row.loose is None and row.zone == "Etc/GMT-2"
     import uuid
