@@ -447,7 +447,7 @@ SELECT l_partkey, array_to_string(list_sort(list(DISTINCT CASE WHEN l_returnflag
 FROM lineitem JOIN k USING (l_partkey) GROUP BY 1
 """)
 def j27_dates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with a date in range, joined back to all their dates, by source."""
+    """Files with a date in range, joined back to all their dates, by source; null where a source has none."""
     lines = _lines(spark, sf_dir).select("l_partkey", "l_returnflag", "ship_date")
     chosen = lines.filter("ship_date BETWEEN DATE '1997-03-01' AND DATE '1997-03-05'").select("l_partkey")
 
@@ -456,7 +456,7 @@ def j27_dates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(F.size(own) > 0, F.array_join(own, ";"))
 
     return lines.join(chosen, "l_partkey", "left_semi").groupBy("l_partkey").agg(
-        F.coalesce(dates("A"), F.lit("")).alias("a_dates"), F.coalesce(dates("R"), F.lit("")).alias("r_dates")
+        dates("A").alias("a_dates"), dates("R").alias("r_dates")
     )
 
 
