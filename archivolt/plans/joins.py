@@ -470,13 +470,16 @@ more AS (SELECT l_orderkey AS o_orderkey, l_linenumber AS line, l_extendedprice
 SELECT o_orderkey, line, round(price, 2) AS price, 'primary' AS role FROM main UNION ALL SELECT o_orderkey, line, round(price, 2), 'associated' FROM more
 """)
 def j28_preferred_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest preferred row else the default one, united with associated rows that are not already there."""
+    """Latest preferred row else the default one, united with associated rows that are not already there.
+
+    Of preferred rows of one day and number, which the order leaves open, the lowest price counts.
+    """
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     row = F.struct(F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"))
     preferred = (
         lines.filter("l_returnflag = 'N'")
         .groupBy("o_orderkey")
-        .agg(F.max_by(row, F.struct("l_shipdate", -F.col("l_linenumber"))).alias("p"))
+        .agg(F.max_by(row, F.struct("l_shipdate", -F.col("l_linenumber"), -F.col("l_extendedprice"))).alias("p"))
     )
     default = lines.filter("l_linenumber = 1").select("o_orderkey", row.alias("d"))
     main = (

@@ -27,3 +27,15 @@ def test_a_source_without_dates_is_null(spark, tmp_path):
     lines = [{"l_partkey": 1, "l_returnflag": "N", "l_shipdate": day}, {"l_partkey": 2, "l_returnflag": "A", "l_shipdate": day}]
     found, wanted = both(spark, tmp_path, "j27_dates_by_source", lineitem=lines)
     assert found == wanted == [(1, None, None), (2, "1997-03-02", None)]
+
+
+def test_preferred_rows_that_the_order_leaves_equal(spark, tmp_path):
+    line = lambda key, price: {"l_orderkey": key, "l_linenumber": 1, "l_extendedprice": price, "l_shipdate": datetime.datetime(1997, 3, 2), "l_returnflag": "N"}
+    seen = []
+    for prices in ([3.0, 1.0, 2.0], [1.0, 2.0, 3.0]):
+        folder = tmp_path / str(prices[0])
+        folder.mkdir()
+        pq.write_table(pa.Table.from_pylist([line(1, p) for p in prices]), f"{folder}/lineitem.parquet")
+        pq.write_table(pa.Table.from_pylist([{"o_orderkey": 1}]), f"{folder}/orders.parquet")
+        seen.append([r.price for r in registry.QUERIES["j28_preferred_or_default"](spark, str(folder)).filter("role = 'primary'").collect()])
+    assert len(set(map(tuple, seen))) == 1 and set(seen[0]) == {1.0}
