@@ -104,7 +104,9 @@ def w07_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j10_shortlist_then_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stages: candidates by bands, then the distance of the target to the nearest of the views that were hit; in thousandths."""
     found = bands.shortlist(*_index(spark, sf_dir), size=5, cap=60)
-    milli = lambda c: F.floor(F.col(c) * 1000 + 0.5).alias(c)
+    # The score of the rank is rounded; a second rounding on it would lift what lies just below a half.
+    exact = {"score": F.col("distance") - bands.VOTE_WEIGHT * F.col("votes"), "distance": F.col("distance")}
+    milli = lambda c: F.floor(exact[c] * 1000 + 0.5).alias(c)
     return found.select("target", "path", milli("score"), milli("distance"), "best_view", "rank")
 
 

@@ -39,3 +39,11 @@ def test_preferred_rows_that_the_order_leaves_equal(spark, tmp_path):
         pq.write_table(pa.Table.from_pylist([{"o_orderkey": 1}]), f"{folder}/orders.parquet")
         seen.append([r.price for r in registry.QUERIES["j28_preferred_or_default"](spark, str(folder)).filter("role = 'primary'").collect()])
     assert len(set(map(tuple, seen))) == 1 and set(seen[0]) == {1.0}
+
+
+def test_thousandths_of_a_score_just_below_a_half(spark, tmp_path):
+    first = bytes.fromhex("897e82807d7f847980807f8084867e7a7e7e807b7d8582817d827f827e797d84" "807785817c81797e7f82807a808576827e7d848a867b7e8177828081837e857c")
+    second = bytes.fromhex("827b84827c7e807d857e7e8181877b7f7b7e847e7c8082837d798285867d8184" "81817c7d7f7d7a82807c81867d847e8681797a8084827f7e827f7a7d807f7982")
+    vectors = [{"vec_id": i, "embedding": [(x + 0.5) / 32 - 4 for x in pixels], "label": 0} for i, pixels in enumerate((first, second))]
+    found, wanted = both(spark, tmp_path, "j10_shortlist_then_dense", embeddings=vectors)
+    assert found == wanted and [r[2] % 1000 for r in found] == [220]
