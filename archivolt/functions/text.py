@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,29 +117,39 @@ _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\
 
 
 def repaired(value: str | None) -> str | None:
-    """Undo up to two rounds of UTF-8 read as Latin-1 or Windows-1252, each damaged character by itself; the rest stays."""
+    """Undo up to two rounds of UTF-8 read as Latin-1 or Windows-1252, each damaged character by itself; the rest stays.
+
+    What was damaged twice is made of characters that the first round restores, so the second round takes no others: a
+    restored letter and a mark that stood beside it are no sequence.
+    """
     if value is None:
         return None
-
-    def decoded(found: re.Match) -> str:
+    once = _restored(value)
+    out: list[str] = []
+    for restored, run in groupby(once, key=lambda piece: piece[1]):
+        pieces = [piece for piece, _ in run]
+        if restored:
+            pieces = [piece for piece, _ in _restored("".join(pieces))]
+        out += pieces
+    return "".join(out)
+
+
+def _restored(value: str) -> list[tuple[str, bool]]:
+    """The pieces of a text after one round, each with whether it was restored."""
+    # One code for each character, so places in both texts agree.
+    codes = "".join(_WINDOWS.get(c, c) for c in value)
+    out, at = [], 0
+    for found in _SEQUENCE.finditer(codes):
         try:
             better = bytes(map(ord, found[0])).decode("utf-8")
         except UnicodeDecodeError:
             better = ""
-        return better if better and better.isprintable() else value[found.start() : found.end()]
-
-    for _ in range(2):
-        # One code for each character, so places in both texts agree.
-        codes = "".join(_WINDOWS.get(c, c) for c in value)
-        out, at = [], 0
-        for found in _SEQUENCE.finditer(codes):
-            out += [value[at : found.start()], decoded(found)]
+        if better and better.isprintable():
+            if at < found.start():
+                out.append((value[at : found.start()], False))
+            out.append((better, True))
             at = found.end()
-        better = "".join([*out, value[at:]])
-        if better == value:
-            break
-        value = better
-    return value
+    return [*out, (value[at:], False)] if at < len(value) else out
 
 
 @F.pandas_udf(StringType())

@@ -47,3 +47,10 @@ def test_thousandths_of_a_score_just_below_a_half(spark, tmp_path):
     vectors = [{"vec_id": i, "embedding": [(x + 0.5) / 32 - 4 for x in pixels], "label": 0} for i, pixels in enumerate((first, second))]
     found, wanted = both(spark, tmp_path, "j10_shortlist_then_dense", embeddings=vectors)
     assert found == wanted and [r[2] % 1000 for r in found] == [220]
+
+
+def test_a_restored_letter_and_the_mark_beside_it_are_no_sequence(spark, tmp_path):
+    assert text.repaired("FÃ\x89” Ã") == "FÉ” Ã"
+    documents = [{"doc_id": i, "text": t} for i, t in enumerate(["MENÜ", "MENÜ", "É"])]
+    found, wanted = both(spark, tmp_path, "x15_repaired_text", documents=documents)
+    assert found == wanted
