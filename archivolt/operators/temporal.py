@@ -26,22 +26,22 @@ def date_window_join(
 ) -> DataFrame:
     """Pairs whose dates differ by at most ``days``, with ``day_distance``.
 
-    Each target is exploded to its 2*days+1 dates, so the join stays an equi-join
-    that shuffles on (date, keys) and is split by adaptive execution if one date
-    is hot. Null dates match nothing. ``on`` names further equal columns.
+    Days are dealt to spans of 2*days+1, of which a target asks at most two and a candidate is in one, so the join
+    is an equi-join on (span, keys) that adaptive execution splits if one is hot. It is a merge join, for the planner does
+    not know of the rows that the spans add and could send them all to the driver. Null dates match nothing. ``on``
+    names further equal columns.
     """
     on = list(on or [])
-    spread = targets.withColumn(
-        "_day",
-        F.explode(
-            F.sequence(F.date_sub(F.col(target_date), days), F.date_add(F.col(target_date), days), F.expr("interval 1 day"))
-        ),
-    )
-    right = candidates.withColumn("_day", F.col(candidate_date))
+    span = lambda day: F.floor(F.unix_date(day) / (2 * days + 1))
+    asked = F.array_distinct(F.array(span(F.date_sub(F.col(target_date), days)), span(F.date_add(F.col(target_date), days))))
+    spread = targets.withColumn("_span", F.explode(asked))
+    right = candidates.withColumn("_span", span(F.col(candidate_date)))
     return (
-        spread.join(right, ["_day", *on])
+        spread.hint("merge")
+        .join(right, ["_span", *on])
         .withColumn("day_distance", F.abs(F.datediff(F.col(candidate_date), F.col(target_date))))
-        .drop("_day")
+        .filter(F.col("day_distance") <= days)
+        .drop("_span")
     )
 
 
