@@ -61,3 +61,23 @@ def test_decided_rows_stay_and_rejected_days_are_told(spark):
 def test_no_entries(spark):
     done = run(spark, [], [(1, 1, 0, True)])
     assert queue(done) == [] and done.batches.count() == 0
+
+
+def test_pairs_are_not_made(spark):
+    """Targets and files of one day: as many pairs as their product are counted, and every file has the first target left."""
+    n = 300
+    files = [(1000 + i, i % 7, 0, i % 2 == 0) for i in range(n)]
+    rejected = [(e, 3, None) for e in range(5)] + [(0, None, 1001)]
+    done = run(spark, [(e, 0) for e in range(n)], files, rejected=rejected)
+    owner = {p: next(e for e in range(n) if not (s == 3 and e < 5 or e == 0 and p == 1001)) for p, s, _, _ in files}
+    assert {r.path: r.entry for r in done.queue.collect() if r.path} == owner
+    hidden = 5 * sum(s == 3 for _, s, _, _ in files) + 1
+    assert done.counters["near"] == done.counters["candidates"] == n * n and done.counters["closest"] == n * n - hidden
+    assert [r.hidden for r in done.days.collect()] == [hidden]
+
+
+def test_files_of_several_days_and_without_content(spark):
+    files = [(1, None, -3, True), (1, None, 1, False), (2, None, 0, False), (2, None, 9, True)]
+    done = run(spark, [(5, 0), (6, 9)], files, rejected=[(5, None, 2)])
+    # File 1 is preferred at one of its days and nearest at the other.
+    assert queue(done) == [(5, 1, 1, "", False), (6, 2, 0, "", False)]
