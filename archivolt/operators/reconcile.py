@@ -146,20 +146,23 @@ def attempts_to_batches(attempts: DataFrame, batches: DataFrame, least_overlap:
     if least_overlap is None:
         return found.drop("ids")
     found = materialize(found, "attempts")
-    held = F.array_distinct(F.array_compact("ids"))
+    held = F.sort_array(F.array_distinct(F.array_compact("ids")))
+    # Attempts and batches of the same ids are one set each: where ids have few values, sets are few as well.
     # A batch that holds the share has one of the rarest ids, of which an attempt needs to ask only so many.
-    open_ = found.filter("tier = 'ids' AND matches = 0").select("attempt_id", held.alias("ids"))
-    index = batches.select("batch_id", held.alias("held"))
+    asked = found.filter("tier = 'ids' AND matches = 0").select("attempt_id", held.alias("ids"))
+    open_ = materialize(asked.select("ids").distinct().withColumn("ask", F.monotonically_increasing_id()), "asked-sets")
+    index = batches.groupBy(held.alias("held")).agg(F.min("batch_id").alias("batch_id"))
+    index = materialize(index, "held-sets")
     listed = index.select("batch_id", F.explode("held").alias("id"))
     rarity = listed.groupBy("id").agg(F.count(F.lit(1)).alias("batches"))
-    asking = open_.select("attempt_id", F.size("ids").alias("size"), F.explode("ids").alias("id")).join(rarity, "id", "left")
-    place = F.row_number().over(Window.partitionBy("attempt_id").orderBy(F.coalesce("batches", F.lit(0)), "id"))
+    asking = open_.select("ask", F.size("ids").alias("size"), F.explode("ids").alias("id")).join(rarity, "id", "left")
+    place = F.row_number().over(Window.partitionBy("ask").orderBy(F.coalesce("batches", F.lit(0)), "id"))
     prefix = asking.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least_overlap) + 1)
-    pairs = prefix.join(listed, "id").select("attempt_id", "batch_id").distinct()
+    pairs = prefix.join(listed, "id").select("ask", "batch_id").distinct()
     overlap = F.size(F.array_intersect("ids", "held"))
-    shared = pairs.join(open_, "attempt_id").join(index, "batch_id").withColumn("overlap", overlap).filter(F.col("overlap") >= F.size("ids") * least_overlap)
-    best = shared.groupBy("attempt_id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "batch_id")).alias("best"))
-    better = found.join(best, "attempt_id", "left")
+    shared = pairs.join(open_, "ask").join(index, "batch_id").withColumn("overlap", overlap).filter(F.col("overlap") >= F.size("ids") * least_overlap)
+    best = shared.groupBy("ids").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "batch_id")).alias("best"))
+    better = found.join(asked.join(best, "ids").select("attempt_id", "best"), "attempt_id", "left")
     return better.select(
         "attempt_id",
         F.when(F.col("best").isNotNull(), "overlap").otherwise(F.col("tier")).alias("tier"),

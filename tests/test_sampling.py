@@ -98,3 +98,13 @@ def test_attempts_of_batches_against_the_plain_rule(spark):
                 if set(dates) == set(b[1]) if dates else set(ids) == set(b[2]) if ids else span == list(b[3:]):
                     hits.append((i, roots))
         assert found[b[0]] == (len(hits), max(hits)[1] if hits else None), b
+
+
+def test_attempts_meet_sets_of_ids_not_batches(spark):
+    """Ids of few values in many batches: attempts and batches of one set meet once."""
+    batches = spark.createDataFrame([(i, ["d"], ["p", "q", "r"], "1", "2", 0) for i in range(3000)], "batch_id int, dates array<string>, ids array<string>, first string, last string, n int")
+    attempts = spark.createDataFrame([(i, [], ["q", "p", "z"], None, None, None) for i in range(3000)], "attempt_id int, dates array<string>, ids array<string>, first string, last string, n int")
+    found = reconcile.attempts_to_batches(attempts, batches, 0.5)
+    assert found.filter("tier = 'overlap' AND batch_id = 0 AND matches = 1").count() == 3000
+    # The pairs are made from the tables of sets; before, from nine million pairs of attempts and batches.
+    assert any("/held-sets-" in path for path in found.inputFiles())
