@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivolt.session import default_partitions
+
 
 def entry_documents(entries: DataFrame, media: DataFrame, key: str) -> DataFrame:
     """Entries with their media as an ordered array of structs; media carry the key and ``position``."""
@@ -105,9 +107,12 @@ def zipped(members: Column) -> Column:
 def write_each(rows: DataFrame, content: str, path: str, folder: str) -> None:
     """A file for each row, below a folder named after its value of ``folder``; a line end follows the content.
 
-    Spark's own writer puts out the bytes as they are, into any store.
+    Spark's own writer puts out the bytes as they are, into any store. A file costs the same however small it is, so rows are
+    dealt to all tasks: a small table is one partition, whose task would write every file.
     """
-    rows.select(F.col(content).cast("string").alias("value"), folder).write.partitionBy(folder).option("maxRecordsPerFile", 1).text(path)
+    held = rows.select(F.col(content).cast("string").alias("value"), folder)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, default_partitions(rows.sparkSession))
+    held.repartition(tasks, folder).write.partitionBy(folder).option("maxRecordsPerFile", 1).text(path)
 
 
 def folder_of(path: Column, folder: str) -> Column:
