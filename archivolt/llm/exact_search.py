@@ -9,7 +9,7 @@ is one of them. Queries of a cell form groups, which are trees likewise.
 A pair of a group of queries around p within r and data around c within s has no product above <p, c> + |p| s + |c| r + r s.
 Pairs of nodes are taken by that bound, the highest first, and left out where it is below the worst (k + 1)-th score of the
 group's queries. Each group is first searched in a shard of its own cell; the scores found there are its bounds for all
-other cells (whose centres and radii are broadcast, at most ``SAMPLE_VALUES`` numbers) and, inside them, for pairs of nodes.
+other cells (whose centres, radii and numbers of shards are broadcast, at most ``SAMPLE_VALUES`` numbers) and, inside them, for pairs of nodes.
 Groups that ask a shard are dealt to buckets, so that no task holds all groups.
 
 Scores are exact: products in double precision where no sum can reach 2^53, in whole numbers elsewhere. Sums beyond 64 bits
@@ -272,27 +272,49 @@ def _searched(teams: DataFrame, shards: DataFrame, k: int) -> DataFrame:
     return teams.groupBy(*keys).cogroup(shards.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
-def _wanted(teams: DataFrame, cells: dict[int, np.ndarray], radii: dict[tuple[int, int], float]) -> DataFrame:
-    """Adds asked: the cells that may hold a row as good as the worst of a team's queries."""
-    shared = teams.sparkSession.sparkContext.broadcast((cells, radii))
+def _numbered(asking: DataFrame, placed: DataFrame) -> DataFrame:
+    """node, vec_id, times of the rows that ask. A merge join: the size of the points' files, a tenth of that of the points,
+    is what the planner goes by, and it would send all of them to the driver."""
+    own = asking.groupBy("point", "vec_id").agg(F.count(F.lit(1)).alias("times"))
+    return own.join(placed.select("point", "node").hint("merge"), "point").select("node", "vec_id", "times")
+
+
+def _at_shards(pairs: DataFrame, shards: DataFrame) -> DataFrame:
+    """The shards, once for each bucket of teams that asks them, under columns of their own; no shard reaches the driver."""
+    keys = ["dim", "cell", "part", "bucket"]
+    asked = pairs.select(*[F.col(c).alias(f"asked_{c}") for c in keys]).distinct()
+    here = shards.select(*[F.col(c).alias(f"held_{c}") for c in keys[:3]], "shard").hint("merge")
+    both = asked.join(here, [F.col(f"asked_{c}") == F.col(f"held_{c}") for c in keys[:3]])
+    return both.select(*[F.col(f"asked_{c}").alias(c) for c in keys], "shard")
+
+
+def _wanted(teams: DataFrame, cells: dict[int, np.ndarray], radii: dict[tuple[int, int], float], last_parts: dict[tuple[int, int], int]) -> DataFrame:
+    """Adds asked: the shards, but the one searched first, of cells that may hold a row as good as the worst of a team's queries."""
+    shared = teams.sparkSession.sparkContext.broadcast((cells, radii, last_parts))
     names = teams.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in teams.schema.fields), "asked array<int>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in teams.schema.fields), "asked array<struct<cell:int,part:int>>"])
 
     def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
-        centers_of, radius_of = shared.value
+        centers_of, radius_of, last_of = shared.value
         out = []
-        for dim, asks, worst in zip(*(batch.column(names.index(c)).to_pylist() for c in ("dim", "asks", "worst")), strict=True):
+
+        def shards_of(dim: int, asked: list[int], home: tuple[int, int]) -> list[dict]:
+            parts = ((c, p) for c in asked for p in range(last_of.get((dim, c), -1) + 1))
+            return [{"cell": c, "part": p} for c, p in parts if (c, p) != home]
+
+        for dim, cell, home, asks, worst in zip(*(batch.column(names.index(c)).to_pylist() for c in ("dim", "cell", "home", "asks", "worst")), strict=True):
             centers = centers_of.get(dim)
             if centers is None:
-                out.append([0])
+                out.append(shards_of(dim, [0], (cell, home)))
                 continue
             tree, lowest = pickle.loads(asks)[1], float(np.frombuffer(worst, dtype="<i8").min())
             radius = np.array([radius_of.get((dim, i), -1.0) for i in range(len(centers))])
             norms = np.linalg.norm(centers, axis=1)
             most = centers @ tree.centers[0] + norms * tree.radii[0] + (tree.norms[0] + tree.radii[0]) * radius
             most += 1e-9 * (norms + radius) * (tree.norms[0] + tree.radii[0]) + 1e-6
-            out.append(np.flatnonzero((radius >= 0) & (most >= lowest)).tolist())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*names, "asked"])
+            out.append(shards_of(dim, np.flatnonzero((radius >= 0) & (most >= lowest)).tolist(), (cell, home)))
+        kind = pa.list_(pa.struct([("cell", pa.int32()), ("part", pa.int32())]))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*names, "asked"])
 
     return map_rows(teams, ask, schema)
 
@@ -327,11 +349,11 @@ def top_rows(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCAL
     dealt = _dealt(placed, SHARD_VALUES, "part")
     shards = materialize(dealt.groupBy("dim", "cell", "part").applyInArrow(_shard, "dim int, cell int, part int, shard binary"), "shards")
 
-    queries = rows.filter(F.coalesce(is_query, F.lit(False))).groupBy("point", "vec_id").agg(F.count(F.lit(1)).alias("times"))
-    queries = materialize(queries.join(placed.select("point", "node"), "point").select("node", "vec_id", "times"), "queries")
+    queries = materialize(_numbered(rows.filter(F.coalesce(is_query, F.lit(False))), placed), "queries")
     asking = placed.join(queries.select("node").distinct(), "node", "left_semi")
     teams = _dealt(asking.withColumn("members", F.lit(1)), GROUP_VALUES, "team").drop("parts")
     parts = shards.groupBy("dim", "cell").agg(F.max("part").alias("parts"))
+    last_parts = {(r.dim, r.cell): r.parts for r in parts.collect()}
     teams = teams.join(parts, ["dim", "cell"])
     teams = teams.groupBy("dim", "cell", "team").applyInArrow(_query_group, "dim int, cell int, team int, parts int, asks binary")
     # A team is first searched in one shard of its cell.
@@ -340,25 +362,15 @@ def top_rows(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCAL
 
     buckets = max(1, -(-teams.count() // BUCKET_GROUPS))
     bucket = F.pmod(F.xxhash64("team_key"), F.lit(buckets)).cast("int").alias("bucket")
-    keys = ["dim", "cell", "part", "bucket"]
-
-    def at_shards(pairs: DataFrame) -> DataFrame:
-        """The shards, once for each bucket of teams that asks them, under columns of their own."""
-        asked = pairs.select(*[F.col(c).alias(f"asked_{c}") for c in keys]).distinct()
-        here = shards.select(*[F.col(c).alias(f"held_{c}") for c in keys[:3]], "shard")
-        both = asked.join(here, [F.col(f"asked_{c}") == F.col(f"held_{c}") for c in keys[:3]])
-        return both.select(*[F.col(f"asked_{c}").alias(c) for c in keys], "shard")
 
     first = teams.select("dim", "cell", F.col("home").alias("part"), bucket, "asks", F.lit(None).cast("binary").alias("worst"))
-    seeds = materialize(_searched(first, at_shards(first), k + 1), "seeds")
+    seeds = materialize(_searched(first, _at_shards(first, shards), k + 1), "seeds")
     worst = seeds.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("worst")).filter("worst IS NOT NULL")
     members = _members(teams)
     bounded = _bounds(teams, worst.join(members, "query"), k + 1)
-    wanted = materialize(_wanted(bounded, cells, radii), "bounded-teams")
-    pairs = wanted.withColumn("other", F.explode("asked")).drop("asked").withColumnRenamed("cell", "home_cell").withColumnRenamed("other", "cell")
-    pairs = pairs.join(shards.select("dim", "cell", "part"), ["dim", "cell"]).filter((F.col("cell") != F.col("home_cell")) | (F.col("part") != F.col("home")))
-    second = pairs.select("dim", "cell", "part", bucket, "asks", "worst")
-    more = materialize(_searched(second, at_shards(second), k + 1), "found")
+    wanted = materialize(_wanted(bounded, cells, radii, last_parts), "bounded-teams")
+    second = wanted.withColumn("other", F.explode("asked")).select("dim", "other.cell", "other.part", bucket, "asks", "worst")
+    more = materialize(_searched(second, _at_shards(second, shards), k + 1), "found")
 
     best = top_k(seeds.unionByName(more), ["query"], [F.col("score").desc(), F.col("ids")[0], F.col("node")], k + 1)
     own_place = F.array_position("ids", F.col("vec_id"))

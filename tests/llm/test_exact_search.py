@@ -106,3 +106,14 @@ def test_nodes_are_left_out():
     every = queries @ data.T
     assert (scores == -np.sort(-every, axis=1)[:, :10]).all()
     assert sum(made) < 0.25 * every.size
+
+
+def test_no_points_or_shards_are_broadcast(spark):
+    """Files of points are a tenth of their size in memory: by their files, the planner took them for small."""
+    placed = spark.range(400).select(F.array(F.col("id")).alias("point"), F.col("id").alias("node"))
+    asking = placed.select("point", F.col("node").alias("vec_id"))
+    shards = spark.range(4).select(*[F.col("id").cast("int").alias(c) for c in ("dim", "cell", "part")], F.lit(b"x").alias("shard"))
+    pairs = shards.drop("shard").withColumn("bucket", F.lit(0))
+    for joined in (E._numbered(asking, placed), E._at_shards(pairs, shards)):
+        assert joined.count() > 0
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
