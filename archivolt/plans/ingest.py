@@ -373,7 +373,8 @@ def s15_html_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<a class="url" href="#">https://example.org/'), F.col("c_custkey").cast("string"), F.lit("</a>"))).otherwise("")
     body = F.concat(F.lit('<p class="x body">Balance <b>'), F.col("c_nationkey").cast("string"), F.lit("</b> in<br> "), "c_mktsegment")
     card = F.concat(F.lit('<div class="card post"><source><span class="author">'), "c_name", F.lit("</span>"), body, F.lit("<li></p>"), link, F.lit('</div></i> outside <p class="body">no'))
-    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat_ws("", F.collect_list(card)).alias("html"))
+    # More customers are more pages, not longer ones.
+    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 10_000)).agg(F.concat_ws("", F.collect_list(card)).alias("html"))
     found = pages.select(F.explode(media.html_cards(F.col("html"), "card", {"author": "author", "body": "body", "url": "url"})).alias("c"))
     field = lambda n: F.coalesce(F.try_element_at("c", F.lit(n)), F.lit("")).alias(n)
     return found.select(field("author"), field("body"), field("url"))

@@ -127,3 +127,15 @@ def test_scratch_tables_go(spark):
         inside.write.parquet(kept)
         assert os.path.isdir(folder)
     assert not os.path.exists(folder) and spark.read.parquet(kept).count() == 5
+
+
+def test_html_cards_of_a_page_of_open_nodes(spark):
+    """Nodes that stay open outside of cards are not walked again for each end."""
+    import time
+
+    one = '<div class="card"><p class="body">one<li></i></div><p class="body">outside'
+    page = spark.range(1).select(F.repeat(F.lit(one), 20_000).alias("h"))
+    began = time.monotonic()
+    found = page.select(F.explode(media.html_cards(F.col("h"), "card", {"text": "body"})).alias("c")).groupBy("c.text").count().collect()
+    assert [tuple(r) for r in found] == [("one", 20_000)]
+    assert time.monotonic() - began < 20
