@@ -124,39 +124,34 @@ def hash_halves(fingerprint: Column) -> Column:
     return halves(fingerprint)
 
 
-def linked_components(members: DataFrame, key: str, identity: str, payload: list[str], links: Column) -> DataFrame:
+def linked_components(members: DataFrame, rows: DataFrame, key: str, identity: str, payload: list[str], links: Column) -> DataFrame:
     """(node, component) of rows that ``links`` (a condition on a and b, structs of the payload) joins, asked only of rows that share a key.
 
-    ``members`` has a row for each key of a row. Each row is first held against the smallest row of each of its keys;
+    ``members`` has the id of a row for each of its keys, and ``rows`` the payload once for each id: it is laid beside
+    distinct pairs, not beside keys. Each row is first held against the smallest row of each of its keys;
     only rows of a key that are then not in its largest component are held against all others of the key. So many rows
     that are alike cost a comparison each, and no link between components is lost.
     """
-    row = F.struct(*payload)
-    listed = materialize(members.select(F.col(key).alias("key"), F.col(identity).alias("id"), row.alias("row")), "keyed")
-    heads = listed.groupBy("key").agg(F.min(F.struct("id", "row")).alias("head"))
+    listed = materialize(members.select(F.col(key).alias("key"), F.col(identity).alias("id")), "keyed")
+    heads = listed.groupBy("key").agg(F.min("id").alias("b_id"))
 
     def links_of(both: DataFrame) -> DataFrame:
         """Rows may share many keys and are compared once."""
-        swapped = F.col("a_id") > F.col("b_id")
-        ordered = both.filter("a_id <> b_id").select(
-            F.least("a_id", "b_id").alias("src"),
-            F.greatest("a_id", "b_id").alias("dst"),
-            F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"),
-            F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"),
-        )
-        return ordered.dropDuplicates(["src", "dst"]).filter(links).select("src", "dst")
+        pairs = both.filter("a_id <> b_id").select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst")).distinct()
+        for end, name in (("src", "a"), ("dst", "b")):
+            pairs = pairs.join(rows.select(F.col(identity).alias(end), F.struct(*payload).alias(name)), end)
+        return pairs.filter(links).select("src", "dst")
 
-    every = listed.select("key", F.col("id").alias("a_id"), F.col("row").alias("a"))
-    stars = heads.select("key", F.col("head.id").alias("b_id"), F.col("head.row").alias("b"))
-    found = materialize(links_of(every.join(stars, "key")), "star-links")
+    every = listed.select("key", F.col("id").alias("a_id"))
+    found = materialize(links_of(every.join(heads, "key")), "star-links")
     near = connected_components(found)
     placed = listed.join(near.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = materialize(placed, "placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     open_keys = placed.join(largest.select("key", F.col("most.component").alias("main")), "key")
-    rest = open_keys.filter("component <> main").select("key", F.col("id").alias("a_id"), F.col("row").alias("a"), F.col("component").alias("a_part"))
-    others = open_keys.select("key", F.col("id").alias("b_id"), F.col("row").alias("b"), F.col("component").alias("b_part"))
+    rest = open_keys.filter("component <> main").select("key", F.col("id").alias("a_id"), F.col("component").alias("a_part"))
+    others = open_keys.select("key", F.col("id").alias("b_id"), F.col("component").alias("b_part"))
     more = links_of(rest.join(others, "key").filter("a_part <> b_part"))
     return connected_components(found.unionByName(more))
 
@@ -172,9 +167,11 @@ def duplicate_components(videos: DataFrame, tolerance: float = DURATION_TOLERANC
     usable = videos.filter("capture_ts <> '' AND length(fingerprint) > 0").select("video_id", *own)
     heads = usable.select(*own).distinct().withColumn("row", F.monotonically_increasing_id())
     heads = materialize(heads.withColumn("alike", compared(F.col("fingerprint"), F.col("fingerprint"))["matches"]), "distinct-videos")
-    keyed = heads.filter("alike").withColumn("key", F.explode(F.transform(hash_halves(F.col("fingerprint")), lambda h: F.concat_ws("|", F.col("capture_ts"), h))))
-    near = F.abs(F.col("a.duration") - F.col("b.duration")) <= tolerance
-    linked = linked_components(keyed, "key", "row", ["duration", "fingerprint"], near & compared(F.col("a.fingerprint"), F.col("b.fingerprint"))["matches"])
+    # A key is the hash of a half and its time: where two hashes meet by chance, the times are held against each other.
+    halves = F.explode(hash_halves(F.col("fingerprint"))).alias("half")
+    keyed = heads.filter("alike").select("row", "capture_ts", halves).select("row", F.xxhash64("capture_ts", "half").alias("key"))
+    near = (F.col("a.capture_ts") == F.col("b.capture_ts")) & (F.abs(F.col("a.duration") - F.col("b.duration")) <= tolerance)
+    linked = linked_components(keyed, heads, "key", "row", own, near & compared(F.col("a.fingerprint"), F.col("b.fingerprint"))["matches"])
     # A fingerprint of too few frames does not even match itself: its copies stay apart.
     members = usable.join(heads.filter("alike").select(*own, "row"), own).join(linked.withColumnRenamed("node", "row"), "row", "left")
     members = materialize(members.select("video_id", F.coalesce("component", "row").alias("part")), "members")

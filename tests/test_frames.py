@@ -147,3 +147,11 @@ def test_backfill_serves_candidates_only(spark):
 
 def test_empty(spark):
     assert V.duplicate_components(videos_of(spark, [])).count() == 0
+
+
+def test_fingerprints_are_not_laid_beside_each_key(spark, monkeypatch):
+    written = {}
+    keep = V.materialize
+    monkeypatch.setattr(V, "materialize", lambda df, name: written.setdefault(name, df.columns) and keep(df, name))
+    V.duplicate_components(videos_of(spark, [(f"v{i}", "t", 1.0, flat(i), {}) for i in range(3)]))
+    assert written["keyed"] == ["key", "id"] and written["placed"] == ["id", "key", "component"]
