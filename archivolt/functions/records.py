@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,6 +55,11 @@ CAPTURE_TAGS = (
 )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it names many times: the variable of a lambda is computed once, not at each place."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def name_tokens(filename: Column) -> Column:
     """Distinct words of a stem in lower case, and the stem without anything else as one word."""
     stem = F.lower(F.regexp_replace(filename, r"(?<=[^.])\.[^.]*$", ""))
@@ -174,21 +180,24 @@ def inferred_title(filename: Column) -> Column:
 
 def flat_address(payload: Column) -> Column:
     """Struct of address, city, state, country and display of a geocoder's JSON: the first given of each, once each."""
-    held = F.from_json(F.get_json_object(payload, "$.address"), "map<string,string>")
+    names = ("address", "city", "state", "country")
+
+    def parts(held: Column) -> Column:
+        def first(*keys: str) -> Column:
+            given = F.transform(F.array(*map(F.lit, keys)), lambda k: F.trim(F.try_element_at(held, k)))
+            return F.coalesce(F.try_element_at(F.filter(given, lambda v: v != ""), F.lit(1)), F.lit(""))
 
-    def first(*keys: str) -> Column:
-        return F.coalesce(*[F.nullif(F.trim(F.try_element_at(held, F.lit(k))), F.lit("")) for k in keys], F.lit(""))
-
-    street = F.trim(F.concat_ws(" ", first("house_number"), first("road", "pedestrian", "residential", "street", "footway", "path")))
-    parts = {
-        "address": street,
-        "city": first("city", "town", "village", "municipality", "borough"),
-        "state": first("state", "region", "state_district"),
-        "country": first("country"),
-    }
-    listed = F.array(*parts.values())
-    shown = F.filter(listed, lambda x, i: (x != "") & (F.array_position(F.transform(listed, F.lower), F.lower(x)) == i + 1))
-    return F.struct(*[c.alias(n) for n, c in parts.items()], F.array_join(shown, ", ").alias("display"))
+        street = F.trim(F.concat_ws(" ", first("house_number"), first("road", "pedestrian", "residential", "street", "footway", "path")))
+        city = first("city", "town", "village", "municipality", "borough")
+        return F.array(street, city, first("state", "region", "state_district"), first("country"))
+
+    def shown(listed: Column) -> Column:
+        lowered = F.transform(listed, F.lower)
+        new = _once(lowered, lambda low: F.filter(listed, lambda x, i: (x != "") & (F.array_position(low, F.lower(x)) == i + 1)))
+        return F.struct(*[F.element_at(listed, i + 1).alias(n) for i, n in enumerate(names)], F.array_join(new, ", ").alias("display"))
+
+    held = F.from_json(F.get_json_object(payload, "$.address"), "map<string,string>")
+    return _once(_once(held, parts), shown)
 
 
 def same_picture(first: Column, second: Column, size: Column, other_size: Column) -> Column:
