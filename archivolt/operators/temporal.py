@@ -173,10 +173,11 @@ def nearest_overall(left: DataFrame, right: DataFrame, left_ts: str, right_ts: s
         after = edge.first or after
     hit = dealt.schema["hit"].dataType.simpleString()
     known = spark.createDataFrame([tuple(r) for r in carried], f"part int, `_last` {hit}, `_first` {hit}")
-    within = Window.partitionBy("part").orderBy("at")
+    # Both frames run: one from each row to the end would be read anew for each row.
+    within, ahead = Window.partitionBy("part").orderBy("at"), Window.partitionBy("part").orderBy(F.col("at").desc())
     seen = (
         dealt.withColumn("_b", F.last("hit", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_a", F.first("hit", ignorenulls=True).over(within.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("_a", F.last("hit", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
         .join(known, "part")
     )
 

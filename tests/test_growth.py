@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from archivolt.functions import records
+from archivolt.operators import temporal
 
 
 def plan(df):
@@ -13,3 +14,10 @@ def test_a_geocoders_answer_is_read_once(spark):
     found = spark.range(1).select(records.flat_address(F.concat(F.lit('{"address":{"city":"'), F.col("id").cast("string"), F.lit('"}}'))).alias("f"))
     assert plan(found.select("f.address", "f.city", "f.display")).count("get_json_object") <= 1
     assert found.first().f.display == "0"
+
+
+def test_frames_of_nearest_overall_run_from_the_start(spark):
+    rows = spark.range(9).select("id", F.timestamp_seconds("id").alias("ts"))
+    found = temporal.nearest_overall(rows, rows.select(F.col("id").alias("right_id"), "ts"), "ts", "ts", "right_id", "id", 2)
+    assert "unboundedfollowing" not in plan(found).lower()
+    assert all(r.id == r.nearest_right_id for r in found.collect())
