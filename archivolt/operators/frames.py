@@ -98,13 +98,19 @@ def compare(first: pd.Series, second: pd.Series) -> pd.DataFrame:
     return out
 
 
+def compare_slices(first: pd.Series, second: pd.Series, rows: int = 512) -> pd.DataFrame:
+    """``compare`` of some rows at a time: its arrays are many times as large as the fingerprints of a batch."""
+    parts = [compare(first.iloc[i : i + rows], second.iloc[i : i + rows]) for i in range(0, max(len(first), 1), rows)]
+    return pd.concat(parts, ignore_index=True)
+
+
 def compared(first: Column, second: Column) -> Column:
     """struct(common, mean_delta, max_delta, mean_bits, max_bits, matches) of two fingerprints."""
     kind = "common int, mean_delta double, max_delta int, mean_bits double, max_bits int, matches boolean"
 
     @F.pandas_udf(kind)
     def figures(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return compare(a, b)
+        return compare_slices(a, b)
 
     return figures(first, second)
 

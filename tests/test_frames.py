@@ -155,3 +155,18 @@ def test_fingerprints_are_not_laid_beside_each_key(spark, monkeypatch):
     monkeypatch.setattr(V, "materialize", lambda df, name: written.setdefault(name, df.columns) and keep(df, name))
     V.duplicate_components(videos_of(spark, [(f"v{i}", "t", 1.0, flat(i), {}) for i in range(3)]))
     assert written["keyed"] == ["key", "id"] and written["placed"] == ["id", "key", "component"]
+
+
+def test_memory_of_a_comparison_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    payload = packed([(n, [(n * 7 + i) % 256 for i in range(64)]) for n in range(16)])
+    peaks = {}
+    for n in (1_000, 4_000):
+        rows = pd.Series([payload, packed([(1, [3] * 64)]), None, payload] * (n // 4))
+        tracemalloc.start()
+        found = V.compare_slices(rows, rows)
+        peaks[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        pd.testing.assert_frame_equal(found, V.compare(rows, rows))
+    assert peaks[4_000] < 1.5 * peaks[1_000]
