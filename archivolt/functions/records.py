@@ -78,21 +78,25 @@ def quality_score(filename: Column) -> Column:
 
 def capture_text(value: Column) -> Column:
     """ISO form of a written capture time, with its fraction and offset if it has them; null if it is none."""
-    pattern = r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}:\d{2}:\d{2})(\.\d+)?(?:\s*(Z|[+-]\d{2}:?\d{2}))?$"
-    text = F.trim(value)
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    offset = F.regexp_replace(F.regexp_replace(part(6), "^Z$", "+00:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    day = F.concat_ws("-", part(1), part(2), part(3))
-    fine = text.rlike(pattern) & F.concat(day, F.lit(" "), part(4)).try_cast("timestamp_ntz").isNotNull()
-    return F.when(fine, F.concat(day, F.lit("T"), part(4), part(5), offset))
+    pattern = r"^(\d{4})[:-](\d{2})[:-](\d{2})[ T](\d{2}:\d{2}:\d{2})(\.\d+)?(?:\s*(Z|[+-]\d{2}:?\d{2}))?"
+
+    def written(text: Column) -> Column:
+        iso = F.when(text.rlike(pattern + "$"), F.regexp_replace(text, pattern + "(?s:.*)$", "$1-$2-$3T$4$5$6"))
+        return _once(iso, lambda t: F.when(F.substring(t, 1, 19).try_cast("timestamp_ntz").isNotNull(), F.regexp_replace(F.regexp_replace(t, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")))
+
+    return _once(F.trim(value), written)
 
 
 def best_capture(tags: Column) -> Column:
     """Struct of timestamp and source: the first usable tag of a map by the order of belief; nulls without any."""
     names = F.array(*[F.struct(F.lit(tag).alias("tag"), F.lit(source).alias("source")) for group, source in CAPTURE_TAGS for tag in group])
-    # The lambda keeps one copy of the expression for all tags.
-    read = F.transform(names, lambda n: F.struct(capture_text(F.try_element_at(tags, n["tag"])).alias("timestamp"), n["source"].alias("source")))
-    return F.try_element_at(F.filter(read, lambda r: r["timestamp"].isNotNull()), F.lit(1))
+
+    def usable(held: Column) -> Column:
+        given = F.filter(names, lambda n: F.try_element_at(held, n["tag"]).isNotNull())
+        read = F.transform(given, lambda n: F.struct(capture_text(F.try_element_at(held, n["tag"])).alias("timestamp"), n["source"].alias("source")))
+        return F.try_element_at(F.filter(read, lambda r: r["timestamp"].isNotNull()), F.lit(1))
+
+    return _once(tags, usable)
 
 
 def clock_and_offset(text: Column) -> Column:

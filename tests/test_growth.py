@@ -21,3 +21,11 @@ def test_frames_of_nearest_overall_run_from_the_start(spark):
     found = temporal.nearest_overall(rows, rows.select(F.col("id").alias("right_id"), "ts"), "ts", "ts", "right_id", "id", 2)
     assert "unboundedfollowing" not in plan(found).lower()
     assert all(r.id == r.nearest_right_id for r in found.collect())
+
+
+def test_tags_are_made_once_a_row(spark):
+    tags = F.create_map(F.lit("EXIF:CreateDate"), F.concat(F.col("id").cast("string"), F.lit("021:02:03 04:05:06Z\n")), F.lit("QuickTime:CreateDate"), F.lit("2020:01:01 00:00:00"))
+    found = spark.range(3).select(records.best_capture(tags).alias("b"))
+    assert plan(found.select("b.timestamp", "b.source")).count("021:02:03") == 1
+    last = found.collect()[2].b
+    assert (last.timestamp, last.source) == ("2021-02-03T04:05:06+00:00", "exif_datetime_digitized")
