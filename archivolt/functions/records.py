@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,18 +61,23 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def name_tokens(filename: Column) -> Column:
     """Distinct words of a stem in lower case, and the stem without anything else as one word."""
-    stem = F.lower(F.regexp_replace(filename, r"(?<=[^.])\.[^.]*$", ""))
-    words = F.filter(F.split(stem, "[^a-z0-9]+"), lambda w: w != "")
-    return F.array_distinct(F.array_append(words, F.regexp_replace(stem, "[^a-z0-9]+", "")))
+
+    def words(stem: Column) -> Column:
+        return F.array_distinct(F.array_append(F.filter(F.split(stem, "[^a-z0-9]+"), lambda w: w != ""), F.regexp_replace(stem, "[^a-z0-9]+", "")))
+
+    return _once(F.lower(F.regexp_replace(filename, r"(?<=[^.])\.[^.]*$", "")), words)
 
 
 def quality_score(filename: Column) -> Column:
     """Struct of score and evidence: the points of the quality words of a file name, good ones first."""
-    tokens = name_tokens(filename)
-    held = {w: F.array_contains(tokens, w) for w in QUALITY_POINTS}
-    score = reduce(lambda a, b: a + b, [F.when(h, QUALITY_POINTS[w]).otherwise(0) for w, h in held.items()])
-    names = [F.when(h, f"quality_{'positive' if QUALITY_POINTS[w] > 0 else 'negative'}_{w}") for w, h in held.items()]
-    return F.struct(score.alias("score"), F.array_compact(F.array(*names)).alias("evidence"))
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(n).alias("points"), F.lit(f"quality_{'positive' if n > 0 else 'negative'}_{w}").alias("name")) for w, n in QUALITY_POINTS.items()])
+
+    def scored(held: Column) -> Column:
+        score = F.aggregate(held, F.lit(0), lambda s, w: s + w["points"])
+        return F.struct(score.alias("score"), F.transform(held, lambda w: w["name"]).alias("evidence"))
+
+    found = _once(name_tokens(filename), lambda tokens: F.filter(words, lambda w: F.array_contains(tokens, w["word"])))
+    return _once(F.coalesce(found, F.slice(words, 1, 0)), scored)
 
 
 def capture_text(value: Column) -> Column:

@@ -29,3 +29,10 @@ def test_tags_are_made_once_a_row(spark):
     assert plan(found.select("b.timestamp", "b.source")).count("021:02:03") == 1
     last = found.collect()[2].b
     assert (last.timestamp, last.source) == ("2021-02-03T04:05:06+00:00", "exif_datetime_digitized")
+
+
+def test_words_of_a_name_are_made_once_a_row(spark):
+    name = F.concat(F.lit("Best marked "), F.col("id").cast("string"), F.lit(" low-res.jpg"))
+    found = spark.range(1).select(records.quality_score(name).alias("q"))
+    assert plan(found.select("q.score", "q.evidence")).count("Best marked") == 1
+    assert found.first().q.asDict() == {"score": 10, "evidence": ["quality_positive_best", "quality_negative_low"]}
