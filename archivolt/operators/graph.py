@@ -11,36 +11,44 @@ from archivolt.storage import discard, materialize
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component) of every node of an edge, where the component is its smallest reachable node.
 
-    Each round takes the minimum label over the neighbours and then follows the
-    label once more (pointer jumping), so long chains need a logarithmic number
-    of rounds. Both joins have plain shuffled sides, which adaptive execution
-    splits if one node has many edges or one component many members. Rounds are
-    cut by tables in the shared folder; nothing but one sum reaches the driver.
+    Each round every node goes to the neighbour that comes first in an order drawn anew, or stays if it comes first itself;
+    what went to one place is one node of the next round. About half the nodes are left each time, so all rounds
+    together cost a few times the first, and their number is logarithmic for long chains as well. All joins have plain
+    shuffled sides, which adaptive execution splits if one node has many edges or one component many members. Rounds are
+    cut by tables in the shared folder; nothing but whether edges are left reaches the driver.
     Null ends and loops are ignored. Nodes without an edge are absent.
     """
-    plain = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
-    both = materialize(plain.union(plain.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")), "labels")
 
-    def total(df: DataFrame):
-        return df.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+    def distinct_pairs(x, y) -> DataFrame:
+        return materialize(x.select(F.least(*y).alias("a"), F.greatest(*y).alias("b")).distinct(), "edges")
 
-    before, passed = total(labels), [both]
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "component")
-        lower = labels.unionByName(near).groupBy("node").agg(F.min("component").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = materialize(
-            lower.join(jump, "component").select("node", F.least("component", "further").alias("component")), "labels"
-        )
-        passed.append(labels)
-        labels, after = new, total(new)
-        if after == before:
-            for table in passed:
-                discard(table)
-            return labels
-        before = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left, levels = distinct_pairs(edges.filter(F.col(src) != F.col(dst)), (src, dst)), []
+    for number in range(max_rounds):
+        drawn = lambda c: F.xxhash64(c, F.lit(number))  # noqa: B023, E731
+        ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = ends.groupBy("a").agg(F.min(drawn("b")).alias("least"), F.min_by("b", drawn("b")).alias("b"))
+        goes = F.when(drawn("a") < F.col("least"), F.col("a")).otherwise(F.col("b"))
+        levels.append(materialize(first.select(F.col("a").alias("node"), goes.alias("head")), "heads"))
+        moved = left
+        for end in ("a", "b"):
+            moved = moved.join(levels[-1].select(F.col("node").alias(end), F.col("head").alias(f"{end}_head")), end)
+        new = distinct_pairs(moved.filter("a_head <> b_head"), ("a_head", "b_head"))
+        discard(left)
+        left = new
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    passed, found = [left, *levels], levels.pop()
+    while levels:
+        further = found.select(F.col("node").alias("head"), F.col("head").alias("further"))
+        found = levels.pop().join(further, "head", "left").select("node", F.coalesce("further", "head").alias("head"))
+    found = materialize(found, "heads")
+    least = found.groupBy("head").agg(F.min("node").alias("component"))
+    out = materialize(found.join(least, "head").select("node", "component"), "components")
+    for table in (*passed, found):
+        discard(table)
+    return out
 
 
 def thread_roots(rows: DataFrame, identity: str, parent: str, max_rounds: int = 64) -> DataFrame:

@@ -61,16 +61,15 @@ def accept(scored: DataFrame, threshold: int, anchors: Sequence[str]) -> DataFra
     return scored.filter((F.col("score") >= threshold) & held)
 
 
-def cluster_sides(pairs: DataFrame, components: DataFrame, left_id: str, right_id: str) -> DataFrame:
+def cluster_sides(components: DataFrame) -> DataFrame:
     """Per component its numbers of left and right members, and whether it is ambiguous (not one to one).
 
-    ``components`` has (node, component), with nodes named as in ``left_node`` and ``right_node``.
+    ``components`` has a row (node, component) for each node, named as in ``left_node`` and ``right_node``.
     """
+    right = F.col("node") % 2 != 0
     return (
-        pairs.select(left_node(left_id).alias("node"), left_id, right_id)
-        .join(components, "node")
-        .groupBy("component")
-        .agg(F.count_distinct(left_id).alias("n_left"), F.count_distinct(right_id).alias("n_right"))
+        components.groupBy("component")
+        .agg(F.count_if(~right).alias("n_left"), F.count_if(right).alias("n_right"))
         .withColumn("ambiguous", (F.col("n_left") != 1) | (F.col("n_right") != 1))
     )
 

@@ -183,9 +183,9 @@ FROM e JOIN c ON c.x = e.a * 2 GROUP BY 1
 def g01_ambiguous_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of candidate pairs (a customer's months and weekdays); those that are not one to one are ambiguous."""
     cust = F.col("o_custkey")
-    pairs = table(spark, sf_dir, "orders").select((cust * 12 + F.month("o_orderdate")).alias("a"), (cust * 7 + F.dayofweek("o_orderdate")).alias("b")).distinct()
+    pairs = table(spark, sf_dir, "orders").select((cust * 12 + F.month("o_orderdate")).alias("a"), (cust * 7 + F.dayofweek("o_orderdate")).alias("b"))
     edges = pairs.select(matching.left_node("a").alias("src"), matching.right_node("b").alias("dst"))
-    return matching.cluster_sides(pairs, graph.connected_components(edges), "a", "b")
+    return matching.cluster_sides(graph.connected_components(edges))
 
 
 @query("""

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from archivolt.functions import records
-from archivolt.operators import temporal
+from archivolt.operators import graph, temporal
 
 
 def plan(df):
@@ -36,3 +36,17 @@ def test_words_of_a_name_are_made_once_a_row(spark):
     found = spark.range(1).select(records.quality_score(name).alias("q"))
     assert plan(found.select("q.score", "q.evidence")).count("Best marked") == 1
     assert found.first().q.asDict() == {"score": 10, "evidence": ["quality_positive_best", "quality_negative_low"]}
+
+
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    written, keep = [], graph.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    found = graph.connected_components(spark.range(1000).selectExpr("id AS src", "id + 1 AS dst"))
+    assert found.count() == 1001 and found.filter("component <> 0").isEmpty()
+    assert sum(written) < 8 * 1001
