@@ -75,12 +75,15 @@ def s02_dated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c_mktsegment AS archive, c_custkey AS id, strftime(TIMESTAMP '2024-01-01 08:00:00' + to_minutes(CAST(c_custkey AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS date, (c_custkey % 3)::BIGINT AS media FROM customer
 """)
 def s16_diary_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diaries in archives of one JSON document each, with the media that lie in folders named after the entry's time."""
+    """Diaries in archives of one JSON document each, with the media that lie in folders named after the entry's time.
+
+    A diary of many entries has several archives, by spans of ids, so that none grows with the table.
+    """
     at = F.timestamp_add("MINUTE", F.col("c_custkey").cast("int"), F.lit("2024-01-01 08:00:00").cast("timestamp_ntz"))
     rows = table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_custkey").alias("id"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss").alias("date"), F.date_format(at, "yyyy-MM-dd_HHmmssSSS").alias("folder"))
     photo = lambda i: F.struct(F.concat(F.lit("media/"), F.col("folder"), F.lit("/"), i.cast("string"), F.lit(".jpg")).alias("name"), _bytes(F.lit("x")).alias("content"))
     photos = F.transform(F.filter(F.sequence(F.lit(0), F.lit(1)), lambda i: i < F.col("id") % 3), photo)
-    grouped = rows.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("id", "date"))).alias("entries"), F.flatten(F.collect_list(photos)).alias("photos"))
+    grouped = rows.groupBy("c_mktsegment", F.floor(F.col("id") / 50_000).alias("span")).agg(F.array_sort(F.collect_list(F.struct("id", "date"))).alias("entries"), F.flatten(F.collect_list(photos)).alias("photos"))
     document = F.struct(F.lit("diary.json").alias("name"), _bytes(F.to_json("entries")).alias("content"))
     path = new_path(spark, "diaries")
     packages.write_each(grouped.select("c_mktsegment", packages.zipped(F.concat(F.array(document), "photos")).alias("content")), "content", path, "c_mktsegment")

@@ -35,15 +35,15 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 MEMBER_SCHEMA = "archive string, member string, byte_size long, crc long, content binary, issue string"
 #: What a damaged archive or member raises.
 _DAMAGE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, ValueError, OSError, struct.error, OverflowError)
-#: Bytes of members that a task holds before it hands them on.
-_HELD = 1 << 23
+#: Bytes of members, and members, that a task holds before it hands them on.
+_HELD, _ROWS = 1 << 23, 1 << 12
 
 
 def zip_members(spark: SparkSession, folder: str, with_content: bool = True, pattern: str = "*.zip") -> DataFrame:
     """One row per member of every archive; unreadable archives and members are rows with an issue.
 
-    Repeated member names are marked ``duplicate_member``; hidden members and folders are skipped. A task holds one
-    archive as it is stored, and members of about 8 MB.
+    Repeated member names are marked ``duplicate_member``; hidden members and folders are skipped. A task holds
+    archives as they are stored, the directory of one, and members of about 8 MB, 4,096 at most.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def zip_members(spark: SparkSession, folder: str, with_content: bool = True, pat
                         issue = "unreadable_member"
                     rows.append((path, name, info.file_size, info.CRC, data if with_content else None, issue))
                     held += len(data or b"")
-                    if held > _HELD:
+                    if held > _HELD or len(rows) >= _ROWS:
                         yield pd.DataFrame(rows, columns=columns)
                         rows, held = [], 0
                 yield pd.DataFrame(rows, columns=columns)

@@ -7,7 +7,7 @@ import io
 import warnings
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,22 +84,23 @@ def gate(rows: DataFrame, checks: dict[str, object]) -> None:
 def zipped(members: Column) -> Column:
     """A ZIP archive of an array of (name, content), but for its last byte, which is a line end.
 
-    The archive's comment is one line end, so that ``write_each`` completes the file.
+    The archive's comment is one line end, so that ``write_each`` completes the file. A task holds one archive, and its
+    members as Arrow has them.
     """
 
-    def pack(held) -> bytes:
+    def pack(held: pa.StructArray) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             archive.comment = b"\n"
-            for member in held:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore", UserWarning)  # a name may repeat
-                    archive.writestr(zipfile.ZipInfo(member["name"]), bytes(member["content"]))
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", UserWarning)  # a name may repeat
+                for name, content in zip(held.field("name"), held.field("content"), strict=True):
+                    archive.writestr(zipfile.ZipInfo(name.as_py()), content.as_py())
         return out.getvalue()[:-1]
 
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(pack)
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array((pack(held.values) if held.is_valid else None for held in values), pa.binary())
 
     return run(members)
 

@@ -1,8 +1,12 @@
 """Files written from rows."""
 
+import glob
 import re
 
-from archivolt.sources import packages
+from pyspark.sql import functions as F
+
+from archivolt.plans import registry
+from archivolt.sources import files, packages
 
 
 def test_a_small_table_is_written_by_many_tasks(spark, tmp_path):
@@ -11,3 +15,22 @@ def test_a_small_table_is_written_by_many_tasks(spark, tmp_path):
     names = [p for p in (tmp_path / "out").rglob("part-*")]
     assert {p.parent.name[7:]: p.read_text() for p in names} == {f"f{i}": f"text {i}\n" for i in range(64)}
     assert len({re.match(r"part-(\d+)", p.name)[1] for p in names}) > 1
+
+
+def test_a_long_diary_has_several_archives(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A"), (60_001, "A"), (60_002, "A"), (2, "B")], "c_custkey long, c_mktsegment string")
+    rows.write.parquet(str(tmp_path / "customer.parquet"))
+    shown = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/archivolt/diaries-*/*/part-*"
+    before = set(glob.glob(shown))
+    found = registry.QUERIES["s16_diary_archives"](spark, str(tmp_path)).collect()
+    assert sorted((r.archive, r.id, r.media) for r in found) == [("A", 1, 1), ("A", 60_001, 1), ("A", 60_002, 2), ("B", 2, 2)]
+    assert len(set(glob.glob(shown)) - before) == 3
+
+
+def test_archives_of_many_members_are_read_whole(spark, tmp_path):
+    name = F.concat(F.lit("m"), F.col("id").cast("string"))
+    member = F.struct(name.alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    held = spark.range(10_000).groupBy((F.col("id") % 2).alias("f")).agg(F.collect_list(member).alias("members"))
+    packages.write_each(held.select("f", packages.zipped(F.col("members")).alias("content")), "content", str(tmp_path / "z"), "f")
+    found = files.zip_members(spark, str(tmp_path / "z"), pattern="part-*").filter("issue IS NULL AND concat('m', CAST(content AS STRING)) = member")
+    assert found.select("member").distinct().count() == found.count() == 10_000
