@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from archivolt.functions import records, values
 from archivolt.operators import crops, upsert
 from archivolt.plans._base import collector
-from archivolt.session import table
+from archivolt.session import partitions_for, table
 from archivolt.sources import file_index, files, media, packages
 from archivolt.storage import new_path, remove
 
@@ -531,7 +531,11 @@ def _package(spark: SparkSession, sf_dir: str, entries: DataFrame) -> tuple[Data
 
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
-    items = numbered(lines, ["l_orderkey"], order, "position").select(F.col("l_orderkey").alias("id"), "position", F.col("l_partkey").alias("part")).join(entries.select("id"), "id", "left_semi")
+    # All joins, the numbering and the nesting keep this one partitioning.
+    tasks = partitions_for(lines)
+    wanted = entries.select(F.col("id").alias("l_orderkey")).repartition(tasks, "l_orderkey")
+    held = lines.join(wanted, "l_orderkey", "left_semi").repartition(tasks, "l_orderkey")
+    items = numbered(held, ["l_orderkey"], order, "position").select(F.col("l_orderkey").alias("id"), "position", F.col("l_partkey").alias("part"))
     path = new_path(spark, "package")
     counts = packages.write_package(entries, items, "id", path)
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields)

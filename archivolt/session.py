@@ -32,3 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def default_partitions(spark: SparkSession) -> int:
     return int(os.environ.get("ARCHIVOLT_PARTITIONS", spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows that a task sorts within their keys.
+ROWS_PER_TASK = 1 << 20
+
+
+def partitions_for(rows: DataFrame) -> int:
+    """Tasks that a sort of a table's rows within keys is dealt to: more for a larger table, so that none holds more with it."""
+    return max(default_partitions(rows.sparkSession), -(-rows.count() // ROWS_PER_TASK))

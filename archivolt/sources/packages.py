@@ -22,12 +22,14 @@ def entry_documents(entries: DataFrame, media: DataFrame, key: str) -> DataFrame
 
 
 def write_package(entries: DataFrame, media: DataFrame, key: str, path: str) -> DataFrame:
-    """Write ``entries`` as JSON lines and ``manifest`` as CSV below a folder; returns one row of counts and warnings."""
+    """Write ``entries`` as JSON lines and ``manifest`` as CSV below a folder; returns one row of counts and warnings
+    of what was written."""
     documents = entry_documents(entries, media, key)
     documents.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/entries")
     media.write.mode("overwrite").option("header", True).csv(f"{path}/manifest")
+    written = entries.sparkSession.read.schema("media array<struct<position:long>>").json(f"{path}/entries")
     n = F.count(F.lit(1))
-    return documents.agg(
+    return written.agg(
         n.alias("entries"),
         F.coalesce(F.sum(F.size(F.coalesce("media", F.array()))), F.lit(0)).alias("media"),
         F.count_if(F.col("media").isNull()).alias("entries_without_media"),

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from archivolt import session
 from archivolt.plans import registry
 from archivolt.sources import files, packages
 
@@ -34,3 +35,15 @@ def test_archives_of_many_members_are_read_whole(spark, tmp_path):
     packages.write_each(held.select("f", packages.zipped(F.col("members")).alias("content")), "content", str(tmp_path / "z"), "f")
     found = files.zip_members(spark, str(tmp_path / "z"), pattern="part-*").filter("issue IS NULL AND concat('m', CAST(content AS STRING)) = member")
     assert found.select("member").distinct().count() == found.count() == 10_000
+
+
+def test_a_larger_package_is_made_by_more_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    spark.range(500).selectExpr("id AS o_orderkey", "'O' AS o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = spark.range(2000).selectExpr("id % 400 AS l_orderkey", "CAST(id AS INT) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = registry.QUERIES["k25_nested_package"](spark, str(tmp_path))
+    assert {r.id: r.parts for r in found.collect()} == {i: ",".join(str(i + 400 * k) for k in range(5)) if i < 400 else "" for i in range(500)}
+    manifest = found.inputFiles()[0].removeprefix("file://").rsplit("/entries/", 1)[0] + "/manifest"
+    assert len(glob.glob(f"{manifest}/part-*")) == 20
+    assert registry.QUERIES["k26_package_counters"](spark, str(tmp_path)).first().asDict() == {"entries": 500, "media": 2000, "entries_without_media": 100}
