@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,22 +105,27 @@ def merged_photos(pairs: DataFrame, loose: DataFrame, held: DataFrame) -> DataFr
     other = held.select("entry_id", "photo_id", F.col("quality").alias("photo_quality"))
     better = (F.col("loose_quality") < F.col("photo_quality")).alias("better")
     listed = nodes.join(parts.withColumnRenamed("node", "a"), "a").join(own, "loose_id").join(other, ["entry_id", "photo_id"])
-    listed = listed.select("component", "loose_id", "entry_id", "photo_id", "distance", "gap", "place_in_order", better)
+    fields = ["place_in_order", "loose_id", "distance", "gap", "entry_id", "photo_id"]
+    parts = listed.groupBy("component").agg(F.array_sort(F.collect_list(F.struct(*fields, better))).alias("options"))
     kinds = dict(listed.dtypes)
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        ordered = group.sort_values(["place_in_order", "loose_id", "distance", "gap", "entry_id", "photo_id"], kind="stable")
-        for loose_id, options in ordered.groupby(["place_in_order", "loose_id"], sort=True):
-            for pair in options.itertuples():
-                if (pair.entry_id, pair.photo_id) not in gone:
-                    if pair.better:
-                        gone.add((pair.entry_id, pair.photo_id))
-                    out.append((loose_id[1], pair.entry_id, pair.photo_id, pair.distance, pair.better))
-                    break
-            else:
-                out.append((loose_id[1], None, None, None, None))
-        return pd.DataFrame(out, columns=["loose_id", "entry_id", "photo_id", "distance", "replaces"], dtype=object)
+    def settle(options: list[dict]) -> list[dict]:
+        gone, out = set(), {}
+        for o in options:
+            if out.get(o["loose_id"]) is None:
+                held = (o["entry_id"], o["photo_id"])
+                out[o["loose_id"]] = None if held in gone else (*held, o["distance"], o["better"])
+                if held not in gone and o["better"]:
+                    gone.add(held)
+        names = ("entry_id", "photo_id", "distance", "replaces")
+        return [{"loose_id": loose_id, **dict(zip(names, taken or (None,) * 4, strict=True))} for loose_id, taken in out.items()]
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.field(0).type.value_type
+            kind = pa.schema([("loose_id", at.field("loose_id").type), ("entry_id", at.field("entry_id").type), ("photo_id", at.field("photo_id").type), ("distance", pa.int32()), ("replaces", pa.bool_())])
+            # A group of pandas for each component would cost many times what settling it does.
+            yield pa.RecordBatch.from_pylist([row for options in batch.column(0) for row in settle(options.as_py())], kind)
 
     schema = f"loose_id {kinds['loose_id']}, entry_id {kinds['entry_id']}, photo_id {kinds['photo_id']}, distance int, replaces boolean"
-    return listed.groupBy("component").applyInPandas(settle, schema)
+    return parts.select("options").mapInArrow(run, schema)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from archivolt.functions import records
-from archivolt.operators import graph, temporal
+from archivolt.operators import graph, photos, temporal
 
 
 def plan(df):
@@ -50,3 +50,12 @@ def test_rounds_of_components_shrink(spark, monkeypatch):
     found = graph.connected_components(spark.range(1000).selectExpr("id AS src", "id + 1 AS dst"))
     assert found.count() == 1001 and found.filter("component <> 0").isEmpty()
     assert sum(written) < 8 * 1001
+
+
+def test_photos_are_settled_without_a_frame_for_each_component(spark):
+    pairs = spark.range(6).selectExpr("id AS loose_id", "id DIV 2 AS entry_id", "id DIV 2 AS photo_id", "0 AS distance", "id AS gap")
+    loose = spark.range(6).selectExpr("id AS loose_id", "id AS place_in_order", "struct(id % 2 AS q) AS quality")
+    held = spark.range(3).selectExpr("id AS entry_id", "id AS photo_id", "struct(CAST(1 AS LONG) AS q) AS quality")
+    found = photos.merged_photos(pairs, loose, held)
+    assert "InPandas" not in plan(found)
+    assert sorted(found.collect()) == [(i, *((i // 2, i // 2, 0, True) if i % 2 == 0 else (None,) * 4)) for i in range(6)]
