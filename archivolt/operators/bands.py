@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ METHOD = "quadrants-1"
 GRID, BIN_WIDTH = 4, 32
 COLOUR_WEIGHT, VOTE_WEIGHT = 0.15, 25.0
 HIT_LIMIT, SHORTLIST, SCORE_MULTIPLIER, MOST_SCORED = 50_000, 1000, 8, 5000
+#: Targets and paths of a cell of ``likeliest``, and numbers that it lays out at once.
+CELL_TARGETS, CELL_PATHS, CELL_HITS = 1024, 4096, 1 << 20
 
 VIEW = "struct<name:string,gray:array<double>,mean_rgb:array<double>>"
 FEATURE = "struct<name:string,gray:array<double>,mean_rgb:array<double>,gray_bins:array<int>,colour_bins:array<int>>"
@@ -169,15 +172,17 @@ def ensure_ready(spark: SparkSession, folder: str, method: str = METHOD) -> None
         raise RuntimeError(f"the band index of {method} is not built")
 
 
-def view_votes(target_bands: DataFrame, index: DataFrame, cap: int = HIT_LIMIT) -> DataFrame:
-    """(target, path) with votes, rarity, best_band and hit_views of capped band hits.
+def view_votes(target_bands: DataFrame, index: DataFrame, cap: int | None = HIT_LIMIT) -> DataFrame:
+    """(target, path) with votes, rarity, best_band and hit_views of band hits.
 
-    A vote is a (path, view) in a band of the target. Of a band at most ``cap`` hits count, by path and view; a hit's rarity
-    is one by the number of hits that count in its band.
+    A vote is a (path, view) in a band of the target. Of a band at most ``cap`` hits count, by path and view, or all if it is
+    None; a hit's rarity is one by the number of hits that count in its band.
     """
     band = ["band_name", "band_value"]
-    # The first hits of a band are the same for all targets, so the index is cut before the join.
-    held = bounded_top(index.select("path", "view", *band), band, [F.col("path"), F.col("view")], cap, F.concat_ws(":", "path", "view"))
+    held = index.select("path", "view", *band)
+    if cap is not None:
+        # The first hits of a band are the same for all targets, so the index is cut before the join.
+        held = bounded_top(held, band, [F.col("path"), F.col("view")], cap, F.concat_ws(":", "path", "view"))
     sizes = held.groupBy(*band).agg(F.count(F.lit(1)).alias("band_hits"))
     hits = target_bands.select("target", *band).distinct().join(held, band).join(sizes, band)
     return hits.groupBy("target", "path").agg(
@@ -188,6 +193,111 @@ def view_votes(target_bands: DataFrame, index: DataFrame, cap: int = HIT_LIMIT)
     )
 
 
+def _by_votes(votes: DataFrame, most: int) -> DataFrame:
+    """Of each target the ``most`` paths with most votes, then the rarest bands."""
+    order = Window.partitionBy("target").orderBy(F.col("votes").desc(), F.bround("rarity", 9).desc(), "best_band", "path")
+    return votes.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most).drop("_place")
+
+
+def likeliest(target_bands: DataFrame, index: DataFrame, most: int) -> DataFrame:
+    """The ``most`` first rows of each target of ``view_votes`` without a cap, by votes, then the rarest bands, then path.
+
+    Bands that many pictures share have hits in proportion to the square of the table, so hits are no rows here: a cell of
+    some targets and some paths counts them in a matrix, and hands on what may be among the first of a target.
+    """
+    band = ["band_name", "band_value"]
+    index = index.select("path", "view", *band)
+    sizes = index.groupBy(*band).agg(F.count(F.lit(1)).alias("band_hits"))
+    asked = materialize(target_bands.select("target", *band).distinct().join(sizes, band), "asked-bands")
+    blocks = max(1, -(-asked.select("target").distinct().count() // CELL_TARGETS))
+    parts = max(1, -(-index.select("path").distinct().count() // CELL_PATHS))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumns({"block": dealt("target", blocks), "part": every(parts)}).repartition(blocks * parts, "block", "part")
+    right = index.withColumns({"block": every(blocks), "part": dealt("path", parts)}).repartition(blocks * parts, "block", "part")
+    target, path, view = asked.schema["target"], index.schema["path"], index.schema["view"]
+    schema = f"target {target.dataType.simpleString()}, path {path.dataType.simpleString()}, votes long, rarity double, best_band long, hit_views array<{view.dataType.simpleString()}>"
+    cells = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
+    return _by_votes(cells.applyInArrow(lambda a, b: _cell_votes(a, b, most), schema), most)
+
+
+def _stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches (from, to) of neighbours whose sizes are at most ``most`` together; one that is larger stands alone."""
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(ends, most + (ends[low - 1] if low else 0), side="right")))
+        yield low, high
+        low = high
+
+
+def _coded(values: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct values and the place of each row's among them."""
+    held = values.combine_chunks().dictionary_encode()
+    return held.dictionary, np.asarray(held.indices).astype(np.int64)
+
+
+_VOTES = ["target", "path", "votes", "rarity", "best_band", "hit_views"]
+
+
+def _cell_votes(asked: pa.Table, held: pa.Table, most: int) -> pa.Table:
+    """Rows of ``view_votes`` of a cell's targets and paths, with all that may be among the ``most`` first of a target."""
+    named = lambda rows: pc.binary_join_element_wise(rows["band_name"], rows["band_value"], "\0")
+    names, of_ask = _coded(named(asked))
+    targets, target = _coded(asked["target"])
+    at = pc.index_in(named(held), value_set=names)
+    held, at = held.filter(pc.is_valid(at)), np.asarray(pc.drop_null(at)).astype(np.int64)
+    paths, path = _coded(held["path"])
+    views, view = _coded(held["view"])
+    # Rows lie by path, and in it by band, so that rarities of equal bands add up to the same number.
+    by_path = np.lexsort((at, path))
+    at, view = at[by_path], view[by_path]
+    size = np.bincount(path, minlength=len(paths))
+    start = np.cumsum(size) - size
+    band_hits = np.ones(len(names), dtype=np.int64)
+    band_hits[of_ask] = np.asarray(asked["band_hits"])
+    asks = np.zeros((len(names), len(targets)), dtype=bool)
+    asks[of_ask, target] = True
+    # Votes and rarity are one sum: a vote weighs more than all rarities of a path, each of which is one at most.
+    weight = asks * (size.max(initial=0) + 1.0 + 1.0 / band_hits)[:, None]
+    score = np.zeros((len(paths), len(targets)))
+    for low, high in _stretches(size * len(targets), CELL_HITS):
+        rows = at[start[low] : start[high - 1] + size[high - 1]]
+        score[low:high] = np.add.reduceat(weight[rows], start[low:high] - start[low], axis=0)
+    cut = len(paths) - most
+    least = np.partition(score, cut, axis=0)[cut] if cut > 0 else np.zeros(len(targets))
+    # Rarities are ranked to nine places, so that one which is a little less may stand before.
+    near = ((score >= least - 1e-8) & (score > 0)).T
+    place = np.empty(len(paths), dtype=np.int64)
+    place[np.asarray(pc.sort_indices(paths))] = np.arange(len(paths))
+    found = []
+    for low, high in _stretches(near @ size, CELL_HITS):
+        t, p = np.nonzero(near[low:high])
+        t += low
+        pair = np.repeat(np.arange(len(t)), size[p])
+        row = np.arange(len(pair)) + np.repeat(start[p] - (np.cumsum(size[p]) - size[p]), size[p])
+        hit = asks[at[row], t[pair]]
+        pair, row = pair[hit], row[hit]
+        hits = band_hits[at[row]]
+        votes, rarity = np.bincount(pair, minlength=len(t)), np.bincount(pair, 1.0 / hits, minlength=len(t))
+        best = np.full(len(t), np.iinfo(np.int64).max)
+        np.minimum.at(best, pair, hits)
+        # Of rows that are equal in all but the path the first by path are enough.
+        order = np.lexsort((place[p], best, rarity, votes, t))
+        same = np.append(False, np.all([x[order][1:] == x[order][:-1] for x in (t, votes, rarity, best)], axis=0)) if len(t) else np.zeros(0, dtype=bool)
+        number = np.arange(len(t))
+        number -= np.maximum.accumulate(np.where(same, 0, number))
+        keep = np.zeros(len(t), dtype=bool)
+        keep[order[number < most]] = True
+        seen = np.unique(pair[keep[pair]] * len(views) + view[row[keep[pair]]])
+        ends = np.append(0, np.cumsum(np.bincount(seen // max(1, len(views)), minlength=len(t))[keep]))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), views.take(pa.array(seen % max(1, len(views)))))
+        numbers = [pa.array(x[keep]) for x in (votes, rarity, best)]
+        found.append(pa.RecordBatch.from_arrays([targets.take(pa.array(t[keep])), paths.take(pa.array(p[keep])), *numbers, listed], _VOTES))
+    fields = [targets.type, paths.type, pa.int64(), pa.float64(), pa.int64(), pa.list_(views.type)]
+    return pa.Table.from_batches(found, pa.schema(list(zip(_VOTES, fields, strict=True))))
+
+
 def _spread(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
     """The row of each struct of a list column, and the structs."""
     sizes = np.asarray(lists.value_lengths().fill_null(0))
@@ -260,16 +370,16 @@ def nearest_views(pairs: DataFrame, left: str, right: str, preferred: str | None
     return pairs.mapInArrow(run, schema)
 
 
-def shortlist(targets: DataFrame, index: DataFrame, featured: DataFrame, size: int = SHORTLIST, cap: int = HIT_LIMIT) -> DataFrame:
+def shortlist(targets: DataFrame, index: DataFrame, featured: DataFrame, size: int = SHORTLIST, cap: int | None = HIT_LIMIT) -> DataFrame:
     """(target, path, votes, distance, best_view, score, rank): of each target the ``size`` likeliest paths.
 
     ``targets`` has target, width, height and features. The paths with most votes, then the rarest bands, are scored by
-    the distance of the target's first view to the views that were hit, less a share for each vote.
+    the distance of the target's first view to the views that were hit, less a share for each vote. All hits of a band count
+    where ``cap`` is None.
     """
-    votes = view_votes(bands_of(targets, "target"), index, cap)
     scored = min(MOST_SCORED, max(size, size * SCORE_MULTIPLIER))
-    order = Window.partitionBy("target").orderBy(F.col("votes").desc(), F.bround("rarity", 9).desc(), "best_band", "path")
-    likely = votes.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= scored).drop("_place")
+    wanted = bands_of(targets, "target")
+    likely = likeliest(wanted, index, scored) if cap is None else _by_votes(view_votes(wanted, index, cap), scored)
     pairs = likely.join(targets.select("target", F.col("features").alias("wanted")), "target").join(featured.select("path", "features"), "path")
     near = nearest_views(pairs, "wanted", "features", "hit_views", all_left=False).drop("wanted", "features", "hit_views")
     score = F.bround(F.col("distance") - VOTE_WEIGHT * F.col("votes"), 6)

@@ -53,8 +53,9 @@ b AS (SELECT DISTINCT vec_id, path, quality, view, x.n AS band_name, x.v AS band
     {'n': 'gray_bl', 'v': array_to_string(list_concat(gb[9:10], gb[13:14]), '-')}, {'n': 'gray_br', 'v': array_to_string(list_concat(gb[11:12], gb[15:16]), '-')},
     {'n': 'orientation', 'v': CASE WHEN width = 100 THEN 'square' WHEN width > 100 THEN 'landscape' ELSE 'portrait' END || ':' || round_even(width / 100.0::DOUBLE * 10, 0)::INT}]) AS x FROM n)),
 """
-_VOTES = _VIEWS + """
-h AS (SELECT band_name, band_value, path, view FROM (SELECT *, row_number() OVER (PARTITION BY band_name, band_value ORDER BY path, view) AS place FROM b WHERE quality >= 0) WHERE place <= 60),
+_FIRST_HITS = "h AS (SELECT band_name, band_value, path, view FROM (SELECT *, row_number() OVER (PARTITION BY band_name, band_value ORDER BY path, view) AS place FROM b WHERE quality >= 0) WHERE place <= 60),"
+_ALL_HITS = "h AS (SELECT band_name, band_value, path, view FROM b WHERE quality >= 0),"
+_VOTES = f"{_VIEWS}\n{_FIRST_HITS}" + """
 c AS (SELECT band_name, band_value, count(*) AS hits FROM h GROUP BY 1, 2),
 t AS (SELECT DISTINCT vec_id AS target, band_name, band_value FROM b WHERE vec_id % 100 = 0),
 v AS (SELECT target, path, count(*) AS votes, sum(1.0::DOUBLE / hits) AS rarity, min(hits) AS best_band, list(DISTINCT view) AS hit_views FROM t JOIN h USING (band_name, band_value) JOIN c USING (band_name, band_value) GROUP BY 1, 2)
@@ -100,10 +101,10 @@ def w07_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target", "path", "votes", F.col("rank").alias("place"))
 
 
-@query(_SCORED + "SELECT target::VARCHAR AS target, path, CAST(floor(score * 1000 + 0.5::DOUBLE) AS BIGINT) AS score, CAST(floor(distance * 1000 + 0.5::DOUBLE) AS BIGINT) AS distance, best_view, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
+@query(_SCORED.replace(_FIRST_HITS, _ALL_HITS) + "SELECT target::VARCHAR AS target, path, CAST(floor(score * 1000 + 0.5::DOUBLE) AS BIGINT) AS score, CAST(floor(distance * 1000 + 0.5::DOUBLE) AS BIGINT) AS distance, best_view, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def j10_shortlist_then_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two stages: candidates by bands, then the distance of the target to the nearest of the views that were hit; in thousandths."""
-    found = bands.shortlist(*_index(spark, sf_dir), size=5, cap=60)
+    """Two stages: candidates by all hits of their bands, then the distance of the target to the nearest of the views that were hit; in thousandths."""
+    found = bands.shortlist(*_index(spark, sf_dir), size=5, cap=None)
     # The score of the rank is rounded; a second rounding on it would lift what lies just below a half.
     exact = {"score": F.col("distance") - bands.VOTE_WEIGHT * F.col("votes"), "distance": F.col("distance")}
     milli = lambda c: F.floor(exact[c] * 1000 + 0.5).alias(c)

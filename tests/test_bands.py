@@ -102,3 +102,30 @@ def test_only_stale_rows_are_made_anew(spark, tmp_path):
     assert run([(99, 1, 5)]) == (1, 0, 1, 0)
     assert bands.band_features(spark, folder).count() == 61
     assert run(first, rebuild=True) == (60, 0, 60, 0)
+
+
+@pytest.mark.parametrize("most", [1, 3, 40])
+def test_all_hits_of_a_band_count_without_a_cap(spark, monkeypatch, most):
+    rng = random.Random(3)
+    monkeypatch.setattr(bands, "CELL_TARGETS", 3)
+    monkeypatch.setattr(bands, "CELL_PATHS", 20)
+    monkeypatch.setattr(bands, "CELL_HITS", 50)
+    # The band "a" holds all; equal votes and rarities come of few values.
+    held = {(f"p{p}", f"v{v}", name, str(0 if name == "a" else rng.randrange(9))) for p in range(70) for v in range(2) for name in "abc"}
+    held |= {(f"p{p}", f"v{v}", "d", "1") for p in range(70, 150) for v in range(2)}
+    index = spark.createDataFrame(sorted(held), "path string, view string, band_name string, band_value string")
+    asked = {(t, name, str(0 if name == "a" else rng.randrange(9))) for t in range(10) for name in "aabbc"} | {(11, "d", "1"), (12, "e", "1")}
+    targets = spark.createDataFrame(sorted(asked), "target int, band_name string, band_value string")
+    wanted = {}
+    size = {b: sum(r[2:] == b for r in held) for b in {r[2:] for r in held}}
+    for t in range(13):
+        found = {}
+        for p, v, *b in held:
+            if (t, *b) in asked:
+                found.setdefault(p, []).append((size[tuple(b)], v))
+        rows = [(-len(h), -round(sum(1 / n for n, _ in h), 9), min(n for n, _ in h), p, sorted({v for _, v in h})) for p, h in found.items()]
+        wanted[t] = [(-r[0], r[2], *r[3:]) for r in sorted(rows)[:most]]
+    for rows in (bands.likeliest(targets, index, most), bands._by_votes(bands.view_votes(targets, index, None), most)):
+        order = lambda r: (-r.votes, -round(r.rarity, 9), r.best_band, r.path)
+        listed = sorted(rows.collect(), key=order)
+        assert {t: [(r.votes, r.best_band, r.path, sorted(r.hit_views)) for r in listed if r.target == t] for t in range(13)} == wanted

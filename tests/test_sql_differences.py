@@ -49,6 +49,15 @@ def test_thousandths_of_a_score_just_below_a_half(spark, tmp_path):
     assert found == wanted and [r[2] % 1000 for r in found] == [220]
 
 
+def test_no_hit_of_a_band_is_cut(spark, tmp_path):
+    # All share the colours; of what shares the quadrants as well, the last by path is the target itself.
+    flat = [130.0] * 64
+    odd = lambda i: [130.0 + (40.0 if (k + i) % 2 else -40.0) for k in range(64)]
+    vectors = [{"vec_id": i, "embedding": [(x + 0.5) / 32 - 4 for x in (flat if i in (0, 99) else odd(i))], "label": 0} for i in range(100)]
+    found, wanted = both(spark, tmp_path, "j10_shortlist_then_dense", embeddings=vectors)
+    assert found == wanted and ("0", "99", -25_000 * 18, 0, "full", 1) in found
+
+
 def test_a_restored_letter_and_the_mark_beside_it_are_no_sequence(spark, tmp_path):
     assert text.repaired("FÃ\x89” Ã") == "FÉ” Ã"
     documents = [{"doc_id": i, "text": t} for i, t in enumerate(["MENÜ", "MENÜ", "É"])]
