@@ -627,7 +627,8 @@ def r10_index_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three runs of the index over files of which some move, go, come and change between the first two, and none after."""
     root, folder, k = new_path(spark, "library"), new_path(spark, "library-index"), F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", k.cast("string"), "s_name").alias("content"))
-    place = lambda name: F.concat(F.lit(f"{name}-"), k.cast("string")).alias("folder")
+    # A folder holds many files: one for each would be made, renamed and listed as well.
+    place = lambda name: F.concat(F.lit(f"{name}-"), F.pmod(F.xxhash64(k), F.lit(256)).cast("string")).alias("folder")
     # What goes later has a folder of its own, so that it goes at once and not file by file from the driver.
     goes = "s_suppkey % 5 IN (0, 1, 3)"
     _write_files(rows.filter(f"NOT {goes}").select(place("first"), "content"), f"{root}/a")

@@ -72,7 +72,8 @@ def index_files(spark: SparkSession, root: str, folder: str, extensions: list[st
     """
     waiting = f"{folder}/waiting"
     scanned = files.listing(spark, root, extensions).withColumns({"full": F.col("path"), "byte_size": F.col("length"), "mtime": F.unix_micros("modificationTime")})
-    scan = materialize(scanned.withColumn("path", _relative(root)).select(*_SEEN, "full"), "scan")
+    with files.few_tasks(spark):
+        scan = materialize(scanned.withColumn("path", _relative(root)).select(*_SEEN, "full"), "scan")
     before = materialize(indexed(spark, folder), "index")
     stale = scan.join(before.select(*_SEEN), _SEEN, "left_anti").join(_table(spark, waiting, _FACTS).select(*_SEEN), _SEEN, "left_anti")
     stale = materialize(stale.select("full"), "stale")
@@ -81,7 +82,8 @@ def index_files(spark: SparkSession, root: str, folder: str, extensions: list[st
     for k in range(parts if n else 0):
         paths = [r.full for r in stale.filter(F.pmod(F.xxhash64("full"), F.lit(parts)) == k).collect()]
         if paths:
-            _facts(spark.read.format("binaryFile").load(paths), root).write.mode("append").parquet(waiting)
+            with files.few_tasks(spark):
+                _facts(spark.read.format("binaryFile").load(paths), root).write.mode("append").parquet(waiting)
     fresh = materialize(_table(spark, waiting, _FACTS).join(scan.select(*_SEEN), _SEEN, "left_semi").dropDuplicates(["path"]), "fresh")
 
     content = ["sha256", "byte_size"]

@@ -8,16 +8,36 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from archivolt.session import default_partitions
+
+
+@contextmanager
+def few_tasks(spark: SparkSession) -> Iterator[None]:
+    """Files that are loaded and read inside are dealt to a few tasks a core. Spark's own rule is a task for each folder or file
+    that is listed, up to 10,000, and one for every 32 small files that are read, so that tasks outweigh the files."""
+    tasks = 4 * max(spark.sparkContext.defaultParallelism, default_partitions(spark))
+    names = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.maxPartitionNum")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in before.items():
+        spark.conf.set(name, str(min(int(value or tasks), tasks)))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
 
 def listing(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
     """path, modificationTime, length of all files below a folder, hidden ones excluded; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).drop("content")
+    with few_tasks(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).drop("content")
     hidden = F.col("path").rlike(r"/\.[^/]*")
     files = files.filter(~hidden)
     if extensions:

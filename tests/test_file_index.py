@@ -85,3 +85,21 @@ def test_a_stopped_run_goes_on(spark, library, tmp_path, monkeypatch):
     assert counters(I.index_files(spark, str(library), folder, batch=4).first()) == (1, 14, 14, 0, 0, 0, 14)
     assert 0 < first < 14 and sum(reads) == 14  # no file is read twice
     assert len(held(spark, folder)) == 14
+
+
+def test_tasks_do_not_grow_with_files(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / "lib" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "lib" / f"d{i}" / "file.txt").write_text(f"content {i}")
+    context, names = spark.sparkContext, ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.maxPartitionNum")
+    before = [spark.conf.get(name, None) for name in names]
+    context.setJobGroup("many-files", "many files")
+    try:
+        row = counters(I.index_files(spark, str(tmp_path / "lib"), str(tmp_path / "index"), shards=2).first())
+        tracker = context.statusTracker()
+        stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("many-files") for s in tracker.getJobInfo(job).stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert row == (1, 400, 400, 0, 0, 0, 400)
+    assert 0 < max(s.numTasks for s in stages if s) <= 4 * max(context.defaultParallelism, 4) + 4
+    assert [spark.conf.get(name, None) for name in names] == before
